@@ -22,7 +22,7 @@ from .common import cut
 from .shingles import mix
 
 SAMPLE_ROWS = 2000  # per language, on average
-KEEP = 20_000  # words, and n-grams of each n, per language
+KEEP = 10_000  # words, and n-grams of each n, per language
 LONGEST = 5
 SLICE_CHARS = 400_000
 _PRIME = np.uint64(0x100000001B3)
@@ -79,23 +79,24 @@ class Model:
         """entries: (n, or 0 for a word; key; lang; count)."""
         self.langs = langs
         column = {x: k for k, x in enumerate(langs)}
-        totals = np.zeros((LONGEST + 1, max(1, len(langs))))
-        table: dict[tuple[int, str], dict[int, int]] = {}
-        for n, key, lang, count in entries:
-            totals[n, column[lang]] += count
-            table.setdefault((n, key), {})[column[lang]] = count
-        hashes, scores = [], []
-        for (n, key), counts in table.items():
-            codes = _codes(key)
-            zero = np.zeros(1, np.int64)
-            hashes.append(_gram_hash(codes, zero, n)[0] if n else _word_hash(codes, zero, np.array([len(codes)]))[0])
-            row = np.array([counts.get(k, 0) for k in range(len(langs))], float)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                share = np.where(row > 0, row, 0.1) / np.maximum(totals[n], 1)  # unseen: a tenth of one occurrence
-            scores.append(np.log10(share))
-        order = np.argsort(np.array(hashes, np.uint64), kind="stable")
-        self.keys = np.array(hashes, np.uint64)[order]
-        self.scores = np.array(scores, np.float32).reshape(len(scores), len(langs))[order]
+        hashes, scores = [np.zeros(0, np.uint64)], [np.zeros((0, len(langs)), np.float32)]
+        for n in range(LONGEST + 1):
+            place: dict[str, int] = {}
+            rows = [(place.setdefault(key, len(place)), column[lang], count) for m, key, lang, count in entries if m == n]
+            if not rows:
+                continue
+            counts = np.zeros((len(place), len(langs)))
+            at, lang, count = (np.array(x) for x in zip(*rows, strict=True))
+            counts[at, lang] = count
+            length = np.array([len(k) for k in place], np.int64)
+            start = np.cumsum(length) - length
+            codes = _codes("".join(place))
+            hashes.append(_gram_hash(codes, start, n) if n else _word_hash(codes, start, length))
+            share = np.where(counts > 0, counts, 0.1) / np.maximum(counts.sum(axis=0), 1)  # unseen: a tenth of one occurrence
+            scores.append(np.log10(share).astype(np.float32))
+        order = np.argsort(np.concatenate(hashes), kind="stable")
+        self.keys = np.concatenate(hashes)[order]
+        self.scores = np.concatenate(scores)[order]
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Row numbers, -1 if unknown."""
