@@ -6,14 +6,16 @@ so that they share at least T = ceil(75*(s+t)/175) shingles.
 1. Statistics: shingle counts of the whole corpus go into one sketch of fixed size (2**21 counters, 8 MB, the
    only thing broadcast).  It gives one global order of shingles, rare first; its errors cost time, not results.
 2. Divide: a set's long inverted lists are those of its commonest shingles.  Leaving out the L = T - k commonest
-   of them, a partner must still occur k times in the remaining short lists (k = 1 to 4 by set size).  Only those
+   of them, a partner must still occur k times in the remaining short lists (k = 1 + s // 40).  Only those
    short-list entries are shuffled, by shingle.  Identical sets share one 64-bit name (with their size) and so one entry.
 3. Merge: a list of up to SHORT sets gives its pairs; pairs that occur k times are candidates.  A longer
    list makes all its sets members of the family of its first set (the one with the commonest shingles, a hub).
+   A set that occurs in shared lists less often than any partner of fitting size would have to is no member.
 4. Families: every member is compared with its hub.  Members linked to the hub are one class already, so only
    pairs with a member that is not linked to it remain, and of those only pairs whose distances to the hub
    differ by at most 0.25 (Jaccard distance is a metric).  Members are dealt into bounded blocks by that distance; a
-   block pair is searched in one task with DivideSkip: short lists are merged, long lists are probed by binary search.
+   block pair is searched in one task with DivideSkip: short lists are merged (by
+   counting, which numpy does faster than a heap), long lists are probed by binary search.
 5. Links feed a distributed connected-components job.
 
 No cap, sample or prefix of texts is used; every pair that could link is decided on the two whole sets.
@@ -36,6 +38,7 @@ SHORT = 6  # sets of an inverted list whose pairs are written out
 SKETCH_BITS = 21
 BLOCK_SHINGLES = 1_500_000  # of one side of a block pair: 12 MB
 STEP = 20  # distance buckets
+LONG = 4096  # sets of an inverted list that is probed rather than merged
 
 
 def needed(s, t):
@@ -45,7 +48,7 @@ def needed(s, t):
 
 def occurrences(n):
     """k: how often a partner must occur in the short lists."""
-    return 1 + (n >= 40) + (n >= 80) + (n >= 160)
+    return 1 + n // 40
 
 
 def short_lists(n: int) -> int:
@@ -217,13 +220,11 @@ def divide_skip(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[tup
         lo, hi = np.searchsorted(items, query), np.searchsorted(items, query, side="right")
         least = -(-NUM * q // DEN)
         by_length = np.argsort(hi - lo, kind="stable")
-        n_short = q - least + 1
+        n_short = max(q - least + 1, int(((hi - lo) <= LONG).sum()))
         short, long = by_length[:n_short], by_length[n_short:]
-        merged = np.sort(np.concatenate([owner[lo[k] : hi[k]] for k in short]), kind="stable")  # merges sorted runs
-        if not len(merged):
-            continue
-        first = np.flatnonzero(np.diff(merged, prepend=-1))
-        found, count = merged[first], np.diff(np.append(first, len(merged)))
+        merged = np.bincount(np.concatenate([owner[lo[k] : hi[k]] for k in short]), minlength=len(left))
+        found = np.flatnonzero(merged)
+        count = merged[found]
         fits = (DEN * np.minimum(sizes[found], q) >= NUM * np.maximum(sizes[found], q))
         found, count = found[fits], count[fits]
         bound = needed(sizes[found], q)
@@ -338,9 +339,13 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     k = occurrences_column(F.least("na", "nb"))
     pairs = merged.where((F.col("kind") == 0) & (F.col("times") >= k)).select("a", "na", "b", "nb")
     fits = DEN * F.least("na", "nb") >= NUM * F.greatest("na", "nb")
-    family = merged.where("kind = 1").select("a", "na", "b", "nb")
-    ends = merged.where((F.col("kind") == 1) | (F.col("times") >= k))
-    ends = ends.select(F.col("a").alias("set_id"), F.col("na").alias("n")).unionByName(ends.select(F.col("b").alias("set_id"), F.col("nb").alias("n"))).distinct()
+    shared = merged.select(F.explode(F.array(
+        F.struct(F.col("a").alias("b"), F.col("na").alias("nb"), "times"), F.struct("b", "nb", "times")
+    )).alias("r")).select("r.*").groupBy("b", "nb").agg(F.sum("times").alias("shared"))
+    able = shared.where(F.col("shared") >= occurrences_column(F.ceil(F.col("nb") * NUM / DEN)))
+    family = cut(merged.where("kind = 1").join(able, ["b", "nb"], "left_semi").select("a", "na", "b", "nb"))
+    merged = merged.where((F.col("kind") == 0) & (F.col("times") >= k)).select("a", "na", "b", "nb").unionByName(family)
+    ends = merged.select(F.col("a").alias("set_id"), F.col("na").alias("n")).unionByName(merged.select(F.col("b").alias("set_id"), F.col("nb").alias("n"))).distinct()
     wanted = cut(first.join(ends, ["set_id", "n"]))
     sets = _load(docs, wanted)
     hubs = cut(_overlaps(family.unionByName(pairs.where(fits)).distinct(), sets))
@@ -362,7 +367,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
 
 
 def occurrences_column(n):
-    return F.lit(1) + (n >= 40).cast("int") + (n >= 80).cast("int") + (n >= 160).cast("int")
+    return F.lit(1) + F.floor(n / 40).cast("int")
 
 
 def _load(docs: DataFrame, wanted: DataFrame) -> DataFrame:
