@@ -2,12 +2,41 @@
 
 from __future__ import annotations
 
-from .common import UPPER, table
+from .archives import archive_round_trip
+from .chat import rotate
+from .common import UPPER, fresh_dir, table
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
+from .html_text import extract
 from .jaccard_join import jaccard_classes
 from .langid import fit, identify
 from .packing import pack
+from .secrets import scan
+from .token_files import read_files, write_files
+
+
+def op1_chat_rotation(spark, sf_dir):
+    return rotate(table(spark, sf_dir, "conversations"))
+
+
+def op2_html_text(spark, sf_dir):
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op3_secret_scan(spark, sf_dir):
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op4_token_files(spark, sf_dir):
+    import public_tokenizers
+
+    out = fresh_dir(spark, "token-files")
+    files = write_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), out)
+    return read_files(spark, files, out)
+
+
+def op10_archives(spark, sf_dir):
+    return archive_round_trip(spark, table(spark, sf_dir, "pages"), fresh_dir(spark, "archives"))
 
 
 def op5_language_id(spark, sf_dir):
@@ -31,6 +60,25 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+OP1_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS content, coalesce(turn // 64, -1) AS segment
+  FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id, segment ORDER BY turn NULLS FIRST, role, content) - 1 AS rn FROM t),
+people AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
+shown AS (
+  SELECT conv_id, perspective, segment, rn // 64 AS part, rn, content, role = perspective AS own,
+         CASE WHEN role = perspective THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>' ELSE '<|user ' || role || '|>' END || chr(10) AS head
+  FROM placed JOIN people USING (conv_id)),
+walked AS (
+  SELECT *, coalesce(sum(length(head) + length(content) + 1) OVER (PARTITION BY conv_id, perspective, segment, part ORDER BY rn
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS pos FROM shown)
+SELECT conv_id, perspective, segment, part, count(*) AS n_turns, string_agg(head || content || chr(10), '' ORDER BY rn) AS text,
+       coalesce(list([CAST(pos AS INTEGER), CAST(pos + length(content) AS INTEGER)] ORDER BY rn) FILTER (WHERE own), []) AS mask,
+       CAST(coalesce(sum(length(content)) FILTER (WHERE own), 0) AS BIGINT) AS n_masked
+FROM walked GROUP BY conv_id, perspective, segment, part
+"""
+
 OP9_SQL = f"""
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
@@ -60,6 +108,11 @@ def queries():
     import corpus_pipeline
 
     return {
+        "op1_chat_rotation": op1_chat_rotation,
+        "op2_html_text": op2_html_text,
+        "op3_secret_scan": op3_secret_scan,
+        "op4_token_files": op4_token_files,
+        "op10_archives": op10_archives,
         "op5_language_id": op5_language_id,
         "op6_jaccard_join": op6_jaccard_join,
         "op7_length_buckets": op7_length_buckets,
@@ -70,4 +123,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op8_decontamination": OP8_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op1_chat_rotation": OP1_SQL, "op8_decontamination": OP8_SQL, "op9_exact_dedup": OP9_SQL}
