@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from sparkwave.functions import shaping as S
 from sparkwave.sources.signals import KEYS, clip_lengths, lagged, pair_stereo, unpair_stereo, with_length
 
-X, IDX = F.col("x"), F.col("idx")
+
 COLUMNS = [*KEYS, "idx", "x"]
 
 
@@ -22,15 +22,15 @@ def put(df: DataFrame, x: Column) -> DataFrame:
 
 
 def gain(df: DataFrame, m: float) -> DataFrame:
-    return put(df, X * m)
+    return put(df, F.col("x") * m)
 
 
 def gain_clip(df: DataFrame, gain: float, **options) -> DataFrame:
-    return put(df, S.gain_clip(X, gain, **options))
+    return put(df, S.gain_clip(F.col("x"), gain, **options))
 
 
 def quantize(df: DataFrame, bits: int, how: str = "round") -> DataFrame:
-    return put(df, S.quantize(X, bits, how))
+    return put(df, S.quantize(F.col("x"), bits, how))
 
 
 def quantize_half(df: DataFrame) -> DataFrame:
@@ -44,19 +44,19 @@ def quantize_half(df: DataFrame) -> DataFrame:
 
 
 def quantize_mulaw(df: DataFrame, levels: int = 256, mu: float = 255.0) -> DataFrame:
-    return put(df, S.quantize_mulaw(X, levels, mu))
+    return put(df, S.quantize_mulaw(F.col("x"), levels, mu))
 
 
 def distort(df: DataFrame, pct: float, how: str) -> DataFrame:
     if how == "slope_sign":
-        return put(lagged(df, {"p": ("x", 1, 0.0)}), X + (F.signum(X - F.col("p")) - X) * (pct / 100))
-    return put(df, S.distort(X, pct, how))
+        return put(lagged(df, {"p": ("x", 1, 0.0)}), F.col("x") + (F.signum(F.col("x") - F.col("p")) - F.col("x")) * (pct / 100))
+    return put(df, S.distort(F.col("x"), pct, how))
 
 
 def fade(df: DataFrame, direction: str = "in", easing: str = "linear", lo: float = 0.0, hi: float = 1.0) -> DataFrame:
     """Gain lo to hi ("in") or hi to lo ("out") over the clip."""
     start, end = (lo, hi) if direction == "in" else (hi, lo)
-    return put(with_length(df), X * (start + (end - start) * S.ease(IDX / F.col("n"), easing)))
+    return put(with_length(df), F.col("x") * (start + (end - start) * S.ease(F.col("idx") / F.col("n"), easing)))
 
 
 def mid_side(df: DataFrame) -> DataFrame:
@@ -78,14 +78,14 @@ def stereo_widen(df: DataFrame, g: float) -> DataFrame:
 
 
 def reverse(df: DataFrame) -> DataFrame:
-    return with_length(df).select(*KEYS, (F.col("n") - 1 - IDX).alias("idx"), "x")
+    return with_length(df).select(*KEYS, (F.col("n") - 1 - F.col("idx")).alias("idx"), "x")
 
 
 def repeat(df: DataFrame, times: float) -> DataFrame:
     """Whole copies and a part of one; times <= 0 is empty."""
     df = with_length(df)
     copies = F.explode(F.sequence(F.lit(0), F.lit(max(0, math.ceil(times)))))
-    out = df.select("*", copies.alias("k")).select(*KEYS, (F.col("k") * F.col("n") + IDX).alias("idx"), "x", (F.col("n") * times).cast("long").alias("total"))
+    out = df.select("*", copies.alias("k")).select(*KEYS, (F.col("k") * F.col("n") + F.col("idx")).alias("idx"), "x", (F.col("n") * times).cast("long").alias("total"))
     return out.where("idx < total").select(*COLUMNS)
 
 
@@ -95,7 +95,7 @@ def pad_silence(df: DataFrame, secs: float, rate: int, at: str = "end") -> DataF
     if ends is None:
         return df.select(*COLUMNS)
     place = F.col("k") if at == "start" else F.col("n") + F.col("k")
-    moved = df.select(*KEYS, (IDX + zeros).alias("idx") if at == "start" else "idx", "x")
+    moved = df.select(*KEYS, (F.col("idx") + zeros).alias("idx") if at == "start" else "idx", "x")
     return moved.unionByName(ends.select(*KEYS, place.cast("long").alias("idx"), F.lit(0.0).alias("x")))
 
 
@@ -114,16 +114,16 @@ def speed(df: DataFrame, s: float, smooth: bool = False, last: str = "zero") ->
         smooth = False
     size = S.half_up(F.col("n") / s)
     # the output grid grows from the samples themselves: each position covers the outputs between it and the next
-    first, end = F.ceil(IDX / s), F.ceil((IDX + 1) / s) - 1
+    first, end = F.ceil(F.col("idx") / s), F.ceil((F.col("idx") + 1) / s) - 1
     grid = df.join(lengths, KEYS).withColumn("m", size).where(first <= end)
     grid = grid.select(*KEYS, "n", "m", "idx", "x", F.explode(F.sequence(first, end)).alias("j"))
     if smooth:
         nxt = lagged(df, {"b": ("x", -1, None)}).select(*KEYS, "idx", F.coalesce("b", "x").alias("b"))
-        part = F.col("j") * s - IDX
-        grid = grid.join(nxt, [*KEYS, "idx"]).withColumn("x", X + (F.col("b") - X) * part)
+        part = F.col("j") * s - F.col("idx")
+        grid = grid.join(nxt, [*KEYS, "idx"]).withColumn("x", F.col("x") + (F.col("b") - F.col("x")) * part)
     out = grid.where("j < m")
-    value = F.when((F.col("j") == F.col("m") - 1) & F.lit(last == "zero"), F.lit(0.0)).otherwise(X)
-    tail = lengths.withColumn("m", size).join(df.select(*KEYS, (IDX + 1).alias("n"), "x"), [*KEYS, "n"])
+    value = F.when((F.col("j") == F.col("m") - 1) & F.lit(last == "zero"), F.lit(0.0)).otherwise(F.col("x"))
+    tail = lengths.withColumn("m", size).join(df.select(*KEYS, (F.col("idx") + 1).alias("n"), "x"), [*KEYS, "n"])
     covered = F.ceil(F.col("n") / s)
     tail = tail.where(covered < F.col("m")).select(*KEYS, F.explode(F.sequence(covered, F.col("m") - 1)).alias("j"), "m", "x")
     out = out.select(*KEYS, "j", "m", "x").unionByName(tail)
@@ -138,27 +138,27 @@ def resample(df: DataFrame, clips: DataFrame, old: int, new: int, smooth: bool =
 
 
 def hold(df: DataFrame, k: int) -> DataFrame:
-    block = Window.partitionBy(*KEYS, F.floor(IDX / k)).orderBy("idx")
+    block = Window.partitionBy(*KEYS, F.floor(F.col("idx") / k)).orderBy("idx")
     return put(df, F.first("x").over(block))
 
 
 def _anchored(df: DataFrame, k: int) -> DataFrame:
     """Each sample with the anchor before it (a, at the largest multiple of k) and after it (b, null past the end)."""
-    anchors = df.where(IDX % k == 0).select(*KEYS, (IDX / k).cast("long").alias("g"), F.col("x").alias("a"))
+    anchors = df.where(F.col("idx") % k == 0).select(*KEYS, (F.col("idx") / k).cast("long").alias("g"), F.col("x").alias("a"))
     after = anchors.select(*KEYS, (F.col("g") - 1).alias("g"), F.col("a").alias("b"))
-    return df.withColumn("g", F.floor(IDX / k)).join(anchors.join(after, [*KEYS, "g"], "left"), [*KEYS, "g"])
+    return df.withColumn("g", F.floor(F.col("idx") / k)).join(anchors.join(after, [*KEYS, "g"], "left"), [*KEYS, "g"])
 
 
 def smooth_linear(df: DataFrame, k: int) -> DataFrame:
     """Linear between anchors k apart; a missing right anchor counts as 0."""
-    t = (IDX % k) / k
+    t = (F.col("idx") % k) / k
     return put(_anchored(df, k), F.col("a") + (F.coalesce("b", F.lit(0.0)) - F.col("a")) * t)
 
 
 def smooth_ease(df: DataFrame, k: int) -> DataFrame:
     """Cosine easing between anchors; a missing right anchor is the clip's last sample."""
     last = with_length(df).where("idx = n - 1").select(*KEYS, F.col("x").alias("z"))
-    t = (1 - F.cos((IDX % k) / k * math.pi)) / 2
+    t = (1 - F.cos((F.col("idx") % k) / k * math.pi)) / 2
     return put(_anchored(df, k).join(last, KEYS), F.col("a") + (F.coalesce("b", "z") - F.col("a")) * t)
 
 
@@ -166,37 +166,37 @@ def echo(df: DataFrame, volume: float, n: int, delay_s: float, decay: float, rat
     """x[i] + sum of volume * decay**(k-1) * x[i - k*D]; delay 0 is the sum of the gains."""
     d = int(math.floor(delay_s * rate + 0.5))
     if d == 0:
-        return put(df, X * (1 + sum(volume * decay ** (k - 1) for k in range(1, n + 1))))
+        return put(df, F.col("x") * (1 + sum(volume * decay ** (k - 1) for k in range(1, n + 1))))
     if n * d <= 65536:
         taps = lagged(df, {f"e{k}": ("x", k * d, 0.0) for k in range(1, n + 1)})
-        return put(taps, X + sum(volume * decay ** (k - 1) * F.col(f"e{k}") for k in range(1, n + 1)))
+        return put(taps, F.col("x") + sum(volume * decay ** (k - 1) * F.col(f"e{k}") for k in range(1, n + 1)))
     shifted = with_length(df).select(*KEYS, "idx", "x", "n", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("k"))
-    share = F.when(F.col("k") == 0, X).otherwise(X * volume * F.pow(F.lit(float(decay)), F.col("k") - 1))
-    return shifted.select(*KEYS, (IDX + F.col("k") * d).alias("idx"), share.alias("x"), "n").where("idx < n").groupBy(*KEYS, "idx").agg(F.sum("x").alias("x"))
+    share = F.when(F.col("k") == 0, F.col("x")).otherwise(F.col("x") * volume * F.pow(F.lit(float(decay)), F.col("k") - 1))
+    return shifted.select(*KEYS, (F.col("idx") + F.col("k") * d).alias("idx"), share.alias("x"), "n").where("idx < n").groupBy(*KEYS, "idx").agg(F.sum("x").alias("x"))
 
 
 def chorus(df: DataFrame, volume: float, lfo_hz: float, depth_s: float, rate: int, smooth: bool = True) -> DataFrame:
     """x + volume * x at a sine-swept delay; before the start there is silence."""
-    delay = (F.sin(math.pi / 2 + IDX * (2 * math.pi * lfo_hz / rate)) * 0.5 + 0.5) * (depth_s * rate)
-    place = IDX - delay
+    delay = (F.sin(math.pi / 2 + F.col("idx") * (2 * math.pi * lfo_hz / rate)) * 0.5 + 0.5) * (depth_s * rate)
+    place = F.col("idx") - delay
     low = F.floor(place)
     taps = _gather(df, df, {"p": low, "q": low + 1})
     zero = F.lit(0.0)
     p = F.coalesce("p", zero)
     q = F.coalesce("q", "p", zero)
     wet = p + (q - p) * (place - low) if smooth else p
-    return put(taps, X + volume * F.when(place < 0, zero).otherwise(wet))
+    return put(taps, F.col("x") + volume * F.when(place < 0, zero).otherwise(wet))
 
 
 def difference(df: DataFrame, pct: float) -> DataFrame:
     """x - pct/100 of the sample before; the first is 0."""
-    return put(lagged(df, {"p": ("x", 1, None)}), F.when(F.col("p").isNull(), F.lit(0.0)).otherwise(X - F.col("p") * (pct / 100)))
+    return put(lagged(df, {"p": ("x", 1, None)}), F.when(F.col("p").isNull(), F.lit(0.0)).otherwise(F.col("x") - F.col("p") * (pct / 100)))
 
 
 def alternating_difference(df: DataFrame) -> DataFrame:
     """y[i] = x[i] - y[i-1], in closed form: a running sum with alternating signs, by chunks."""
-    sign = F.when(IDX % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
-    df = df.withColumns({"s": X * sign, "c": F.floor(IDX / 65536)})
+    sign = F.when(F.col("idx") % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+    df = df.withColumns({"s": F.col("x") * sign, "c": F.floor(F.col("idx") / 65536)})
     before = Window.partitionBy(*KEYS).orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
     offset = df.groupBy(*KEYS, "c").agg(F.sum("s").alias("t")).select(*KEYS, "c", F.coalesce(F.sum("t").over(before), F.lit(0.0)).alias("o"))
     inside = Window.partitionBy(*KEYS, "c").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
@@ -211,11 +211,11 @@ def asof_points(df: DataFrame, points: DataFrame, chunk: int = 65536) -> DataFra
     c = F.floor(F.col("pos") / chunk)
     p = points.select("clip_id", "pos", "freq", F.struct("pos", "freq").alias("p"), c.alias("c"))
     edges = p.groupBy("clip_id", "c").agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
-    chunks = df.select("clip_id", F.floor(IDX / chunk).alias("c")).distinct().join(edges, ["clip_id", "c"], "full")
+    chunks = df.select("clip_id", F.floor(F.col("idx") / chunk).alias("c")).distinct().join(edges, ["clip_id", "c"], "full")
     order = Window.partitionBy("clip_id").orderBy("c")
     chunks = chunks.select("clip_id", "c", F.last("hi", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
                            F.first("lo", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
-    rows = df.select("clip_id", "channel", IDX.alias("pos"), "x", F.floor(IDX / chunk).alias("c"), F.lit(None).cast("struct<pos:bigint,freq:double>").alias("p"))
+    rows = df.select("clip_id", "channel", F.col("idx").alias("pos"), "x", F.floor(F.col("idx") / chunk).alias("c"), F.lit(None).cast("struct<pos:bigint,freq:double>").alias("p"))
     channels = df.select(*KEYS).distinct()
     marks = p.join(channels, "clip_id").select("clip_id", "channel", F.col("pos").cast("long"), F.lit(None).cast("double").alias("x"), "c", F.col("p").cast("struct<pos:bigint,freq:double>"))
     both = rows.unionByName(marks)
@@ -224,7 +224,7 @@ def asof_points(df: DataFrame, points: DataFrame, chunk: int = 65536) -> DataFra
                        F.first("p", True).over(w.rangeBetween(0, Window.unboundedFollowing)).alias("r")).where("p is null")
     seen = seen.join(chunks, ["clip_id", "c"]).select(*KEYS, F.col("pos").alias("idx"), "x", F.coalesce("l", "before").alias("l"), F.coalesce("r", "after").alias("r"))
     l, r = F.col("l"), F.col("r")
-    between = l["freq"] + (r["freq"] - l["freq"]) * F.try_divide(IDX - l["pos"], r["pos"] - l["pos"])
+    between = l["freq"] + (r["freq"] - l["freq"]) * F.try_divide(F.col("idx") - l["pos"], r["pos"] - l["pos"])
     return seen.select(*COLUMNS, F.coalesce(F.when(l["pos"] == r["pos"], l["freq"]), between, l["freq"], r["freq"]).alias("freq"))
 
 
@@ -239,30 +239,30 @@ def local_peaks(df: DataFrame) -> DataFrame:
 
 def add_tone(df: DataFrame, kind: str, note: float, vol: float, rate: int) -> DataFrame:
     """Sine, saw, triangle or square of a note number, added."""
-    return put(df, X + vol * S.oscillator(kind, IDX, S.note_hz(note), rate))
+    return put(df, F.col("x") + vol * S.oscillator(kind, F.col("idx"), S.note_hz(note), rate))
 
 
 def add_noise(df: DataFrame, kind: str, vol: float, seed: int = 1) -> DataFrame:
     """White, violet or blue noise from a hash of the position: repeatable, no window."""
     u = lambda i: F.when(i >= 0, S.uniform(seed, *KEYS, i) - 0.5).otherwise(F.lit(0.0))
-    now, before = u(IDX), u(IDX - 1)
+    now, before = u(F.col("idx")), u(F.col("idx") - 1)
     wave = {"white": now, "violet": (now - before) / 2, "blue": (2 * now - before) / 4}[kind]
-    return put(df, X + wave * (vol * 0.02))
+    return put(df, F.col("x") + wave * (vol * 0.02))
 
 
 def add_sample_hold(df: DataFrame, every: int, jitter: float, vol: float, seed: int = 1) -> DataFrame:
-    held = S.uniform(seed, *KEYS, F.floor(IDX / every)) - 0.5
-    return put(df, X + vol * (held + jitter * (S.uniform(seed + 1, *KEYS, "idx") - 0.5)))
+    held = S.uniform(seed, *KEYS, F.floor(F.col("idx") / every)) - 0.5
+    return put(df, F.col("x") + vol * (held + jitter * (S.uniform(seed + 1, *KEYS, "idx") - 0.5)))
 
 
 def add_gradient_noise(df: DataFrame, n1: float, n2: float, n3: float, vol: float, seed: int = 1) -> DataFrame:
     """One-dimensional gradient noise: 0.5, 0.3 and 0.2 of three periods 127 - n/2."""
     total = F.lit(0.0)
     for share, n in ((0.5, n1), (0.3, n2), (0.2, n3)):
-        p = IDX / (127 - n / 2)
+        p = F.col("idx") / (127 - n / 2)
         cell, t = F.floor(p), p - F.floor(p)
         slope = lambda c: F.when(S.uniform(seed, c % 44100) < 0.5, F.lit(-1.0)).otherwise(F.lit(1.0))
         f = t * t * t * (t * (t * 6 - 15) + 10)
         a, b = slope(cell) * t, slope(cell + 1) * (t - 1)
         total = total + share * (a + (b - a) * f)
-    return put(df, X + vol * total)
+    return put(df, F.col("x") + vol * total)

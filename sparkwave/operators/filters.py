@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkwave.functions.shaping import half_up
-from sparkwave.operators.effects import COLUMNS, IDX, X, asof_points, put
+from sparkwave.operators.effects import COLUMNS, asof_points, put
 from sparkwave.sources.signals import KEYS, lagged, with_length
 
 CHUNK = 4096
@@ -28,7 +28,7 @@ def linear_scan(df: DataFrame, step: Step, order: int, inputs: tuple[str, ...] =
     """keys, idx, y.  `idx` must be dense within keys; only inputs[0] is scaled, the others are coefficients."""
     keys = keys or KEYS
     kept = df.select(*keys, "idx", *[F.col(c).cast("double").alias(c) for c in inputs])
-    chunks = kept.groupBy(*keys, F.floor(IDX / chunk).alias("c")).agg(F.array_sort(F.collect_list(F.struct("idx", *inputs))).alias("s"))
+    chunks = kept.groupBy(*keys, F.floor(F.col("idx") / chunk).alias("c")).agg(F.array_sort(F.collect_list(F.struct("idx", *inputs))).alias("s"))
     chunks = chunks.select(*keys, "c", *[F.col(f"s.{c}").alias(c) for c in inputs])
     key_types = ", ".join(f"{k} {t}" for k, t in df.select(*keys).dtypes)
     schema = f"{key_types}, c long, y array<double>, h array<double>, e array<double>, m array<double>, x0 double"
@@ -89,19 +89,19 @@ def ema(df: DataFrame, pct: float, init: str = "first", chunk: int = CHUNK) -> D
 def comb(df: DataFrame, g: float, taps: int = 4, kind: str = "low", chunk: int = CHUNK) -> DataFrame:
     """y[i] = x[i] +- g*y[i-taps]: `taps` recurrences of order one, one for each remainder of the position."""
     sign = g if kind == "low" else -g
-    dealt = df.select(*KEYS, (IDX % taps).alias("lane"), F.floor(IDX / taps).alias("idx"), "x")
+    dealt = df.select(*KEYS, (F.col("idx") % taps).alias("lane"), F.floor(F.col("idx") / taps).alias("idx"), "x")
 
     def step(s, x):
         y = x[0] + sign * s[0]
         return y, [y]
 
     out = linear_scan(dealt, step, 1, keys=[*KEYS, "lane"], chunk=chunk)
-    return out.select(*KEYS, (IDX * taps + F.col("lane")).alias("idx"), F.col("y").alias("x"))
+    return out.select(*KEYS, (F.col("idx") * taps + F.col("lane")).alias("idx"), F.col("y").alias("x"))
 
 
 def echo_infinite(df: DataFrame, volume: float, delay_s: float, rate: int, chunk: int = CHUNK) -> DataFrame:
     d = int(math.floor(delay_s * rate + 0.5))
-    return comb(df, volume, d, "low", chunk) if d else put(df, X / (1 - volume))
+    return comb(df, volume, d, "low", chunk) if d else put(df, F.col("x") / (1 - volume))
 
 
 def leaky_difference(df: DataFrame, pct: float, step_share: float, chunk: int = CHUNK) -> DataFrame:
@@ -113,7 +113,7 @@ def leaky_difference(df: DataFrame, pct: float, step_share: float, chunk: int =
         return x[0] - t * acc, [acc, x[0]]
 
     out = _out(linear_scan(df, step, 2, chunk=chunk))
-    return put(out, F.when(IDX == 0, F.lit(0.0)).otherwise(X))
+    return put(out, F.when(F.col("idx") == 0, F.lit(0.0)).otherwise(F.col("x")))
 
 
 def coefficients(kind: str, f: float, q: float, rate: int, gain_db: float = 0.0, pole_radius: float = 0.95) -> tuple[float, ...]:
@@ -168,17 +168,17 @@ def biquad(df: DataFrame, kind: str, f: float, q: float, rate: int, gain_db: flo
 
     if not crossfade:
         return _out(linear_scan(df, step, 2, chunk=chunk))
-    fed = put(df, F.when(IDX == 0, F.lit(0.0)).otherwise(X))
+    fed = put(df, F.when(F.col("idx") == 0, F.lit(0.0)).otherwise(F.col("x")))
     wet = linear_scan(fed, step, 2, chunk=chunk)
     both = with_length(df).join(wet, [*KEYS, "idx"])
-    left = F.col("n") - 1 - IDX
-    share = F.least(IDX / FADE, left / FADE, F.lit(1.0))
-    return put(both, X + (F.col("y") - X) * share)
+    left = F.col("n") - 1 - F.col("idx")
+    share = F.least(F.col("idx") / FADE, left / FADE, F.lit(1.0))
+    return put(both, F.col("x") + (F.col("y") - F.col("x")) * share)
 
 
 def biquad_mix(df: DataFrame, kind: str, f: float, q: float, rate: int, dry: float, wet: float, chunk: int = CHUNK) -> DataFrame:
     out = df.join(biquad(df, kind, f, q, rate, chunk=chunk).withColumnRenamed("x", "y"), [*KEYS, "idx"])
-    return put(out, dry * X + wet * F.col("y"))
+    return put(out, dry * F.col("x") + wet * F.col("y"))
 
 
 def _varying(df: DataFrame, kind: str, f, q, rate: int, chunk: int) -> DataFrame:
@@ -196,9 +196,9 @@ def biquad_sweep(df: DataFrame, kind: str, f0: float, f1: float, q0: float, q1:
                  rate: int, chunk: int = CHUNK) -> DataFrame:
     """Frequency, q, dry and wet shares run linearly over the clip."""
     sized = with_length(df)
-    t = IDX / F.col("n")
+    t = F.col("idx") / F.col("n")
     y = _varying(sized, kind, f0 + (f1 - f0) * t, q0 + (q1 - q0) * t, rate, chunk)
-    return put(sized.join(y, [*KEYS, "idx"]), (dry0 + (dry1 - dry0) * t) * X + (wet0 + (wet1 - wet0) * t) * F.col("y"))
+    return put(sized.join(y, [*KEYS, "idx"]), (dry0 + (dry1 - dry0) * t) * F.col("x") + (wet0 + (wet1 - wet0) * t) * F.col("y"))
 
 
 def biquad_automation(df: DataFrame, points: DataFrame, kind: str, q: float, rate: int, chunk: int = CHUNK) -> DataFrame:
@@ -215,7 +215,7 @@ def delta_predict(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
         return p, [p]
 
     p = linear_scan(ahead, step, 1, inputs=("x2",), chunk=chunk).withColumnRenamed("y", "p")
-    both = lagged(ahead.join(p, [*KEYS, "idx"]), {"before": ("p", 1, 0.0)}).withColumn("diff", X - F.col("before"))
+    both = lagged(ahead.join(p, [*KEYS, "idx"]), {"before": ("p", 1, 0.0)}).withColumn("diff", F.col("x") - F.col("before"))
     both = lagged(both, {"last": ("diff", 1, 0.0)})
     shift = F.greatest(F.lit(0), F.least(F.lit(3), 3 - half_up(F.abs(F.col("diff") - F.col("last")) * 3)))
     code = ((F.col("p") + 1) * 31).cast("long") * 4
@@ -236,7 +236,7 @@ def pink_noise(df: DataFrame, vol: float, seed: int = 1, chunk: int = CHUNK) ->
         return sum(b) + s[6] + now * x[0], [*b, before * x[0]]
 
     pink = linear_scan(white, step, 7, inputs=("w",), chunk=chunk)
-    return put(df.join(pink, [*KEYS, "idx"]), X + F.col("y") * (vol * 0.11))
+    return put(df.join(pink, [*KEYS, "idx"]), F.col("x") + F.col("y") * (vol * 0.11))
 
 
 # -- in order per clip ---------------------------------------------------------------------------------------------
@@ -261,7 +261,8 @@ def smooth_adaptive(df: DataFrame, pct: float) -> DataFrame:
         y = x.tolist()
         for i in range(1, len(y)):
             f, b = y[i], y[i - 1]
-            y[i] = f + (b - f) * p * (1 - abs(f - b)) ** 2
+            w = 1 - abs(f - b)
+            y[i] = f + (b - f) * p * (w * w)
         return np.array(y)
 
     return in_order(df, run)
@@ -293,7 +294,7 @@ def delta_1bit(df: DataFrame) -> DataFrame:
         return np.array(out, np.int64)
 
     bits = in_order(df, run, "long", "bit")
-    return bits.groupBy(*KEYS, F.floor(IDX / 8).alias("b")).agg(F.sum(F.col("bit") * F.pow(F.lit(2), IDX % 8).cast("long")).alias("byte"))
+    return bits.groupBy(*KEYS, F.floor(F.col("idx") / 8).alias("b")).agg(F.sum(F.col("bit") * F.pow(F.lit(2), F.col("idx") % 8).cast("long")).alias("byte"))
 
 
 # The code tables of three and seven bits; the latter has runs of equal steps.
@@ -309,7 +310,7 @@ def delta_codebook(df: DataFrame, bits: int = 3, scale: float = 127.0, old: bool
     (the old style inverts all bits instead)."""
     table = CODES[bits]
     top = len(table) - 1
-    near = lagged(df.withColumn("v", (X + 1) * scale), {"p": ("v", 1, 0.0)})
+    near = lagged(df.withColumn("v", (F.col("x") + 1) * scale), {"p": ("v", 1, 0.0)})
     d = F.col("v") - F.col("p")
     size = F.abs(d)
     index = F.lit(top)

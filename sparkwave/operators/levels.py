@@ -9,20 +9,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkwave.functions.shaping import half_up
-from sparkwave.operators.effects import COLUMNS, IDX, X, put
+from sparkwave.operators.effects import COLUMNS, put
 from sparkwave.sources.signals import KEYS, pair_stereo, unpair_stereo, with_length
 
 
 def normalize(df: DataFrame, peak: float = 0.9) -> DataFrame:
     """Largest absolute value becomes `peak`; null and NaN count as 0; a silent clip stays as it is."""
     size = F.max(F.when(F.isnan("x"), F.lit(0.0)).otherwise(F.coalesce(F.abs("x"), F.lit(0.0))))
-    return put(df.join(df.groupBy(*KEYS).agg(size.alias("m")), KEYS), F.when(F.col("m") == 0, X).otherwise(X * (peak / F.col("m"))))
+    return put(df.join(df.groupBy(*KEYS).agg(size.alias("m")), KEYS), F.when(F.col("m") == 0, F.col("x")).otherwise(F.col("x") * (peak / F.col("m"))))
 
 
 def chunk_level(df: DataFrame, size: int = 512) -> DataFrame:
     """(keys, chunk, level): sum of |x| / (size/4) (1 if silent), averaged with a louder next chunk; a short last chunk
     and a missing or zero level count as 2."""
-    chunks = df.groupBy(*KEYS, F.floor(IDX / size).alias("chunk")).agg(F.sum(F.abs("x")).alias("s"), F.count("x").alias("c"))
+    chunks = df.groupBy(*KEYS, F.floor(F.col("idx") / size).alias("chunk")).agg(F.sum(F.abs("x")).alias("s"), F.count("x").alias("c"))
     raw = F.when(F.col("c") < size, F.lit(2.0)).when(F.col("s") == 0, F.lit(1.0)).otherwise(F.col("s") / (size / 4))
     nxt = F.lead("raw").over(Window.partitionBy(*KEYS).orderBy("chunk"))
     level = F.when(nxt > F.col("raw"), (F.col("raw") + nxt) / 2).otherwise(F.col("raw"))
@@ -33,9 +33,9 @@ def dynamic_normalize(df: DataFrame, size: int = 512) -> DataFrame:
     """Divide by the level interpolated between the chunk and the next one (2 where there is none)."""
     levels = chunk_level(df, size)
     after = levels.select(*KEYS, (F.col("chunk") - 1).alias("chunk"), F.col("level").alias("after"))
-    both = df.withColumn("chunk", F.floor(IDX / size)).join(levels.join(after, [*KEYS, "chunk"], "left"), [*KEYS, "chunk"])
-    t = (IDX % size) / size
-    return put(both, X / (F.col("level") + (F.coalesce("after", F.lit(2.0)) - F.col("level")) * t))
+    both = df.withColumn("chunk", F.floor(F.col("idx") / size)).join(levels.join(after, [*KEYS, "chunk"], "left"), [*KEYS, "chunk"])
+    t = (F.col("idx") % size) / size
+    return put(both, F.col("x") / (F.col("level") + (F.coalesce("after", F.lit(2.0)) - F.col("level")) * t))
 
 
 def _edges(df: DataFrame, near: bool, where: str, tol: float, values: list[str]) -> DataFrame:
@@ -55,7 +55,7 @@ def _edges(df: DataFrame, near: bool, where: str, tol: float, values: list[str])
             out = out & (~far if near else far)
         return out
 
-    return sized.groupBy(*keys, "n").agg(F.min(F.when(hit("f"), IDX)).alias("a"), F.max(F.when(hit("l"), IDX)).alias("b"))
+    return sized.groupBy(*keys, "n").agg(F.min(F.when(hit("f"), F.col("idx"))).alias("a"), F.max(F.when(hit("l"), F.col("idx"))).alias("b"))
 
 
 def _cut(df: DataFrame, near: bool, where: str, tol: float, values: list[str]) -> DataFrame:
@@ -178,8 +178,8 @@ def dedup_stats(frames: DataFrame) -> DataFrame:
 
 def group4_encode(df: DataFrame) -> DataFrame:
     """(keys, g, byte) per four codes u: quarter of the average, and two bits for the strictly largest gap; partial groups 0."""
-    at = lambda k: F.max(F.when(IDX % 4 == k, F.col("u")))
-    g = df.groupBy(*KEYS, F.floor(IDX / 4).alias("g")).agg(*[at(k).alias(f"u{k}") for k in range(4)])
+    at = lambda k: F.max(F.when(F.col("idx") % 4 == k, F.col("u")))
+    g = df.groupBy(*KEYS, F.floor(F.col("idx") / 4).alias("g")).agg(*[at(k).alias(f"u{k}") for k in range(4)])
     d = [F.abs(F.col(f"u{k}") - F.col(f"u{k + 1}")) for k in range(3)]
     flag = F.when((d[0] > d[1]) & (d[0] > d[2]), 64).when((d[1] > d[0]) & (d[1] > d[2]), 128).when((d[2] > d[0]) & (d[2] > d[1]), 192).otherwise(0)
     code = F.least(half_up((F.col("u0") + F.col("u1") + F.col("u2") + F.col("u3")) / 16), F.lit(63))
