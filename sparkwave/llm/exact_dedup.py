@@ -66,7 +66,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         )
         done = done.unionByName(level.where(F.size("names") == 1).select("doc_id", "sha", "copies", "n_blocks", F.col("names")[0].alias("name")))
         level = level.where(F.size("names") > 1)
-    groups = done.groupBy("n_blocks", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    # written out, so that the join has a plain exchange on either side and AQE may split a hot group
+    groups = cut(done.groupBy("n_blocks", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")))
     return (
         done.join(groups, ["n_blocks", "name"])
         .select("doc_id", "keep_id", "group_size", "sha", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
