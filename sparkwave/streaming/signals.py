@@ -81,11 +81,11 @@ class Delta:
         return float(d)
 
 
-def stream_filter(stream: DataFrame, fresh, timeout_ms: int = 60_000, wait: int = 100_000) -> DataFrame:
+def stream_filter(stream: DataFrame, fresh, timeout_ms: int | None = None, wait: int = 100_000) -> DataFrame:
     """keys, idx, y: `fresh()` makes a filter, called on each sample in order of idx, with its state carried between batches.
 
-    Rows already passed (late or repeated) are dropped.  After the time limit, or with more than `wait` rows held, the gap
-    is skipped.
+    Rows already passed (late or repeated) are dropped.  With more than `wait` rows held, or after `timeout_ms` if given,
+    the gap is skipped.  (With a time limit Spark runs batches without end, as time alone may release rows.)
     """
     kinds = dict(stream.dtypes)
 
@@ -104,12 +104,12 @@ def stream_filter(stream: DataFrame, fresh, timeout_ms: int = 60_000, wait: int
             out.append((*key, at, op(held.pop(at))))
             at += 1
         state.update((at, pickle.dumps(op), pickle.dumps(held)))
-        if held:
+        if held and timeout_ms:
             state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(out, columns=[*KEYS, "idx", "y"])
 
     schema = f"clip_id {kinds['clip_id']}, channel {kinds['channel']}, idx long, y double"
-    return stream.groupBy(*KEYS).applyInPandasWithState(run, schema, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy(*KEYS).applyInPandasWithState(run, schema, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
 
 
 class StreamVocoder:
