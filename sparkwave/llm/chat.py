@@ -35,7 +35,9 @@ def rotate(turns: DataFrame, segment_turns: int = SEGMENT_TURNS) -> DataFrame:
     stretches = placed.groupBy("conv_id", "segment", "part").agg(
         F.array_sort(F.collect_list(F.struct("rn", "role", "content"))).alias("turns")
     )
-    views = stretches.join(people, "conv_id")
+    # joined by (conv_id, segment), the key by which the texts are dealt already: the texts are shuffled once
+    cast = turns.select("conv_id", "segment").distinct().join(people, "conv_id")
+    views = stretches.join(cast, ["conv_id", "segment"])
     head = lambda t: F.when(t["role"] == F.col("perspective"), "<|assistant|>\n").when(t["role"] == "system", "<|system|>\n").otherwise(
         F.concat(F.lit("<|user "), t["role"], F.lit("|>\n")))
     shown = F.transform("turns", lambda t: F.struct(
