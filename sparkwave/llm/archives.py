@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import spread
 from .token_files import _store
 
 FILE_BYTES = 32_000_000  # of contents, before a new file is begun
@@ -171,7 +172,7 @@ def convert(files: DataFrame, source: str, out: str, least_bytes: int = 0) -> Da
     the others revisit it: digests are aggregated over all files, and each file gets the list of its own revisits.
     Payloads are never shuffled.
     """
-    files = files.repartition("name")
+    files = spread(files)
 
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -247,7 +248,7 @@ def read_records(files: DataFrame, source: str) -> DataFrame:
                 out["refers_to"] = pd.array([None if x is None else int(x) for x in out["refers_to"]], "Int64")
                 yield out
 
-    return files.repartition("name").mapInPandas(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return spread(files).mapInPandas(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive_round_trip(spark: SparkSession, pages: DataFrame, work: str) -> DataFrame:

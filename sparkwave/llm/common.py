@@ -38,6 +38,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(files: DataFrame, a_task: int = 8) -> DataFrame:
+    """A narrow table of files dealt over tasks by name, about `a_task` files each.
+
+    The number of tasks is stated, as AQE would else fold these small rows, each of which stands for a large file,
+    into a single task.
+    """
+    least = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartition(max(least, -(-files.count() // a_task)), "name")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; null counts as empty.  Pure ASCII text takes Spark's faster lower()."""
     text = F.coalesce(text, F.lit(""))

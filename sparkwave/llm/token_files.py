@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import spread
+
 MAGIC = b"SWIDS\x00\x00\x01"
 SAMPLE = 256
 END_ID = 2
@@ -197,7 +199,7 @@ def read_files(spark: SparkSession, table: DataFrame, out: str) -> DataFrame:
 
     order = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     base = table.select("part", "number", "name", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("base"))
-    files = table.select("name", "doc_ids").join(base, "name").repartition("name")
+    files = spread(table.select("name", "doc_ids").join(base, "name"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = _store(out)
