@@ -8,6 +8,7 @@ About l + 2 bits a document instead of 64; the select structure returns any offs
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -72,6 +73,19 @@ class EliasFano:
         return cls(n, bits, low, high, np.frombuffer(data, "<u4", c, 40 + a + b))
 
 
+class _Memory(dict):
+    """Values made on first use; beyond `most` entries new ones are made again each time."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most = make, most
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(self) < self.most:
+            self[key] = value
+        return value
+
+
 class WordEncoder:
     """Token ids of whole texts by the tokenizers library, remembering the ids of words.
 
@@ -90,36 +104,27 @@ class WordEncoder:
         self.model = self.whole.model
         # Fixed value: the tokenizer file's own splitting pattern.
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.odd = regex.compile("[^\\t\\n\\r\\x20-\\x7e¡-¬®-ÿ]")
+        self.odd = re.compile("[^\\t\\n\\r\\x20-\\x7e¡-¬®-ÿ]")
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in visible]
         self.shown = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.words: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.words = _Memory(self.word, self.MEMORY)
+        self.known = _Memory(self.piece, self.MEMORY)
 
     def piece(self, piece: str) -> bytes:
-        if (ids := self.known.get(piece)) is None:
-            shown = piece if piece.isascii() else "".join(self.shown[b] for b in piece.encode())
-            ids = np.array([t.id for t in self.model.tokenize(shown)], "<u2").tobytes()
-            if len(self.known) < self.MEMORY:
-                self.known[piece] = ids
-        return ids
+        shown = piece if piece.isascii() else "".join(self.shown[b] for b in piece.encode())
+        return np.array([t.id for t in self.model.tokenize(shown)], "<u2").tobytes()
 
     def word(self, word: str) -> bytes:
-        if (ids := self.words.get(word)) is None:
-            ids = b"".join([self.piece(p) for p in self.pieces.findall(word.lower())])
-            if len(self.words) < self.MEMORY:
-                self.words[word] = ids
-        return ids
+        word = word.lower()
+        if word.isascii() and word.isalpha():
+            return self.known[word]
+        return b"".join(map(self.known.__getitem__, self.pieces.findall(word)))
 
     def encode(self, text: str) -> np.ndarray:
         if "<|" in text or self.odd.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u2")
-        words = text.split()
-        try:
-            return np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u2")
-        except KeyError:
-            return np.frombuffer(b"".join(map(self.word, words)), "<u2")
+        return np.frombuffer(b"".join(map(self.words.__getitem__, text.split())), "<u2")
 
 
 def _store(path: str):
