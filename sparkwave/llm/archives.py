@@ -172,7 +172,7 @@ def convert(files: DataFrame, source: str, out: str, least_bytes: int = 0) -> Da
     the others revisit it: digests are aggregated over all files, and each file gets the list of its own revisits.
     Payloads are never shuffled.
     """
-    files = spread(files)
+    n_files = files.count()
 
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -183,11 +183,11 @@ def convert(files: DataFrame, source: str, out: str, least_bytes: int = 0) -> Da
                     rows.append((name, offset, record_key(fields, name, offset), len(payload), hashlib.sha256(payload).digest()))
                 yield pd.DataFrame(rows, columns=["name", "offset", "key", "size", "sha"])
 
-    found = _written(files.mapInPandas(digests, "name string, offset long, key long, size long, sha binary"), f"{out}-digests")
+    found = _written(spread(files, n_files).mapInPandas(digests, "name string, offset long, key long, size long, sha binary"), f"{out}-digests")
     owners = found.where(F.col("size") >= least_bytes).groupBy("sha", "size").agg(F.min("key").alias("owner"), F.count("*").alias("n")).where("n > 1")
     revisits = found.join(owners.drop("n"), ["sha", "size"]).where("key <> owner")
     lists = revisits.groupBy("name").agg(F.collect_list(F.struct("offset", "owner")).alias("revisits"))
-    tasks = files.join(lists, "name", "left")
+    tasks = spread(files.join(lists, "name", "left"), n_files)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = _store(out)
@@ -248,7 +248,7 @@ def read_records(files: DataFrame, source: str) -> DataFrame:
                 out["refers_to"] = pd.array([None if x is None else int(x) for x in out["refers_to"]], "Int64")
                 yield out
 
-    return spread(files).mapInPandas(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return spread(files, files.count()).mapInPandas(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive_round_trip(spark: SparkSession, pages: DataFrame, work: str) -> DataFrame:

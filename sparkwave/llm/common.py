@@ -38,14 +38,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(files: DataFrame, a_task: int = 8) -> DataFrame:
-    """A narrow table of files dealt over tasks by name, about `a_task` files each.
+def spread(files: DataFrame, n_files: int, a_task: int = 8) -> DataFrame:
+    """A narrow table of files dealt evenly over tasks, about `a_task` files each.
 
-    The number of tasks is stated, as AQE would else fold these small rows, each of which stands for a large file,
-    into a single task.
+    The number of tasks is stated and the rows are dealt in turn: AQE would else fold these small rows, each of which
+    stands for a large file, into one task, and a deal by name is left out after a join by name.
     """
     least = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return files.repartition(max(least, -(-files.count() // a_task)), "name")
+    return files.repartition(max(least, -(-n_files // a_task)))
 
 
 def ascii_lower(text: Column) -> Column:

@@ -204,7 +204,7 @@ def read_files(spark: SparkSession, table: DataFrame, out: str) -> DataFrame:
 
     order = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     base = table.select("part", "number", "name", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("base"))
-    files = spread(table.select("name", "doc_ids").join(base, "name"))
+    files = spread(table.select("name", "doc_ids").join(base, "name"), table.count())
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = _store(out)
