@@ -8,7 +8,6 @@ revisit) and SHA-1 digests of block and payload.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import uuid
 import zlib
@@ -159,10 +158,32 @@ def write_arc(pages: DataFrame, out: str, file_bytes: int = FILE_BYTES) -> DataF
     return _written(pages.select("page_id", "url", "html").mapInPandas(write, "name string"), f"{out}-files")
 
 
+def inflate(data: bytes, step: int = 8192) -> bytes:
+    """The contents of all gzip members; other files as they are.
+
+    Members are found in small steps, so that the time grows with the file only; `gzip.decompress` copies the rest of
+    the file for every member, and each record is a member.
+    """
+    if not data.startswith(b"\x1f\x8b"):
+        return data
+    at, parts = 0, []
+    while at < len(data):
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            if at >= len(data):
+                raise ValueError("the archive ends inside a member")
+            piece = data[at : at + step]
+            parts.append(member.decompress(piece))
+            at += len(piece) - len(member.unused_data)
+        while data[at : at + 1] == b"\0":  # padding
+            at += 1
+    return b"".join(parts)
+
+
 def _read(root_uri: str, name: str) -> bytes:
     fs, root = _store(root_uri)
     with fs.open_input_stream(f"{root}/{name}", compression=None) as f:
-        return gzip.decompress(f.read())
+        return inflate(f.read())
 
 
 def convert(files: DataFrame, source: str, out: str, least_bytes: int = 0) -> DataFrame:

@@ -155,6 +155,17 @@ def test_archives_round_trip(spark, tmp_path, size):
     assert archives.archive_round_trip(spark, df.limit(0), str(tmp_path / "none")).count() == 0
 
 
+def test_inflate_reads_all_members():
+    rng = random.Random(7)
+    parts = [b"", b"x", *(rng.randbytes(n) for n in (10, 8192, 40_000)), b"a" * 100_000]
+    packed = [archives._member(p) for p in parts]
+    for step in (1, 7, 8192):
+        assert archives.inflate(b"".join(packed), step) == b"".join(parts)
+    assert archives.inflate(packed[0] + b"\0\0" + packed[1]) == b"x" and archives.inflate(b"plain") == b"plain" and archives.inflate(b"") == b""
+    with pytest.raises(ValueError):
+        archives.inflate(packed[3][:-1])
+
+
 def test_both_header_versions_and_limits():
     for version in (1, 2):
         about = f"{version} 0 x\n\n".encode()
