@@ -11,8 +11,10 @@ two pages may carry the same article.
 from __future__ import annotations
 
 import bisect
+import hashlib
 import html
 import re
+import uuid
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -20,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|object|title|select|button|canvas|audio|video)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>|[^<]+|<",
@@ -146,63 +150,187 @@ def _distance(a: str, b: str) -> tuple[int, int]:
     return len(x) + len(y) - 2 * same, abs(len(a) - len(b))
 
 
+Key = tuple[str, str, bool, int, bool, str, str]
+
+
+def _key(host: str, path: str, page_id: str | None, url: str | None, tie: str) -> Key:
+    """The order of pages, nulls first, as Spark sorts them."""
+    return host, path, page_id is not None, int(page_id or 0), url is not None, url or "", tie
+
+
+class Ends:
+    """Of pages added in any order: the first and the first one with other lines than it, the last and the last one with other lines."""
+
+    def __init__(self) -> None:
+        self.first: list[tuple] = []
+        self.last: list[tuple] = []
+
+    def add(self, page: tuple) -> None:
+        """page: key, digest of its lines, and what is kept of it."""
+        self.first = self._two([page, *self.first], min, False)
+        self.last = self._two([page, *self.last], max, True)
+
+    @staticmethod
+    def _two(pages: list[tuple], pick, down: bool) -> list[tuple]:
+        best = [pick((x for x in pages if x[1] == d), key=lambda x: x[0]) for d in {x[1] for x in pages}]
+        return sorted(best, key=lambda x: x[0], reverse=down)[:2]
+
+
+def _borders(ends: dict[tuple[str, int], Ends]) -> list[tuple[int, object]]:
+    """(part, what is kept of a page): the pages a part needs of the parts before and after it, host by host."""
+    out = []
+    hosts: dict[str, list[int]] = {}
+    for host, part in sorted(ends):
+        hosts.setdefault(host, []).append(part)
+    for host, parts in hosts.items():
+        for order, side in ((parts, "last"), (parts[::-1], "first")):
+            near: list[tuple] = []  # the nearest page passed, and the nearest with other lines than it
+            for part in order:
+                out += [(part, page[2]) for page in near]
+                for page in reversed(getattr(ends[host, part], side)):
+                    near = [page, *[x for x in near if x[1] != page[1]]][:2]
+    return out
+
+
+def _bounds(source: DataFrame, n: int) -> list[Key]:
+    """At most n - 1 keys that cut the pages into parts of about one size: quantiles of about 64 n sampled ones."""
+    rows = source.count() if n > 1 else 0
+    if not rows:
+        return []
+    sample = source.select("page_id", "url", "tie").sample(min(1.0, 64 * n / rows), seed=1).collect()
+    keys = sorted(_key(*_place(r["url"]), r["page_id"], r["url"], r["tie"]) for r in sample)
+    return sorted({keys[k * len(keys) // n] for k in range(1, n)}) if keys else []
+
+
+PAGE = "part int, host string, path string, page_id string, url string, tie string"
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, n_outside, n_shared: one row per input row.
 
-    Null html counts as empty and gives an empty text.  Pages without a host form one group.  Pages are range-
-    partitioned by (host, path, page_id), so a host with very many pages is spread over tasks; each page is compared
-    with the nearer of its neighbours in that order within its partition (at a partition's ends, with the only one; alone,
-    with none).  A neighbour that shares every line outside the article tells nothing about a page without
-    article, and is passed over.  Repeated rows are kept; extra columns are ignored.
+    Null html counts as empty and gives an empty text.  Pages without a host form one group.  Within a host pages are in
+    the order of (path, page_id, url, hash of the html), and each is compared with the nearer of its neighbours in it.
+    Pages without a line outside the article are stepped over.  A page with an article takes the next pages as they
+    are; a page without takes the next ones whose lines differ from its own, however many equal pages lie between, and
+    passes over one that still shares every line: it tells nothing.  Repeated rows are kept; extra columns are ignored.
+
+    Pages are dealt to parts by sampled bounds in that very order, so a host with very many pages is spread over tasks.
+    A part is given the pages it needs of the parts around it: the nearest and the nearest that differs from that one,
+    so results do not depend on the bounds.  To find these, pages of hosts that a bound cuts are parsed twice.
     """
+    spark = pages.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    source = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", F.xxhash64("html").cast("string").alias("tie"))
+    bounds = _bounds(source, n)
+    cut_hosts = {b[0] for b in bounds}
+
+    @F.pandas_udf("int")
+    def part_of(page_id: pd.Series, url: pd.Series, tie: pd.Series) -> pd.Series:
+        return pd.Series([bisect.bisect_right(bounds, _key(*_place(u), p, u, t)) for p, u, t in zip(page_id, url, tie, strict=True)], dtype="int32")
+
+    def find_ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ends: dict[tuple[str, int], Ends] = {}
+        for pdf in batches:
+            for page_id, url, page, tie in zip(*(pdf[c] for c in ("page_id", "url", "html", "tie")), strict=True):
+                host, path = _place(url)
+                rest = [t for t, z in page_lines(page or "") if z != "main"] if host in cut_hosts else []
+                if rest:
+                    key = _key(host, path, page_id, url, tie)
+                    at = bisect.bisect_right(bounds, key)
+                    ends.setdefault((host, at), Ends()).add((key, _digest(rest), (at, host, path, page_id, url, tie, rest)))
+        yield _ends_table(ends)
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        ends = Ends()
+        for r in pdf.itertuples():
+            ends.add((_key(r.host, r.path, r.page_id, r.url, r.tie), r.digest, (r.part, r.host, r.path, r.page_id, r.url, r.tie, list(r.rest))))
+        return _ends_table({(pdf["host"].iloc[0], pdf["part"].iloc[0]): ends})
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), 256):
                 rows = []
-                for page_id, url, page in zip(pdf["page_id"][at : at + 256], pdf["url"][at : at + 256], pdf["html"][at : at + 256], strict=True):
-                    lines = page_lines(page or "")
+                for part, page_id, url, page, tie, given in zip(*(pdf[c][at : at + 256] for c in ("part", "page_id", "url", "html", "tie", "rest")), strict=True):
+                    lines = page_lines(page or "") if given is None else [(t, "") for t in given]
                     main = [t for t, z in lines if z == "main"]
-                    rows.append((page_id, url, *_place(url), "\n".join(main) if main else None, [t for t, z in lines if z != "main"], [z == "drop" for _, z in lines if z != "main"]))
-                out = pd.DataFrame(rows, columns=["page_id", "url", "host", "path", "main", "rest", "dropped"])
-                yield out.astype({"page_id": "Int64"})
-
-    schema = "page_id long, url string, host string, path string, main string, rest array<string>, dropped array<boolean>"
-    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    place = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
-    # partition the pages before they are parsed, so that sampling for the ranges parses nothing
-    ordered = pages.select("page_id", "url", "html").repartitionByRange(n, place, F.col("url"), F.col("page_id"))
-    lines = ordered.mapInPandas(parse, schema).sortWithinPartitions("host", "path", "page_id")
-
-    def difference(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        before = now = None
-        for pdf in batches:
-            out = []
-            for row in zip(*(pdf[c] for c in ("page_id", "url", "host", "path", "main", "rest", "dropped")), strict=True):
-                if now is not None:
-                    out.append(_finish(before, now, row))
-                before, now = now, row
-            yield _table(out)
-        if now is not None:
-            yield _table([_finish(before, now, None)])
+                    rows.append((part, *_place(url), page_id, url, tie, given is None, "\n".join(main) if main else None, [t for t, z in lines if z != "main"], [z == "drop" for _, z in lines if z != "main"]))
+                yield pd.DataFrame(rows, columns=["part", "host", "path", "page_id", "url", "tie", "own", "main", "rest", "dropped"])
+
+    dealt = source.select(part_of("page_id", "url", "tie").alias("part"), "page_id", "url", "html", "tie", F.lit(None).cast("array<string>").alias("rest"))
+    if bounds:
+        schema = f"{PAGE}, digest string, rest array<string>, name string"
+        border = cut(source.mapInPandas(find_ends, schema).groupBy("host", "part").applyInPandas(merge, schema))  # at most 4 rows for each end of a part
+        ends: dict[tuple[str, int], Ends] = {}
+        for r in border.drop("rest").collect():
+            ends.setdefault((r["host"], r["part"]), Ends()).add((_key(r["host"], r["path"], r["page_id"], r["url"], r["tie"]), r["digest"], r["name"]))
+        targets = F.broadcast(spark.createDataFrame(_borders(ends), "part int, name string"))
+        given = border.drop("part").join(targets, "name")
+        dealt = dealt.unionByName(given.select("part", "page_id", "url", F.lit(None).cast("string").alias("html"), "tie", "rest"))
+    lines = dealt.repartitionById(n, F.col("part")).mapInPandas(parse, f"{PAGE}, own boolean, main string, rest array<string>, dropped array<boolean>")
+    lines = lines.sortWithinPartitions("part", "host", "path", F.col("page_id").cast("decimal(38,0)"), "url", "tie")
+    out = lines.mapInPandas(_difference, "page_id string, url string, text string, n_chars long, n_outside long, n_shared long")
+    return out.withColumn("page_id", F.col("page_id").cast("long"))
+
+
+def _digest(rest: list[str]) -> str:
+    return hashlib.blake2b("\n".join(rest).encode(), digest_size=16).hexdigest()  # lines hold no line ends
+
+
+def _ends_table(ends: dict[tuple[str, int], Ends]) -> pd.DataFrame:
+    rows = [(*kept[:6], digest, kept[6], uuid.uuid4().hex) for e in ends.values() for _, digest, kept in {x[0]: x for x in (*e.first, *e.last)}.values()]
+    return pd.DataFrame(rows, columns=["part", "host", "path", "page_id", "url", "tie", "digest", "rest", "name"])
+
+
+def _difference(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows in order.  A run is a stretch of pages with equal lines; its pages without article wait for the run's end."""
+    last = left = before = None  # the last page with lines; the page to its left; the last page of the run before
+    run: list[tuple] = []
+    out: list[tuple] = []
+
+    def step(row: tuple | None) -> None:
+        nonlocal last, left, before, run
+        same = last is not None and row is not None and last[:2] == row[:2]
+        after = row if same else None
+        if last is not None and last[6] and last[7] is not None:
+            out.append(_finish(last, [left, after]))
+        if not same or row[8] != last[8]:
+            known: dict[int, set[int]] = {}
+            out.extend(_finish(waiting, [before, after], known) for waiting in run)
+            run, before = [], last if same else None
+        left, last = last if same else None, row
+        if row is not None and row[6] and row[7] is None:
+            run.append(row)
 
-    return lines.mapInPandas(difference, "page_id long, url string, text string, n_chars long, n_outside long, n_shared long")
+    for pdf in batches:
+        for row in zip(*(pdf[c] for c in ("part", "host", "path", "page_id", "url", "tie", "own", "main", "rest", "dropped")), strict=True):
+            row = (*row[:7], None if pd.isna(row[7]) else row[7], list(row[8]), row[9])
+            if row[8]:
+                if last is not None and row[8] == last[8]:
+                    row = (*row[:8], last[8], row[9])  # one list a run
+                step(row)
+            elif row[6]:
+                out.append(_finish(row, []))
+        yield _table(out)
+        out.clear()
+    step(None)
+    yield _table(out)
 
 
 def _table(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["page_id", "url", "text", "n_chars", "n_outside", "n_shared"]).astype({"page_id": "Int64"})
+    return pd.DataFrame(rows, columns=["page_id", "url", "text", "n_chars", "n_outside", "n_shared"])
 
 
-def _finish(before: tuple | None, row: tuple, after: tuple | None) -> tuple:
-    page_id, url, host, path, main, rest, dropped = row
-    rest = list(rest)
-    near = sorted((x for x in (before, after) if x is not None and x[2] == host), key=lambda x: _distance(path, x[3]))
+def _finish(row: tuple, near: list[tuple | None], known: dict[int, set[int]] | None = None) -> tuple:
+    """`known` keeps the positions shared with each of `near` for pages of equal lines."""
+    path, page_id, url, main, rest, dropped = row[2], row[3], row[4], row[7], row[8], row[9]
+    known = {} if known is None else known
     shared: set[int] = set()
-    for other in near:
-        shared = shared_lines(rest, list(other[5]))
-        if main is not None or len(shared) < len(rest):
+    for k in sorted((k for k, x in enumerate(near) if x is not None), key=lambda k: _distance(path, near[k][2])):
+        if k not in known:
+            known[k] = shared_lines(rest, near[k][8])
+        if main is not None or len(known[k]) < len(rest):
+            shared = known[k]
             break
-        shared = set()
-    if main is None or pd.isna(main):
+    if main is None:
         main = "\n".join(t for k, (t, d) in enumerate(zip(rest, dropped, strict=True)) if not d and k not in shared)
     return page_id, url, main, len(main), len(rest), len(shared)
