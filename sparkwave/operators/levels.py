@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from sparkwave.functions.shaping import half_up
 from sparkwave.operators.effects import COLUMNS, put
-from sparkwave.sources.signals import KEYS, pair_stereo, unpair_stereo, with_length
+from sparkwave.sources.signals import CHUNK, KEYS, pair_stereo, unpair_stereo, with_length
 
 
 def normalize(df: DataFrame, peak: float = 0.9) -> DataFrame:
@@ -93,49 +93,97 @@ def trim_silence_stereo(df: DataFrame, where: str = "both", tol: float = 0.0, ne
 FLAT = 128  # samples of a flat run that stay
 
 
-def _flat(values: np.ndarray, tol: float, inverse: bool) -> np.ndarray:
-    """Which samples of one clip stay: a run within tol of its anchor keeps the anchor's side up to the 128th sample."""
+def _flat(values: np.ndarray, tol: float, inverse: bool, state: tuple[np.ndarray, int] | None = None) -> tuple[np.ndarray, tuple[np.ndarray, int], bool]:
+    """Which samples stay: a run within tol of its anchor keeps the anchor's side up to the 128th sample.
+
+    From and to a state (anchor, count), where a count of FLAT cuts until the run ends; also tells whether the last sample
+    has just ended a cut."""
     n = len(values)
     stay = np.ones(n, bool)
-    anchor, count, i, begun = values[0], 0, 0, 0
-    within = lambda j: bool((np.abs(anchor - values[j]) <= tol).all()) != inverse
+    anchor, count = state if state is not None else (values[0], 0)
+    i, ended = 0, False
     while i < n:
-        if within(i):
+        if count >= FLAT:
+            first = i
+            while i < n:  # jump over the run by blocks
+                block = np.abs(anchor - values[i : i + 4096]) <= tol
+                same = block.all(axis=1) != inverse
+                stop = np.flatnonzero(~same)
+                i += int(stop[0]) if len(stop) else len(same)
+                if len(stop):
+                    break
+            stay[first:i] = False
+            if i < n:
+                anchor, count, ended = values[i], 0, i == n - 1
+        elif bool((np.abs(anchor - values[i]) <= tol).all()) != inverse:
             count += 1
-            if count >= FLAT:
-                i += 1
-                first = i
-                while i < n:  # jump over the run by blocks
-                    block = np.abs(anchor - values[i : i + 4096]) <= tol
-                    same = block.all(axis=1) != inverse
-                    stop = np.flatnonzero(~same)
-                    i += int(stop[0]) if len(stop) else len(same)
-                    if len(stop):
-                        break
-                stay[first:i] = False
-                count, begun = 0, i
-                if i < n:
-                    anchor = values[i]
         else:
             anchor, count = values[i], 0
         i += 1
-    if n - begun == 1 and begun:
-        stay[begun:] = False  # a lone sample after the last cut
-    return stay
+    return stay, (anchor, count), ended
+
 
+def flat_runs(df: DataFrame, tol: float, keep: bool = False, values: tuple[str, ...] = ("x",), chunk: int = CHUNK) -> DataFrame:
+    """Per clip, in order, by chunks of `chunk` positions.
 
-def flat_runs(df: DataFrame, tol: float, keep: bool = False, values: tuple[str, ...] = ("x",)) -> DataFrame:
-    """Per clip, in order: the anchor depends on the path, so a clip is one group."""
+    The anchor depends on the path, so chunks of long clips are first run from a state of their own, then again from the
+    state that the chunk before ended in, until no such state changes; only chunks whose state changed run again.  After
+    round r the first r chunks are right whatever the values, and states mostly meet within a chunk, so that two or
+    three rounds do; a clip on which they never meet takes a round for each chunk, one chunk in memory at a time.
+    """
     keys = [k for k in KEYS if k in df.columns]
     names = [*keys, "idx", *values]
+    types = {k: t for k, t in df.select(*names).dtypes}
+    key_types = ", ".join(f"{k} {types[k]}" for k in keys)
+    cells = df.select(*names, F.floor(F.col("idx") / chunk).alias("c"))
+    state = "anchor array<double>, count int"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def given(pdf: pd.DataFrame) -> tuple[np.ndarray, int] | None:
+        anchor = pdf["anchor"].iloc[0]
+        return None if anchor is None else (np.asarray(anchor, float), int(pdf["count"].iloc[0]))
+
+    def end(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        stay, (anchor, count), _ = _flat(pdf[list(values)].to_numpy(float), tol, keep, given(pdf))
+        return pdf[[*keys, "c"]].iloc[:1].assign(anchor=[np.asarray(anchor)], count=count, kept=int(stay.sum()))
+
+    def with_rows(rows: list[tuple], schema: str, how: str) -> DataFrame:
+        """One narrow row for each chunk of a long clip, joined to its samples."""
+        table = F.broadcast(df.sparkSession.createDataFrame(rows, f"{', '.join(f'_{k} {types[k]}' for k in keys)}, _c long, {schema}"))
+        on = cells["c"] == table["_c"]
+        for k in keys:
+            on = on & cells[k].eqNullSafe(table[f"_{k}"])
+        return cells.join(table, on, how).drop("_c", *[f"_{k}" for k in keys])
+
+    chunks = cells.groupBy(*keys, "c").agg(F.lit(1).alias("one")).withColumn("n", F.count("*").over(Window.partitionBy(*keys))).where("n > 1")
+    order = sorted((tuple(r[k] for k in [*keys, "c"]) for r in chunks.collect()), key=lambda r: (repr(r[:-1]), r[-1]))
+    before = {at: last for last, at in zip(order, order[1:]) if last[:-1] == at[:-1]}
+    starts: dict[tuple, tuple | None] = dict.fromkeys(order)
+    ends: dict[tuple, tuple] = {}
+    todo = order
+    while todo:
+        ran = with_rows([(*at, *(starts[at] or (None, None))) for at in todo], state, "inner")
+        for r in ran.groupBy(*keys, "c").applyInPandas(end, f"{key_types}, c long, {state}, kept long").collect():
+            ends[tuple(r[k] for k in [*keys, "c"])] = (r["anchor"], r["count"], r["kept"])
+        todo = [at for at in before if repr(starts[at]) != repr(ends[before[at]][:2])]
+        starts.update({at: ends[before[at]][:2] for at in todo})
+    offset: dict[tuple, int] = {}
+    for at in order:
+        offset[at] = offset[before[at]] + ends[before[at]][2] if at in before else 0
+    followed = set(before.values())
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
-        out = pdf[_flat(pdf[list(values)].to_numpy(float), tol, keep)].copy()
-        out["idx"] = np.arange(len(out))
+        stay, _, ended = _flat(pdf[list(values)].to_numpy(float), tol, keep, given(pdf))
+        if ended and not pdf["followed"].iloc[0]:
+            stay[-1] = False  # a lone sample after the last cut
+        out = pdf[stay].copy()
+        out["idx"] = pdf["offset"].iloc[0] + np.arange(len(out))
         return out[names]
 
-    return df.select(*names).groupBy(*keys).applyInPandas(run, df.select(*names).schema)
+    rows = [(*at, *(starts[at] or (None, None)), offset[at], at in followed) for at in order]
+    placed = with_rows(rows, f"{state}, offset long, followed boolean", "left").fillna({"offset": 0, "followed": False})
+    return placed.groupBy(*keys, "c").applyInPandas(cut, df.select(*names).schema)
 
 
 # -- frame dictionary ----------------------------------------------------------------------------------------

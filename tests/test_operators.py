@@ -123,6 +123,23 @@ def test_silence(spark):
     assert got(levels.normalize(first))[1][:2] == pytest.approx([-0.9, 0.45])
 
 
+def test_flat_runs_by_chunks_equal_one_group(spark):
+    rng = np.random.default_rng(8)
+    walk = np.cumsum(rng.normal(size=3000)) * 0.002
+    walk[500:1400], walk[2000:2300] = 0.25, np.nan
+    data = {1: walk, 2: np.concatenate([np.full(1279, 0.5), [0.9]]), 3: np.full(900, 0.1), 4: walk[:40]}
+    df = spark.createDataFrame([(c, 0, i, float(v)) for c, x in data.items() for i, v in enumerate(x)], SCHEMA).repartition(3)
+    for keep in (False, True):
+        whole, parts = (got(levels.flat_runs(df, 0.01, keep, chunk=n)) for n in (65536, 256))
+        for c, x in data.items():
+            stay, _, ended = levels._flat(x[:, None], 0.01, keep)
+            stay[-1] &= not ended
+            np.testing.assert_array_equal(whole[c].astype(float), x[stay])  # NaN comes back as null
+            np.testing.assert_array_equal(parts[c].astype(float), x[stay])
+        idx = levels.flat_runs(df, 0.01, keep, chunk=256).groupBy("clip_id").agg(F.count("*").alias("n"), F.countDistinct("idx").alias("d"), F.max("idx").alias("m")).collect()
+        assert all(r["n"] == r["d"] == r["m"] + 1 for r in idx)
+
+
 def test_frame_dictionary_round_trip(spark):
     frames = spark.createDataFrame([(c, f, [(c * f) % 3] * 64) for c in range(3) for f in range(5)], "clip_id long, frame_no long, data array<int>")
     table, refs = levels.frame_dedup(frames)
@@ -154,6 +171,19 @@ def test_vocoder_keeps_a_tone(spark):
         assert np.argmax(np.abs(np.fft.rfft(out * np.hanning(len(out))))) == pytest.approx(2 * 32 * 4, abs=3)
 
 
+def test_vocoder_in_stretches_equals_the_whole_clip(spark):
+    rng = np.random.default_rng(5)
+    clip = rng.normal(size=6001) * 0.1 + np.sin(np.arange(6001) / 9)
+    clip[1500:4100] = 0  # bins without a live angle over whole stretches
+    data = {1: clip, 2: clip[:700], 3: clip[:1]}
+    df = spark.createDataFrame([(c, 0, i, float(v)) for c, x in data.items() for i, v in enumerate(x)], SCHEMA).repartition(3)
+    for shift in (0.7, 1.0, 1.2):
+        for voice in (spectral.Vocoder(shift), spectral.Vocoder(shift, True), spectral.Vocoder(shift, True, decay=0.95)):
+            out = got(spectral.vocode(df, voice, chunk=4))
+            for c, x in data.items():
+                np.testing.assert_allclose(out[c], spectral.Vocoder(shift, voice.polished, decay=voice.decay).run(x), atol=1e-8)
+
+
 def test_wav(spark):
     df = spark.createDataFrame([(1, 0, 0, 0.5), (1, 1, 0, -0.5), (1, 0, 1, 1.0), (1, 1, 1, -1.0)], SCHEMA)
     clips = spark.createDataFrame([(1, 8000, 2, 2, {"INAM": "abc"})], "clip_id long, sample_rate int, n_samples long, n_channels int, metadata map<string,string>")
