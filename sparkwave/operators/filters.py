@@ -323,7 +323,7 @@ def delta_codebook(df: DataFrame, bits: int = 3, scale: float = 127.0, old: bool
 
 def walk_noise(df: DataFrame, kind: str, vol: float, seed: int = 1, rate: int = 8000) -> DataFrame:
     """Noise with memory, from repeatable draws: brown, pink_acc, orange (clamped walks), gray, green, yellow (gaps by
-    rejection), black (bursts), hold (random holds)."""
+    rejection), black (bursts), hold, hold_pink, hold_orange (random holds, longer for brown than for pink, longest for orange)."""
     types = ", ".join(f"{k} {t}" for k, t in df.select(*KEYS).dtypes)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -345,6 +345,9 @@ def _walk(steps: np.ndarray) -> np.ndarray:
     return out
 
 
+HOLD = {"hold": 20, "hold_pink": 6, "hold_orange": 66}  # fixed values: twice the longest hold, of brown, pink and orange noise
+
+
 def _noise(kind: str, n: int, rng: np.random.Generator, rate: int) -> np.ndarray:
     u = lambda: rng.random(n) - 0.5
     if kind in ("brown", "pink_acc", "orange"):
@@ -363,11 +366,11 @@ def _noise(kind: str, n: int, rng: np.random.Generator, rate: int) -> np.ndarray
             out[i] = v - 0.5
             p = v
         return out
-    if kind == "hold":
+    if kind in HOLD:
         out, i = np.empty(n), 0
         while i < n:
             value = rng.random() - 0.5
-            size = 1 + int(abs(value) * 20)
+            size = 1 + int(abs(value) * HOLD[kind])
             out[i : i + size] = value
             i += size
         return out

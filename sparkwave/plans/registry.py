@@ -364,7 +364,7 @@ for kind, sql in {"sine": f"sin({TURN} * (2 * pi()))", "saw": f"2 * ({PART} - 0.
 on_sig("i5_white", lambda df: effects.add_noise(df, "white", 0.5))
 for kind in ("violet", "blue"):
     on_sig(f"i6_{kind}", lambda df, k=kind: effects.add_noise(df, k, 0.5))
-for n, kind in ((7, "brown"), (7, "pink_acc"), (7, "orange"), (8, "gray"), (9, "green"), (9, "yellow"), (11, "black"), (12, "hold")):
+for n, kind in ((7, "brown"), (7, "pink_acc"), (7, "orange"), (8, "gray"), (9, "green"), (9, "yellow"), (11, "black"), (12, "hold"), (12, "hold_pink"), (12, "hold_orange")):
     on_sig(f"i{n}_{kind}", lambda df, k=kind: filters.walk_noise(df, k, 0.5))
 on_sig("i10_pink", lambda df: filters.pink_noise(df, 0.5, chunk=32))
 on_sig("i13_sample_hold", lambda df: effects.add_sample_hold(df, 7, 0.1, 0.5))
