@@ -16,12 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one if unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Where it is unset, a local session (one machine) gets
+    a fresh folder, and a cluster an error."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir")
     current = sc._jsc.sc().getCheckpointDir()
+    if not where and current.isDefined():
+        where = current.get()
     if not where:
-        where = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="sparkwave-ckpt-")
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="sparkwave-ckpt-")
     if not current.isDefined():
         sc.setCheckpointDir(where)
     return where
@@ -54,6 +59,43 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
+def text_key(text: Column) -> Column:
+    """SHA-256 of a text; null counts as empty.  With the doc_id it names a row, where doc_ids may repeat."""
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+KEY_ROWS = 500_000  # of (doc_id, key) that are broadcast: 50 MB at most
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores if a column of `df` has it already."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def _matching(docs: DataFrame, rows: DataFrame, key: Column, how: str) -> DataFrame:
+    a, b = free_name(docs, "row_id"), free_name(docs, "row_key")
+    small = rows.select(F.col("doc_id").alias(a), F.col("key").alias(b))
+    small = F.broadcast(small) if rows.count() <= KEY_ROWS else small
+    return docs.join(small, F.col("doc_id").eqNullSafe(F.col(a)) & (key == F.col(b)), how)
+
+
+def without(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
+    """`docs` without the rows whose (doc_id, key) are in gone(doc_id, key); null ids are equal; columns stay as they are."""
+    return _matching(docs, cut(gone.select("doc_id", "key").distinct()), key, "left_anti")
+
+
+def once(docs: DataFrame, repeated: DataFrame, key: Column) -> DataFrame:
+    """`docs` with one row for each (doc_id, key) that is in repeated(doc_id, key); the other rows stay as they are."""
+    repeated = cut(repeated.select("doc_id", "key").distinct())
+    if repeated.isEmpty():
+        return docs
+    name = free_name(docs, "key")
+    some = _matching(docs, repeated, key, "left_semi").withColumn(name, key).dropDuplicates(["doc_id", name]).drop(name)
+    return _matching(docs, repeated, key, "left_anti").unionByName(some)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of `edges` (a, b): root is the smallest node of its component.
 

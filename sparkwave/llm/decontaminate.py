@@ -4,11 +4,16 @@ An item's words are the runs of letters and digits of its lower-cased text, its
 (all words of a shorter item).  A document is contaminated by an item when it holds at least 75 % of the
 item's distinct shingles.
 
-Items are partitioned by size (powers of two of their shingle count).  An item's sketch holds its k smallest
-shingle hashes (bottom-k MinHash), k = largest n - ceil(0.75 n) + 1 of its partition: a document with 75 % of
-the shingles cannot miss all k, so that the search is exact and not a matter of luck.  Document shingle hashes
-are probed against the sketches; documents never get a sketch of their own, so their length costs no recall.
-Matches are verified by exact containment of the shingles as text.
+Items are partitioned by size (powers of two of their shingle count).  Items and documents are sketched by one MinHash
+function: a set's sketch at a threshold holds its hashes up to that threshold, so that the share of an item's sketch
+which is in a document's sketch estimates containment whatever the document's length (a signature of fixed size
+would not, as the Jaccard similarity of a short item and a long document is near zero).  A partition's
+threshold is as low as leaves each of its items, of n shingles, n - ceil(0.75 n) + r hashes, r = 1 + (least n of
+the partition) // 8; a document with 75 % of an item misses n - ceil(0.75 n) of them at most.  So the bound on
+the sketches is exact: a pair short of it is no match.  Pairs that reach it are verified on the shingles as text.
+
+Sketches at lower thresholds lie inside those at higher ones, so one sketch a document, at the highest threshold, serves all
+partitions, and one pass over the texts serves items of every width.
 """
 
 from __future__ import annotations
@@ -16,11 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, text_key, without
 
 WORDS = 5
 CONTAINMENT = 75  # per cent
-BROADCAST_ROWS = 2_000_000  # of (hash, item): 32 MB at most
+BROADCAST_ROWS = 2_000_000  # of (hash, item, bound): 40 MB at most
+BROADCAST_GRAMS = 500_000  # shingles of items as text
 BROADCAST_IDS = 2_000_000
 
 
@@ -30,10 +36,11 @@ def word_list(text: Column) -> Column:
 
 
 def hashed_shingles(words: str, size: int) -> Column:
+    """A hash for each run of `size` words; empty if there are fewer."""
     return F.when(
         F.size(words) >= size,
-        F.transform(F.sequence(F.lit(1), F.size(words) - (size - 1)), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(-1, size - 1)])),
-    )
+        F.transform(F.sequence(F.lit(1), F.size(words) - (size - 1)), lambda i: F.xxhash64(F.lit(size), *[F.get(words, i + k) for k in range(-1, size - 1)])),
+    ).otherwise(F.array().cast("array<long>"))
 
 
 def text_shingles(words: str, size: Column) -> Column:
@@ -41,62 +48,73 @@ def text_shingles(words: str, size: Column) -> Column:
     return F.when(
         F.size(words) >= size,
         F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.array_join(F.slice(words, i, size), " "))),
-    )
+    ).otherwise(F.array().cast("array<string>"))
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    """item_id, width, shingles (text), n: items without words have no row; repeated rows are one."""
+    """item (an internal number), item_id, width, shingles (text), n: items without words have no row; repeated rows are one."""
     words = benchmark.select("item_id", word_list(F.col("text")).alias("w")).where("size(w) > 0")
     words = words.withColumn("width", F.least(F.size("w"), F.lit(WORDS)))
-    out = words.select("item_id", "width", text_shingles("w", F.col("width")).alias("shingles"))
-    return out.distinct().withColumn("n", F.size("shingles"))
+    out = words.select("item_id", "width", text_shingles("w", F.col("width")).alias("shingles")).distinct()
+    return cut(out.withColumns({"item": F.monotonically_increasing_id(), "n": F.size("shingles")}))
 
 
 def sketches(items: DataFrame) -> DataFrame:
-    """hash, item_id, width of the k smallest hashes of each item; k by size partition."""
-    top = F.pow(F.lit(2), F.floor(F.log2("n")) + 1).cast("int") - 1
-    k = top - F.ceil(top * CONTAINMENT / 100).cast("int") + 1
-    hashes = F.transform("shingles", lambda s: F.xxhash64(*[F.get(F.split(s, " "), F.lit(j)) for j in range(WORDS)]))
-    smallest = F.slice(F.array_sort(F.array_distinct(hashes)), F.lit(1), k)
-    return items.select("item_id", "width", F.explode(smallest).alias("hash")).distinct()
+    """hash, item, need: the sketches of all items at the threshold of their partition, and how many of an item's hashes a
+    document must have."""
+    slack = F.col("n") - F.ceil(F.col("n") * CONTAINMENT / 100).cast("int")  # shingles that a match may miss
+    part = F.floor(F.log2("n"))
+    size = slack + 1 + F.floor(F.pow(F.lit(2), part) / 8).cast("int")
+    parts = lambda s: F.split(s, " ")
+    hashes = F.transform("shingles", lambda s: F.xxhash64(F.col("width"), *[F.get(parts(s), F.lit(j)) for j in range(WORDS)]))
+    sized = items.select("item", part.alias("part"), slack.alias("slack"), F.array_sort(F.array_distinct(hashes)).alias("hashes"), size.alias("size"))
+    own = F.element_at("hashes", F.least("size", F.size("hashes")))
+    thresholds = sized.groupBy("part").agg(F.max(own).alias("threshold"))  # 31 rows at most
+    sketch = sized.join(F.broadcast(thresholds), "part").select("item", "slack", F.filter("hashes", lambda h: h <= F.col("threshold")).alias("s"))
+    return sketch.select("item", F.greatest(F.lit(1), F.size("s") - F.col("slack")).alias("need"), F.explode("s").alias("hash"))
+
+
+def _matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, key (of the text), item_id, n_item, n_shared: every text that holds an item, with repeated rows as one."""
+    items = _items(benchmark)
+    widths = sorted(r[0] for r in items.select("width").distinct().collect())  # at most 1 to 5
+    if not widths:
+        return docs.select("doc_id", text_key(F.col("text")).alias("key"), F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("n_item"), F.lit(0).alias("n_shared")).limit(0)
+    sketch = cut(sketches(items))
+    highest = sketch.agg(F.max("hash")).first()[0]
+    if sketch.count() <= BROADCAST_ROWS:
+        sketch = F.broadcast(sketch)
+    words = docs.select("doc_id", text_key(F.col("text")).alias("key"), word_list(F.col("text")).alias("w"))
+    hashes = F.concat(*[hashed_shingles("w", width) for width in widths])
+    own = F.array_distinct(F.filter(hashes, lambda h: h <= highest))
+    seen = words.select("doc_id", "key", F.explode(own).alias("hash")).join(sketch, "hash")
+    near = seen.groupBy("doc_id", "key", "item").agg(F.count("*").alias("hits"), F.first("need").alias("need")).where("hits >= need")
+    ids = cut(near.select("doc_id", "key").distinct())
+    # texts are read again for the candidates only; each is cut into shingles once, however many items it may hold
+    some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    chosen = docs.select("doc_id", "text").join(some.select(F.col("doc_id").alias("d")).distinct(), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
+    chosen = chosen.select("doc_id", text_key(F.col("text")).alias("key"), word_list(F.col("text")).alias("w")).dropDuplicates(["doc_id", "key"])
+    grams = F.concat(*[text_shingles("w", F.lit(width)) for width in widths])  # widths differ in the number of blanks
+    wanted = cut(items.select("item", "item_id", F.col("n").alias("n_item"), F.explode("shingles").alias("gram")))
+    if wanted.count() <= BROADCAST_GRAMS:
+        wanted = F.broadcast(wanted)
+    shared = chosen.select("doc_id", "key", F.explode(grams).alias("gram")).join(wanted, "gram")
+    shared = shared.groupBy("doc_id", "key", "item", "item_id", "n_item").agg(F.count("*").alias("n_shared"))
+    return shared.where(F.col("n_shared") * 100 >= F.col("n_item") * CONTAINMENT).select("doc_id", "key", "item_id", "n_item", "n_shared")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_item, n_shared, containment: one row for each contaminated document and item.
 
     Null or empty texts, and items without words, match nothing; repeated rows of a document or an item give one
-    row (repeated doc_ids with different texts: the larger share).  Rows without doc_id or item_id are left out.
-    Extra columns are ignored.
+    row (repeated doc_ids or item_ids with different texts: the larger share, then the larger item).  Null ids are ids like
+    others.  Texts of any length are read whole.  Empty tables give an empty result; extra columns are ignored.
     """
-    items = cut(_items(benchmark.where("item_id is not null")))
-    widths = sorted(r[0] for r in items.select("width").distinct().collect())  # at most 1 to 5
-    found = None
-    words = docs.where("doc_id is not null").select("doc_id", word_list(F.col("text")).alias("w"))
-    sketch = cut(sketches(items))
-    small = sketch.count() <= BROADCAST_ROWS
-    for width in widths:
-        # xxhash64 skips nulls, so an item's hash over five slots equals that of its own words
-        seen = words.where(F.size("w") >= width).select("doc_id", F.explode(hashed_shingles("w", width)).alias("hash"))
-        mine = sketch.where(F.col("width") == width).select("hash", "item_id")
-        hit = seen.join(F.broadcast(mine) if small else mine, "hash").select("doc_id", "item_id").distinct()
-        found = hit if found is None else found.unionByName(hit)
-    if found is None:
-        found = docs.select("doc_id", F.lit(None).cast("long").alias("item_id")).limit(0)
-    found = cut(found)
-    ids = cut(found.select("doc_id").distinct())
-    chosen = docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    chosen = chosen.select("doc_id", word_list(F.col("text")).alias("w"))
-    pairs = found.join(chosen, "doc_id").join(items, "item_id")
-    shared = F.size(F.array_intersect("shingles", F.coalesce(text_shingles("w", F.col("width")), F.array().cast("array<string>"))))
-    checked = pairs.select("doc_id", "item_id", F.col("n").cast("long").alias("n_item"), shared.cast("long").alias("n_shared"))
-    checked = checked.where(F.col("n_shared") * 100 >= F.col("n_item") * CONTAINMENT)
-    best = checked.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_shared", "n_item")).alias("m"))
-    return best.select("doc_id", "item_id", "m.n_item", "m.n_shared", F.round(F.col("m.n_shared") / F.col("m.n_item"), 6).alias("containment"))
+    best = _matches(docs, benchmark).groupBy("doc_id", "item_id").agg(F.max(F.struct("n_shared", "n_item")).alias("m"))
+    return best.select("doc_id", "item_id", F.col("m.n_item").cast("long").alias("n_item"), F.col("m.n_shared").cast("long").alias("n_shared"),
+                       F.round(F.col("m.n_shared") / F.col("m.n_item"), 6).alias("containment"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`docs` without contaminated documents."""
-    leaks = cut(contaminated(docs, benchmark).select(F.col("doc_id").alias("leak__id")).distinct())
-    if leaks.count() <= BROADCAST_IDS:
-        leaks = F.broadcast(leaks)
-    return docs.join(leaks, docs["doc_id"] == F.col("leak__id"), "left_anti")
+    """`docs` without contaminated documents; rows are told apart by doc_id and text, and columns stay as they are."""
+    return without(docs, _matches(docs, benchmark), text_key(F.col("text")))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut
+from .common import ascii_lower, cut, once, text_key, without
 
 BLOCK_CHARS = 4096
 
@@ -80,10 +80,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """`docs` without exact copies; its columns stay as they are."""
-    found = cut(exact_dedup(docs))
-    keep = found.where("kept").select(F.col("doc_id").alias("keep__id"), F.col("text_sha256").alias("keep__sha"))
-    sha = F.sha2(ascii_lower(docs["text"]), 256)
-    out = docs.join(keep, docs["doc_id"].eqNullSafe(keep["keep__id"]) & (sha == keep["keep__sha"]), "left_semi")
-    repeated = found.groupBy("doc_id", "text_sha256").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+    """`docs` with one row of each group of equal texts, the one with the largest doc_id; its columns stay as they are.
+
+    Rows are told apart by doc_id and text, so repeated doc_ids don't matter; of rows equal in both one stays.
+    """
+    rows = exact_dedup(docs).groupBy("doc_id", F.col("text_sha256").alias("key")).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    rows = cut(rows.where("not kept or n > 1"))
+    key = text_key(ascii_lower(F.col("text")))
+    return once(without(docs, rows.where("not kept"), key), rows.where("kept"), key)

@@ -2,27 +2,24 @@
 
 A word (run of letters, lower-cased) that the model knows is scored by its log relative frequency in each
 language; an unseen word falls back to its character n-grams, n = 5 down to 1, at the largest n of which the
-model knows at least one, and takes the mean of the known ones.  A text's score in a language is the mean over its words.
+model knows at least one, and takes the mean of the known ones.  A text's score in a language is the sum over its words.
 
-The model is fitted on a bounded sample: about SAMPLE_ROWS labelled rows per language, chosen by a hash of the
-doc_id among the rows allowed for learning; it keeps the KEEP commonest words and n-grams per language.
+The model is fitted on a bounded sample: about SAMPLE_ROWS labelled rows per language, and SAMPLE_TOTAL in all, chosen by a hash of
+the doc_id among the rows allowed for learning.  Every word and n-gram of the sample is kept.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import cut
 from .shingles import mix
 
 SAMPLE_ROWS = 2000  # per language, on average
-KEEP = 10_000  # words, and n-grams of each n, per language
+SAMPLE_TOTAL = 40_000  # of all languages, on average
 LONGEST = 5
 SLICE_CHARS = 400_000
 _PRIME = np.uint64(0x100000001B3)
@@ -73,30 +70,38 @@ def _word_hash(codes: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.n
 
 
 class Model:
-    """Sorted key hashes and a matrix of log10 frequencies (keys x languages)."""
+    """Sorted key hashes, and for each key the languages it was seen in.
+
+    The score of a key in a language is log10 of its share of the level's occurrences (words, or n-grams of one length); a key
+    of other languages only counts as a tenth of one occurrence.  So a level has one base score per language, and
+    an entry adds log10(10 * count) to it.
+    """
 
     def __init__(self, langs: list[str], entries: list[tuple[int, str, str, int]]):
         """entries: (n, or 0 for a word; key; lang; count)."""
         self.langs = langs
         column = {x: k for k, x in enumerate(langs)}
-        hashes, scores = [np.zeros(0, np.uint64)], [np.zeros((0, len(langs)), np.float32)]
+        self.base = np.zeros((LONGEST + 1, len(langs)))
+        hashes, added, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        levels, keys, langs_, count = (list(x) for x in zip(*entries, strict=True)) if entries else ([], [], [], [])
+        levels, count = np.array(levels, np.int64), np.array(count, np.int64)
+        lang = np.array([column[x] for x in langs_], np.int64)
         for n in range(LONGEST + 1):
-            place: dict[str, int] = {}
-            rows = [(place.setdefault(key, len(place)), column[lang], count) for m, key, lang, count in entries if m == n]
-            if not rows:
-                continue
-            counts = np.zeros((len(place), len(langs)))
-            at, lang, count = (np.array(x) for x in zip(*rows, strict=True))
-            counts[at, lang] = count
-            length = np.array([len(k) for k in place], np.int64)
+            at = np.flatnonzero(levels == n)
+            total = np.bincount(lang[at], count[at], minlength=len(langs))
+            self.base[n] = np.log10(0.1 / np.maximum(total, 1))
+            length = np.array([len(keys[k]) for k in at], np.int64)
             start = np.cumsum(length) - length
-            codes = _codes("".join(place))
-            hashes.append(_gram_hash(codes, start, n) if n else _word_hash(codes, start, length))
-            share = np.where(counts > 0, counts, 0.1) / np.maximum(counts.sum(axis=0), 1)  # unseen: a tenth of one occurrence
-            scores.append(np.log10(share).astype(np.float32))
-        order = np.argsort(np.concatenate(hashes), kind="stable")
-        self.keys = np.concatenate(hashes)[order]
-        self.scores = np.concatenate(scores)[order]
+            codes = _codes("".join(keys[k] for k in at))
+            if len(at):
+                hashes.append(_gram_hash(codes, start, n) if n else _word_hash(codes, start, length))
+                added.append(lang[at])
+                counts.append(count[at])
+        h, added, counts = np.concatenate(hashes), np.concatenate(added), np.concatenate(counts)
+        order = np.argsort(h, kind="stable")
+        self.keys, first = np.unique(h[order], return_index=True)
+        self.ends = np.append(first, len(h))
+        self.lang, self.gain = added[order].astype(np.int32), np.log10(10.0 * counts[order]).astype(np.float32)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Row numbers, -1 if unknown."""
@@ -105,12 +110,20 @@ class Model:
         at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
         return np.where(self.keys[at] == h, at, -1)
 
-    def word_scores(self, codes: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scores (words x languages) and which words got one."""
+    def _add(self, total: np.ndarray, owner: np.ndarray, row: np.ndarray, weight: np.ndarray) -> None:
+        """Add the gains of keys (row) to the totals of their texts (owner)."""
+        each = self.ends[row + 1] - self.ends[row]
+        which = np.repeat(np.arange(len(row)), each)
+        entry = np.arange(len(which)) + np.repeat(self.ends[row] - (np.cumsum(each) - each), each)
+        cell = owner[which] * len(self.langs) + self.lang[entry]
+        total += np.bincount(cell, self.gain[entry] * weight[which], minlength=total.size).reshape(total.shape)
+
+    def add_words(self, total: np.ndarray, owner: np.ndarray, codes: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
+        """Add the words' scores to their texts (rows of total)."""
         row = self.find(_word_hash(codes, start, length))
         known = row >= 0
-        out = np.zeros((len(start), len(self.langs)), np.float32)
-        out[known] = self.scores[row[known]]
+        self._add(total, owner[known], row[known], np.ones(int(known.sum())))
+        total += np.bincount(owner[known], minlength=len(total))[:, None] * self.base[0]
         for n in range(LONGEST, 0, -1):
             todo = np.flatnonzero(~known & (length >= n))
             if not len(todo):
@@ -121,22 +134,21 @@ class Model:
             row = self.find(_gram_hash(codes, start[todo][which] + offset, n))
             which, row = which[row >= 0], row[row >= 0]
             hits = np.bincount(which, minlength=len(todo))
-            got = hits > 0
-            for k in range(len(self.langs)):
-                mean = np.bincount(which, self.scores[row, k], minlength=len(todo))
-                out[todo[got], k] = mean[got] / hits[got]
-            known[todo[got]] = True
-        return out, known
+            got = todo[hits > 0]
+            self._add(total, owner[todo[which]], row, 1 / hits[which])
+            total += np.bincount(owner[got], minlength=len(total))[:, None] * self.base[n]
+            known[got] = True
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Language and score of each text; `und` and 0 without letters, or without a model.
+        """Language and score of each text; `und` and 0 without letters, or without a model.  The score is the language's share
+        of the likelihood of all words.
 
         The texts are joined and read in slices that end between words, so that memory stays bounded.
         """
         lowered = [(t or "").lower() for t in texts]
         ends = np.cumsum([len(t) + 1 for t in lowered])
         total = np.zeros((len(texts), len(self.langs)))
-        n_words, letters = np.zeros(len(texts)), np.zeros(len(texts), bool)
+        letters = np.zeros(len(texts), bool)
         codes = _codes("\n".join(lowered))
         at = 0
         while at < len(codes):
@@ -153,17 +165,12 @@ class Model:
             if len(start):
                 owner = np.searchsorted(ends, start + at, side="right")
                 letters[owner] = True
-                score, known = self.word_scores(codes[at:to], start, length)
-                owner = owner[known]
-                n_words += np.bincount(owner, minlength=len(texts))
-                for k in range(len(self.langs)):
-                    total[:, k] += np.bincount(owner, score[known, k], minlength=len(texts))
+                if self.langs:
+                    self.add_words(total, owner, codes[at:to], start, length)
             at = to
         if not self.langs:
             return [("und", 0.0)] * len(texts)
-        words = np.maximum(n_words, 1)
-        mean = total / words[:, None]
-        weight = np.exp(np.log(10) * np.minimum(words, 50)[:, None] * (mean - mean.max(axis=1, keepdims=True)))
+        weight = np.exp(np.log(10) * (total - total.max(axis=1, keepdims=True)))
         best = weight.argmax(axis=1)
         score = weight.max(axis=1) / weight.sum(axis=1)
         return [(self.langs[k], float(x)) if seen else ("und", 0.0) for k, x, seen in zip(best, score, letters, strict=True)]
@@ -173,13 +180,14 @@ def _grams(n: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length("key") - (n - 1)), lambda i: F.substring("key", i, n))
 
 
-def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, keep: int = KEEP) -> Model:
-    """Learn from rows with a language and a text that are not held out; see the bounds above."""
-    allowed = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_total: int = SAMPLE_TOTAL) -> Model:
+    """Learn from rows with a doc_id, a language and a text that are not held out; see the bounds above."""
+    allowed = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     sizes = {r["lang"]: r["count"] for r in allowed.groupBy("lang").count().collect()}
     if not sizes:
         return Model([], [])
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, sample_rows / n))])
+    rows = min(sample_rows, sample_total / len(sizes))
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, rows / n))])
     chance = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
     sample = allowed.where(chance < share[F.col("lang")])
     words = sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("key")).where("key <> ''")
@@ -189,34 +197,35 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, keep: int = KEEP) -> Mo
         gram = _grams(n)
         grams = words.where(F.length("key") >= n).select("lang", "count", F.explode(gram).alias("key"))
         entries = entries.unionByName(grams.groupBy("lang", "key").agg(F.sum("count").alias("count")).select(F.lit(n).alias("n"), "key", "lang", "count"))
-    first = Window.partitionBy("lang", "n").orderBy(F.desc("count"), "key")
-    kept = entries.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= keep).drop("rn")
-    found = sorted(tuple(r) for r in kept.select("n", "key", "lang", "count").collect())  # 6 * keep rows per language at most
-    return Model(sorted(sizes), found)
+    found = entries.select("n", "key", "lang", "count").toArrow()  # what the bounded sample holds
+    return Model(sorted(sizes), list(zip(*(found[c].to_pylist() for c in ("n", "key", "lang", "count")), strict=True)))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score: one row per input row.
 
     A null text or one without a letter gives `und` and 0; so does every text when nothing could be learned.
-    Texts are read whole.  Repeated rows are kept; extra columns are ignored; ties take the first language by name.
+    Texts are read whole.  Repeated rows are kept; a null doc_id stays null and is not held out, but nothing is learned from its
+    row either; extra columns are ignored; ties take the first language by name.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = shared.value.predict(pdf["text"].tolist())
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"], "held_out": pdf["held_out"],
-                "lang_pred": [x[0] for x in found], "score": [x[1] for x in found],
-            })
+    @F.pandas_udf("lang string, score double")
+    def predict(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(shared.value.predict(texts.tolist()), columns=["lang", "score"])
 
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInPandas(predict, "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), predict("text").alias("p"))
+    return rows.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
-    """`docs` without those that have no recognisable language (`und`, or a score under `least_score`)."""
+LEAST_SCORE = 0.3  # with four languages or more, hardly better than chance
+
+
+def keep_identified(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
+    """`docs` without those that have no recognisable language (`und`, or a score under `least_score`).
+
+    The score of a text of one or two words is often low though its words are sound, so the bound is close to chance.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
     @F.pandas_udf("boolean")

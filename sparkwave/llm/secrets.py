@@ -9,17 +9,18 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # The base patterns, as agreed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # greedy runs: the same spans as AKIA[A-Z0-9]+ of 20 and more
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex")
+ORDER = {k: i for i, k in enumerate((*KINDS, "key", "account", "endpoint"))}
 
 # Weak parts: reported only beside complementary ones.
 KEY_LIKE = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/=_-])")
@@ -72,27 +73,27 @@ def _joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{s}:{e}" for s, e, kind in spans)
 
 
+FOUND = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long, linked string"
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked, linked: one row per input row.
 
     Whole texts are read; null counts as empty.  Texts without a secret have counts of 0, the digest of an empty
-    string and empty lists.  Repeated rows are kept; extra columns are ignored.  `spans` has base and linked spans
-    by start, then base kinds, then linked kinds; offsets are code points, ends exclusive.
+    string and empty lists.  Repeated rows are kept, and a null doc_id stays null; extra columns are ignored.  `spans`
+    has base and linked spans by start, then base kinds, then linked kinds; offsets are code points, ends exclusive.
     """
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                text = text or ""
-                base = base_spans(text)
-                more = linked_spans(text, base)
-                order = {k: i for i, k in enumerate((*KINDS, "key", "account", "endpoint"))}
-                every = sorted(base + more, key=lambda x: (x[0], order[x[2]], x[1]))
-                rows.append((*(sum(k == kind for _, _, k in base) for kind in KINDS),
-                             hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every), len(more), _joined(more)))
-            out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_linked", "linked"])
-            yield pd.concat([pdf[["doc_id"]].reset_index(drop=True), out], axis=1)
-
-    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long, linked string"
-    return docs.select("doc_id", "text").mapInPandas(find, schema)
+    @F.pandas_udf(FOUND)
+    def find(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            text = text or ""
+            base = base_spans(text)
+            more = linked_spans(text, base)
+            every = sorted(base + more, key=lambda x: (x[0], ORDER[x[2]], x[1]))
+            rows.append((*(sum(k == kind for _, _, k in base) for kind in KINDS),
+                         hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every), len(more), _joined(more)))
+        return pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_linked", "linked"])
+
+    return docs.select("doc_id", find("text").alias("found")).select("doc_id", "found.*")

@@ -1,7 +1,8 @@
 """Vectorised word and shingle hashing of whole texts inside tasks.
 
 Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; a shingle is five words, or all words of a shorter
-text.  Hashes have 64 bits: a polynomial over random byte values, then a mixing step.
+text.  Hashes have 64 bits: a polynomial over random byte values, then a mixing step.  Polynomials modulo a power of two have
+constructed collisions from about 2,000 bytes on, so longer words (LONG_WORD) take a cryptographic digest.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 
 SLICE = 1 << 20  # bytes hashed at a time
+LONG_WORD = 512  # bytes
 _rng = np.random.default_rng(20240607)
 _VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
 _VALUE[65:91] = _VALUE[97:123]
@@ -49,7 +51,11 @@ def _slice_words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     power, inverse = _tables(len(buf) + 1)
     total = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(_VALUE[buf] * power[: len(buf)], out=total[1:])
-    return start, mix((total[end] - total[start]) * inverse[start])
+    h = mix((total[end] - total[start]) * inverse[start])
+    for k in np.flatnonzero(end - start > LONG_WORD):
+        word = buf[start[k] : end[k]].tobytes().lower()  # bytes.lower() changes A-Z only
+        h[k] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    return start, h
 
 
 def words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,6 +102,7 @@ def shingle_lists(texts: list[str | None]) -> Iterator[np.ndarray]:
             yield shingle(hashes[cutoff[i] : cutoff[i + 1]])
 
 
-def fingerprint(distinct: np.ndarray) -> int:
-    """64-bit name of a sorted set of shingles."""
-    return int.from_bytes(hashlib.blake2b(distinct.tobytes(), digest_size=8).digest(), "little", signed=True)
+def fingerprint(distinct: np.ndarray, salt: int = 0) -> tuple[int, int]:
+    """Name of a sorted set of shingles: 128 bits as two signed integers."""
+    data = hashlib.blake2b(distinct.tobytes(), digest_size=16, salt=salt.to_bytes(8, "little")).digest()
+    return int.from_bytes(data[:8], "little", signed=True), int.from_bytes(data[8:], "little", signed=True)
