@@ -1,11 +1,10 @@
-"""HTML main text by structure and nearest-URL page differencing.
-
-A page is cut into text lines, one per block.  Lines in an article (`article`, `main`, role=main) are its main
-text.  Pages are then ordered by host and URL path, and each is aligned with its nearest neighbour by longest
-common subsequence of the lines outside the article: shared lines are template text and are deleted.  What is left
-outside is used where a page has no article at all; lines in menus, headers, footers, side columns, notices, adverts,
-forms or reader comments are left out in any case.  Article lines are never deleted for being shared:
-two pages may carry the same article.
+"""HTML main text by nearest-URL page differencing and structure.
+
+A page is cut into text lines, one per block.  Pages are ordered by host and URL path, and each is aligned with its nearest
+neighbour by longest common subsequence of the lines outside articles (`article`, `main`, role=main): shared lines
+are template text and are deleted, and so are lines in menus, headers, footers, side columns, notices, adverts, forms or
+reader comments, whether shared or not.  Lines inside an article are never deleted for being shared: two pages may carry
+the same article.  A page with an article that has no neighbour to be compared with is its article alone.
 """
 
 from __future__ import annotations
@@ -13,8 +12,10 @@ from __future__ import annotations
 import bisect
 import hashlib
 import html
+import math
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -24,11 +25,14 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|object|title|select|button|canvas|audio|video)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>|[^<]+|<",
-    re.DOTALL | re.IGNORECASE,
-)
+# Elements whose content is no text of the page.  RAW ones run to the end of the page if they are not closed, the others are
+# then passed over; REPLACED ones part words.
+RAW = frozenset("script style textarea title iframe noscript".split())
+SKIPPED = RAW | frozenset("template svg object select button canvas audio video".split())
+REPLACED = frozenset("iframe object canvas audio video".split())
+END_TAG = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.IGNORECASE) for name in SKIPPED}
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+TAG_PART = re.compile(r""">|=\s*["']""")  # the end of a tag, or the beginning of a quoted value
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form"
@@ -56,10 +60,75 @@ def _zone(name: str, attributes: str, in_main: bool) -> str:
     return "main" if name in ("article", "main") or "main" in words and "role" in attributes.lower() or "articlebody" in words else ""
 
 
+class _Scanner:
+    """The tags of a page.  Every search either consumes what it passes or tells that no further one is needed, so that the time
+    grows with the page only, however broken it is."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.quotes = {q: page.rfind(q) for q in "\"'"}
+        self.loose = False  # tags end at the next >, quoted or not: set by a tag that would run to the end of the page
+        self.unclosed: set[str] = set()
+
+    def tag_end(self, at: int) -> int:
+        """Position of the > that ends the tag whose attributes begin at `at`; there is a > behind `at`.  Quotes count after an
+        equals sign only, and only where they are closed."""
+        pos = at
+        while not self.loose and (m := TAG_PART.search(self.page, pos)):
+            if m[0] == ">":
+                return m.start()
+            quote = m[0][-1]
+            pos = self.page.find(quote, m.end()) + 1 if m.end() <= self.quotes[quote] else m.end()
+        self.loose = True
+        return self.page.find(">", at)
+
+    def skipped_to(self, name: str, at: int) -> int:
+        """Where the content of a skipped element ends."""
+        if name in self.unclosed:
+            return at
+        m = END_TAG[name].search(self.page, at)
+        if m is None:
+            self.unclosed.add(name)
+        return m.end() if m else len(self.page) if name in RAW else at
+
+    def __iter__(self) -> Iterator[tuple[str | None, bool, str]]:
+        """(None, False, text), or (tag name, whether it is an end tag, attributes)."""
+        page, at = self.page, 0
+        while at < len(page):
+            lt = page.find("<", at)
+            if lt != at:
+                yield None, False, page[at:] if lt < 0 else page[at:lt]
+                if lt < 0:
+                    return
+            if page.startswith("<!--", lt):
+                end = page.find("-->", lt + 2)
+                at = len(page) if end < 0 else end + 3
+                continue
+            close = page.startswith("/", lt + 1)
+            m = NAME.match(page, lt + 1 + close) if lt < self.last else None
+            if m:
+                end = self.tag_end(m.end())
+                name, attributes, at = m[0].lower(), page[m.end() : end], end + 1
+                if name in SKIPPED and not close:
+                    if name in REPLACED:
+                        yield None, False, " "
+                    if not (name == "svg" and attributes.endswith("/")):
+                        at = self.skipped_to(name, at)
+                else:
+                    yield name, close, attributes
+            elif lt < self.last and page[lt + 1] in "/!?":
+                at = page.find(">", lt) + 1
+            else:
+                yield None, False, "<"
+                at = lt + 1
+
+
 def page_lines(page: str) -> list[tuple[str, str]]:
     """(line, zone) in page order; zone is 'main', 'drop' or ''."""
     out: list[tuple[str, str]] = []
     stack: list[tuple[str, str]] = []
+    names: Counter[str] = Counter()  # open elements by name, and by zone
+    zones: Counter[str] = Counter()
     parts: list[str] = []
     zone = ""
 
@@ -70,41 +139,46 @@ def page_lines(page: str) -> list[tuple[str, str]]:
                 out.append((text, zone))
             parts.clear()
 
-    for m in TOKEN.finditer(page):
-        name = m[3]
+    def pop() -> str:
+        name, own = stack.pop()
+        names[name] -= 1
+        zones[own] -= 1
+        return name
+
+    for name, close, rest in _Scanner(page):
         if name is None:
-            token = m[0]
-            if token[0] != "<" or token == "<":
-                parts.append(token)
-            elif m[1] and m[1].lower() in ("iframe", "object", "canvas", "audio", "video"):
-                parts.append(" ")
+            parts.append(rest)
             continue
-        name = name.lower()
         if name not in BLOCK:
-            if name in ("br", "wbr", "img", "input"):
-                parts.append(" " if name != "wbr" else "")
+            if name in ("br", "img", "input"):
+                parts.append(" ")
             continue
         flush()
         if name not in HELD:
             continue
-        if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+        if close:
+            while names[name] and pop() != name:
+                pass
         else:
             if name in ("li", "td", "th", "tr", "dt", "dd") and stack and stack[-1][0] == name:
-                stack.pop()  # end tags that may be left out
-            own = _zone(name, m[4], any(z == "main" for _, z in stack))
+                pop()  # end tags that may be left out
+            own = _zone(name, rest, zones["main"] > 0)
             stack.append((name, own))
-        zones = [z for _, z in stack if z]
-        zone = "drop" if "drop" in zones else ("main" if zones else "")
+            names[name] += 1
+            zones[own] += 1
+        zone = "drop" if zones["drop"] else "main" if zones["main"] else ""
     flush()
     return out
 
 
 def shared_lines(a: list[str], b: list[str]) -> set[int]:
-    """Positions in a of a longest common subsequence with b (Hunt-Szymanski)."""
+    """Positions in a of a longest common subsequence with b.
+
+    A common beginning, then a common end, then lines without a counterpart are set aside.  The rest is aligned row by row in
+    whole bit vectors (Crochemore and others): bit j of a row is 0 where the length grows from j to j + 1 lines of b.  The way
+    back takes equal lines, else leaves out the line of b where that costs nothing, else the line of a.  Every
+    square-rootth row is kept and the rows between are made again, so memory stays small.
+    """
     first = 0
     while first < min(len(a), len(b)) and a[first] == b[first]:
         first += 1
@@ -112,24 +186,44 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     while last < min(len(a), len(b)) - first and a[-1 - last] == b[-1 - last]:
         last += 1
     found = {*range(first), *range(len(a) - last, len(a))}
+    both = set(a[first : len(a) - last]) & set(b[first : len(b) - last])
+    x = [k for k in range(first, len(a) - last) if a[k] in both]
+    y = [line for line in b[first : len(b) - last] if line in both]
     where: dict[str, list[int]] = {}
-    for j in range(len(b) - last - 1, first - 1, -1):
-        where.setdefault(b[j], []).append(j)
-    tails: list[int] = []
-    links: list[tuple | None] = []
-    for i in range(first, len(a) - last):
-        for j in where.get(a[i], ()):
-            k = bisect.bisect_left(tails, j)
-            node = (i, links[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(j)
-                links.append(node)
-            else:
-                tails[k], links[k] = j, node
-    node = links[-1] if links else None
-    while node:
-        found.add(node[0])
-        node = node[1]
+    for j, line in enumerate(y):
+        where.setdefault(line, []).append(j)
+    masks = {}
+    for line, at in where.items():
+        bits = bytearray(len(y) // 8 + 1)
+        for j in at:
+            bits[j // 8] |= 1 << (j % 8)
+        masks[line] = int.from_bytes(bits, "little")
+    full = (1 << len(y)) - 1
+
+    def after(row: int, k: int) -> int:
+        hit = row & masks[a[k]]
+        return ((row + hit) | (row - hit)) & full
+
+    step = math.isqrt(len(x)) + 1
+    kept, row = [full], full
+    for i, k in enumerate(x, 1):
+        row = after(row, k)
+        if i % step == 0:
+            kept.append(row)
+    i, j, rows, begin = len(x), len(y), [], -1
+    while i and j:
+        if (i - 1) // step != begin:
+            begin = (i - 1) // step
+            rows = [kept[begin]]
+            for k in x[begin * step : i]:
+                rows.append(after(rows[-1], k))
+        if a[x[i - 1]] == y[j - 1]:
+            i, j = i - 1, j - 1
+            found.add(x[i])
+        elif rows[i - begin * step] >> (j - 1) & 1:
+            j -= 1
+        else:
+            i -= 1
     return found
 
 
@@ -208,7 +302,7 @@ PAGE = "part int, host string, path string, page_id string, url string, tie stri
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, n_outside, n_shared: one row per input row.
 
-    Null html counts as empty and gives an empty text.  Pages without a host form one group.  Within a host pages are in
+    Null html counts as empty and gives an empty text; repeated rows and null ids are kept.  Pages without a host form one group.  Within a host pages are in
     the order of (path, page_id, url, hash of the html), and each is compared with the nearer of its neighbours in it.
     Pages without a line outside the article are stepped over.  A page with an article takes the next pages as they
     are; a page without takes the next ones whose lines differ from its own, however many equal pages lie between, and
@@ -253,8 +347,10 @@ def extract(pages: DataFrame) -> DataFrame:
                 for part, page_id, url, page, tie, given in zip(*(pdf[c][at : at + 256] for c in ("part", "page_id", "url", "html", "tie", "rest")), strict=True):
                     lines = page_lines(page or "") if given is None else [(t, "") for t in given]
                     main = [t for t, z in lines if z == "main"]
-                    rows.append((part, *_place(url), page_id, url, tie, given is None, "\n".join(main) if main else None, [t for t, z in lines if z != "main"], [z == "drop" for _, z in lines if z != "main"]))
-                yield pd.DataFrame(rows, columns=["part", "host", "path", "page_id", "url", "tie", "own", "main", "rest", "dropped"])
+                    rest = [(t, z == "drop", k) for k, (t, z) in enumerate(lines) if z != "main"]
+                    before = [k - j for j, (_, _, k) in enumerate(rest)]
+                    rows.append((part, *_place(url), page_id, url, tie, given is None, main or None, [r[0] for r in rest], [r[1] for r in rest], before))
+                yield pd.DataFrame(rows, columns=["part", "host", "path", "page_id", "url", "tie", "own", "main", "rest", "dropped", "before"])
 
     dealt = source.select(part_of("page_id", "url", "tie").alias("part"), "page_id", "url", "html", "tie", F.lit(None).cast("array<string>").alias("rest"))
     if bounds:
@@ -266,7 +362,7 @@ def extract(pages: DataFrame) -> DataFrame:
         targets = F.broadcast(spark.createDataFrame(_borders(ends), "part int, name string"))
         given = border.drop("part").join(targets, "name")
         dealt = dealt.unionByName(given.select("part", "page_id", "url", F.lit(None).cast("string").alias("html"), "tie", "rest"))
-    lines = dealt.repartitionById(n, F.col("part")).mapInPandas(parse, f"{PAGE}, own boolean, main string, rest array<string>, dropped array<boolean>")
+    lines = dealt.repartitionById(n, F.col("part")).mapInPandas(parse, f"{PAGE}, own boolean, main array<string>, rest array<string>, dropped array<boolean>, before array<int>")
     lines = lines.sortWithinPartitions("part", "host", "path", F.col("page_id").cast("decimal(38,0)"), "url", "tie")
     out = lines.mapInPandas(_difference, "page_id string, url string, text string, n_chars long, n_outside long, n_shared long")
     return out.withColumn("page_id", F.col("page_id").cast("long"))
@@ -302,11 +398,11 @@ def _difference(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             run.append(row)
 
     for pdf in batches:
-        for row in zip(*(pdf[c] for c in ("part", "host", "path", "page_id", "url", "tie", "own", "main", "rest", "dropped")), strict=True):
-            row = (*row[:7], None if pd.isna(row[7]) else row[7], list(row[8]), row[9])
+        for row in zip(*(pdf[c] for c in ("part", "host", "path", "page_id", "url", "tie", "own", "main", "rest", "dropped", "before")), strict=True):
+            row = (*row[:8], list(row[8]), *row[9:])
             if row[8]:
                 if last is not None and row[8] == last[8]:
-                    row = (*row[:8], last[8], row[9])  # one list a run
+                    row = (*row[:8], last[8], *row[9:])  # one list a run
                 step(row)
             elif row[6]:
                 out.append(_finish(row, []))
@@ -322,7 +418,7 @@ def _table(rows: list[tuple]) -> pd.DataFrame:
 
 def _finish(row: tuple, near: list[tuple | None], known: dict[int, set[int]] | None = None) -> tuple:
     """`known` keeps the positions shared with each of `near` for pages of equal lines."""
-    path, page_id, url, main, rest, dropped = row[2], row[3], row[4], row[7], row[8], row[9]
+    path, page_id, url, main, rest, dropped, before = row[2], row[3], row[4], row[7], row[8], row[9], row[10]
     known = {} if known is None else known
     shared: set[int] = set()
     for k in sorted((k for k, x in enumerate(near) if x is not None), key=lambda k: _distance(path, near[k][2])):
@@ -331,6 +427,12 @@ def _finish(row: tuple, near: list[tuple | None], known: dict[int, set[int]] | N
         if main is not None or len(known[k]) < len(rest):
             shared = known[k]
             break
-    if main is None:
-        main = "\n".join(t for k, (t, d) in enumerate(zip(rest, dropped, strict=True)) if not d and k not in shared)
-    return page_id, url, main, len(main), len(rest), len(shared)
+    lines, at = [], 0
+    main = [] if main is None else list(main)
+    if not main or any(x is not None for x in near):
+        for k in range(len(rest)):
+            if not dropped[k] and k not in shared:
+                lines += [*main[at : before[k]], rest[k]]
+                at = max(at, int(before[k]))
+    text = "\n".join(lines + main[at:])
+    return page_id, url, text, len(text), len(rest), len(shared)
