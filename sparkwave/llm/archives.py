@@ -43,9 +43,12 @@ def arc_line(version: int, url: str, mime: str, status: int, offset: int, filena
     return (" ".join(str(value[f]) for f in FIELDS[version]) + "\n").encode()
 
 
+NO_ID = "none"  # of pages without page_id
+
+
 def http_message(page_id: int | None, payload: bytes) -> bytes:
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n"
-    return (head + (f"X-Page-Id: {page_id}\r\n" if page_id is not None else "") + "\r\n").encode() + payload
+    return (head + f"X-Page-Id: {NO_ID if page_id is None else page_id}\r\n\r\n").encode() + payload
 
 
 def _plain_url(url: str | None, page_id: int | None) -> str:
@@ -85,13 +88,16 @@ def _http(content: bytes) -> tuple[bytes | None, bytes, dict[str, str]]:
     return head + b"\r\n\r\n", payload, {k.lower(): v for k, v in fields.items()}
 
 
-def record_key(fields: dict[str, str], name: str, offset: int) -> int:
-    """The page's id, or for foreign archives a stable number of the place."""
-    if "x-page-id" in fields:
-        return int(fields["x-page-id"])
+def _place(name: str, offset: int) -> int:
     return int.from_bytes(hashlib.sha256(f"{name} {offset}".encode()).digest()[:8], "big") >> 1
 
 
+def record_key(fields: dict[str, str], name: str, offset: int) -> int | None:
+    """The page's id (None if it has none), or for foreign archives a stable number of the place."""
+    known = fields.get("x-page-id")
+    return None if known == NO_ID else _place(name, offset) if known is None else int(known)
+
+
 def record_id(key: int, payload_digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{key}:{payload_digest}')}>"
 
@@ -136,7 +142,7 @@ def write_arc(pages: DataFrame, out: str, file_bytes: int = FILE_BYTES) -> DataF
         stream, size, number, name, version = None, 0, 0, "", 1
         for pdf in batches:
             for page_id, url, page in zip(pdf["page_id"], pdf["url"], pdf["html"], strict=True):
-                page_id = None if pd.isna(page_id) else int(page_id)
+                page_id = None if page_id is None else int(page_id)
                 if stream is None:
                     version = 1 + (TaskContext.get().partitionId() + number) % 2
                     name = f"{uuid.uuid4().hex}.arc.gz"
@@ -155,7 +161,8 @@ def write_arc(pages: DataFrame, out: str, file_bytes: int = FILE_BYTES) -> DataF
             stream.close()
             yield pd.DataFrame({"name": [name]})
 
-    return _written(pages.select("page_id", "url", "html").mapInPandas(write, "name string"), f"{out}-files")
+    rows = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html")
+    return _written(rows.mapInPandas(write, "name string"), f"{out}-files")
 
 
 def inflate(data: bytes, step: int = 8192) -> bytes:
@@ -191,7 +198,7 @@ def convert(files: DataFrame, source: str, out: str, least_bytes: int = 0) -> Da
 
     Of records with equal payloads of at least `least_bytes`, the one with the smallest key is a response and
     the others revisit it: digests are aggregated over all files, and each file gets the list of its own revisits.
-    Payloads are never shuffled.
+    Records without a key revisit like others, but are never revisited.  Payloads are never shuffled.
     """
     n_files = files.count()
 
@@ -201,12 +208,13 @@ def convert(files: DataFrame, source: str, out: str, least_bytes: int = 0) -> Da
                 rows = []
                 for offset, _, content in read_arc(_read(source, name)):
                     _, payload, fields = _http(content)
-                    rows.append((name, offset, record_key(fields, name, offset), len(payload), hashlib.sha256(payload).digest()))
+                    key = record_key(fields, name, offset)
+                    rows.append((name, offset, None if key is None else str(key), len(payload), hashlib.sha256(payload).digest()))
                 yield pd.DataFrame(rows, columns=["name", "offset", "key", "size", "sha"])
 
-    found = _written(spread(files, n_files).mapInPandas(digests, "name string, offset long, key long, size long, sha binary"), f"{out}-digests")
+    found = _written(spread(files, n_files).mapInPandas(digests, "name string, offset long, key string, size long, sha binary").withColumn("key", F.col("key").cast("long")), f"{out}-digests")
     owners = found.where(F.col("size") >= least_bytes).groupBy("sha", "size").agg(F.min("key").alias("owner"), F.count("*").alias("n")).where("n > 1")
-    revisits = found.join(owners.drop("n"), ["sha", "size"]).where("key <> owner")
+    revisits = found.join(owners.drop("n"), ["sha", "size"]).where("owner is not null and not key <=> owner")
     lists = revisits.groupBy("name").agg(F.collect_list(F.struct("offset", "owner")).alias("revisits"))
     tasks = spread(files.join(lists, "name", "left"), n_files)
 
@@ -237,8 +245,8 @@ def _converted(name: str, offset: int, line: dict, content: bytes, owner: int |
     head, payload, fields = _http(content)
     key, payload_digest = record_key(fields, name, offset), digest(payload)
     common = [
-        ("WARC-Record-ID", record_id(key, payload_digest)), ("WARC-Date", iso(line["date"])), ("WARC-Target-URI", line["url"]),
-        ("WARC-IP-Address", line["ip"]), ("WARC-Payload-Digest", f"sha1:{payload_digest}"), ("X-Page-Id", str(key)), ("X-Payload-Length", str(len(payload))),
+        ("WARC-Record-ID", record_id(_place(name, offset) if key is None else key, payload_digest)), ("WARC-Date", iso(line["date"])), ("WARC-Target-URI", line["url"]),
+        ("WARC-IP-Address", line["ip"]), ("WARC-Payload-Digest", f"sha1:{payload_digest}"), ("X-Page-Id", NO_ID if key is None else str(key)), ("X-Payload-Length", str(len(payload))),
     ]
     if owner is not None:
         more = [("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"),
@@ -264,19 +272,20 @@ def read_records(files: DataFrame, source: str) -> DataFrame:
                         payload = _http(block)[1]
                         if (len(payload), digest(payload)) != (size, stated):
                             raise ValueError("a payload doesn't have its declared length and digest")
-                    rows.append((int(fields["x-page-id"]), fields["warc-target-uri"], size, stated, fields["warc-type"], fields.get("x-refers-to-page-id")))
-                out = pd.DataFrame(rows, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-                out["refers_to"] = pd.array([None if x is None else int(x) for x in out["refers_to"]], "Int64")
-                yield out
+                    key = fields["x-page-id"]
+                    rows.append((None if key == NO_ID else key, fields["warc-target-uri"], size, stated, fields["warc-type"], fields.get("x-refers-to-page-id")))
+                yield pd.DataFrame(rows, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return spread(files, files.count()).mapInPandas(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    out = spread(files, files.count()).mapInPandas(read, "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    return out.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
 def archive_round_trip(spark: SparkSession, pages: DataFrame, work: str) -> DataFrame:
     """Pages to ARC files, those to WARC files, and these read back: one row per page.
 
-    Null html is an empty payload; empty payloads are equal to each other.  A page without id gets a number
-    derived from its place; repeated rows with one page_id each give a record, all of the same type.  A null url becomes urn:page:<id>.
+    Null html is an empty payload; empty payloads are equal to each other.  A page without id keeps its null: it revisits a
+    page with an id that has its payload, or else is a response; no page revisits it.  Repeated rows with one page_id
+    each give a record, all of the same type.  A null url becomes urn:page:<id>.  Pages of any length are written whole.
     An empty table gives no archive and an empty result; extra columns are ignored.
     """
     arc = write_arc(pages, f"{work}/arc")

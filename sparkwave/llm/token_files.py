@@ -8,6 +8,8 @@ About l + 2 bits a document instead of 64; the select structure returns any offs
 
 from __future__ import annotations
 
+import array
+import functools
 import re
 import struct
 import uuid
@@ -97,13 +99,14 @@ class WordEncoder:
     MEMORY = 600_000
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        # Fixed value: the tokenizer file's own splitting pattern.
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        wide = max(self.whole.get_vocab().values()) > 0xFFFF
+        self.code, self.dtype = ("I", "<u4") if wide else ("H", "<u2")
+        # Fixed value: the tokenizer file's own splitting pattern, for the characters of plain texts.
+        self.pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
         self.odd = re.compile("[^\\t\\n\\r\\x20-\\x7e¡-¬®-ÿ]")
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in visible]
@@ -113,7 +116,7 @@ class WordEncoder:
 
     def piece(self, piece: str) -> bytes:
         shown = piece if piece.isascii() else "".join(self.shown[b] for b in piece.encode())
-        return np.array([t.id for t in self.model.tokenize(shown)], "<u2").tobytes()
+        return array.array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def word(self, word: str) -> bytes:
         word = word.lower()
@@ -123,8 +126,14 @@ class WordEncoder:
 
     def encode(self, text: str) -> np.ndarray:
         if "<|" in text or self.odd.search(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u2")
-        return np.frombuffer(b"".join(map(self.words.__getitem__, text.split())), "<u2")
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype)
+        return np.frombuffer(b"".join(map(self.words.__getitem__, text.split())), self.dtype)
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """The encoder of this Python worker: the words it remembers serve all tasks that the worker runs."""
+    return WordEncoder(path)
 
 
 def _store(path: str):
@@ -158,18 +167,20 @@ def write_files(docs: DataFrame, tokenizer: str, out: str, end_id: int = END_ID,
 
     Rows are range-partitioned by doc_id and sorted inside; a partition writes files of about `file_ids` ids.  A
     task's files have names of its own, and only those of finished tasks are in the table, so that lost
-    executors and repeated tasks leave no wrong data.  The table has one row a file.
+    executors and repeated tasks leave no wrong data.  The table has one row a file, with its doc_ids but for the
+    null ones, which come first.
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, "doc_id", F.xxhash64("text"))
-    rows = rows.sortWithinPartitions("doc_id", F.xxhash64("text"))
+    rows = rows.sortWithinPartitions("doc_id", F.xxhash64("text")).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        encoder, part, number = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        encode, part, number = encoder(tokenizer).encode, TaskContext.get().partitionId(), 0
         ids, names, size = [], [], 0
+        end = np.array([end_id], "<u4" if end_id > 0xFFFF else encoder(tokenizer).dtype)
         fs, root = _store(out)
         fs.create_dir(root, recursive=True)
 
@@ -177,12 +188,13 @@ def write_files(docs: DataFrame, tokenizer: str, out: str, end_id: int = END_ID,
             name = f"part-{part:06d}-{number:06d}-{uuid.uuid4().hex}.ids"
             with fs.open_output_stream(f"{root}/{name}") as f:
                 f.write(pack_file(ids))
-            return pd.DataFrame({"part": [part], "number": [number], "name": [name], "n_docs": [len(ids)], "n_ids": [size], "doc_ids": [np.array(names, object)]})
+            return pd.DataFrame({"part": [part], "number": [number], "name": [name], "n_docs": [len(ids)], "n_ids": [size], "doc_ids": [np.array(names, np.int64)]})
 
         for pdf in batches:
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                ids.append(np.append(encoder.encode(text), np.array([end_id], "<u2")))
-                names.append(None if pd.isna(doc_id) else int(doc_id))
+                ids.append(np.append(encode(text), end))
+                if doc_id is not None:
+                    names.append(int(doc_id))
                 size += len(ids[-1])
                 if size >= file_ids:
                     yield flush()
@@ -198,26 +210,27 @@ def write_files(docs: DataFrame, tokenizer: str, out: str, end_id: int = END_ID,
 def read_files(spark: SparkSession, table: DataFrame, out: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files.
 
-    Starts of files are sums over the narrow table of files, cumulated in one task (a row per 8 million ids).
+    Starts of files are sums over the narrow table of files, cumulated in one task (a row per 8 million ids).  Documents without
+    doc_id come first, and keep their null; repeated rows each have an entry; an empty text has its end id only.
     """
     from pyspark.sql.window import Window
 
     order = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     base = table.select("part", "number", "name", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("base"))
-    files = spread(table.select("name", "doc_ids").join(base, "name"), table.count())
+    files = spread(table.select("name", "n_docs", "doc_ids").join(base, "name"), table.count())
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = _store(out)
         for pdf in batches:
-            for name, base, doc_ids in zip(pdf["name"], pdf["base"], pdf["doc_ids"], strict=True):
+            for name, base, n_docs, doc_ids in zip(pdf["name"], pdf["base"], pdf["n_docs"], pdf["doc_ids"], strict=True):
                 with fs.open_input_stream(f"{root}/{name}") as f:
                     ends, ids = unpack_file(f.read())
                 at, rows = 0, []
-                for i, doc_id in enumerate(doc_ids):
-                    to = ends.select(i)
-                    rows.append((None if pd.isna(doc_id) else int(doc_id), int(base) + at, to - at, zlib.crc32(ids[at:to].astype("<u4").tobytes())))
+                for doc_id in [*[None] * (n_docs - len(doc_ids)), *map(str, doc_ids.tolist())]:
+                    to = ends.select(len(rows))
+                    rows.append((doc_id, int(base) + at, to - at, zlib.crc32(ids[at:to].astype("<u4").tobytes())))
                     at = to
-                out_pdf = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
-                yield out_pdf.astype({"doc_id": "Int64"})
+                yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    out_rows = files.mapInPandas(read, "doc_id string, start long, n_tokens long, ids_crc32 long")
+    return out_rows.withColumn("doc_id", F.col("doc_id").cast("long"))
