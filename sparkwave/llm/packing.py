@@ -1,6 +1,6 @@
 """Packing into optimal length buckets.
 
-Texts are cut into segments of at most `max_len` words.  The global histogram of segment lengths (at most
+Texts become token ids and are cut into segments of at most `max_len` ids.  The global histogram of segment lengths (at most
 `max_len` rows, whatever the corpus) goes to the driver, where dynamic programming finds the bucket boundaries
 that minimise padding.  Inside each bucket, batches of `token_budget // boundary` slots are filled in order.
 """
@@ -8,10 +8,14 @@ that minimise padding.  Inside each bucket, batches of `token_budget // boundary
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import fresh_dir
+from .token_files import END_ID, encoder
+
 MAX_LEN = 2048
 BUCKETS = 8
 TOKEN_BUDGET = 16384
@@ -45,40 +49,53 @@ def optimal_boundaries(histogram: dict[int, int], buckets: int) -> list[int]:
     return out[::-1]
 
 
-def segments(docs: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
-    """doc_id, seg, start, length (words; the whole text, no part dropped).  Null or blank texts give no segment."""
-    n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    sized = docs.select("doc_id", n.alias("n_words")).where("n_words > 0")
-    return (
-        sized.select("doc_id", "n_words", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_words") - 1) / max_len).cast("int"))).alias("seg"))
-        .select("doc_id", F.col("seg").cast("long").alias("seg"), (F.col("seg").cast("long") * max_len).alias("start"),
-                F.least(F.col("n_words") - F.col("seg") * max_len, F.lit(max_len)).cast("long").alias("length"))
-    )
+def segments(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, end_id: int = END_ID) -> DataFrame:
+    """doc_id, seg, start, length, ids: the ids of the whole text and the end id, no part dropped.
+
+    `ids` holds little-endian unsigned integers, octet_length(ids) / length bytes each.  Null texts, and those without a
+    token, give no segment.
+    """
 
+    @F.pandas_udf("struct<width int, parts array<binary>>")
+    def cut_up(texts: pd.Series) -> pd.DataFrame:
+        encode, width, rows = encoder(tokenizer).encode, np.dtype(encoder(tokenizer).dtype).itemsize, []
+        for text in texts:
+            ids = encode(text) if text else np.zeros(0, encoder(tokenizer).dtype)
+            data = np.append(ids, ids.dtype.type(end_id)).tobytes() if len(ids) else b""
+            rows.append((width, [data[at : at + max_len * width] for at in range(0, len(data), max_len * width)]))
+        return pd.DataFrame(rows, columns=["width", "parts"])
 
-def pack(docs: DataFrame, max_len: int = MAX_LEN, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET, shards: int = SHARDS) -> DataFrame:
-    """doc_id, seg, start, length, bucket (its boundary), batch, slot, padding: one row per segment.
+    parts = docs.select("doc_id", cut_up("text").alias("s")).select("doc_id", "s.width", F.posexplode("s.parts").alias("seg", "ids"))
+    return parts.select("doc_id", F.col("seg").cast("long").alias("seg"), (F.col("seg").cast("long") * max_len).alias("start"),
+                        (F.octet_length("ids") / F.col("width")).cast("long").alias("length"), "ids")
 
-    Segments are numbered in each bucket by (shard of the doc_id hash, doc_id, seg): numbering runs within
-    (bucket, shard), and shard offsets come from a table of at most buckets * shards rows, so no bucket is sorted
-    in one task.  Repeated rows each get a slot of their own; a null doc_id is packed like others.
+
+def pack(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET, shards: int = SHARDS) -> DataFrame:
+    """doc_id, seg, start, length, bucket (its boundary), batch, slot, padding, ids: one row per segment; the rows of one (bucket,
+    batch) by slot, each with `padding` ids of padding after its own, are the batch.
+
+    Segments are numbered in each bucket by (shard, doc_id, seg, ids), the shard by a hash of the latter three: numbering runs
+    within (bucket, shard), and shard offsets come from a table of at most buckets * shards rows, so neither a bucket nor a
+    doc_id of very many rows is sorted in one task.  Repeated rows each get a slot of their own (ties among them don't
+    matter); a null doc_id is packed like others; a text of any length gives as many segments as it needs.
     An empty table gives an empty result; extra columns are ignored.
     """
-    from .common import cut
-
-    seg = cut(segments(docs, max_len))
+    spark = docs.sparkSession
+    path = fresh_dir(spark, "segments")
+    segments(docs, tokenizer, max_len).withColumn("shard", F.pmod(F.xxhash64("doc_id", "seg", "ids"), F.lit(shards))).write.parquet(path)  # encoded once
+    seg = spark.read.parquet(path)
     histogram = {r["length"]: r["count"] for r in seg.groupBy("length").count().collect()}  # at most max_len rows
     bounds = optimal_boundaries(histogram, buckets) or [max_len]
     bucket = F.element_at(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b >= F.col("length")), 1).cast("long")
-    placed = seg.select("*", bucket.alias("bucket"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"))
+    placed = seg.withColumn("bucket", bucket)
     sizes = placed.groupBy("bucket", "shard").count()
     before = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("bucket", "shard", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("bucket", "shard").orderBy("doc_id", "seg", "length")
+    inside = Window.partitionBy("bucket", "shard").orderBy("doc_id", "seg", "ids")
     numbered = placed.withColumn("rn", F.row_number().over(inside) - 1).join(F.broadcast(offsets), ["bucket", "shard"])
     place = F.col("offset") + F.col("rn")
     slots = F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.col("bucket")))
     return numbered.select(
         "doc_id", "seg", "start", "length", "bucket",
-        F.floor(place / slots).alias("batch"), (place % slots).alias("slot"), (F.col("bucket") - F.col("length")).alias("padding"),
+        F.floor(place / slots).alias("batch"), (place % slots).alias("slot"), (F.col("bucket") - F.col("length")).alias("padding"), "ids",
     )

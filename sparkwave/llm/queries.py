@@ -49,7 +49,9 @@ def op6_jaccard_join(spark, sf_dir):
 
 
 def op7_length_buckets(spark, sf_dir):
-    return pack(table(spark, sf_dir, "documents"))
+    import public_tokenizers
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op8_decontamination(spark, sf_dir):
@@ -62,21 +64,21 @@ def op9_exact_dedup(spark, sf_dir):
 
 OP1_SQL = r"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS content, coalesce(turn // 64, -1) AS segment
-  FROM conversations WHERE conv_id IS NOT NULL),
-placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id, segment ORDER BY turn NULLS FIRST, role, content) - 1 AS rn FROM t),
-people AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS content, coalesce(turn // 64, -1) AS segment,
+         CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id, alone, segment ORDER BY turn NULLS FIRST, role, content) - 1 AS rn FROM t),
+people AS (SELECT DISTINCT conv_id, alone, role AS perspective FROM t WHERE role <> 'system'),
 shown AS (
-  SELECT conv_id, perspective, segment, rn // 64 AS part, rn, content, role = perspective AS own,
+  SELECT p.conv_id, p.alone, perspective, segment, rn // 64 AS part, rn, content, role = perspective AS own,
          CASE WHEN role = perspective THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>' ELSE '<|user ' || role || '|>' END || chr(10) AS head
-  FROM placed JOIN people USING (conv_id)),
+  FROM placed p JOIN people q ON p.conv_id IS NOT DISTINCT FROM q.conv_id AND p.alone IS NOT DISTINCT FROM q.alone),
 walked AS (
-  SELECT *, coalesce(sum(length(head) + length(content) + 1) OVER (PARTITION BY conv_id, perspective, segment, part ORDER BY rn
-         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS pos FROM shown)
-SELECT conv_id, perspective, segment, part, count(*) AS n_turns, string_agg(head || content || chr(10), '' ORDER BY rn) AS text,
-       coalesce(list([CAST(pos AS INTEGER), CAST(pos + length(content) AS INTEGER)] ORDER BY rn) FILTER (WHERE own), []) AS mask,
+  SELECT *, coalesce(sum(length(head) + length(content) + 1) OVER (PARTITION BY conv_id, alone, perspective ORDER BY segment, rn
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM shown)
+SELECT conv_id, perspective, segment, part, count(*) AS n_turns, CAST(min(at) AS BIGINT) AS start, string_agg(head || content || chr(10), '' ORDER BY rn) AS text,
+       coalesce(list([CAST(at + length(head) AS BIGINT), CAST(at + length(head) + length(content) AS BIGINT)] ORDER BY rn) FILTER (WHERE own), []) AS mask,
        CAST(coalesce(sum(length(content)) FILTER (WHERE own), 0) AS BIGINT) AS n_masked
-FROM walked GROUP BY conv_id, perspective, segment, part
+FROM walked GROUP BY conv_id, alone, perspective, segment, part
 """
 
 OP9_SQL = f"""

@@ -19,18 +19,44 @@ from sparkwave.llm.token_files import EliasFano, WordEncoder, pack_file, read_fi
 tokenizers = pytest.importorskip("public_tokenizers")
 
 
+def renderings(turns):
+    """(conv_id, perspective): the whole dialogue and its mask, by one walk over the turns."""
+    out = {}
+    named = [(c, t, "unknown" if r is None else r, x or "") for c, t, r, x in turns]
+    dialogues = [[x for x in named if x[0] == c] for c in {x[0] for x in named} - {None}] + [[x] for x in named if x[0] is None]
+    for rows in dialogues:
+        rows.sort(key=lambda x: (x[1] is not None, x[1] or 0, x[2], x[3]))
+        for me in {r for _, _, r, _ in rows} - {"system"}:
+            text, mask = "", []
+            for _, _, role, content in rows:
+                text += ("<|assistant|>" if role == me else "<|system|>" if role == "system" else f"<|user {role}|>") + "\n"
+                if role == me:
+                    mask.append((len(text), len(text) + len(content)))
+                text += content + "\n"
+            out.setdefault((rows[0][0], me), []).append((text, mask))
+    return {k: sorted(v) for k, v in out.items()}
+
+
 def test_chat_rotation(spark):
-    turns = [(1, 0, "system", "Be nice"), (1, 1, "ann", "Hi"), (1, 2, "bob", None), (1, 3, "ann", "Bye é"), (2, 0, "system", "x"), (None, 0, "a", "b"), (3, None, None, "late"), (3, 1, "u", "t")]
-    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as name", "2 as mask")
-    out = {(r["conv_id"], r["perspective"], r["segment"]): r for r in rotate(df).collect()}
-    r = out[1, "ann", 0]
-    assert r["text"] == "<|system|>\nBe nice\n<|assistant|>\nHi\n<|user bob|>\n\n<|assistant|>\nBye é\n"
-    assert [r["text"][a:b] for a, b in r["mask"]] == ["Hi", "Bye é"] and r["n_masked"] == 7
-    assert [out[1, "bob", 0]["text"][a:b] for a, b in out[1, "bob", 0]["mask"]] == [""]
-    assert (2, "system", 0) not in out and out[3, "unknown", -1]["n_turns"] == 1 and len(out) == 6
-    long = spark.createDataFrame([(1, i // 50, "ab"[i % 2], str(i)) for i in range(1000)], "conv_id long, turn long, role string, text string")
-    parts = rotate(long, segment_turns=8).orderBy("perspective", "segment", "part").collect()
-    assert max(r["n_turns"] for r in parts) <= 8 and sum(r["n_turns"] for r in parts) == 2000
+    rng = random.Random(1)
+    turns = [(1, 0, "system", "Be nice"), (1, 1, "ann", "Hi"), (1, 2, "bob", None), (1, 3, "ann", "Bye é"), (2, 0, "system", "x"), (None, 0, "a", "b"), (None, 70, "a", "c"),
+             (None, 1, "system", "y"), (3, None, None, "late"), (3, 1, "u", "t"), (3, None, "u", ""), (1, 3, "ann", "Bye é")]
+    turns += [(4, i // 5, rng.choice(["ann", "bob", "system", None]), rng.choice([None, "", "x" * rng.randint(0, 9)])) for i in range(300)]
+    turns += [(5, 7, "ann", str(i)) for i in range(50)] + [(6, 0, "long", "y" * 300_000), (6, 1, "b", "z")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as name", "2 as mask", "3 as start", "4 as segment")
+    for size in (4, 64):
+        got = {}
+        for r in rotate(df, segment_turns=size).collect():
+            assert r["n_turns"] <= size and r["n_masked"] == sum(b - a for a, b in r["mask"])
+            got.setdefault((r["conv_id"], r["perspective"]), []).append(r)
+        whole = {}
+        for k, rows in got.items():
+            parts = [[r] for r in rows] if k[0] is None else [sorted(rows, key=lambda r: (r["segment"], r["part"]))]
+            for part in parts:
+                text = "".join(r["text"] for r in part)
+                assert [r["start"] for r in part] == [sum(len(q["text"]) for q in part[:i]) for i in range(len(part))]
+                whole.setdefault(k, []).append((text, [tuple(m) for r in part for m in r["mask"]]))
+        assert {k: sorted(v) for k, v in whole.items()} == renderings(turns)
     assert rotate(df.limit(0)).count() == 0
 
 

@@ -17,6 +17,7 @@ from sparkwave.llm.exact_dedup import drop_copies, exact_dedup
 from sparkwave.llm.langid import Model, fit, identify, keep_identified
 from sparkwave.llm.shingles import shingle_lists
 
+VOCABULARY = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -254,21 +255,43 @@ def test_boundaries_are_optimal():
     assert packing.optimal_boundaries({}, 3) == []
 
 
-def test_pack_covers_every_word_once(spark):
+def token_ids(texts):
+    """The ids of each text by the library itself, and the end id; none without a token."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(VOCABULARY)
+    found = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    return [x + [2] if x else [] for x in found]
+
+
+def test_pack_covers_every_token_once(spark):
     rng = random.Random(8)
-    pairs = [(i, sentence(rng, rng.randint(1, 70))) for i in range(200)] + [(500, None), (501, " \n"), (502, "one"), (502, "one"), (None, "a b")]
-    out = packing.pack(docs_of(spark, pairs), max_len=20, buckets=3, token_budget=64, shards=4).collect()
-    assert sum(r["length"] for r in out) == sum(len((t or "").split()) for _, t in pairs)
-    seats = {}
+    pairs = [(i, sentence(rng, rng.randint(1, 70))) for i in range(200)] + [(500, None), (501, " \n"), (502, "one"), (502, "one"), (None, "a b"), (BIG + 1, "x " * 30_000)]
+    want = {}
+    for (i, _), ids in zip(pairs, token_ids([t for _, t in pairs]), strict=True):
+        if ids:
+            want.setdefault(i, []).append(ids)
+    out = packing.pack(clashing(docs_of(spark, pairs)).selectExpr("*", "1 as ids", "2 as seg"), VOCABULARY, max_len=20, buckets=3, token_budget=64, shards=4).collect()
+    seats, texts = {}, {}
     for r in out:
-        assert r["length"] + r["padding"] == r["bucket"] and r["start"] == r["seg"] * 20
+        ids = np.frombuffer(r["ids"], "<u2").tolist()
+        assert len(ids) == r["length"] <= 20 and r["length"] + r["padding"] == r["bucket"] and r["start"] == r["seg"] * 20
         seats.setdefault((r["bucket"], r["batch"]), []).append(r["slot"])
+        texts.setdefault(r["doc_id"], []).append((r["seg"], ids))
+    for i, parts in texts.items():
+        each = len(want[i])  # repeated rows are equal here
+        assert [x for _, ids in sorted(parts)[::each] for x in ids] == want[i][0] and len(parts) % each == 0
+    assert set(texts) == set(want)
     for bucket in {b for b, _ in seats}:
         cap = max(1, 64 // bucket)
         sizes = [len(v) for (b, _), v in sorted(seats.items()) if b == bucket]
         assert all(s == cap for s in sizes[:-1]) and sizes[-1] <= cap
     assert all(sorted(v) == list(range(len(v))) for v in seats.values())
-    assert packing.pack(docs_of(spark, pairs).limit(0)).count() == 0
+    bounds = sorted({b for b, _ in seats})
+    hist = {n: sum(r["length"] == n for r in out) for n in {r["length"] for r in out}}
+    cost = lambda bs: sum(c * (min(b for b in bs if b >= n) - n) for n, c in hist.items())
+    assert cost(bounds) == min(cost((*c, max(hist))) for c in itertools.combinations(sorted(hist)[:-1], 2))
+    assert packing.pack(docs_of(spark, pairs).limit(0), VOCABULARY).count() == 0
 
 
 # -- language ID ---------------------------------------------------------------------------------------------------------
@@ -311,4 +334,4 @@ def test_pipeline_stages_on_the_smallest_tables(spark):
 
     out = corpus_pipeline.run(spark, d)
     assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} == {i for i, t in left.items() if not leaks(t)}
-    assert out.agg(F.sum("length")).first()[0] == sum(len(WORDS.findall(t)) for t in left.values() if not leaks(t))
+    assert out.agg(F.sum("length")).first()[0] == sum(map(len, token_ids([t for t in left.values() if not leaks(t)])))
