@@ -74,9 +74,9 @@ shown AS (
   FROM placed p JOIN people q ON p.conv_id IS NOT DISTINCT FROM q.conv_id AND p.alone IS NOT DISTINCT FROM q.alone),
 walked AS (
   SELECT *, coalesce(sum(length(head) + length(content) + 1) OVER (PARTITION BY conv_id, alone, perspective ORDER BY segment, rn
-         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM shown)
-SELECT conv_id, perspective, segment, part, count(*) AS n_turns, CAST(min(at) AS BIGINT) AS start, string_agg(head || content || chr(10), '' ORDER BY rn) AS text,
-       coalesce(list([CAST(at + length(head) AS BIGINT), CAST(at + length(head) + length(content) AS BIGINT)] ORDER BY rn) FILTER (WHERE own), []) AS mask,
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM shown)
+SELECT conv_id, perspective, segment, part, count(*) AS n_turns, CAST(min(pos) AS BIGINT) AS start, string_agg(head || content || chr(10), '' ORDER BY rn) AS text,
+       coalesce(list([CAST(pos + length(head) AS BIGINT), CAST(pos + length(head) + length(content) AS BIGINT)] ORDER BY rn) FILTER (WHERE own), []) AS mask,
        CAST(coalesce(sum(length(content)) FILTER (WHERE own), 0) AS BIGINT) AS n_masked
 FROM walked GROUP BY conv_id, alone, perspective, segment, part
 """
