@@ -107,8 +107,6 @@ GROUP BY doc_id, item_id, n HAVING count(*) * 100 >= n * 75
 
 
 def queries():
-    import corpus_pipeline
-
     return {
         "op1_chat_rotation": op1_chat_rotation,
         "op2_html_text": op2_html_text,
@@ -120,7 +118,6 @@ def queries():
         "op7_length_buckets": op7_length_buckets,
         "op8_decontamination": op8_decontamination,
         "op9_exact_dedup": op9_exact_dedup,
-        "pipeline": corpus_pipeline.run,
     }
 
 
