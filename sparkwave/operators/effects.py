@@ -162,12 +162,13 @@ def smooth_ease(df: DataFrame, k: int) -> DataFrame:
     return put(_anchored(df, k).join(last, KEYS), F.col("a") + (F.coalesce("b", "z") - F.col("a")) * t)
 
 
-def echo(df: DataFrame, volume: float, n: int, delay_s: float, decay: float, rate: int) -> DataFrame:
-    """x[i] + sum of volume * decay**(k-1) * x[i - k*D]; delay 0 is the sum of the gains."""
+def echo(df: DataFrame, volume: float, n: int, delay_s: float, decay: float, rate: int, near: int = 65536) -> DataFrame:
+    """x[i] + sum of volume * decay**(k-1) * x[i - k*D]; delay 0 is the sum of the gains.  Up to `near` positions back the echoes
+    are lags over chunks; farther ones are shifted copies that are added up by position."""
     d = int(math.floor(delay_s * rate + 0.5))
     if d == 0:
         return put(df, F.col("x") * (1 + sum(volume * decay ** (k - 1) for k in range(1, n + 1))))
-    if n * d <= 65536:
+    if n * d <= near:
         taps = lagged(df, {f"e{k}": ("x", k * d, 0.0) for k in range(1, n + 1)})
         return put(taps, F.col("x") + sum(volume * decay ** (k - 1) * F.col(f"e{k}") for k in range(1, n + 1)))
     shifted = with_length(df).select(*KEYS, "idx", "x", "n", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("k"))

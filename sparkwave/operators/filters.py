@@ -1,7 +1,7 @@
 """Feedback filters: linear recurrences by chunked scan, nonlinear ones in order per clip.
 
-A linear recurrence gives, for each chunk, its output from a zero state and its outputs from unit states; one narrow row a
-chunk then carries the state along the clip, and the two are added.  Chunks of one clip run on many tasks.
+A linear recurrence gives, for each chunk, its end from a zero state and from unit states; these narrow rows carry the state
+along the clip, and each chunk then runs from its own state.  Chunks of one clip run on many tasks.
 """
 
 from __future__ import annotations
@@ -25,50 +25,68 @@ Step = Callable[[list, list], tuple]
 
 def linear_scan(df: DataFrame, step: Step, order: int, inputs: tuple[str, ...] = ("x",), first_state: Callable | None = None,
                 keys: list[str] | None = None, chunk: int = CHUNK) -> DataFrame:
-    """keys, idx, y.  `idx` must be dense within keys; only inputs[0] is scaled, the others are coefficients."""
+    """keys, idx, y.  `idx` must be dense within keys; only inputs[0] is scaled, the others are coefficients.
+
+    The samples are shuffled once, into chunks.  A first pass gives one narrow row a chunk (its end from a zero state, and the
+    matrix that its state before is multiplied by), these rows are put in order to carry the state along each clip, and a second
+    pass over the chunks runs each from its own state.
+    """
     keys = keys or KEYS
+    types = dict(df.select(*keys).dtypes)
     kept = df.select(*keys, "idx", *[F.col(c).cast("double").alias(c) for c in inputs])
     chunks = kept.groupBy(*keys, F.floor(F.col("idx") / chunk).alias("c")).agg(F.array_sort(F.collect_list(F.struct("idx", *inputs))).alias("s"))
     chunks = chunks.select(*keys, "c", *[F.col(f"s.{c}").alias(c) for c in inputs])
-    key_types = ", ".join(f"{k} {t}" for k, t in df.select(*keys).dtypes)
-    schema = f"{key_types}, c long, y array<double>, h array<double>, e array<double>, m array<double>, x0 double"
+    key_text = ", ".join(f"{k} string" for k in keys)  # pandas would make doubles of integers beside a null
+
+    def texts(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({k: F.col(k).cast("string") for k in keys})
+
+    def typed(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({k: F.col(k).cast(types[k]) for k in keys})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def matrices(pdf: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
+        """Chunks of equal length; of each input a matrix of positions x chunks."""
+        for _, same in pdf.groupby(pdf[inputs[0]].map(len)):
+            yield same, [np.ascontiguousarray(np.stack(same[c].to_numpy()).astype(float).T) for c in inputs]
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for _, same in pdf.groupby(pdf[inputs[0]].map(len)):
-                data = [np.stack(same[c].to_numpy()).astype(float) for c in inputs]  # chunks x length
-                n, length = data[0].shape
+            for same, data in matrices(pdf):
+                length, n = data[0].shape
                 scale = np.zeros((order + 1, 1))
                 scale[0] = 1.0  # row 0: the input from a zero state; row j: no input, unit state j
                 state = [np.repeat((np.arange(order + 1) == j + 1).astype(float)[:, None], n, axis=1) for j in range(order)]
-                y = np.empty((length, order + 1, n))
                 for i in range(length):
-                    y[i], state = step(state, [scale * data[0][:, i], *(d[:, i] for d in data[1:])])
-                end = np.stack(state)  # order x (order + 1) x chunks
-                out = same[[*keys, "c"]].copy()
-                out["y"] = list(y[:, 0, :].T)
-                out["h"] = [y[:, 1:, k].reshape(-1) for k in range(n)]
-                out["e"] = [end[:, 0, k] for k in range(n)]
-                out["m"] = [end[:, 1:, k].reshape(-1) for k in range(n)]
-                out["x0"] = data[0][:, 0]
-                yield out
-
-    parts = chunks.mapInPandas(run, schema)
-
-    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("c")
-        state = np.asarray(first_state(pdf["x0"].iloc[0]), float) if first_state else np.zeros(order)
-        states = []
-        for e, m in zip(pdf["e"], pdf["m"], strict=True):
-            states.append(state)
-            state = np.asarray(m).reshape(order, order) @ state + np.asarray(e)
-        return pdf[[*keys, "c"]].assign(s=states)
-
-    states = parts.select(*keys, "c", "e", "m", "x0").groupBy(*keys).applyInPandas(carry, f"{key_types}, c long, s array<double>")
-    both = parts.select(*keys, "c", "y", "h").join(states, [*keys, "c"])
-    flat = both.select(*keys, "c", "h", "s", F.posexplode("y").alias("i", "y"))
-    y = F.col("y") + sum(F.col("s")[j] * F.get("h", F.col("i") * order + j) for j in range(order))
-    return flat.select(*keys, (F.col("c") * chunk + F.col("i")).alias("idx"), y.alias("y"))
+                    _, state = step(state, [scale * data[0][i], *(d[i] for d in data[1:])])
+                end = np.stack([np.broadcast_to(s, (order + 1, n)) for s in state])  # order x (order + 1) x chunks
+                yield same[[*keys, "c"]].assign(e=list(end[:, 0].T), m=list(end[:, 1:].reshape(order * order, n).T), x0=data[0][0])
+
+    def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows in order of clips and chunks."""
+        key, state = None, np.zeros(order)
+        for pdf in batches:
+            states = []
+            for at, e, m, x0 in zip(zip(*(pdf[k] for k in keys), strict=True), pdf["e"], pdf["m"], pdf["x0"], strict=True):
+                if at != key:
+                    key, state = at, np.asarray(first_state(x0), float) if first_state else np.zeros(order)
+                states.append(state)
+                state = m.reshape(order, order) @ state + e
+            yield pdf[[*keys, "c"]].assign(s=states)
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for same, data in matrices(pdf):
+                state = list(np.stack(same["s"].to_numpy()).T)
+                y = np.empty(data[0].shape)
+                for i in range(len(y)):
+                    y[i], state = step(state, [d[i] for d in data])
+                yield same[[*keys, "c"]].assign(y=list(y.T))
+
+    narrow = typed(texts(chunks).mapInPandas(ends, f"{key_text}, c long, e array<double>, m array<double>, x0 double"))
+    narrow = narrow.repartition(*keys).sortWithinPartitions(*keys, "c")
+    states = typed(texts(narrow).mapInPandas(carry, f"{key_text}, c long, s array<double>"))
+    full = typed(texts(chunks.join(states, [*keys, "c"])).mapInPandas(finish, f"{key_text}, c long, y array<double>"))
+    return full.select(*keys, "c", F.posexplode("y").alias("i", "y")).select(*keys, (F.col("c") * chunk + F.col("i")).alias("idx"), "y")
 
 
 def _out(scan: DataFrame) -> DataFrame:
@@ -105,9 +123,18 @@ def echo_infinite(df: DataFrame, volume: float, delay_s: float, rate: int, chunk
 
 
 def leaky_difference(df: DataFrame, pct: float, step_share: float, chunk: int = CHUNK) -> DataFrame:
-    """x minus a leaky average of the samples before, blended by pct; the first is 0."""
+    """x minus a leaky average of the samples before, blended by pct; the first is 0.  With pct -100 the average is of the
+    outputs before, and the first sample stays."""
     p, t = step_share, pct / 100
 
+    def own(s, x):
+        acc = s[0] + (s[1] - s[0]) * p
+        y = x[0] - acc
+        return y, [acc, y]
+
+    if pct == -100:
+        return _out(linear_scan(df, own, 2, chunk=chunk))
+
     def step(s, x):
         acc = s[0] + (s[1] - s[0]) * p
         return x[0] - t * acc, [acc, x[0]]
@@ -282,8 +309,11 @@ def delta_encode(df: DataFrame) -> DataFrame:
     return in_order(df, run, "long", "code")
 
 
-def delta_1bit(df: DataFrame) -> DataFrame:
-    """(keys, b, byte): an up/down counter against round((x+1)*8), eight bits a byte, bit j = 1 << j."""
+def delta_1bit(df: DataFrame, stereo: bool = False) -> DataFrame:
+    """(keys, b, byte): an up/down counter against round((x+1)*8), eight bits a byte, bit j = 1 << j.  Two channels share one
+    counter, left before right, and give one row of bytes (channel 0)."""
+    if stereo:
+        df = df.select("clip_id", F.lit(0).alias("channel"), (F.col("idx") * 2 + F.col("channel")).alias("idx"), "x")
 
     def run(x: np.ndarray) -> np.ndarray:
         out, c = [], 0
@@ -297,18 +327,25 @@ def delta_1bit(df: DataFrame) -> DataFrame:
     return bits.groupBy(*KEYS, F.floor(F.col("idx") / 8).alias("b")).agg(F.sum(F.col("bit") * F.pow(F.lit(2), F.col("idx") % 8).cast("long")).alias("byte"))
 
 
-# The code tables of three and seven bits; the latter has runs of equal steps.
+# The code tables of three and seven bits, and what samples are scaled by.
 CODES = {
     3: [0, 1, 2, 3, 6, 10, 15, 21],
-    7: [0, 8, *range(0x10, 0x200, 0x10), *range(0x200, 0x400, 8), *range(0x400, 0x800, 0x40), *range(0x800, 0x1000, 0x100),
-        *range(0x1000, 0x2000, 0x400), 0x2000, 0x3000, 0x4000],
+    7: [
+        0, 8, 16, 32, 48, 64, 80, 96, 112, 128, 144, 160, 176, 192, 208, 224, 240, 256, 272, 288, 304, 320, 336, 352, 368, 384, 400,
+        416, 432, 448, 464, 480, 496, 512, 520, 528, 536, 544, 552, 560, 568, 576, 584, 592, 600, 608, 616, 624, 632, 640, 648, 656,
+        664, 672, 680, 688, 696, 704, 712, 720, 728, 736, 744, 752, 760, 768, 776, 784, 792, 800, 808, 816, 824, 832, 840, 848, 856,
+        864, 872, 880, 888, 896, 904, 912, 920, 928, 936, 944, 952, 960, 968, 976, 984, 992, 1000, 1008, 1016, 1024, 1088, 1152, 1216,
+        1280, 1344, 1408, 1472, 1536, 1600, 1664, 1728, 1792, 1856, 1920, 1984, 2048, 2304, 2560, 2816, 3072, 3328, 3584, 3840, 4096,
+        5120, 6144, 7168, 8192, 12288, 16384,
+    ],
 }
+CODE_SCALE = {3: 127.0, 7: 32767.0}
 
 
-def delta_codebook(df: DataFrame, bits: int = 3, scale: float = 127.0, old: bool = False) -> DataFrame:
+def delta_codebook(df: DataFrame, bits: int = 3, scale: float | None = None, old: bool = False) -> DataFrame:
     """(keys, idx, code): index of the first table entry above |change to the sample before|, and the sign in the next bit
     (the old style inverts all bits instead)."""
-    table = CODES[bits]
+    table, scale = CODES[bits], scale or CODE_SCALE[bits]
     top = len(table) - 1
     near = lagged(df.withColumn("v", (F.col("x") + 1) * scale), {"p": ("v", 1, 0.0)})
     d = F.col("v") - F.col("p")

@@ -63,7 +63,7 @@ def fft_quantize_phase(frames: DataFrame, steps: float) -> DataFrame:
 def fft_smear(frames: DataFrame, radius: int, hann: bool = False) -> DataFrame:
     """Magnitude averaged over radius bins to both sides, normalized at the edges; phases stay."""
     k = np.arange(-radius, radius + 1)
-    weight = 0.5 + 0.5 * np.cos(np.pi * k / (radius + 1)) if hann else np.ones(len(k))
+    weight = 0.5 + 0.5 * np.cos(np.pi * k / max(radius, 1)) if hann else np.ones(len(k))  # 0 at the ends
 
     def smear(z: np.ndarray) -> np.ndarray:
         n = z.shape[1]
@@ -74,15 +74,15 @@ def fft_smear(frames: DataFrame, radius: int, hann: bool = False) -> DataFrame:
 
 
 def fft_saturate(frames: DataFrame, keep: float, direction: str = "up") -> DataFrame:
-    """Magnitude as a running average across bins, upward or downward; zero bins are passed over."""
+    """Magnitude as a running average across bins from 0, upward or downward; zero bins are passed over."""
 
     def run(z: np.ndarray) -> np.ndarray:
         mag, out = np.abs(z), np.abs(z)
         order = range(z.shape[1]) if direction == "up" else range(z.shape[1] - 1, -1, -1)
-        level = None
+        level = np.zeros(len(z))
         for k in order:
             live = mag[:, k] > 0
-            level = mag[:, k] if level is None else np.where(live, level * keep + mag[:, k] * (1 - keep), level)
+            level = np.where(live, level * keep + mag[:, k] * (1 - keep), level)
             out[:, k] = np.where(live, level, 0)
         return out * np.exp(1j * np.angle(z))
 
@@ -90,18 +90,18 @@ def fft_saturate(frames: DataFrame, keep: float, direction: str = "up") -> DataF
 
 
 def fft_as_raw(frames: DataFrame, mode: str = "copytwice") -> DataFrame:
-    """Samples read as a spectrum, mirrored and inverted: copytwice and copyonce take sample k for bin k (re and im, or re
-    only), filltwice and fillonce pairs of samples."""
+    """Samples read as a spectrum, mirrored and inverted.  The copy modes take pairs of samples for the lower half's bins
+    (copytwice also the first pair for the middle bin), the fill modes one sample a bin (filltwice as real and imaginary part)."""
 
     def run(x: np.ndarray) -> np.ndarray:
         n = x.shape[1]
         half = n // 2
         z = np.zeros(x.shape, complex)
         if mode.startswith("copy"):
-            z[:, :half] = x[:, :half] + (1j * x[:, :half] if mode == "copytwice" else 0)
+            z[:, :half] = x[:, 0::2] + 1j * x[:, 1::2]
+            z[:, half] = z[:, 0] if mode == "copytwice" else 0
         else:
-            pair = x[:, 0::2] + 1j * x[:, 1::2]
-            z[:, :half] = pair if mode == "filltwice" else pair.real
+            z[:] = x + (1j * x if mode == "filltwice" else 0)
         z[:, half + 1 :] = np.conj(z[:, 1:half][:, ::-1])
         return np.fft.ifft(z).real
 

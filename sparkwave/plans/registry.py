@@ -87,7 +87,16 @@ def clips(spark, d) -> DataFrame:
     return n.select("clip_id", F.lit(8000).alias("sample_rate"), "n_samples", F.lit(1).alias("n_channels"), F.lit("pcm").alias("encoding"), F.lit(16).alias("bits"), meta.alias("metadata"))
 
 
-add("a8_pack_wav", lambda s, d: wav.pack_wav(V.sig(s, d), clips(s, d)).select("clip_id", F.octet_length("wav").cast("long").alias("size"), F.hex(F.substring("wav", 1, 44)).alias("head")))
+def le(v: str, size: int) -> str:
+    """Hex of a little-endian unsigned integer."""
+    return " || ".join(f"lpad(to_hex((CAST({v} AS BIGINT) >> {8 * k}) & 255), 2, '0')" for k in range(size))
+
+
+add("a8_pack_wav", lambda s, d: wav.pack_wav(V.sig(s, d), clips(s, d)).select("clip_id", "part", F.hex("wav").alias("wav")),
+    f"""WITH {V.SIG}, v AS (SELECT clip_id, idx, CAST(greatest(-32768, least(32767, trunc(x * 32767))) AS BIGINT) & 65535 AS u FROM sig),
+    p AS (SELECT clip_id, count(*) * 2 AS data, strlen('user ' || clip_id) + 1 AS t, string_agg({le("u", 2)}, '' ORDER BY idx) AS body FROM v GROUP BY clip_id)
+    SELECT clip_id, CAST(0 AS BIGINT) AS part, upper(hex('RIFF') || {le("36 + data + 20 + t + t % 2", 4)} || hex('WAVEfmt ') || {le("16", 4)} || {le("1", 2)} || {le("1", 2)} || {le("8000", 4)} || {le("16000", 4)} || {le("2", 2)} || {le("16", 2)}
+     || hex('data') || {le("data", 4)} || body || hex('LIST') || {le("12 + t + t % 2", 4)} || hex('INFO') || hex('INAM') || {le("t", 4)} || hex('user ' || clip_id) || '00' || repeat('00', t % 2)) AS wav FROM p""")
 add("a9_wav_size_plan", lambda s, d: wav.wav_size_plan(clips(s, d)).select("clip_id", "data_bytes", "list_bytes", "riff_bytes", "byte_rate"),
     f"""WITH {V.SIG}, p AS (SELECT clip_id, n * 2 AS data, strlen('user ' || clip_id) + 1 AS t FROM len)
     SELECT clip_id, CAST(data AS BIGINT) AS data_bytes, CAST(20 + t + t % 2 AS BIGINT) AS list_bytes, CAST(36 + data + 20 + t + t % 2 AS BIGINT) AS riff_bytes, CAST(16000 AS BIGINT) AS byte_rate FROM p""")
@@ -140,7 +149,7 @@ on_sig("c7_smooth_linear", lambda df: effects.smooth_linear(df, 7), pick("a + (c
 on_sig("c8_smooth_ease", lambda df: effects.smooth_ease(df, 8), pick("a + (coalesce(b, z) - a) * (1 - cos((idx % 8) / 8 * pi())) / 2", "q", ANCHOR))
 ECHO = " + ".join(["x", *[f"0.6 * pow(0.5, {k - 1}) * lag(x, {k * 4}, 0.0) {W}" for k in (1, 2, 3)]])
 on_sig("c9_echo", lambda df: effects.echo(df, 0.6, 3, 0.0005, 0.5, 8000), pick(ECHO))
-on_sig("c9_echo_far", lambda df: effects.echo(df, 0.6, 3, 200.0, 0.5, 8000), pick("x"))
+on_sig("c9_echo_far", lambda df: effects.echo(df, 0.6, 3, 0.0005, 0.5, 8000, near=8), pick(ECHO))
 CHORUS = """d AS (SELECT *, idx - (sin(pi() / 2 + idx * (2 * pi() * 40.0 / 8000)) * 0.5 + 0.5) * (0.001 * 8000) AS p FROM sig),
 o AS (SELECT d.clip_id, d.channel, d.idx, d.x + 0.7 * CASE WHEN p < 0 THEN 0.0 ELSE coalesce(a.x, 0.0) + (coalesce(b.x, a.x, 0.0) - coalesce(a.x, 0.0)) * (p - floor(p)) END AS x
  FROM d LEFT JOIN sig a ON a.clip_id = d.clip_id AND a.idx = CAST(floor(p) AS BIGINT) LEFT JOIN sig b ON b.clip_id = d.clip_id AND b.idx = CAST(floor(p) AS BIGINT) + 1)"""
@@ -183,13 +192,33 @@ def edge_sql(op: str, t: float, where: str) -> str:
 for where in ("start", "end", "both"):
     on_sig(f"d4_trim_{where}", lambda df, w=where: levels.trim_silence(df, w, 0.305), edge_sql(">", 0.305, where))
     on_sig(f"d7_keep_{where}", lambda df, w=where: levels.keep_silence(df, w, 0.055), edge_sql("<=", 0.055, where))
-on_sig("d5_trim_all", lambda df: levels.trim_silence(effects.put(df, F.when(F.col("idx") % 1000 < 400, F.lit(0.1)).otherwise(F.col("x"))), "all", 0.01), view=V.sig_long)
+def runs_sql(near: str, ctes: str, values: list[str], base: str) -> str:
+    """Anchor and count along the clip, one position a step; `near` compares r.a_<value> with s.<value>."""
+    anchors = ", ".join(f"{v} AS a_{v}" for v in values)
+    moved = ", ".join(f"CASE WHEN {near} THEN r.a_{v} ELSE s.{v} END" for v in values)
+    columns, own = ", ".join(values), ", ".join(f"s.{v}" for v in values)
+    return f"""{ctes}, rec AS (SELECT clip_id, idx, {columns}, {anchors}, CASE WHEN {near.replace('r.a_', 's.')} THEN 1 ELSE 0 END AS c, true AS stay, false AS ended FROM {base} s WHERE idx = 0
+ UNION ALL SELECT s.clip_id, s.idx, {own}, {moved}, CASE WHEN NOT ({near}) THEN 0 WHEN r.c >= 128 THEN r.c ELSE r.c + 1 END, NOT (r.c >= 128 AND ({near})), r.c >= 128 AND NOT ({near})
+ FROM rec r JOIN {base} s ON s.clip_id = r.clip_id AND s.idx = r.idx + 1),
+k AS (SELECT clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY idx) - 1 AS idx, {columns} FROM rec JOIN len USING (clip_id) WHERE stay AND NOT (ended AND idx = n - 1))"""
+
+
+FLAT_PART = "fl AS (SELECT clip_id, idx, CASE WHEN idx % 1000 < 400 THEN 0.1 ELSE x END AS x FROM sig)"
+
+
+def flattened(df: DataFrame) -> DataFrame:
+    return effects.put(df, F.when(F.col("idx") % 1000 < 400, F.lit(0.1)).otherwise(F.col("x")))
+
+
+for name, fn, inverse in (("d5_trim_all", levels.trim_silence, ""), ("d8_keep_all", levels.keep_silence, "NOT ")):
+    on_sig(name, lambda df, f=fn: f(flattened(df), "all", 0.01), pick("x", "k", runs_sql(f"{inverse}(abs(r.a_x - s.x) <= 0.01)", FLAT_PART, ["x"], "fl"), V.LONG, channel="0"), V.sig_long)
 TWO = f"{V.LR}, f AS (SELECT lr.clip_id, n, max(l) FILTER (WHERE idx = 0) AS fl, max(r) FILTER (WHERE idx = 0) AS fr, max(l) FILTER (WHERE idx = n - 1) AS ll, max(r) FILTER (WHERE idx = n - 1) AS rr FROM lr JOIN len USING (clip_id) GROUP BY lr.clip_id, n), " \
       "h AS (SELECT lr.clip_id, min(idx) FILTER (WHERE abs(l - fl) > 0.305 AND abs(r - fr) > 0.305) AS a, max(idx) FILTER (WHERE abs(l - ll) > 0.305 AND abs(r - rr) > 0.305) AS b FROM lr JOIN f USING (clip_id) GROUP BY lr.clip_id), " \
       f"k AS (SELECT clip_id, least(coalesce(a, 0), coalesce(b, 0)) AS s, coalesce(b, 0) AS e FROM h), {V.STEREO}"
 on_sig("d6_trim_stereo", lambda df: levels.trim_silence_stereo(df, "both", 0.305), pick("x", "st JOIN k USING (clip_id) WHERE idx BETWEEN s AND e", TWO, idx="idx - s"), V.sig_stereo)
-on_sig("d8_keep_all", lambda df: levels.keep_silence(effects.put(df, F.when(F.col("idx") % 1000 < 400, F.lit(0.1)).otherwise(F.col("x"))), "all", 0.01), view=V.sig_long)
-on_sig("d8_keep_stereo_all", lambda df: levels.trim_silence_stereo(df, "all", 0.01, near=True), view=V.sig_stereo)
+for name, near, inverse in (("d6_trim_stereo_all", False, ""), ("d8_keep_stereo_all", True, "NOT ")):
+    on_sig(name, lambda df, n=near: levels.trim_silence_stereo(df, "all", 0.9, near=n),
+           pick("x", "(SELECT clip_id, 0 AS channel, idx, l AS x FROM k UNION ALL SELECT clip_id, 1, idx, r FROM k)", runs_sql(f"{inverse}(abs(r.a_l - s.l) <= 0.9 AND abs(r.a_r - s.r) <= 0.9)", V.LR, ["l", "r"], "lr")), V.sig_stereo)
 FIRST = f"{V.U8}, g AS (SELECT data, min((clip_id, frame_no)) AS first FROM u8 GROUP BY data), dict AS (SELECT data, row_number() OVER (ORDER BY first) - 1 AS dict_id FROM g)"
 add("d9_frame_dedup", lambda s, d: levels.frame_dedup(V.frames64_u8(s, d))[1], f"WITH {FIRST} SELECT clip_id, frame_no, dict_id FROM u8 JOIN dict USING (data)")
 add("d10_fingerprint", lambda s, d: levels.fingerprint(V.frames64_u8(s, d)).select("clip_id", "frame_no", "fingerprint"),
@@ -234,18 +263,47 @@ recursive("e2_echo_infinite", lambda df: filters.echo_infinite(df, 0.6, 0.001, 8
 recursive("e3_comb_low", lambda df: filters.comb(df, 0.5123457, 4, "low", chunk=4), "x AS y", "s.x + 0.5123457 * r.y", lag=4)
 recursive("e3_comb_high", lambda df: filters.comb(df, 0.5123457, 3, "high", chunk=4), "x AS y", "s.x - 0.5123457 * r.y", lag=3)
 recursive("e4_alternating_difference", effects.alternating_difference, "x AS y", "s.x - r.y")
+recursive("e5_leaky_difference_own", lambda df: filters.leaky_difference(df, -100, 0.41234567, chunk=16), "0e0 AS acc, x AS y", "r.acc + (r.y - r.acc) * 0.41234567, s.x - (r.acc + (r.y - r.acc) * 0.41234567)")
 recursive("e5_leaky_difference", lambda df: filters.leaky_difference(df, 90, 0.41234567, chunk=16), "0e0 AS acc, 0e0 AS y", "r.acc + (r.x - r.acc) * 0.41234567, s.x - 0.9 * (r.acc + (r.x - r.acc) * 0.41234567)")
 
 
-def biquad_rec(name: str, kind: str, q: float = 0.8, **options) -> None:
-    b0, b1, b2, a1, a2 = (repr(v) for v in filters.coefficients(kind, 700.0, q, 8000, options.get("gain_db", 0.0)))
-    recursive(name, lambda df: filters.biquad(df, kind, 700.0, q, 8000, chunk=16, **options),
-              f"{b0} * x AS y, 0e0 AS x1, 0e0 AS y1", f"{b0} * s.x + {b1} * r.x + {b2} * r.x1 - ({a1}) * r.y - ({a2}) * r.y1, r.x, r.y")
+#: Second-order filters in SQL: b0, b1, b2, a0, a1, a2 from c = cos w, s = sin w, al = s / 2q, g = 10^(dB / 40), k = tan(w / 2).
+ROOT = "2 * sqrt(g) * al"
+FORMS = {
+    "low": "(1 - c) / 2, 1 - c, (1 - c) / 2, 1 + al, -2 * c, 1 - al",
+    "high": "(1 + c) / 2, -(1 + c), (1 + c) / 2, 1 + al, -2 * c, 1 - al",
+    "bandpass": "al, 0e0, -al, 1 + al, -2 * c, 1 - al",
+    "peak": "1 + al * g, -2 * c, 1 - al * g, 1 + al / g, -2 * c, 1 - al / g",
+    "notch": "1e0, -2 * c, 1e0, 1e0, -2 * 0.95 * c, 0.95 * 0.95",
+    "lowshelf": f"g * (g + 1 - (g - 1) * c + {ROOT}), 2 * g * (g - 1 - (g + 1) * c), g * (g + 1 - (g - 1) * c - {ROOT}), g + 1 + (g - 1) * c + {ROOT}, -2 * (g - 1 + (g + 1) * c), g + 1 + (g - 1) * c - {ROOT}",
+    "highshelf": f"g * (g + 1 + (g - 1) * c + {ROOT}), -2 * g * (g - 1 + (g + 1) * c), g * (g + 1 + (g - 1) * c - {ROOT}), g + 1 - (g - 1) * c + {ROOT}, 2 * (g - 1 - (g + 1) * c), g + 1 - (g - 1) * c - {ROOT}",
+    "allpass": "1 - al, -2 * c, 1 + al, 1 + al, -2 * c, 1 - al",
+    "butter_low": "k * k, 2 * k * k, k * k, 1 + sqrt(2) * k + k * k, 2 * (k * k - 1), 1 - sqrt(2) * k + k * k",
+    "butter_high": "1e0, -2e0, 1e0, 1 + sqrt(2) * k + k * k, 2 * (k * k - 1), 1 - sqrt(2) * k + k * k",
+}
+
+
+def form_sql(kind: str, source: str, w: str, q: str, keep: str = "", gain_db: float = 0.0) -> str:
+    """Normalized coefficients for each row of `source`; w and q are expressions over it."""
+    names = [f"{v} AS {n}" for n, v in zip(("n0", "n1", "n2", "d0", "d1", "d2"), FORMS[kind].split(", "), strict=True)]
+    trig = f"(SELECT *, cos(w) AS c, sin(w) AS s, sin(w) / (2 * q) AS al, pow(10e0, {gain_db} / 40) AS g, tan(w / 2) AS k FROM (SELECT *, {w} AS w, {q} AS q FROM {source}))"
+    return f"SELECT {keep}n0 / d0 AS b0, n1 / d0 AS b1, n2 / d0 AS b2, d1 / d0 AS a1, d2 / d0 AS a2 FROM (SELECT *, {', '.join(names)} FROM {trig})"
+
+
+FIXED = "(SELECT 1 AS one)"
+
+
+def biquad_rec(name: str, kind: str, q: float = 0.8, chunk: int = filters.CHUNK, **options) -> None:
+    co = f"co AS ({form_sql(kind, FIXED, '2 * pi() * 700 / 8000', str(q), gain_db=options.get('gain_db', 0.0))})"
+    start = "b0 * x AS y, 0e0 AS x1, 0e0 AS y1"
+    step = "co.b0 * s.x + co.b1 * r.x + co.b2 * r.x1 - co.a1 * r.y - co.a2 * r.y1, r.x, r.y"
+    ctes = f"{co}, rec AS (SELECT clip_id, channel, idx, x, {start} FROM sig, co WHERE idx = 0 UNION ALL SELECT s.clip_id, s.channel, s.idx, s.x, {step} FROM rec r JOIN sig s ON s.clip_id = r.clip_id AND s.idx = r.idx + 1, co)"
+    on_sig(name, lambda df: filters.biquad(df, kind, 700.0, q, 8000, chunk=chunk, **options), pick("y", "rec", ctes))
 
 
 for kind in ("low", "high", "bandpass"):
     biquad_rec(f"e7_{kind}", kind)
-biquad_rec("e6_biquad", "low", 0.7, form="df2t")
+biquad_rec("e6_biquad", "low", 0.7, chunk=16, form="df2t")
 for kind in ("peak", "notch"):
     biquad_rec(f"e8_{kind}", kind, gain_db=6.0)
 for kind in ("lowshelf", "highshelf"):
@@ -254,14 +312,26 @@ biquad_rec("e10_allpass", "allpass")
 for kind in ("butter_low", "butter_high"):
     biquad_rec(f"e11_{kind}", kind)
 biquad_rec("e12_forms", "low", 0.8, form="df1t")
-B0, B1, B2, A1, A2 = (repr(v) for v in filters.coefficients("low", 700.0, 0.8, 8000))
-REC = f"""rec AS (SELECT clip_id, channel, idx, x, {{x0}} AS fed, {B0} * {{x0}} AS y, 0e0 AS x1, 0e0 AS y1 FROM sig WHERE idx = 0
- UNION ALL SELECT s.clip_id, s.channel, s.idx, s.x, s.x, {B0} * s.x + {B1} * r.fed + {B2} * r.x1 - ({A1}) * r.y - ({A2}) * r.y1, r.fed, r.y FROM rec r JOIN sig s ON s.clip_id = r.clip_id AND s.idx = r.idx + 1)"""
+REC = f"""co AS ({form_sql("low", FIXED, "2 * pi() * 700 / 8000", "0.8")}),
+rec AS (SELECT clip_id, channel, idx, x, {{x0}} AS fed, b0 * {{x0}} AS y, 0e0 AS x1, 0e0 AS y1 FROM sig, co WHERE idx = 0
+ UNION ALL SELECT s.clip_id, s.channel, s.idx, s.x, s.x, co.b0 * s.x + co.b1 * r.fed + co.b2 * r.x1 - co.a1 * r.y - co.a2 * r.y1, r.fed, r.y FROM rec r JOIN sig s ON s.clip_id = r.clip_id AND s.idx = r.idx + 1, co)"""
 on_sig("e13_crossfade", lambda df: filters.biquad(df, "low", 700.0, 0.8, 8000, crossfade=True, chunk=16),
        pick("x + (y - x) * least(idx / 32, (n - 1 - idx) / 32, 1.0)", "rec JOIN len USING (clip_id)", REC.format(x0="0e0")))
 on_sig("e14_biquad_mix", lambda df: filters.biquad_mix(df, "low", 700.0, 0.8, 8000, 0.4, 0.7, chunk=16), pick("0.4 * x + 0.7 * y", "rec", REC.format(x0="x")))
-on_sig("e15_biquad_sweep", lambda df: filters.biquad_sweep(df, "low", 300.0, 1500.0, 0.7, 1.2, 0.2, 0.4, 0.8, 0.6, 8000, chunk=16))
-on_sig("e16_biquad_automation", lambda df: filters.biquad_automation(df, points(df), "low", 0.8, 8000, chunk=16))
+def varying(kind: str, source: str, w: str, q: str) -> str:
+    """co: coefficients of each sample; rec: the transposed form over them."""
+    return f"""co AS ({form_sql(kind, source, w, q, "clip_id, channel, idx, x, ")}),
+rec AS (SELECT clip_id, channel, idx, x, b0 * x AS y, b1 * x - a1 * (b0 * x) AS s1, b2 * x - a2 * (b0 * x) AS s2 FROM co WHERE idx = 0
+ UNION ALL SELECT c.clip_id, c.channel, c.idx, c.x, c.b0 * c.x + r.s1, c.b1 * c.x - c.a1 * (c.b0 * c.x + r.s1) + r.s2, c.b2 * c.x - c.a2 * (c.b0 * c.x + r.s1)
+ FROM rec r JOIN co c ON c.clip_id = r.clip_id AND c.idx = r.idx + 1)"""
+
+
+on_sig("e15_biquad_sweep", lambda df: filters.biquad_sweep(df, "low", 300.0, 1500.0, 0.7, 1.2, 0.2, 0.4, 0.8, 0.6, 8000, chunk=16),
+       pick("(0.2 + 0.2 * idx / n) * x + (0.8 - 0.2 * idx / n) * y", "rec JOIN len USING (clip_id)",
+            varying("low", "(SELECT * FROM sig JOIN len USING (clip_id))", "2 * pi() * (300 + 1200 * idx / n) / 8000", "0.7 + 0.5 * idx / n")))
+for kind in ("low", "high"):
+    on_sig(f"e16_biquad_automation{'' if kind == 'low' else '_' + kind}", lambda df, k=kind: filters.biquad_automation(df, points(df), k, 0.8, 8000, chunk=16),
+           pick("y", "rec", ASOF + ", f AS (SELECT o.clip_id, o.channel, o.idx, sig.x, o.x AS freq FROM o JOIN sig ON sig.clip_id = o.clip_id AND sig.idx = o.idx), " + varying(kind, "f", "2 * pi() * freq / 8000", "0.8")))
 PRED = f"""a AS (SELECT *, lead(x, 2, 0.0) {W} AS x2 FROM sig),
 rec AS (SELECT clip_id, idx, x, 0e0 AS before, 0.5 * x2 AS p FROM a WHERE idx = 0 UNION ALL SELECT a.clip_id, a.idx, a.x, r.p, r.p + 0.5 * (a.x2 - r.p) FROM rec r JOIN a ON a.clip_id = r.clip_id AND a.idx = r.idx + 1),
 b AS (SELECT clip_id, idx, p, x - before AS diff FROM rec), c AS (SELECT *, lag(diff, 1, 0.0) {W} AS last FROM b)"""
@@ -275,17 +345,26 @@ add("f2_delta_encode", lambda s, d: filters.delta_encode(V.sig(s, d)).select("cl
     rec AS (SELECT clip_id, idx, greatest(-128, least(127, v)) AS code, greatest(-128, least(127, v)) AS p FROM v WHERE idx = 0
     UNION ALL SELECT v.clip_id, v.idx, greatest(-128, least(127, v.v - r.p)), r.p + greatest(-128, least(127, v.v - r.p)) FROM rec r JOIN v ON v.clip_id = r.clip_id AND v.idx = r.idx + 1)
     SELECT clip_id, idx, CAST(code AS BIGINT) AS code FROM rec""")
-add("f3_delta_1bit", lambda s, d: filters.delta_1bit(V.sig(s, d)).select("clip_id", F.col("b").cast("long").alias("b"), F.col("byte").cast("long").alias("byte")),
-    f"""WITH RECURSIVE {V.SIG}, v AS (SELECT clip_id, idx, CAST(floor((x + 1) * 8 + 0.5) AS BIGINT) AS v FROM sig),
-    rec AS (SELECT clip_id, idx, CASE WHEN 0 > v THEN 1 ELSE 0 END AS bit, CASE WHEN 0 > v THEN 1 ELSE -1 END AS c FROM v WHERE idx = 0
+ONE_BIT = """rec AS (SELECT clip_id, idx, CASE WHEN 0 > v THEN 1 ELSE 0 END AS bit, CASE WHEN 0 > v THEN 1 ELSE -1 END AS c FROM v WHERE idx = 0
     UNION ALL SELECT v.clip_id, v.idx, CASE WHEN r.c > v.v THEN 1 ELSE 0 END, r.c + CASE WHEN r.c > v.v THEN 1 ELSE -1 END FROM rec r JOIN v ON v.clip_id = r.clip_id AND v.idx = r.idx + 1)
-    SELECT clip_id, idx // 8 AS b, CAST(sum(bit << CAST(idx % 8 AS INTEGER)) AS BIGINT) AS byte FROM rec GROUP BY ALL""")
+    SELECT clip_id, idx // 8 AS b, CAST(sum(bit << CAST(idx % 8 AS INTEGER)) AS BIGINT) AS byte FROM rec GROUP BY ALL"""
+
+
+def one_bit(df: DataFrame, stereo: bool = False) -> DataFrame:
+    return filters.delta_1bit(df, stereo).select("clip_id", F.col("b").cast("long").alias("b"), F.col("byte").cast("long").alias("byte"))
+
+
+add("f3_delta_1bit", lambda s, d: one_bit(V.sig(s, d)), f"WITH RECURSIVE {V.SIG}, v AS (SELECT clip_id, idx, CAST(floor((x + 1) * 8 + 0.5) AS BIGINT) AS v FROM sig), {ONE_BIT}")
+add("f3_delta_1bit_stereo", lambda s, d: one_bit(V.sig_stereo(s, d), True),
+    f"WITH RECURSIVE {V.SIG}, {V.LR}, {V.STEREO}, v AS (SELECT clip_id, idx * 2 + channel AS idx, CAST(floor((x + 1) * 8 + 0.5) AS BIGINT) AS v FROM st), {ONE_BIT}")
+STEPS = {3: "[0, 1, 2, 3, 6, 10, 15, 21]",
+         7: "list_concat([0, 8], range(16, 512, 16), range(512, 1024, 8), range(1024, 2048, 64), range(2048, 4096, 256), range(4096, 8192, 1024), [8192, 12288, 16384])"}
 for bits, old in ((3, False), (3, True), (7, False)):
-    t = f"[{', '.join(map(str, filters.CODES[bits]))}]"
+    t, scale = STEPS[bits], {3: "127.0", 7: "32767.0"}[bits]
     ind = f"CASE WHEN d = 0 THEN 0 ELSE coalesce(list_position(list_transform({t}, lambda e: e > abs(d)), true) - 1, len({t}) - 1) END"
     sign = f"{2 ** (bits + 1) - 1} - ({ind})" if old else f"({ind}) + {2 ** bits}"
     add(f"f4_codebook_{bits}{'_old' if old else ''}", lambda s, d, b=bits, o=old: filters.delta_codebook(V.sig(s, d), b, old=o).select("clip_id", "idx", "code"),
-        f"WITH {V.SIG}, p AS (SELECT clip_id, idx, (x + 1) * 127.0 - lag((x + 1) * 127.0, 1, 0.0) {W} AS d FROM sig) SELECT clip_id, idx, CAST(CASE WHEN d < 0 THEN {sign} ELSE {ind} END AS BIGINT) AS code FROM p")
+        f"WITH {V.SIG}, p AS (SELECT clip_id, idx, (x + 1) * {scale} - lag((x + 1) * {scale}, 1, 0.0) {W} AS d FROM sig) SELECT clip_id, idx, CAST(CASE WHEN d < 0 THEN {sign} ELSE {ind} END AS BIGINT) AS code FROM p")
 
 # -- G: encoders -----------------------------------------------------------------------------------------------------------------------
 codes("g1_to_u8", S.to_u8, "CAST(trunc((x + 1) * 127.5) AS BIGINT) & 255")
@@ -338,15 +417,32 @@ add("h2_fft_roundtrip", framed(spectral.fft_roundtrip), f"{FLAT} SELECT clip_id,
 add("h3_fft_morph", framed(spectral.fft_morph), f"""{FLAT}, e AS (SELECT clip_id, arg_min(data, frame_no) AS a, arg_max(data, frame_no) AS b, count(*) AS n FROM fr GROUP BY clip_id)
  SELECT clip_id, frame_no, k, round(a[k + 1] + (b[k + 1] - a[k + 1]) * (frame_no / n), 6) + 0.0 AS x FROM fr JOIN e USING (clip_id), range(0, 64) t(k)""")
 add("h4_fft_quantize_mag", framed(lambda f: spectral.fft_quantize_mag(f, 7.3)), f"WITH {DFT}, z AS (SELECT clip_id, frame_no, k, re * floor(sqrt(re * re + im * im) * 7.3 + 0.5) / 7.3 / sqrt(re * re + im * im) AS re, im * floor(sqrt(re * re + im * im) * 7.3 + 0.5) / 7.3 / sqrt(re * re + im * im) AS im FROM b){BACK}{OUT}")
-add("h5_fft_quantize_phase", framed(lambda f: spectral.fft_quantize_phase(f, 7)))
+add("h5_fft_quantize_phase", framed(lambda f: spectral.fft_quantize_phase(f, 8)), f"""WITH {DFT}, m AS (SELECT *, sqrt(re * re + im * im) AS mag, floor(atan2(im, re) / (pi() / 4) + 0.5) * (pi() / 4) AS ph FROM b),
+ z AS (SELECT clip_id, frame_no, k, mag * cos(ph) AS re, mag * sin(ph) AS im FROM m){BACK}{OUT}""")
 add("h6_fft_smear", framed(lambda f: spectral.fft_smear(f, 2)), f"""WITH {DFT}, m AS (SELECT *, sqrt(re * re + im * im) AS mag FROM b),
  s AS (SELECT *, avg(mag) OVER (PARTITION BY clip_id, frame_no ORDER BY k ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS sm FROM m),
  z AS (SELECT clip_id, frame_no, k, re * sm / mag AS re, im * sm / mag AS im FROM s){BACK}{OUT}""")
-add("h6_fft_smear_hann", framed(lambda f: spectral.fft_smear(f, 3, True)))
-add("h7_fft_saturate", framed(lambda f: spectral.fft_saturate(f, 0.6)))
-for mode in ("copytwice", "copyonce", "filltwice", "fillonce"):
-    add(f"h8_as_raw_{mode}", framed(lambda f, m=mode: spectral.fft_as_raw(f, m)))
-add("h9_pitch_naive", framed(lambda f: spectral.fft_pitch_naive(f, 1.3)))
+add("h6_fft_smear_hann", framed(lambda f: spectral.fft_smear(f, 3, True)), f"""WITH {DFT}, m AS (SELECT *, sqrt(re * re + im * im) AS mag FROM b),
+ s AS (SELECT a.clip_id, a.frame_no, a.k, any_value(a.re / a.mag) AS re, any_value(a.im / a.mag) AS im, sum(n.mag * (0.5 + 0.5 * cos(pi() * (n.k - a.k) / 3))) / sum(0.5 + 0.5 * cos(pi() * (n.k - a.k) / 3)) AS sm
+  FROM m a JOIN m n ON n.clip_id = a.clip_id AND n.frame_no = a.frame_no AND n.k BETWEEN a.k - 3 AND a.k + 3 GROUP BY a.clip_id, a.frame_no, a.k),
+ z AS (SELECT clip_id, frame_no, k, re * sm AS re, im * sm AS im FROM s){BACK}{OUT}""")
+for direction, before in (("up", "n.k <= a.k"), ("down", "n.k >= a.k")):
+    add(f"h7_fft_saturate{'' if direction == 'up' else '_down'}", framed(lambda f, d=direction: spectral.fft_saturate(f, 0.6, d)), f"""WITH {DFT}, m AS (SELECT *, sqrt(re * re + im * im) AS mag FROM b),
+ s AS (SELECT a.clip_id, a.frame_no, a.k, any_value(a.re / a.mag) AS re, any_value(a.im / a.mag) AS im, sum(n.mag * 0.4 * pow(0.6, abs(a.k - n.k))) AS sm
+  FROM m a JOIN m n ON n.clip_id = a.clip_id AND n.frame_no = a.frame_no AND {before} GROUP BY a.clip_id, a.frame_no, a.k),
+ z AS (SELECT clip_id, frame_no, k, re * sm AS re, im * sm AS im FROM s){BACK}{OUT}""")
+# bin k of the mirrored spectrum: h is the bin of the lower half it comes from, v the sign of its imaginary part
+HALF = "h AS (SELECT clip_id, frame_no, data, k, least(k, 64 - k) AS h, CASE WHEN k > 32 THEN -1 ELSE 1 END AS v FROM fr, range(0, 64) q(k))"
+for mode, (re, im) in {
+    "copytwice": ("data[CASE WHEN h = 32 THEN 1 ELSE 2 * h + 1 END]", "v * data[CASE WHEN h = 32 THEN 2 ELSE 2 * h + 2 END]"),
+    "copyonce": ("CASE WHEN h = 32 THEN 0 ELSE data[2 * h + 1] END", "CASE WHEN h = 32 THEN 0 ELSE v * data[2 * h + 2] END"),
+    "filltwice": ("data[h + 1]", "v * data[h + 1]"), "fillonce": ("data[h + 1]", "0e0"),
+}.items():
+    add(f"h8_as_raw_{mode}", framed(lambda f, m=mode: spectral.fft_as_raw(f, m)), f"WITH {V.FRAMES}, {HALF}, z AS (SELECT clip_id, frame_no, k, {re} AS re, {im} AS im FROM h){BACK}{OUT}")
+HANN = "(0.5 - 0.5 * cos(2 * pi() * {t} / 64))"
+add("h9_pitch_naive", framed(lambda f: spectral.fft_pitch_naive(f, 1.3)), f"""WITH {DFT.replace("data[t + 1] AS x", f"data[t + 1] * {HANN.format(t='t')} AS x")}, {HALF.replace("data, ", "")},
+ z AS (SELECT h.clip_id, h.frame_no, h.k, coalesce(b.re, 0) AS re, coalesce(v * b.im, 0) AS im FROM h LEFT JOIN b ON b.clip_id = h.clip_id AND b.frame_no = h.frame_no AND b.k = CAST(floor(h.h / 1.3) AS BIGINT)){BACK}
+ SELECT clip_id, frame_no, k, round(x * {HANN.format(t='k')}, 6) + 0.0 AS x FROM i""")
 add("h10_dct_roundtrip", framed(spectral.dct_roundtrip), SQL["h2_fft_roundtrip"])
 add("h10_dct_reverse", framed(spectral.dct_reverse), f"""WITH {V.FRAMES}, p AS (SELECT clip_id, frame_no, t, data[t + 1] AS x FROM fr, range(0, 64) r(t)),
  c AS (SELECT clip_id, frame_no, k, sum(x * cos(pi() * (2 * t + 1) * k / 128) * CASE WHEN k = 0 THEN sqrt(1 / 64) ELSE sqrt(2 / 64) END) AS c FROM p, range(0, 64) q(k) GROUP BY ALL),
@@ -357,7 +453,7 @@ on_sig("h13_vocoder_polished", lambda df: spectral.vocoder_mono(df, 1.2, True),
 on_sig("h14_vocoder_stereo", lambda df: spectral.vocoder_stereo(df, 1.2), view=V.sig_stereo)
 
 # -- I: generators ---------------------------------------------------------------------------------------------------------------------------
-TURN = f"(idx * {S.note_hz(61)!r} / 8000)"
+TURN = "(idx * (440 * pow(2e0, (61 - 69) / 12e0)) / 8000)"
 PART = f"({TURN} - floor({TURN}))"
 for kind, sql in {"sine": f"sin({TURN} * (2 * pi()))", "saw": f"2 * ({PART} - 0.5)", "triangle": f"abs({PART} - 0.5) * 4 - 1", "square": f"sign({PART} - 0.5)"}.items():
     on_sig(f"i{['sine', 'saw', 'triangle', 'square'].index(kind) + 1}_{kind}", lambda df, k=kind: effects.add_tone(df, k, 61, 0.3, 8000), pick(f"x + 0.3 * ({sql})"))

@@ -13,7 +13,6 @@ from sparkwave.functions import shaping as S
 
 # Bits per sample and format code of each encoding.
 FORMATS = {"u8": (8, 1), "i16": (16, 1), "i24": (24, 1), "i32": (32, 1), "f32": (32, 3), "f64": (64, 3), "alaw": (8, 6), "mulaw": (8, 7)}
-LIMIT = 2_000_000_000  # bytes of one value
 
 
 def interleave(df: DataFrame, channels: int) -> DataFrame:
@@ -56,26 +55,47 @@ def _encode(x: np.ndarray, encoding: str) -> bytes:
     return x.astype(np.uint8).tobytes()  # codes of alaw and mulaw, made by column expressions
 
 
-def pack_wav(samples: DataFrame, clips: DataFrame, encoding: str = "i16") -> DataFrame:
-    """(clip_id, wav BINARY).  Clips whose plan exceeds what one value can hold are left out; see wav_size_plan."""
+PART_FRAMES = 1 << 22  # positions of one part
+
+
+def pack_wav(samples: DataFrame, clips: DataFrame, encoding: str = "i16", part_frames: int = PART_FRAMES) -> DataFrame:
+    """(clip_id, part, wav BINARY): the parts of a clip in order are its file.
+
+    A part holds the samples of `part_frames` positions, so a clip of any length is dealt over tasks and no value gets too large;
+    part 0 begins with the header and the last one ends with padding and the INFO list.  Clips without samples have their header.
+    A file of 4 GB or more does not fit the format's 32-bit sizes; it gets the largest size there, as streamed files do.
+    """
     bits, code = FORMATS[encoding]
-    plan = wav_size_plan(clips.withColumn("bits", F.lit(bits))).where(F.col("riff_bytes") < LIMIT)
+    plan = wav_size_plan(clips.withColumn("bits", F.lit(bits)))
+    last = F.greatest(F.lit(0), F.ceil(F.col("n_samples") / part_frames) - 1).cast("long")
+    plan = plan.select("clip_id", "sample_rate", "n_channels", "metadata", "data_bytes", "riff_bytes", last.alias("last"))
     x = {"alaw": S.to_alaw_byte, "mulaw": S.to_mulaw_byte}.get(encoding, lambda c: c)(F.col("x")).cast("double")
-    rows = samples.withColumn("x", x).join(plan.select("clip_id", "sample_rate", "n_channels", "metadata"), "clip_id")
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["idx", "channel"])
-        rate, channels, meta = int(pdf["sample_rate"].iloc[0]), int(pdf["n_channels"].iloc[0]), pdf["metadata"].iloc[0]
-        data = _encode(pdf["x"].to_numpy(float), encoding)
-        info = b""
-        for tag, value in (dict(meta) if meta is not None else {}).items():
-            text = value.encode() + b"\0"
-            info += tag.encode()[:4].ljust(4) + struct.pack("<I", len(text)) + text + b"\0" * (len(text) % 2)
-        listed = b"LIST" + struct.pack("<I", len(info) + 4) + b"INFO" + info if info else b""
-        block = channels * bits // 8
-        head = b"WAVEfmt " + struct.pack("<IHHIIHH", 16, code, channels, rate, rate * block, block, bits)
-        body = head + b"data" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2) + listed
-        return pd.DataFrame({"clip_id": [pdf["clip_id"].iloc[0]], "wav": [b"RIFF" + struct.pack("<I", len(body)) + body]})
-
-    kind = dict(samples.dtypes)["clip_id"]
-    return rows.groupBy("clip_id").applyInPandas(pack, f"clip_id {kind}, wav binary")
+    parts = samples.withColumn("x", x).groupBy("clip_id", F.floor(F.col("idx") / part_frames).cast("long").alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct("idx", "channel", "x"))).alias("s"))
+    every = plan.select("clip_id", "last", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("part")).drop("last")
+    rows = every.join(parts.select("clip_id", "part", F.col("s.x").alias("x")), ["clip_id", "part"], "left").join(plan, "clip_id")
+
+    @F.pandas_udf("binary")
+    def pack(x: pd.Series, part: pd.Series, last: pd.Series, rate: pd.Series, channels: pd.Series, size: pd.Series, riff: pd.Series, meta: pd.Series) -> pd.Series:
+        out = []
+        for x_, part_, last_, rate_, channels_, size_, riff_, meta_ in zip(x, part, last, rate, channels, size, riff, meta, strict=True):
+            data = _encode(np.asarray(x_, float), encoding) if x_ is not None else b""
+            if part_ == 0:
+                block = channels_ * bits // 8
+                head = struct.pack("<IHHIIHH", 16, code, channels_, rate_, rate_ * block, block, bits)
+                data = b"RIFF" + struct.pack("<I", min(riff_, 2**32 - 1)) + b"WAVEfmt " + head + b"data" + struct.pack("<I", min(size_, 2**32 - 1)) + data
+            if part_ == last_:
+                data += b"\0" * (size_ % 2) + _info(meta_)
+            out.append(data)
+        return pd.Series(out)
+
+    value = pack("x", "part", "last", "sample_rate", "n_channels", "data_bytes", "riff_bytes", F.map_entries("metadata"))
+    return rows.select("clip_id", "part", value.alias("wav"))
+
+
+def _info(entries) -> bytes:
+    info = b""
+    for entry in entries if entries is not None else ():
+        text = entry["value"].encode() + b"\0"
+        info += entry["key"].encode()[:4].ljust(4) + struct.pack("<I", len(text)) + text + b"\0" * (len(text) % 2)
+    return b"LIST" + struct.pack("<I", len(info) + 4) + b"INFO" + info if info else b""
