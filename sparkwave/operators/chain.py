@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from sparkwave.operators import effects, filters, levels
+from sparkwave.operators import effects, filters, levels, spectral
 from sparkwave.sources.signals import KEYS
 
 
@@ -34,6 +34,15 @@ def complement(v) -> float:
     return 1 - float(v)
 
 
+def framed(fn: Callable[..., DataFrame], tail: str = "drop") -> Callable[..., DataFrame]:
+    """A function on frames as an effect on samples, with the frame size as a parameter."""
+    return lambda df, size, **params: spectral.on_signal(df, size, lambda f: fn(f, **params), tail)
+
+
+def reverb(df: DataFrame, secs: float, rate: int, decay: float, dry: float, wet: float, kind: str = "plain") -> DataFrame:
+    return spectral.reverb(df, spectral.impulse(int(secs * rate), decay, kind), dry, wet)
+
+
 @dataclass
 class Effect:
     fn: Callable[..., DataFrame]
@@ -76,6 +85,20 @@ EFFECTS: dict[str, Effect] = {
     "pink_noise": Effect(filters.pink_noise, {"vol": number}),
     "sample_hold": Effect(effects.add_sample_hold),
     "gradient_noise": Effect(effects.add_gradient_noise),
+    "biquad_automation": Effect(filters.biquad_automation, {"q": number}),
+    "reverb": Effect(reverb, {"secs": number, "decay": number, "dry": number, "wet": number}),
+    "fft_roundtrip": Effect(framed(spectral.fft_roundtrip), {"size": power_of_two}),
+    "fft_morph": Effect(framed(spectral.fft_morph), {"size": power_of_two}),
+    "fft_quantize_mag": Effect(framed(spectral.fft_quantize_mag), {"size": power_of_two, "steps": number}),
+    "fft_quantize_phase": Effect(framed(spectral.fft_quantize_phase), {"size": power_of_two, "steps": number}),
+    "fft_smear": Effect(framed(spectral.fft_smear), {"size": power_of_two, "radius": int}),
+    "fft_saturate": Effect(framed(spectral.fft_saturate), {"size": power_of_two, "keep": complement}),
+    "fft_as_raw": Effect(framed(spectral.fft_as_raw), {"size": power_of_two}),
+    "fft_pitch_naive": Effect(framed(spectral.fft_pitch_naive, "pad"), {"size": power_of_two, "shift": number}),
+    "dct_roundtrip": Effect(framed(spectral.dct_roundtrip, "keep"), {"size": even}),
+    "dct_reverse": Effect(framed(spectral.dct_reverse, "keep"), {"size": even}),
+    "vocoder": Effect(spectral.vocoder_mono, {"shift": number}),
+    "vocoder_stereo": Effect(spectral.vocoder_stereo, {"shift": number}, channels=2),
     "mid_side": Effect(effects.mid_side, channels=2),
     "widen": Effect(effects.stereo_widen, {"g": number}, channels=2),
 }

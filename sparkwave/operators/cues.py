@@ -64,16 +64,41 @@ def parse_vtt(files: DataFrame) -> DataFrame:
     return cues.withColumn("raw", F.col("text")).withColumn("text", F.regexp_replace("text", r"<[^>]*>", ""))
 
 
+NODE = "struct<type:string,text:string,speaker:string,classes:array<string>>"
+
+
 def vtt_nodes(cues: DataFrame) -> DataFrame:
-    """Adds nodes array<struct<type, text, speaker, classes>>: a span has the tag that opened last before it (normal if closed)."""
+    """Adds nodes array<struct<type, text, speaker, classes>>: a span has the innermost tag that is open (normal if none is).
+
+    `speaker` is the number of a voice span's speaker, as in vtt_speakers.  An end tag closes the last open tag of its name and
+    those inside it; without one it does nothing.
+    """
     piece = F.regexp_extract_all("raw", F.lit(rf"({TAG})?([^<]*)"), F.lit(0))
     tag = lambda p, k: F.regexp_extract(p, TAG, k)
-    node = lambda p: F.struct(
-        F.when(F.regexp_extract(p, TAG, 1) == "/", F.lit("normal")).when(tag(p, 2) == "", F.lit("normal")).otherwise(tag(p, 2)).alias("type"),
-        F.regexp_replace(p, r"<[^>]*>", "").alias("text"),
-        F.when((tag(p, 2) == "v") & (tag(p, 1) == ""), F.trim(tag(p, 4))).alias("speaker"),
-        F.filter(F.split(F.when(tag(p, 1) == "", tag(p, 3)).otherwise(F.lit("")), r"\."), lambda c: c != "").alias("classes"))
-    return cues.withColumn("nodes", F.filter(F.transform(piece, node), lambda n: n["text"] != ""))
+    empty = F.array().cast(f"array<{NODE}>")
+
+    def read(acc, p):
+        name, opened = tag(p, 2), acc["open"]
+        node = F.struct(
+            name.alias("type"), F.lit("").alias("text"), F.when(name == "v", F.trim(tag(p, 4))).alias("speaker"),
+            F.filter(F.split(tag(p, 3), r"\."), lambda c: c != "").alias("classes"))
+        depth = F.array_position(F.reverse(F.transform(opened, lambda n: n["type"])), name).cast("int")
+        closed = F.when(depth > 0, F.slice(opened, F.lit(1), F.size(opened) - depth)).otherwise(opened)
+        now = F.when(name == "", opened).when(tag(p, 1) == "/", closed).otherwise(F.concat(opened, F.array(node)))
+        return F.struct(now.alias("open"), acc["nodes"].alias("nodes"), F.regexp_replace(p, r"<[^>]*>", "").alias("text"))
+
+    def write(acc):
+        plain = F.struct(F.lit("normal").alias("type"), acc["text"].alias("text"), F.lit(None).cast("string").alias("speaker"), F.array().cast("array<string>").alias("classes"))
+        node = F.when(F.size(acc["open"]) == 0, plain).otherwise(F.try_element_at(F.transform(acc["open"], lambda n: F.struct(
+            n["type"].alias("type"), acc["text"].alias("text"), n["speaker"].alias("speaker"), n["classes"].alias("classes"))), F.lit(-1)))
+        return F.struct(acc["open"].alias("open"), F.when(acc["text"] == "", acc["nodes"]).otherwise(F.concat(acc["nodes"], F.array(node))).alias("nodes"), acc["text"].alias("text"))
+
+    start = F.struct(empty.alias("open"), empty.alias("nodes"), F.lit("").alias("text"))
+    found = cues.withColumn("nodes", F.aggregate(piece, start, lambda acc, p: write(read(acc, p)))["nodes"])
+    ids = vtt_speakers(cues).groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "speaker_id"))).alias("ids"))
+    numbered = F.transform("nodes", lambda n: F.struct(
+        n["type"].alias("type"), n["text"].alias("text"), F.try_element_at(F.col("ids"), n["speaker"]).alias("speaker"), n["classes"].alias("classes")))
+    return found.join(ids, "file_id", "left").withColumn("nodes", numbered).drop("ids")
 
 
 def vtt_speakers(cues: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from sparkwave.functions import shaping as S
 from sparkwave.operators import chain, cues, effects, filters, levels, spectral
 from sparkwave.plans import views as V
-from sparkwave.sources import signals, wav
+from sparkwave.sources import signals, storage, wav
+from sparkwave.streaming import signals as streaming
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -217,8 +218,9 @@ TWO = f"{V.LR}, f AS (SELECT lr.clip_id, n, max(l) FILTER (WHERE idx = 0) AS fl,
       f"k AS (SELECT clip_id, least(coalesce(a, 0), coalesce(b, 0)) AS s, coalesce(b, 0) AS e FROM h), {V.STEREO}"
 on_sig("d6_trim_stereo", lambda df: levels.trim_silence_stereo(df, "both", 0.305), pick("x", "st JOIN k USING (clip_id) WHERE idx BETWEEN s AND e", TWO, idx="idx - s"), V.sig_stereo)
 for name, near, inverse in (("d6_trim_stereo_all", False, ""), ("d8_keep_stereo_all", True, "NOT ")):
-    on_sig(name, lambda df, n=near: levels.trim_silence_stereo(df, "all", 0.9, near=n),
-           pick("x", "(SELECT clip_id, 0 AS channel, idx, l AS x FROM k UNION ALL SELECT clip_id, 1, idx, r FROM k)", runs_sql(f"{inverse}(abs(r.a_l - s.l) <= 0.9 AND abs(r.a_r - s.r) <= 0.9)", V.LR, ["l", "r"], "lr")), V.sig_stereo)
+    on_sig(name, lambda df, n=near: levels.trim_silence_stereo(V.stereo(flattened(df)), "all", 0.01, near=n),
+           pick("x", "(SELECT clip_id, 0 AS channel, idx, l AS x FROM k UNION ALL SELECT clip_id, 1, idx, r FROM k)",
+                runs_sql(f"{inverse}(abs(r.a_l - s.l) <= 0.01 AND abs(r.a_r - s.r) <= 0.01)", f"{FLAT_PART}, {V.LR.replace('FROM sig', 'FROM fl')}", ["l", "r"], "lr"), V.LONG), V.sig_long)
 FIRST = f"{V.U8}, g AS (SELECT data, min((clip_id, frame_no)) AS first FROM u8 GROUP BY data), dict AS (SELECT data, row_number() OVER (ORDER BY first) - 1 AS dict_id FROM g)"
 add("d9_frame_dedup", lambda s, d: levels.frame_dedup(V.frames64_u8(s, d))[1], f"WITH {FIRST} SELECT clip_id, frame_no, dict_id FROM u8 JOIN dict USING (data)")
 add("d10_fingerprint", lambda s, d: levels.fingerprint(V.frames64_u8(s, d)).select("clip_id", "frame_no", "fingerprint"),
@@ -501,11 +503,13 @@ add("j2_parse_time", lambda s, d: V.cue_src(s, d).select("file_id", "cue_no", (F
     f"WITH {V.CUES} SELECT file_id, cue_no, round(CAST(start_s AS DOUBLE), 3) + 0.0 AS s FROM cue")
 add("j3_parse_sub", lambda s, d: cue_rows(cues.parse_sub(cues.to_sub(ordered(s, d)))), CUE_OUT)
 add("j4_parse_vtt", lambda s, d: cue_rows(cues.parse_vtt(vtt_files(s, d))), CUE_OUT)
+NAMED = """f AS (SELECT file_id, role AS name, min(start_s) AS first FROM cue WHERE text <> '' GROUP BY ALL),
+    p AS (SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY first, name) - 1 AS INTEGER) AS speaker_id, name FROM f)"""
 add("j5_vtt_nodes", lambda s, d: cues.vtt_nodes(cues.parse_vtt(vtt_files(s, d))).select("file_id", "cue_no", F.explode("nodes").alias("n")).select("file_id", "cue_no", "n.type", "n.speaker", "n.text"),
-    f"WITH {V.CUES} SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY start_s, cue_no) - 1 AS INTEGER) AS cue_no, 'v' AS type, role AS speaker, text FROM cue WHERE text <> ''")
+    f"""WITH {V.CUES}, {NAMED} SELECT cue.file_id, CAST(row_number() OVER (PARTITION BY cue.file_id ORDER BY start_s, cue_no) - 1 AS INTEGER) AS cue_no, 'v' AS type, speaker_id AS speaker, text
+    FROM cue JOIN p ON p.file_id = cue.file_id AND p.name = cue.role WHERE text <> ''""")
 add("j6_vtt_speakers", lambda s, d: cues.vtt_speakers(cues.parse_vtt(vtt_files(s, d))),
-    f"""WITH {V.CUES}, f AS (SELECT file_id, role AS name, min(start_s) AS first FROM cue WHERE text <> '' GROUP BY ALL)
-    SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY first, name) - 1 AS INTEGER) AS speaker_id, name FROM f""")
+    f"WITH {V.CUES}, {NAMED} SELECT * FROM p")
 add("j7_clean_cues", lambda s, d: cue_rows(cues.clean_cues(V.cue_src(s, d).selectExpr("file_id", "cue_no", "end_s AS start_s", "start_s AS end_s", "text"))),
     f"WITH {V.CUES} SELECT file_id, CAST(cue_no AS BIGINT) AS cue_no, round(CAST(start_s AS DOUBLE), 3) + 0.0 AS start_s, round(CAST(end_s AS DOUBLE), 3) + 0.0 AS end_s, text FROM cue WHERE text <> ''")
 add("j8_order_cues", lambda s, d: cue_rows(ordered(s, d)), CUE_OUT)
@@ -513,13 +517,77 @@ add("j9_format_time", lambda s, d: V.cue_src(s, d).select("file_id", "cue_no", c
     f"WITH {V.CUES} SELECT file_id, cue_no, {clock('(end_s * 401)')} AS t FROM cue")
 add("j10_to_srt", lambda s, d: cues.to_srt(ordered(s, d)), f"WITH {CLEAN} {SRT_BODY}")
 add("j10_to_sub", lambda s, d: cues.to_sub(ordered(s, d)), f"WITH {CLEAN} {SUB_BODY}")
-add("a7_write_cues", lambda s, d: cues.to_srt(ordered(s, d)).select("file_id", F.length("body").cast("long").alias("n_chars")), f"WITH {CLEAN}, w AS ({SRT_BODY}) SELECT file_id, CAST(length(body) AS BIGINT) AS n_chars FROM w")
+def stored_cues(s, d) -> DataFrame:
+    path = storage.work_dir(s, "cues")
+    cues.write_cues(ordered(s, d), "srt", path)
+    return s.read.schema("file_id long, body string").parquet(path)
+
+
+def cue_folder(s, d) -> DataFrame:
+    """One text file a conversation, read back."""
+    path = storage.work_dir(s, "cue-files")
+    cues.to_srt(ordered(s, d)).write.partitionBy("file_id").text(path)
+    return cues.read_cues(s, path).select(F.regexp_extract("path", "file_id=([0-9]+)/", 1).cast("long").alias("file_id"), "body")
+
+
+add("a7_write_cues", stored_cues, f"WITH {CLEAN} {SRT_BODY}")
+add("a6_read_cues", cue_folder, f"WITH {CLEAN}, w AS ({SRT_BODY}) SELECT file_id, body || chr(10) AS body FROM w")
 add("j11_convert_vtt_sub", lambda s, d: cues.convert_cues(vtt_files(s, d), "vtt", "sub"), f"WITH {CLEAN} {SUB_BODY}")
 add("j11_convert_sub_srt", lambda s, d: cues.convert_cues(cues.to_sub(ordered(s, d)), "sub", "srt"), f"WITH {CLEAN} {SRT_BODY}")
 
 # -- L: chains --------------------------------------------------------------------------------------------------------------------------------------
 on_sig("l1_apply_chain", lambda df: chain.apply_chain(df, [("gain", {"m": "1.3"}), ("clip", {"gain": 1, "mode": "clamp"}), ("reverse", {}), ("normalize", {})]),
        pick("y * (0.9 / m)", "c JOIN (SELECT clip_id, max(abs(y)) AS m FROM c GROUP BY clip_id) USING (clip_id)", "c AS (SELECT clip_id, channel, n - 1 - idx AS idx, greatest(-1.0, least(1.0, x * 1.3)) AS y FROM sig JOIN len USING (clip_id))"))
+on_sig("l2_coerce_params", lambda df: chain.apply_chain(df, [("quantize", {"bits": "6"}), ("noise", {"vol": "0", "kind": "white"}), ("fft_roundtrip", {"size": "16"})]),
+       pick("floor(x * 32 + 0.5) / 32", "sig JOIN len USING (clip_id) WHERE idx < n // 16 * 16"))
+
+
+def with_own_effect(df: DataFrame) -> DataFrame:
+    if "halve_then_add" not in chain.EFFECTS:
+        chain.register_effect("halve_then_add", lambda d, add: effects.put(d, F.col("x") / 2 + add), {"add": chain.percent})
+    return chain.apply_chain(df, [("halve_then_add", {"add": "12.5%"}), ("reverse", {})])
+
+
+on_sig("l3_register_effect", with_own_effect, pick("x / 2 + 0.125", "sig JOIN len USING (clip_id)", idx="n - 1 - idx"))
+
+
+# -- storage and streams ----------------------------------------------------------------------------------------------------------------------------
+
+
+def stored(df: DataFrame) -> DataFrame:
+    path = storage.work_dir(df.sparkSession, "signal")
+    signals.write_signal(df, path)
+    return signals.read_signal(df.sparkSession, path)
+
+
+on_sig("a10_write_read_signal", stored, pick("x"))
+
+
+def timed(df: DataFrame) -> DataFrame:
+    """A sample a second."""
+    return df.withColumn("ts", F.timestamp_seconds("idx"))
+
+
+def streamed(s, d) -> DataFrame:
+    """The signal as a stream; at its end a row of another clip moves the watermark past all others."""
+    end = s.range(1).select(F.lit(-1).cast("long").alias("clip_id"), F.lit(0).alias("channel"), F.lit(10**9).cast("long").alias("idx"), F.lit(0.0).alias("x"))
+    rows = V.sig(s, d).select("clip_id", F.col("channel").cast("int").alias("channel"), "idx", "x")
+    return storage.replay(timed(rows), timed(end))
+
+
+FAR = "1000 days"  # no row is late, however the files are dealt
+add("k1_stream_levels", lambda s, d: storage.drain(streaming.stream_levels(streamed(s, d), "16 seconds", FAR)).select("clip_id", (F.col("w.start").cast("long") / 16).cast("long").alias("chunk"), r6("total"), "n", r6("peak")),
+    f"WITH {V.SIG} SELECT clip_id, idx // 16 AS chunk, round(sum(abs(x)), 6) + 0.0 AS total, count(*) AS n, round(max(abs(x)), 6) + 0.0 AS peak FROM sig GROUP BY ALL")
+add("k2_stream_overlap_frames", lambda s, d: storage.drain(streaming.stream_overlap_frames(streamed(s, d), "16 seconds", "4 seconds", FAR)).where(F.size("data") == 16).select(
+    "clip_id", F.col("w.start").cast("long").alias("start_idx"), F.round(F.get("data", F.lit(0)), 6).alias("first"), (F.round(F.aggregate("data", F.lit(0.0), lambda a, b: a + b), 6) + 0.0).alias("total")),
+    f"""WITH {V.SIG}, e AS (SELECT *, unnest(range(greatest(0, CAST(floor((idx - 16) / 4.0) AS BIGINT) + 1), idx // 4 + 1)) AS f FROM sig), g AS (SELECT clip_id, f, list(x ORDER BY idx) AS data FROM e GROUP BY ALL HAVING count(*) = 16)
+    SELECT clip_id, f * 4 AS start_idx, round(data[1], 6) AS first, round(list_sum(data), 6) + 0.0 AS total FROM g""")
+for name, fresh, like in (("biquad", lambda: streaming.Biquad(*filters.coefficients("low", 700.0, 0.8, 8000)), "e7_low"), ("ema", lambda: streaming.Ema(31.415927), "e1_ema_first"), ("delta", streaming.Delta, "f2_delta_encode")):
+    out = (lambda df: df.select("clip_id", "idx", F.col("y").cast("long").alias("code"))) if name == "delta" else (lambda df: samples(df.withColumnRenamed("y", "x")))
+    add(f"k3_stream_{name}", lambda s, d, f=fresh, o=out: o(storage.drain(streaming.stream_filter(streamed(s, d), f)).where("clip_id >= 0")), SQL[like])
+add("k4_stream_vocoder", lambda s, d: samples(storage.drain(streaming.stream_vocoder(streamed(s, d), 1.2)).where("clip_id >= 0").withColumnRenamed("y", "x")))
+add("k5_stream_dedup_frames", lambda s, d: levels.fingerprint(storage.drain(streaming.stream_dedup_frames(storage.replay(V.frames64_u8(s, d).select("data"))))).select("fingerprint"),
+    f"SELECT DISTINCT fingerprint FROM ({SQL['d10_fingerprint']})")
 
 
 def queries():

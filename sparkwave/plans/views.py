@@ -30,7 +30,11 @@ def sig_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sig_stereo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Channel 0 is sig, channel 1 the sample before."""
-    one = sig(spark, sf_dir)
+    return stereo(sig(spark, sf_dir))
+
+
+def stereo(one: DataFrame) -> DataFrame:
+    """A second channel, one sample late."""
     last = one.groupBy("clip_id").agg(F.max("idx").alias("n"))
     two = one.join(last, "clip_id").where("idx < n").select("clip_id", F.lit(1).alias("channel"), (F.col("idx") + 1).alias("idx"), "x")
     first = last.select("clip_id", F.lit(1).alias("channel"), F.lit(0).cast("long").alias("idx"), F.lit(0.0).alias("x"))

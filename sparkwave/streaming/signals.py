@@ -1,7 +1,7 @@
 """Signals as streams: windowed levels, overlapping frames, filters with carried state, frame dictionaries.
 
 A stream has clip_id, channel, idx, ts, x.  Stateful filters keep, per (clip, channel), the filter state, the next
-position and rows that came early; a gap is waited for until it is filled or `wait` rows or the time limit are reached.
+position and rows that came early; a gap is waited for until it is filled, or up to a limit of rows or time if one is given.
 """
 
 from __future__ import annotations
@@ -81,11 +81,12 @@ class Delta:
         return float(d)
 
 
-def stream_filter(stream: DataFrame, fresh, timeout_ms: int | None = None, wait: int = 100_000) -> DataFrame:
+def stream_filter(stream: DataFrame, fresh, timeout_ms: int | None = None, wait: int | None = None) -> DataFrame:
     """keys, idx, y: `fresh()` makes a filter, called on each sample in order of idx, with its state carried between batches.
 
-    Rows already passed (late or repeated) are dropped.  With more than `wait` rows held, or after `timeout_ms` if given,
-    the gap is skipped.  (With a time limit Spark runs batches without end, as time alone may release rows.)
+    Rows already passed (late or repeated) are dropped.  A gap holds the rows behind it until it is filled, so results don't depend
+    on batches; only if asked for, it is skipped with more than `wait` rows held, or after `timeout_ms`.  (With a
+    time limit Spark runs batches without end, as time alone may release rows.)
     """
     kinds = dict(stream.dtypes)
 
@@ -98,7 +99,7 @@ def stream_filter(stream: DataFrame, fresh, timeout_ms: int | None = None, wait:
         out = []
         while held:
             if at not in held:
-                if not state.hasTimedOut and len(held) <= wait:
+                if not state.hasTimedOut and (wait is None or len(held) <= wait):
                     break
                 at = min(held)
             out.append((*key, at, op(held.pop(at))))

@@ -41,7 +41,12 @@ def test_vtt(spark):
     parsed = cues.parse_vtt(files(spark, body))
     assert rows(parsed)[0] == (0, 1.0, 2.0, "Hi you all")
     nodes = [(r["cue_no"], n["type"], n["text"], n["speaker"], n["classes"]) for r in cues.vtt_nodes(parsed).orderBy("cue_no").collect() for n in r["nodes"]]
-    assert nodes[:3] == [(0, "v", "Hi ", "Ann", []), (0, "i", "you", None, []), (0, "normal", " all", None, [])]
+    assert nodes[:3] == [(0, "v", "Hi ", 0, []), (0, "i", "you", None, []), (0, "normal", " all", None, [])]
+    nested = "WEBVTT\n\n00:01.000 --> 00:02.000\na<b>b<i>c</i>d</u>e<u>f</b>g<v Zed>h<c.x>i</c>j"
+    found = cues.vtt_nodes(cues.parse_vtt(files(spark, nested))).first()["nodes"]
+    assert [(n["type"], n["text"], n["speaker"], n["classes"]) for n in found] == [
+        ("normal", "a", None, []), ("b", "b", None, []), ("i", "c", None, []), ("b", "d", None, []), ("b", "e", None, []), ("u", "f", None, []),
+        ("normal", "g", None, []), ("v", "h", 0, []), ("c", "i", None, ["x"]), ("v", "j", 0, [])]
     assert nodes[3] == (1, "c", "text", None, ["red", "big"])
     assert [(r["speaker_id"], r["name"]) for r in cues.vtt_speakers(parsed).orderBy("speaker_id").collect()] == [(0, "Ann"), (1, "Bob")]
 
