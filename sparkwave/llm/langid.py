@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ SAMPLE_ROWS = 2000  # per language, on average
 SAMPLE_TOTAL = 40_000  # of all languages, on average
 LONGEST = 5
 SLICE_CHARS = 400_000
+GROUP_CHARS = 2_000_000  # of texts that are joined; a longer text is a group of its own
+ENTRIES = pa.schema([("n", pa.int32()), ("key", pa.string()), ("lang", pa.string()), ("count", pa.int64())])
 _PRIME = np.uint64(0x100000001B3)
 _letters: list[np.ndarray] = []
 
@@ -77,22 +81,21 @@ class Model:
     an entry adds log10(10 * count) to it.
     """
 
-    def __init__(self, langs: list[str], entries: list[tuple[int, str, str, int]]):
-        """entries: (n, or 0 for a word; key; lang; count)."""
+    def __init__(self, langs: list[str], entries: pa.Table):
+        """entries: n (0 for a word), key, lang and count."""
         self.langs = langs
-        column = {x: k for k, x in enumerate(langs)}
         self.base = np.zeros((LONGEST + 1, len(langs)))
         hashes, added, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        levels, keys, langs_, count = (list(x) for x in zip(*entries, strict=True)) if entries else ([], [], [], [])
-        levels, count = np.array(levels, np.int64), np.array(count, np.int64)
-        lang = np.array([column[x] for x in langs_], np.int64)
+        levels, count = entries["n"].to_numpy(), entries["count"].to_numpy()
+        lang = pc.index_in(entries["lang"], pa.array(langs, pa.string())).to_numpy().astype(np.int64)
         for n in range(LONGEST + 1):
             at = np.flatnonzero(levels == n)
             total = np.bincount(lang[at], count[at], minlength=len(langs))
             self.base[n] = np.log10(0.1 / np.maximum(total, 1))
-            length = np.array([len(keys[k]) for k in at], np.int64)
+            keys = entries["key"].take(pa.array(at))
+            length = pc.utf8_length(keys).to_numpy().astype(np.int64)
             start = np.cumsum(length) - length
-            codes = _codes("".join(keys[k] for k in at))
+            codes = _codes("".join(keys.to_pylist()))
             if len(at):
                 hashes.append(_gram_hash(codes, start, n) if n else _word_hash(codes, start, length))
                 added.append(lang[at])
@@ -141,10 +144,19 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and score of each text; `und` and 0 without letters, or without a model.  The score is the language's share
-        of the likelihood of all words.
+        of the likelihood of all words."""
+        out, at = [], 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and (to == at or size + len(texts[to] or "") <= GROUP_CHARS):
+                size += len(texts[to] or "")
+                to += 1
+            out += self._predict(texts[at:to])
+            at = to
+        return out
 
-        The texts are joined and read in slices that end between words, so that memory stays bounded.
-        """
+    def _predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """The texts are joined and read in slices that end between words, so that memory stays bounded."""
         lowered = [(t or "").lower() for t in texts]
         ends = np.cumsum([len(t) + 1 for t in lowered])
         total = np.zeros((len(texts), len(self.langs)))
@@ -185,7 +197,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_total: int = SAM
     allowed = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     sizes = {r["lang"]: r["count"] for r in allowed.groupBy("lang").count().collect()}
     if not sizes:
-        return Model([], [])
+        return Model([], ENTRIES.empty_table())
     rows = min(sample_rows, sample_total / len(sizes))
     share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, rows / n))])
     chance = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
@@ -198,7 +210,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_total: int = SAM
         grams = words.where(F.length("key") >= n).select("lang", "count", F.explode(gram).alias("key"))
         entries = entries.unionByName(grams.groupBy("lang", "key").agg(F.sum("count").alias("count")).select(F.lit(n).alias("n"), "key", "lang", "count"))
     found = entries.select("n", "key", "lang", "count").toArrow()  # what the bounded sample holds
-    return Model(sorted(sizes), list(zip(*(found[c].to_pylist() for c in ("n", "key", "lang", "count")), strict=True)))
+    return Model(sorted(sizes), found)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

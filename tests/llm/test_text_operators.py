@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from sparkwave.llm import jaccard_join, packing
 from sparkwave.llm.common import components
 from sparkwave.llm.decontaminate import contaminated, drop_contaminated
 from sparkwave.llm.exact_dedup import drop_copies, exact_dedup
-from sparkwave.llm.langid import Model, fit, identify, keep_identified
+from sparkwave.llm.langid import ENTRIES, Model, fit, identify, keep_identified
 from sparkwave.llm.shingles import shingle_lists
 
 VOCABULARY = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
@@ -305,7 +306,8 @@ def test_language_id_held_out_accuracy(spark):
 
 
 def test_language_id_backoff_and_edges(spark):
-    model = Model(["de", "en"], [(0, "der", "de", 5), (0, "the", "en", 5), (2, "ch", "de", 4), (2, "th", "en", 4), (1, "c", "en", 1), (1, "h", "de", 1)])
+    entries = [(0, "der", "de", 5), (0, "the", "en", 5), (2, "ch", "de", 4), (2, "th", "en", 4), (1, "c", "en", 1), (1, "h", "de", 1)]
+    model = Model(["de", "en"], pa.table(list(map(list, zip(*entries, strict=True))), schema=ENTRIES))
     assert [x[0] for x in model.predict(["der der the", "the", "schach", "thth", "c", "123 !", None, "", "der " * 200_000])] == ["de", "en", "de", "en", "en", "und", "und", "und", "de"]
     df = docs_of(spark, [(1, None), (2, "words here"), (3, "...")], lang=None)
     assert {(r["doc_id"], r["lang_pred"], r["score"]) for r in identify(df, fit(df)).collect()} == {(1, "und", 0), (2, "und", 0), (3, "und", 0)}
@@ -314,6 +316,49 @@ def test_language_id_backoff_and_edges(spark):
     assert identify(df.limit(0), model).count() == 0
 
 
+def test_language_scores_against_brute_force(spark, monkeypatch):
+    rng = random.Random(14)
+    word = lambda letters: "".join(rng.choices(letters, k=rng.randint(1, 8)))
+    rows = [(i, " ".join(word("abcdeé" if i % 2 else "defghß") for _ in range(rng.randint(1, 30))), "xy"[i % 2]) for i in range(120)]
+    rows += [(500, None, None), (501, "ABC déf-123 Zz", None), (502, "42", None), (None, "fgh", "y"), (503, "é" * 3000 + " abc", None), (BIG + 1, "abc", None), (3, rows[3][1], rows[3][2])]
+    df = clashing(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).selectExpr("*", "1 as score", "2 as held_out")
+    counts = {}
+    for i, t, lang in rows:
+        if i is not None and t is not None and lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            for w in re.findall(r"[^\W\d_]+", t.lower()):
+                for n, key in [(0, w), *((n, w[k : k + n]) for n in range(1, 6) for k in range(len(w) - n + 1))]:
+                    counts.setdefault((n, key), {}).setdefault(lang, 0)
+                    counts[n, key][lang] += 1
+    total = {(n, lang): max(1, sum(c.get(lang, 0) for (m, _), c in counts.items() if m == n)) for n in range(6) for lang in "xy"}
+    share = lambda n, key, lang: np.log10(counts[n, key].get(lang, 0.1) / total[n, lang])
+
+    def brute(t, lang):
+        out = 0.0
+        for w in re.findall(r"[^\W\d_]+", (t or "").lower()):
+            for n in (0, 5, 4, 3, 2, 1):
+                keys = [k for k in ([w] if n == 0 else [w[k : k + n] for k in range(len(w) - n + 1)]) if (n, k) in counts]
+                if keys:
+                    out += float(np.mean([share(n, k, lang) for k in keys]))
+                    break
+        return out
+
+    want = []
+    for i, t, _ in rows:
+        x, y = brute(t, "x"), brute(t, "y")
+        seen = bool(re.search(r"[^\W\d_]", t or ""))
+        want.append((i, "und" if not seen else "x" if x >= y else "y", 0.0 if not seen else 1 / (1 + 10.0 ** -abs(x - y))))
+    from sparkwave.llm import langid
+
+    monkeypatch.setattr(langid, "GROUP_CHARS", 300)
+    monkeypatch.setattr(langid, "SLICE_CHARS", 50)
+    for found in (identify(df, fit(df)).collect(),):
+        order = lambda r: (r[0] or 0, r[1])
+        for a, b in zip(sorted(((r["doc_id"], r["lang_pred"], r["score"]) for r in found), key=order), sorted(want, key=order), strict=True):
+            assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-4)
+    model = fit(df)
+    assert [x[0] for x in model.predict([t for _, t, _ in rows])] == [x[1] for x in want]  # here with the small slices
+
+
 def test_pipeline_stages_on_the_smallest_tables(spark):
     import corpus_pipeline
 
