@@ -96,7 +96,7 @@ class WordEncoder:
     distinct piece is given to the library's model once.  Other texts go to the library whole.
     """
 
-    MEMORY = 600_000
+    MEMORY = 200_000  # words, and pieces of words, that a worker remembers: about 60 MB
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
