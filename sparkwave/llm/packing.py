@@ -7,6 +7,8 @@ that minimise padding.  Inside each bucket, batches of `token_budget // boundary
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,12 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import fresh_dir
-from .token_files import END_ID, encoder
+from .token_files import END_ID, WordEncoder
 
 MAX_LEN = 2048
 BUCKETS = 8
 TOKEN_BUDGET = 16384
 SHARDS = 1024
+MEMORY = 50_000  # words, and pieces of words, that a task remembers
+ROWS = 1000  # texts whose segments are held at a time
 
 
 def optimal_boundaries(histogram: dict[int, int], buckets: int) -> list[int]:
@@ -57,13 +61,17 @@ def segments(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, end_id: in
     """
 
     @F.pandas_udf("struct<width int, parts array<binary>>")
-    def cut_up(texts: pd.Series) -> pd.DataFrame:
-        encode, width, rows = encoder(tokenizer).encode, np.dtype(encoder(tokenizer).dtype).itemsize, []
-        for text in texts:
-            ids = encode(text) if text else np.zeros(0, encoder(tokenizer).dtype)
-            data = np.append(ids, ids.dtype.type(end_id)).tobytes() if len(ids) else b""
-            rows.append((width, [data[at : at + max_len * width] for at in range(0, len(data), max_len * width)]))
-        return pd.DataFrame(rows, columns=["width", "parts"])
+    def cut_up(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encoder = WordEncoder(tokenizer, MEMORY)  # given back at the end of the task: other stages need the memory
+        width = np.dtype(encoder.dtype).itemsize
+        for texts in batches:
+            for first in range(0, len(texts), ROWS):
+                rows = []
+                for text in texts[first : first + ROWS]:
+                    ids = encoder.encode(text) if text else np.zeros(0, encoder.dtype)
+                    data = np.append(ids, ids.dtype.type(end_id)).tobytes() if len(ids) else b""
+                    rows.append((width, [data[at : at + max_len * width] for at in range(0, len(data), max_len * width)]))
+                yield pd.DataFrame(rows, columns=["width", "parts"])
 
     parts = docs.select("doc_id", cut_up("text").alias("s")).select("doc_id", "s.width", F.posexplode("s.parts").alias("seg", "ids"))
     return parts.select("doc_id", F.col("seg").cast("long").alias("seg"), (F.col("seg").cast("long") * max_len).alias("start"),

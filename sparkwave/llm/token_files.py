@@ -98,7 +98,7 @@ class WordEncoder:
 
     MEMORY = 200_000  # words, and pieces of words, that a worker remembers: about 60 MB
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = MEMORY):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -111,8 +111,8 @@ class WordEncoder:
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in visible]
         self.shown = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.words = _Memory(self.word, self.MEMORY)
-        self.known = _Memory(self.piece, self.MEMORY)
+        self.words = _Memory(self.word, memory)
+        self.known = _Memory(self.piece, memory)
 
     def piece(self, piece: str) -> bytes:
         shown = piece if piece.isascii() else "".join(self.shown[b] for b in piece.encode())
