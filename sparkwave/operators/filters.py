@@ -1,4 +1,4 @@
-"""Feedback filters: linear recurrences by chunked scan, nonlinear ones in order per clip.
+"""Feedback filters: linear recurrences by chunked scan, nonlinear ones in rounds over chunks or in order per clip.
 
 A linear recurrence gives, for each chunk, its end from a zero state and from unit states; these narrow rows carry the state
 along the clip, and each chunk then runs from its own state.  Chunks of one clip run on many tasks.
@@ -13,10 +13,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sparkwave.functions.shaping import half_up
 from sparkwave.operators.effects import COLUMNS, asof_points, put
 from sparkwave.sources.signals import KEYS, lagged, with_length
+from sparkwave.sources.storage import work_dir
 
 CHUNK = 4096
 #: (state, inputs) -> (output, new state); state and inputs are lists of arrays over chunks; linear in state and first input.
@@ -280,33 +282,89 @@ def in_order(df: DataFrame, fn: Callable[[np.ndarray], np.ndarray], kind: str =
     return df.select(*COLUMNS).groupBy(*KEYS).applyInPandas(run, f"{types}, idx long, {name} {kind}")
 
 
-def smooth_adaptive(df: DataFrame, pct: float) -> DataFrame:
+def settled_scan(df: DataFrame, step: Callable, first: Callable, chunk: int = CHUNK) -> DataFrame:
+    """keys, idx, y of a recurrence with one number as state that is not linear: step(state, x) -> (y, state), over arrays of
+    chunks; first(x) is the same for the first sample of a clip.  `idx` must be dense within keys.
+
+    Every chunk first runs as if it began a clip, then again from the state in which the chunk before ended, until no such state
+    changes; only chunks whose state changed run again.  After r rounds the first r chunks of a clip are right whatever the
+    values; states that meet within a chunk settle in two.  Chunks are stored once, and a round writes one narrow row a chunk.
+    """
+    spark = df.sparkSession
+    types = dict(df.select(*KEYS).dtypes)
+    schema = ", ".join(f"{k} string" for k in KEYS) + ", c long"
+    path = work_dir(spark, "chunks")
+    chunks = df.select(*KEYS, "idx", F.col("x").cast("double").alias("x")).groupBy(*KEYS, F.floor(F.col("idx") / chunk).alias("c"))
+    chunks.agg(F.array_sort(F.collect_list(F.struct("idx", "x"))).alias("s")).select(*KEYS, "c", F.col("s.x").alias("x")).write.parquet(path)
+    chunks = spark.read.parquet(path)
+
+    def from_states(states: DataFrame | None, whole: bool) -> DataFrame:
+        """The chunks of `states` (keys, c, start, fresh; None: all, each as if it began a clip): all their y, or the state at the end."""
+        if states is None:
+            rows = chunks.withColumns({"start": F.lit(0.0), "fresh": F.lit(True)})
+        else:
+            on = F.lit(True)
+            for k in [*KEYS, "c"]:
+                on = on & chunks[k].eqNullSafe(F.col(f"_{k}"))
+            rows = chunks.join(states.select(*[F.col(k).alias(f"_{k}") for k in [*KEYS, "c"]], "start", "fresh"), on)
+        rows = rows.select(*[F.col(k).cast("string").alias(k) for k in KEYS], "c", "x", "start", "fresh")
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for _, same in pdf.groupby(pdf["x"].map(len)):
+                    x = np.ascontiguousarray(np.stack(same["x"].to_numpy()).astype(float).T)
+                    y, fresh = np.empty(x.shape), same["fresh"].to_numpy(bool)
+                    y[0], state = (np.where(fresh, a, b) for a, b in zip(first(x[0]), step(same["start"].to_numpy(float), x[0]), strict=True))
+                    for i in range(1, len(x)):
+                        y[i], state = step(state, x[i])
+                    kept = same[[*KEYS, "c"]]
+                    yield kept.assign(y=list(y.T)) if whole else kept.assign(start=same["start"], fresh=fresh, end=state)
+
+        out = rows.mapInPandas(run, f"{schema}, y array<double>" if whole else f"{schema}, start double, fresh boolean, end double")
+        return out.withColumns({k: F.col(k).cast(types[k]) for k in KEYS})
+
+    def written(rows: DataFrame) -> DataFrame:
+        at = work_dir(spark, "states")
+        rows.write.parquet(at)
+        return spark.read.parquet(at)
+
+    states = None
+    if not chunks.where("c > 0").isEmpty():
+        before = Window.partitionBy(*KEYS).orderBy("c")
+        states = written(from_states(None, False))
+        while True:
+            last = states.withColumns({"want": F.lag("end").over(before), "led": F.lag("c").over(before).isNotNull()})
+            last = last.withColumn("moved", F.col("led") & (F.col("fresh") | ~F.col("start").eqNullSafe(F.col("want"))))
+            moved = last.where("moved").select(*KEYS, "c", F.col("want").alias("start"), F.lit(False).alias("fresh"))
+            if moved.isEmpty():
+                break
+            states = written(last.where("not moved").select(*states.columns).unionByName(from_states(moved, False)))
+    full = from_states(states, True)
+    return full.select(*KEYS, "c", F.posexplode("y").alias("i", "y")).select(*KEYS, (F.col("c") * chunk + F.col("i")).alias("idx"), "y")
+
+
+def smooth_adaptive(df: DataFrame, pct: float, chunk: int = CHUNK) -> DataFrame:
     """Average with the output before, weighted by (1 - |difference|)**2."""
     p = pct / 100
 
-    def run(x: np.ndarray) -> np.ndarray:
-        y = x.tolist()
-        for i in range(1, len(y)):
-            f, b = y[i], y[i - 1]
-            w = 1 - abs(f - b)
-            y[i] = f + (b - f) * p * (w * w)
-        return np.array(y)
+    def step(y, x):
+        d = y - x
+        w = 1 - np.abs(d)
+        out = x + d * p * (w * w)
+        return out, out
 
-    return in_order(df, run)
+    return _out(settled_scan(df, step, lambda x: (x, x), chunk))
 
 
-def delta_encode(df: DataFrame) -> DataFrame:
+def delta_encode(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Difference to the rebuilt sample, limited to 8 bits."""
 
-    def run(x: np.ndarray) -> np.ndarray:
-        out, p = [], 0
-        for v in np.floor(x * 127 + 0.5).astype(int).tolist():
-            d = max(-128, min(127, v - p))
-            out.append(d)
-            p += d
-        return np.array(out, np.int64)
+    def step(p, x):
+        d = np.clip(np.floor(x * 127 + 0.5) - p, -128, 127)
+        return d, p + d
 
-    return in_order(df, run, "long", "code")
+    out = settled_scan(df, step, lambda x: step(0.0, x), chunk)
+    return out.select(*KEYS, "idx", F.col("y").cast("long").alias("code"))
 
 
 def delta_1bit(df: DataFrame, stereo: bool = False) -> DataFrame:

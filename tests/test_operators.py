@@ -58,6 +58,30 @@ def test_scans_do_not_depend_on_chunks(clips, chunk):
     same(filters.comb(df, 0.5, chunk=chunk), {k: loop_comb(x) for k, x in data.items()})
 
 
+@pytest.mark.parametrize("chunk", [16, 4096])
+def test_nonlinear_scans_do_not_depend_on_chunks(spark, chunk):
+    rng = np.random.default_rng(3)
+    data = {None: rng.uniform(-1, 1, 70), 5: np.repeat(rng.uniform(-1, 1, 9), 20), 2**60 + 1: np.full(50, 0.25), 7: np.array([1.0])}
+    df = spark.createDataFrame([(c, 0, i, float(v)) for c, x in data.items() for i, v in enumerate(x)], SCHEMA).repartition(5)
+
+    def adaptive(x):
+        y = list(x)
+        for i in range(1, len(y)):
+            y[i] = x[i] + (y[i - 1] - x[i]) * 0.9 * (1 - abs(x[i] - y[i - 1])) ** 2
+        return y
+
+    def deltas(x):
+        out, p = [], 0
+        for v in x:
+            out.append(max(-128, min(127, math.floor(v * 127 + 0.5) - p)))
+            p += out[-1]
+        return out
+
+    same(filters.smooth_adaptive(df, 90, chunk), {k: adaptive(x) for k, x in data.items()})
+    same(filters.delta_encode(df, chunk).withColumnRenamed("code", "x"), {k: deltas(x) for k, x in data.items()})
+    assert filters.delta_encode(df.limit(0), chunk).count() == 0
+
+
 def test_sweep_with_constant_parameters_is_the_plain_filter(clips):
     _, df = clips
     a = got(filters.biquad_sweep(df, "low", 500, 500, 0.8, 0.8, 0, 0, 1, 1, 8000, chunk=32))
