@@ -19,7 +19,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 SPACE = "▁"
@@ -35,8 +34,9 @@ class PieceModel:
     or unused pieces, are refused with ValueError rather than encoded wrongly.
     """
 
-    MEMORY = 200_000  # words whose ids a worker remembers
+    MEMORY = 300_000  # words whose ids a worker remembers
     LONGEST = 64  # code points of a remembered word
+    slot_bits = 20
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -87,22 +87,40 @@ class PieceModel:
             for p, i in self.known.items() for k in range(1, len(p))
             if (a := self._symbol(p[:k])) is not None and (b := self._symbol(p[k:])) is not None
         ]
-        rows.sort()
         self.keys = np.array([r[0] for r in rows] + [NONE])  # the last entry stands for: no pair
         self.ranks = np.array([r[1] for r in rows] + [NONE])
         self.made = np.array([r[2] for r in rows] + [-1])
         self.no_pair = len(rows)
+        # A hash table with open addressing: the places of keys, no_pair where a slot is free.
+        self.slots = np.full(1 << self.slot_bits, self.no_pair)
+        left = np.arange(len(rows))
+        slot = self._slot(self.keys[left])
+        while len(left):
+            free = self.slots[slot] == self.no_pair
+            self.slots[slot[free]] = left[free]
+            lost = self.slots[slot] != left
+            left, slot = left[lost], (slot[lost] + 1) % len(self.slots)
         self.single = np.arange(self.size, self.size + 0x110000)
         for p, i in self.known.items():
             if len(p) == 1:
                 self.single[ord(p)] = i
         self.bigrams = np.array(sorted({ord(a) << 21 | ord(b) for p in self.known for a, b in itertools.pairwise(p)}))
 
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        # Fixed value: 2^64 divided by the golden ratio, as in Fibonacci hashing.
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.slot_bits)).astype(np.int64)
+
     def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Positions of pairs in the table; no_pair where the two make no piece."""
+        """Places of pairs in the table; no_pair where the two make no piece."""
         want = left << WIDE | right
-        at = np.searchsorted(self.keys, want)
-        return np.where(self.keys[at] == want, at, self.no_pair)
+        slot = self._slot(want)
+        at = self.slots[slot]
+        odd = np.flatnonzero((self.keys[at] != want) & (at != self.no_pair))
+        while len(odd):
+            slot[odd] = (slot[odd] + 1) % len(self.slots)
+            at[odd] = self.slots[slot[odd]]
+            odd = odd[(self.keys[at[odd]] != want[odd]) & (at[odd] != self.no_pair)]
+        return at
 
     def merge(self, words: list[str]) -> list[bytes]:
         """The ids of each normalised word, as little-endian 32-bit integers."""
@@ -144,12 +162,13 @@ class PieceModel:
             fresh = np.flatnonzero(np.concatenate((~kept, [False]))[1:] & kept)  # survivors whose next symbols were merged into them
             index = np.cumsum(kept) - 1
             at, sym, seg, pair = (x[kept] for x in (at, sym, seg, pair))
-            fresh = index[fresh]
-            again = np.unique(np.concatenate((fresh, fresh[fresh > 0] - 1)))
-            inner = again[again + 1 < len(sym)]
-            same = seg[inner] == seg[inner + 1]
+            touched = np.zeros(len(sym) + 1, bool)
+            touched[index[fresh]] = touched[index[fresh] - 1] = True  # -1 is the entry past the end
+            again = np.flatnonzero(touched[:-1])
             pair[again] = self.no_pair
-            pair[inner[same]] = self._pair(sym[inner[same]], sym[inner[same] + 1])
+            inner = again[seg[again] == seg[np.minimum(again + 1, len(sym) - 1)]]
+            inner = inner[inner + 1 < len(sym)]
+            pair[inner] = self._pair(sym[inner], sym[inner + 1])
         if not finished:
             return at, sym
         at, sym = (np.concatenate(x) for x in zip(*finished, strict=True))
@@ -224,12 +243,16 @@ class PieceModel:
         """Ids of each text, as the library's encode gives them."""
         cut = [self.words.findall(t) if self.cuts else [t] for t in map(self.normalise, texts)]
         fresh = list(set().union(*cut).difference(self.memory))
-        found = dict(zip(fresh, self.merge(fresh), strict=True)) if fresh else {}
-        short = (w for w in fresh if len(w) <= self.LONGEST)
-        self.memory.update((w, found[w]) for w in itertools.islice(short, max(0, self.MEMORY - len(self.memory))))
-        memory = self.memory
-        known = memory.__getitem__ if all(w in memory for w in fresh) else lambda w: found[w] if w in found else memory[w]
-        return [np.frombuffer(b"".join(map(known, words)), "<i4") for words in cut]
+        if fresh:
+            self.memory.update(zip(fresh, self.merge(fresh), strict=True))
+        ids = [np.frombuffer(b"".join(map(self.memory.__getitem__, words)), "<i4") for words in cut]
+        room = self.MEMORY - len(self.memory) + len(fresh)
+        for w in fresh:
+            if len(w) <= self.LONGEST and room > 0:
+                room -= 1
+            else:
+                del self.memory[w]
+        return ids
 
     def decode(self, lists: list[np.ndarray]) -> list[str]:
         """The text of each list of ids, as the library's decode gives it; ids outside the model raise IndexError, as there."""
@@ -297,45 +320,46 @@ def _groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield first, len(sizes)
 
 
-def _added(df: DataFrame, name: str, kind, of) -> DataFrame:
-    """`df` with a column made from groups of rows; a column that has the name already (in any case) is replaced."""
-    kept = [f for f in df.schema.fields if f.name.lower() != name.lower()]
+def _added(df: DataFrame, column: str, name: str, kind, of) -> DataFrame:
+    """`df` with a column made from groups of rows of `column`; a column that has the name already (in any case) is replaced."""
+    names = [f.name for f in df.schema.fields]
+    source = next(i for i, n in enumerate(names) if n.lower() == column.lower())
+    kept = [i for i, n in enumerate(names) if n.lower() != name.lower()]
+    schema = StructType([*(df.schema.fields[i] for i in kept), StructField(name, kind)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, column in of(batch.column(batch.num_columns - 1)):
-                part = batch.slice(first, len(column))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], column], names=[*part.schema.names[:-1], name])
+            for first, made in of(batch.column(source)):
+                part = batch.slice(first, len(made))
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), made], names=schema.names)
 
-    return kept, work, StructType([*kept, StructField(name, kind)])
+    return df.mapInArrow(work, schema)
 
 
 def encode(df: DataFrame, path: str, column: str = "text", out: str = "ids") -> DataFrame:
     """`df` with the token ids (array<int>) of its `column`, without begin or end ids; null counts as empty, an empty text has no ids.
 
-    Other columns stay as they are, repeated rows and null ids too; an existing column `out` is replaced.  Each row's whole
-    text is encoded; a very long one is a group of its own.
+    Other columns stay as they are, repeated rows and null ids too; an existing column `out`, `column` itself included, is
+    replaced.  Each row's whole text is encoded; a very long one is a group of its own.
     """
 
     def of(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-        sizes = [len(t) for t in texts.to_pylist()]
-        for a, b in _groups(sizes, GROUP_CHARS):
-            ids = model(path).encode(texts.slice(a, b - a).to_pylist())
+        values = texts.fill_null("").to_pylist()
+        for a, b in _groups([len(t) for t in values], GROUP_CHARS):
+            ids = model(path).encode(values[a:b])
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             yield a, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
 
-    kept, work, schema = _added(df, out, ArrayType(IntegerType()), of)
-    return df.select(*(df[f"`{f.name}`"] for f in kept), F.coalesce(df[column], F.lit("")).alias("text__")).mapInArrow(work, schema)
+    return _added(df, column, out, ArrayType(IntegerType()), of)
 
 
 def decode(df: DataFrame, path: str, column: str = "ids", out: str = "decoded") -> DataFrame:
     """`df` with the text of the ids in `column`; null counts as no ids, whose text is empty.  Otherwise as `encode`."""
 
     def of(lists: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-        for a, b in _groups(lists.value_lengths().to_pylist(), GROUP_CHARS):
+        for a, b in _groups(lists.value_lengths().fill_null(0).to_pylist(), GROUP_CHARS):
             part = lists.slice(a, b - a)
-            flat, ends = part.flatten().to_numpy(zero_copy_only=False), np.cumsum(part.value_lengths().to_numpy(zero_copy_only=False))
-            yield a, pa.array(model(path).decode(np.split(flat, ends[:-1])), pa.string())
+            flat, sizes = part.flatten().to_numpy(zero_copy_only=False), part.value_lengths().fill_null(0)
+            yield a, pa.array(model(path).decode(np.split(flat, np.cumsum(sizes.to_numpy(zero_copy_only=False))[:-1])), pa.string())
 
-    kept, work, schema = _added(df, out, StringType(), of)
-    return df.select(*(df[f"`{f.name}`"] for f in kept), F.coalesce(df[column], F.array().cast("array<int>")).alias("ids__")).mapInArrow(work, schema)
+    return _added(df, column, out, StringType(), of)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .archives import archive_round_trip
 from .chat import rotate
 from .common import UPPER, fresh_dir, table
@@ -11,6 +13,7 @@ from .html_text import extract
 from .jaccard_join import jaccard_classes
 from .langid import fit, identify
 from .packing import pack
+from .pieces import decode, encode
 from .secrets import scan
 from .token_files import read_files, write_files
 
@@ -62,6 +65,20 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_sentencepiece(spark, sf_dir):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("ids"))
+    docs = decode(encode(texts, path, column="ids"), path)
+    return docs.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 OP1_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS content, coalesce(turn // 64, -1) AS segment,
@@ -118,6 +135,7 @@ def queries():
         "op7_length_buckets": op7_length_buckets,
         "op8_decontamination": op8_decontamination,
         "op9_exact_dedup": op9_exact_dedup,
+        "op11_sentencepiece": op11_sentencepiece,
     }
 
 
