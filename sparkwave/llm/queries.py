@@ -16,6 +16,7 @@ from .packing import pack
 from .pieces import decode, encode
 from .secrets import scan
 from .token_files import read_files, write_files
+from .whitening import whiten
 
 
 def op1_chat_rotation(spark, sf_dir):
@@ -79,6 +80,10 @@ def op11_sentencepiece(spark, sf_dir):
     )
 
 
+def op12_whitening(spark, sf_dir):
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 OP1_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS content, coalesce(turn // 64, -1) AS segment,
@@ -136,6 +141,7 @@ def queries():
         "op8_decontamination": op8_decontamination,
         "op9_exact_dedup": op9_exact_dedup,
         "op11_sentencepiece": op11_sentencepiece,
+        "op12_whitening": op12_whitening,
     }
 
 
