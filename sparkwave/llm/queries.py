@@ -14,6 +14,7 @@ from .jaccard_join import jaccard_classes
 from .langid import fit, identify
 from .packing import pack
 from .pieces import decode, encode
+from .repair import repaired_report
 from .secrets import scan
 from .token_files import read_files, write_files
 from .whitening import whiten
@@ -84,6 +85,10 @@ def op12_whitening(spark, sf_dir):
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_conversation_repair(spark, sf_dir):
+    return repaired_report(table(spark, sf_dir, "conversations"))
+
+
 OP1_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS content, coalesce(turn // 64, -1) AS segment,
@@ -142,6 +147,7 @@ def queries():
         "op9_exact_dedup": op9_exact_dedup,
         "op11_sentencepiece": op11_sentencepiece,
         "op12_whitening": op12_whitening,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
