@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
@@ -34,7 +35,7 @@ class PieceModel:
     or unused pieces, are refused with ValueError rather than encoded wrongly.
     """
 
-    MEMORY = 300_000  # words whose ids a worker remembers
+    MEMORY = 150_000  # words whose ids a worker remembers: about 25 MB
     LONGEST = 64  # code points of a remembered word
     slot_bits = 20
 
@@ -305,7 +306,7 @@ def model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-GROUP_CHARS = 2_000_000  # code points of texts, or ids, that are cut into words at a time
+GROUP_CHARS = 500_000  # code points of texts, or ids, that are cut into words at a time
 
 
 def _groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
@@ -344,9 +345,9 @@ def encode(df: DataFrame, path: str, column: str = "text", out: str = "ids") ->
     """
 
     def of(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-        values = texts.fill_null("").to_pylist()
-        for a, b in _groups([len(t) for t in values], GROUP_CHARS):
-            ids = model(path).encode(values[a:b])
+        texts = texts.fill_null("")
+        for a, b in _groups(pc.utf8_length(texts).to_pylist(), GROUP_CHARS):
+            ids = model(path).encode(texts.slice(a, b - a).to_pylist())
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             yield a, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
 
