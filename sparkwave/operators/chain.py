@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from sparkwave.operators import effects, filters, levels, spectral
+from sparkwave.operators import effects, filters, levels, spectral, vocoder
 from sparkwave.sources.signals import KEYS
 
 
@@ -97,8 +97,8 @@ EFFECTS: dict[str, Effect] = {
     "fft_pitch_naive": Effect(framed(spectral.fft_pitch_naive, "pad"), {"size": power_of_two, "shift": number}),
     "dct_roundtrip": Effect(framed(spectral.dct_roundtrip, "keep"), {"size": even}),
     "dct_reverse": Effect(framed(spectral.dct_reverse, "keep"), {"size": even}),
-    "vocoder": Effect(spectral.vocoder_mono, {"shift": number}),
-    "vocoder_stereo": Effect(spectral.vocoder_stereo, {"shift": number}, channels=2),
+    "vocoder": Effect(vocoder.vocoder_mono, {"shift": number}),
+    "vocoder_stereo": Effect(vocoder.vocoder_stereo, {"shift": number}, channels=2),
     "mid_side": Effect(effects.mid_side, channels=2),
     "widen": Effect(effects.stereo_widen, {"g": number}, channels=2),
 }

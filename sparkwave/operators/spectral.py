@@ -194,216 +194,3 @@ def reverb(df: DataFrame, h: np.ndarray, dry: float, wet: float, size: int = 409
     tail = from_frames(frames.mapInPandas(run, frames.schema)).withColumn("x", F.col("x") * wet)
     both = df.select(*COLUMNS, F.lit(1).alias("own")).withColumn("x", F.col("x") * dry).unionByName(tail.withColumn("own", F.lit(0)))
     return both.groupBy(*KEYS, "idx").agg(F.sum("x").alias("x"), F.max("own").alias("own")).where("own = 1").select(*COLUMNS)
-
-
-class Vocoder:
-    """Phase state of one channel: 1024-sample Hann frames every 256 samples."""
-
-    def __init__(self, shift: float, polished: bool = False, size: int = 1024, hop: int = 256, decay: float = 1.0):
-        self.shift, self.polished, self.size, self.hop, self.decay = shift, polished, size, hop, decay
-        self.window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
-        self.before = np.zeros(size // 2 + 1)
-        self.phase = np.zeros(size // 2 + 1)
-
-    def frame(self, x: np.ndarray) -> np.ndarray:
-        half, hop = self.size // 2, self.hop
-        z = np.fft.fft(x * self.window)[: half + 1]
-        mag, k = np.abs(z), np.arange(half + 1)
-        live = mag >= 1e-6
-        angle = np.angle(z)
-        unit = 2 * np.pi / self.size
-        delta = angle - self.before - unit * k * hop
-        self.before = np.where(live, angle, self.before)
-        delta -= 2 * np.pi * np.floor(delta / (2 * np.pi) + 0.5)
-        advance = (unit * k + delta / hop) * hop * self.shift
-        to = k * self.shift
-        out, weight = np.zeros(half + 1, complex), np.zeros(half + 1)
-        if self.polished:
-            self.phase *= self.decay
-            first = np.full(half + 1, -1)
-            for j in k[live & (to <= half)]:
-                i = int(to[j])
-                if first[i] < 0 or mag[j] > mag[first[i]]:
-                    first[i] = j
-            for i in np.flatnonzero(first >= 0):
-                self.phase[i] += advance[first[i]]  # one phase for each target
-        for j in k[live & (to <= half)]:
-            i = int(to[j])
-            for at, share in ((i, 1 - (to[j] - i)), (i + 1, to[j] - i)):
-                if at <= half:
-                    if not self.polished:
-                        self.phase[at] += advance[j]
-                    out[at] += mag[j] * share * np.exp(1j * self.phase[at])
-                    weight[at] += share
-        if self.polished:
-            out = np.where(weight > 1, out / np.maximum(weight, 1), out)
-        full = np.zeros(self.size, complex)
-        full[: half + 1] = out
-        full[half + 1 :] = np.conj(out[1:half][::-1])
-        return np.fft.ifft(full).real * self.window
-
-    def run(self, x: np.ndarray) -> np.ndarray:
-        """Whole clip, delayed by no frame; 4x overlap of squared Hann windows sums to 1.5."""
-        padded = np.concatenate([np.zeros(self.size - self.hop), x, np.zeros(self.size)])
-        out = np.zeros(len(padded))
-        for at in range(0, len(padded) - self.size + 1, self.hop):
-            out[at : at + self.size] += self.frame(padded[at : at + self.size])
-        return out[self.size - self.hop :][: len(x)] / 1.5
-
-    # -- stretches of frames at once, from the state before them: the last live angle and the phase of each bin ------------
-
-    def _local(self, x: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of frames (rows of x): angle and live (bins x frames), the first live frame of each bin (all frames if none), and
-        from phase zero before every frame: spectrum, phase added, and for each target the bin that sets it (polished)."""
-        half, hop, m = self.size // 2, self.hop, len(x)
-        z = np.ascontiguousarray(np.fft.fft(x * self.window)[:, : half + 1].T)
-        mag, k = np.abs(z), np.arange(half + 1)
-        live, angle = mag >= 1e-6, np.angle(z)
-        seen = np.maximum.accumulate(np.where(live, np.arange(m), -1), axis=1)
-        last = np.concatenate([np.full((half + 1, 1), -1), seen[:, :-1]], axis=1)
-        advance = self._advance(angle, np.where(last < 0, before[:, None], np.take_along_axis(angle, np.maximum(last, 0), axis=1)))
-        to = k * self.shift
-        out, added, weight = np.zeros(z.shape, complex), np.zeros(z.shape), np.zeros(z.shape)
-        first = np.full(z.shape, -1)
-        best = np.zeros(z.shape)
-        for j in k[to <= half]:
-            i, ok = int(to[j]), live[j]
-            if self.polished:
-                better = ok & ((first[i] < 0) | (mag[j] > best[i]))
-                first[i][better], best[i][better] = j, mag[j][better]
-                added[i] = np.where(better, advance[j], added[i])
-            for at, share in ((i, 1 - (to[j] - i)), (i + 1, to[j] - i)):
-                if at <= half:
-                    if not self.polished:
-                        added[at] += np.where(ok, advance[j], 0)
-                        out[at] += np.where(ok, mag[j] * share, 0) * np.exp(1j * added[at])
-                    else:
-                        out[at] += np.where(ok, mag[j] * share, 0)
-                    weight[at] += np.where(ok, share, 0)
-        if self.polished:
-            out = np.where(weight > 1, out / np.maximum(weight, 1), out) * np.exp(1j * added)
-        return angle, live, np.where(live.any(axis=1), live.argmax(axis=1), m), out, added, first
-
-    def _advance(self, angle: np.ndarray, before: np.ndarray) -> np.ndarray:
-        unit = 2 * np.pi / self.size
-        turn = (unit * np.arange(self.size // 2 + 1)).reshape(-1, *[1] * (angle.ndim - 1))
-        delta = angle - before - turn * self.hop
-        delta -= 2 * np.pi * np.floor(delta / (2 * np.pi) + 0.5)
-        return (turn + delta / self.hop) * self.hop * self.shift
-
-    def summary(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
-        """What `carry` needs of a stretch: the first and last live angle of each bin (NaN if none), the phase added from
-        phase zero without the advance of first live frames, which needs the angle before, and the share of the latter."""
-        half, m = self.size // 2, len(x)
-        angle, live, begin, _, added, first = self._local(x, np.zeros(half + 1))
-        decay = self.decay if self.polished else 1.0
-        k = np.arange(half + 1)
-        some = begin < m
-        opening = np.where(some, angle[k, np.minimum(begin, m - 1)], np.nan)
-        closing = np.where(some, angle[k, m - 1 - live[:, ::-1].argmax(axis=1)], np.nan)
-        to = (k * self.shift).astype(int)
-        used = some & (k * self.shift <= half)
-        unknown, share = self._advance(opening, np.zeros(half + 1)), np.zeros(half + 1)
-        for j in k[used]:
-            f = begin[j]
-            if not self.polished:
-                share[j] = 1.0
-                added[to[j] : to[j] + 2, f] -= unknown[j]
-            elif first[to[j], f] == j:
-                share[j] = decay ** (m - 1 - f)
-                added[to[j], f] = 0.0
-        total = added @ decay ** np.arange(m - 1, -1, -1.0)
-        return opening, closing, total, share
-
-    def carry(self, before: np.ndarray, phase: np.ndarray, stretch: tuple[np.ndarray, ...], frames: int) -> tuple[np.ndarray, np.ndarray]:
-        """The state after a stretch of `frames` frames."""
-        opening, closing, total, share = stretch
-        phase = phase * (self.decay if self.polished else 1.0) ** frames + total
-        advance = self._advance(opening, before)
-        for j in np.flatnonzero(share):
-            i = int(j * self.shift)
-            phase[i : i + (1 if self.polished else 2)] += share[j] * advance[j]
-        return np.where(np.isnan(closing), before, closing), phase
-
-    def frames(self, x: np.ndarray, before: np.ndarray, phase: np.ndarray) -> np.ndarray:
-        """Output frames of a stretch; the phase before a frame only turns its bins."""
-        _, _, _, out, added, _ = self._local(x, before)
-        half, decay = self.size // 2, self.decay if self.polished else 1.0
-        for f in range(len(x)):
-            out[:, f] *= np.exp(1j * decay * phase)
-            phase = decay * phase + added[:, f]
-        full = np.zeros((len(x), self.size), complex)
-        full[:, : half + 1] = out.T
-        full[:, half + 1 :] = np.conj(full[:, 1:half][:, ::-1])
-        return np.fft.ifft(full).real * self.window
-
-
-def vocode(df: DataFrame, voice: Vocoder, chunk: int = 256) -> DataFrame:
-    """Every (clip, channel) through a vocoder, as Vocoder.run does; `idx` must be dense from 0.
-
-    A clip is cut into stretches of `chunk` frames with a border of three frames to both sides, so that all frames
-    which touch a sample are in its stretch.  Each stretch gives one narrow row (four numbers a bin) to carry the state.
-    """
-    size, hop = voice.size, voice.hop
-    border, home = size - hop, chunk * hop
-    if home < border:
-        raise ValueError("chunks are shorter than a frame")
-    at, c = F.col("idx") % home, F.floor(F.col("idx") / home)
-    copies = F.array_compact(F.array(c, F.when(at >= home - border, c + 1), F.when((at < border) & (c > 0), c - 1)))
-    spread = df.select(*COLUMNS, F.explode(copies).alias("c"))
-    keys = df.select(*KEYS).dtypes
-    key_types = ", ".join(f"{k} {t}" for k, t in keys)
-    zeros = np.zeros(size // 2 + 1)
-    names = ("opening", "closing", "total", "share")
-
-    def cut(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """Position in the stretch (from the border's start) of each row, and overlapping frames."""
-        where = pdf["idx"].to_numpy() - (int(pdf["c"].iloc[0]) * home - border)
-        x = np.zeros(home + 2 * border)
-        x[where] = pdf["x"].to_numpy(float)
-        return where, np.lib.stride_tricks.sliding_window_view(x, size)[::hop]
-
-    def summarize(pdf: pd.DataFrame) -> pd.DataFrame:
-        where, x = cut(pdf)
-        if where.max() < home + border:  # the clip's last stretch
-            return pd.DataFrame(columns=[*KEYS, "c", *names])
-        return pdf[[*KEYS, "c"]].iloc[:1].assign(**{k: [v] for k, v in zip(names, voice.summary(x[:chunk]), strict=True)})
-
-    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("c")
-        state, states = (zeros, zeros), []
-        for row in zip(*(pdf[k] for k in names), strict=True):
-            state = voice.carry(*state, row, chunk)
-            states.append(state)
-        return pdf[KEYS].assign(c=pdf["c"] + 1, before=[b for b, _ in states], phase=[p for _, p in states])
-
-    def finish(pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        columns = [*KEYS, "idx", "x"]
-        if not len(pdf):
-            return pd.DataFrame(columns=columns)
-        where, x = cut(pdf)
-        own = (where >= border) & (where < border + home)
-        if not own.any():
-            return pd.DataFrame(columns=columns)
-        x = x[: (int(where[own].max()) // hop) + 1]
-        frames = voice.frames(x, *(np.asarray(state[k].iloc[0]) if len(state) else zeros for k in ("before", "phase")))
-        out = np.zeros(home + 2 * border)
-        for f, frame in enumerate(frames):
-            out[f * hop : f * hop + size] += frame
-        return pdf.loc[own, columns].assign(x=out[where[own]] / 1.5)
-
-    lists = ", ".join(f"{k} array<double>" for k in names)
-    stretches = spread.groupBy(*KEYS, "c").applyInPandas(summarize, f"{key_types}, c long, {lists}")
-    states = stretches.groupBy(*KEYS).applyInPandas(carry, f"{key_types}, c long, before array<double>, phase array<double>")
-    return spread.groupBy(*KEYS, "c").cogroup(states.groupBy(*KEYS, "c")).applyInPandas(finish, f"{key_types}, idx long, x double")
-
-
-def vocoder_mono(df: DataFrame, shift: float, polished: bool = False, chunk: int = 256) -> DataFrame:
-    return vocode(df, Vocoder(shift, polished), chunk)
-
-
-def vocoder_stereo(df: DataFrame, shift: float, chunk: int = 256) -> DataFrame:
-    """Mid and side are shifted as channels of their own, with decaying phases, and put together again."""
-    from sparkwave.operators.effects import mid_side, mid_side_inverse
-
-    return mid_side_inverse(vocode(mid_side(df), Vocoder(shift, True, decay=0.95), chunk))

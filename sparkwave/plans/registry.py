@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkwave.functions import shaping as S
-from sparkwave.operators import chain, cues, effects, filters, levels, spectral
+from sparkwave.operators import chain, cues, effects, filters, levels, spectral, vocoder
 from sparkwave.plans import views as V
 from sparkwave.sources import signals, storage, wav
 from sparkwave.streaming import signals as streaming
@@ -450,9 +450,10 @@ add("h10_dct_reverse", framed(spectral.dct_reverse), f"""WITH {V.FRAMES}, p AS (
  c AS (SELECT clip_id, frame_no, k, sum(x * cos(pi() * (2 * t + 1) * k / 128) * CASE WHEN k = 0 THEN sqrt(1 / 64) ELSE sqrt(2 / 64) END) AS c FROM p, range(0, 64) q(k) GROUP BY ALL),
  i AS (SELECT clip_id, frame_no, t AS k, sum(c * cos(pi() * (2 * t + 1) * (63 - k) / 128) * CASE WHEN k = 63 THEN sqrt(1 / 64) ELSE sqrt(2 / 64) END) AS x FROM c, range(0, 64) r(t) GROUP BY ALL){OUT}""")
 on_sig("h11_reverb", lambda df: spectral.reverb(df, spectral.impulse(400, 2.0, "damped"), 0.8, 0.3, 256), view=V.sig_long)
-on_sig("h12_vocoder_mono", lambda df: spectral.vocoder_mono(df, 1.2), view=V.sig_long)
-on_sig("h13_vocoder_polished", lambda df: spectral.vocoder_mono(df, 1.2, True), view=V.sig_long)
-on_sig("h14_vocoder_stereo", lambda df: spectral.vocoder_stereo(df, 1.2), view=V.sig_stereo)
+on_sig("h12_vocoder_mono", lambda df: vocoder.vocoder_mono(df, 1.2), view=V.sig_long)
+on_sig("h13_vocoder_polished", lambda df: vocoder.vocoder_mono(df, 1.2, True), view=V.sig_long)
+on_sig("h14_vocoder_stereo", lambda df: vocoder.vocoder_stereo(df, 1.2), view=V.sig_stereo)
+on_sig("h14_vocoder_stereo_basic", lambda df: vocoder.vocoder_stereo(df, 1.2, peak_lock=False), view=V.sig_stereo)
 
 # -- I: generators ---------------------------------------------------------------------------------------------------------------------------
 TURN = "(idx * (440 * pow(2e0, (61 - 69) / 12e0)) / 8000)"
@@ -586,6 +587,7 @@ for name, fresh, like in (("biquad", lambda: streaming.Biquad(*filters.coefficie
     out = (lambda df: df.select("clip_id", "idx", F.col("y").cast("long").alias("code"))) if name == "delta" else (lambda df: samples(df.withColumnRenamed("y", "x")))
     add(f"k3_stream_{name}", lambda s, d, f=fresh, o=out: o(storage.drain(streaming.stream_filter(streamed(s, d), f)).where("clip_id >= 0")), SQL[like])
 add("k4_stream_vocoder", lambda s, d: samples(storage.drain(streaming.stream_vocoder(streamed(s, d), 1.2)).where("clip_id >= 0").withColumnRenamed("y", "x")))
+add("k4_stream_vocoder_retuned", lambda s, d: samples(storage.drain(streaming.stream_vocoder(streamed(s, d).withColumn("shift", F.when(F.col("idx") < 1000, 1.2).otherwise(0.8)))).where("clip_id >= 0").withColumnRenamed("y", "x")))
 add("k5_stream_dedup_frames", lambda s, d: levels.fingerprint(storage.drain(streaming.stream_dedup_frames(storage.replay(V.frames64_u8(s, d).select("data"))))).select("fingerprint"),
     f"SELECT DISTINCT fingerprint FROM ({SQL['d10_fingerprint']})")
 

@@ -6,6 +6,7 @@ position and rows that came early; a gap is waited for until it is filled, or up
 
 from __future__ import annotations
 
+import itertools
 import pickle
 from collections.abc import Iterator
 
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sparkwave.operators.vocoder import Mono
 from sparkwave.sources.signals import KEYS
 
 STATE = "next long, data binary, early binary"
@@ -36,109 +38,150 @@ class Ema:
     def __init__(self, pct: float):
         self.p, self.y = pct / 100, None
 
-    def __call__(self, x: float) -> float:
-        self.y = x if self.y is None else self.y + (x - self.y) * self.p
-        return self.y
+    def run(self, x: np.ndarray) -> list[float]:
+        y, out = self.y, []
+        for v in x.tolist():
+            y = v if y is None else y + (v - y) * self.p
+            out.append(y)
+        self.y = y
+        return out
 
 
 class Comb:
     def __init__(self, g: float, taps: int = 4):
-        self.g, self.past = g, [0.0] * taps
+        self.g, self.past = g, np.zeros(taps)
 
-    def __call__(self, x: float) -> float:
-        y = x + self.g * self.past.pop(0)
-        self.past.append(y)
-        return y
+    def run(self, x: np.ndarray) -> np.ndarray:
+        taps, y = len(self.past), np.concatenate([self.past, x])
+        for at in range(taps, len(y), taps):  # as many samples at a time as there are taps
+            part = y[at : at + taps]
+            part += self.g * y[at - taps : at - taps + len(part)]
+        self.past = y[len(y) - taps :]
+        return y[taps:]
 
 
 class Biquad:
     def __init__(self, *coefficients: float):
-        self.c, self.s = coefficients, [0.0, 0.0]
+        self.c, self.s = coefficients, (0.0, 0.0)
 
-    def __call__(self, x: float) -> float:
+    def run(self, x: np.ndarray) -> list[float]:
         b0, b1, b2, a1, a2 = self.c
-        y = b0 * x + self.s[0]
-        self.s = [b1 * x - a1 * y + self.s[1], b2 * x - a2 * y]
-        return y
+        s0, s1 = self.s
+        out = []
+        for v in x.tolist():
+            y = b0 * v + s0
+            s0, s1 = b1 * v - a1 * y + s1, b2 * v - a2 * y
+            out.append(y)
+        self.s = s0, s1
+        return out
 
 
 class Adaptive:
     def __init__(self, pct: float):
         self.p, self.y = pct / 100, None
 
-    def __call__(self, x: float) -> float:
-        self.y = x if self.y is None else x + (self.y - x) * self.p * (1 - abs(x - self.y)) ** 2
-        return self.y
+    def run(self, x: np.ndarray) -> list[float]:
+        y, out = self.y, []
+        for v in x.tolist():
+            y = v if y is None else v + (y - v) * self.p * (1 - abs(v - y)) ** 2
+            out.append(y)
+        self.y = y
+        return out
 
 
 class Delta:
     def __init__(self) -> None:
         self.p = 0
 
-    def __call__(self, x: float) -> float:
-        d = max(-128, min(127, int(np.floor(x * 127 + 0.5)) - self.p))
-        self.p += d
-        return float(d)
+    def run(self, x: np.ndarray) -> list[float]:
+        out = []
+        for v in np.floor(x * 127 + 0.5).astype(np.int64).tolist():
+            d = max(-128, min(127, v - self.p))
+            self.p += d
+            out.append(float(d))
+        return out
 
 
-def stream_filter(stream: DataFrame, fresh, timeout_ms: int | None = None, wait: int | None = None) -> DataFrame:
-    """keys, idx, y: `fresh()` makes a filter, called on each sample in order of idx, with its state carried between batches.
+def stream_filter(stream: DataFrame, fresh, timeout_ms: int | None = None, wait: int | None = None, inputs: tuple[str, ...] = ("x",)) -> DataFrame:
+    """keys, idx, y: `fresh()` makes a filter; its run(x, ...) gets each run of consecutive samples as arrays, one of each of `inputs`, in
+    order of idx, with its state carried between batches.
 
-    Rows already passed (late or repeated) are dropped.  A gap holds the rows behind it until it is filled, so results don't depend
-    on batches; only if asked for, it is skipped with more than `wait` rows held, or after `timeout_ms`.  (With a
-    time limit Spark runs batches without end, as time alone may release rows.)
+    Rows already passed (late or repeated) are dropped, and of rows of one idx the one that came last counts.  A gap holds the rows
+    behind it until it is filled, so results don't depend on batches; only if asked for, it is skipped with more than `wait`
+    rows held, or after `timeout_ms`.  (With a time limit Spark runs batches without end, as time alone may release rows.)
     """
     kinds = dict(stream.dtypes)
+    columns = ["idx", *inputs]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         at, data, early = state.get if state.exists else (0, None, None)
         op = pickle.loads(data) if data else fresh()
-        held: dict[int, float] = pickle.loads(early) if early else {}
-        for pdf in batches:
-            held.update((int(i), float(x)) for i, x in zip(pdf["idx"], pdf["x"], strict=True) if i >= at)
+        parts = [pickle.loads(early)] if early else []
+        held = pd.concat([pd.DataFrame(columns=columns), *parts, *(pdf[columns] for pdf in batches)])
+        held = held[held["idx"] >= at].drop_duplicates("idx", keep="last").sort_values("idx")
         out = []
-        while held:
-            if at not in held:
+        while len(held):
+            idx = held["idx"].to_numpy(np.int64)
+            if idx[0] != at:
                 if not state.hasTimedOut and (wait is None or len(held) <= wait):
                     break
-                at = min(held)
-            out.append((*key, at, op(held.pop(at))))
-            at += 1
-        state.update((at, pickle.dumps(op), pickle.dumps(held)))
-        if held and timeout_ms:
+                at = int(idx[0])
+            n = int(np.searchsorted(idx - np.arange(len(idx)), at, side="right"))  # up to the next gap
+            out.append(pd.DataFrame({**dict(zip(KEYS, key, strict=True)), "idx": idx[:n], "y": op.run(*(held[c].to_numpy(float)[:n] for c in inputs))}))
+            at, held = at + n, held.iloc[n:]
+        state.update((at, pickle.dumps(op), pickle.dumps(held) if len(held) else None))
+        if len(held) and timeout_ms:
             state.setTimeoutDuration(timeout_ms)
-        yield pd.DataFrame(out, columns=[*KEYS, "idx", "y"])
+        yield from out
 
     schema = f"clip_id {kinds['clip_id']}, channel {kinds['channel']}, idx long, y double"
     return stream.groupBy(*KEYS).applyInPandasWithState(run, schema, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
 
 
 class StreamVocoder:
-    """A phase vocoder fed sample by sample, one frame late; its phases reset when the shift jumps by more than 0.001."""
+    """A phase vocoder one frame late: frames end every 256 samples and take the shift of their last sample; phases and angles start anew
+    where the shift is more than 0.001 from the one of the last start."""
 
     def __init__(self, shift: float):
-        from sparkwave.operators.spectral import Vocoder
-
-        self.v = Vocoder(shift)
-        self.input, self.tail, self.ready, self.n = np.zeros(self.v.size), np.zeros(self.v.size), [], 0
-
-    def retune(self, shift: float) -> None:
-        if abs(shift - self.v.shift) > 0.001:
-            self.v.before[:] = 0
-            self.v.phase[:] = 0
-        self.v.shift = shift
-
-    def __call__(self, x: float) -> float:
-        hop = self.v.hop
-        self.input = np.append(self.input[1:], x)
-        self.n += 1
-        if self.n % hop == 0:
-            self.tail = np.append(self.tail[hop:], np.zeros(hop)) + self.v.frame(self.input)
-            self.ready = list(self.tail[:hop] / 1.5)
-        return float(self.ready.pop(0)) if self.ready else 0.0
-
-
-def stream_vocoder(stream: DataFrame, shift: float, **options) -> DataFrame:
+        self.voice = Mono(shift)
+        self.tuned, self.state, self.n = shift, self.voice.start(), 0
+        self.input, self.tail = np.zeros(self.voice.size - 1), np.zeros(self.voice.size)
+        self.ready = np.zeros(self.voice.hop - 1)
+
+    def _frames(self, x: np.ndarray, shift: float) -> np.ndarray:
+        if shift != self.voice.shift:
+            self.voice = Mono(shift)
+        x = np.concatenate([np.zeros((self.voice.lead, self.voice.size)), x])
+        out = self.voice.frames(x, self.state, False)
+        self.state = self.voice.carry(self.state, self.voice.summary(x, False))
+        return out
+
+    def run(self, x: np.ndarray, shift: np.ndarray | None = None) -> np.ndarray:
+        size, hop = self.voice.size, self.voice.hop
+        samples = np.concatenate([self.input, x])
+        ends = np.arange(hop - 1 - self.n % hop, len(x), hop)  # last samples of frames
+        shift = np.full(len(x), self.voice.shift) if shift is None else shift
+        frames = samples[ends[:, None] + np.arange(size)]
+        changes = np.flatnonzero(np.diff(shift, prepend=np.nan) != 0).tolist()  # from the first sample on
+        acc = np.concatenate([self.tail, np.zeros(len(ends) * hop)])
+        for a, b in itertools.pairwise([*changes, len(x)]):
+            value = float(shift[a])
+            if abs(value - self.tuned) > 0.001:
+                self.tuned, self.state = value, self.voice.start()
+            first, last = np.searchsorted(ends, [a, b])
+            for at in range(first, last, 256):
+                for j, frame in enumerate(self._frames(frames[at : min(last, at + 256)], value), at + 1):
+                    acc[j * hop :][:size] += frame
+        out = np.concatenate([self.ready, acc[hop : (len(ends) + 1) * hop] / self.voice.gain])
+        self.ready, self.tail = out[len(x) :], acc[len(ends) * hop :]
+        self.input, self.n = samples[len(samples) - size + 1 :], self.n + len(x)
+        return out[: len(x)]
+
+
+def stream_vocoder(stream: DataFrame, shift: float | None = None, **options) -> DataFrame:
+    """The mono vocoder on a stream; without `shift` each row says its own in a column of that name, which may change."""
+    if shift is None:
+        return stream_filter(stream, lambda: StreamVocoder(1.0), inputs=("x", "shift"), **options)
     return stream_filter(stream, lambda: StreamVocoder(shift), **options)
 
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkwave.operators import chain, effects, filters, levels, spectral
+from sparkwave.operators import chain, effects, filters, levels, spectral, vocoder
 from sparkwave.sources import signals, wav
 
 SCHEMA = "clip_id long, channel int, idx long, x double"
@@ -191,23 +191,10 @@ def test_vocoder_keeps_a_tone(spark):
     t = np.arange(8192)
     df = spark.createDataFrame([(1, 0, int(i), float(v)) for i, v in enumerate(np.sin(2 * np.pi * 32 * t / 1024))], SCHEMA)
     for polished in (False, True):
-        out = got(spectral.vocoder_mono(df, 2.0, polished))[1][2048:6144]
+        out = got(vocoder.vocoder_mono(df, 2.0, polished))[1][2048:6144]
         assert np.argmax(np.abs(np.fft.rfft(out * np.hanning(len(out))))) == pytest.approx(2 * 32 * 4, abs=3)
 
 
-def test_vocoder_in_stretches_equals_the_whole_clip(spark):
-    rng = np.random.default_rng(5)
-    clip = rng.normal(size=6001) * 0.1 + np.sin(np.arange(6001) / 9)
-    clip[1500:4100] = 0  # bins without a live angle over whole stretches
-    data = {1: clip, 2: clip[:700], 3: clip[:1]}
-    df = spark.createDataFrame([(c, 0, i, float(v)) for c, x in data.items() for i, v in enumerate(x)], SCHEMA).repartition(3)
-    for shift in (0.7, 1.0, 1.2):
-        for voice in (spectral.Vocoder(shift), spectral.Vocoder(shift, True), spectral.Vocoder(shift, True, decay=0.95)):
-            out = got(spectral.vocode(df, voice, chunk=4))
-            for c, x in data.items():
-                np.testing.assert_allclose(out[c], spectral.Vocoder(shift, voice.polished, decay=voice.decay).run(x), atol=1e-8)
-
-
 def test_wav(spark):
     df = spark.createDataFrame([(1, 0, 0, 0.5), (1, 1, 0, -0.5), (1, 0, 1, 1.0), (1, 1, 1, -1.0)], SCHEMA)
     clips = spark.createDataFrame([(1, 8000, 2, 2, {"INAM": "abc"})], "clip_id long, sample_rate int, n_samples long, n_channels int, metadata map<string,string>")

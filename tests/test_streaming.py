@@ -2,8 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkwave.operators import filters
-from sparkwave.operators.spectral import Vocoder
+from sparkwave.operators import filters, vocoder
 from sparkwave.streaming import signals as streaming
 
 SCHEMA = "clip_id long, channel int, idx long, ts timestamp, x double"
@@ -67,4 +66,26 @@ def test_vocoder_stream_equals_the_batch_one_late_by_a_frame(spark, tmp_path):
     x = np.sin(2 * np.pi * 32 * t / 1024)
     stream, _ = feed(spark, tmp_path, [[(1, 0, int(i), float(i), float(x[i])) for i in part] for part in np.array_split(t, 3)])
     y = [r["y"] for r in drain(streaming.stream_vocoder(stream, 1.3), "voc", tmp_path).orderBy("idx").collect()]
-    np.testing.assert_allclose(y[1023:], Vocoder(1.3).run(x)[: 4096 - 1023], atol=1e-9)
+    np.testing.assert_allclose(y[1023:], vocoder.whole(vocoder.Mono(1.3), x)[: 4096 - 1023], atol=1e-9)
+
+
+def test_vocoder_stream_starts_anew_where_the_shift_jumps(spark, tmp_path):
+    """Against frames one by one; small changes retune without a new start, and batches don't matter."""
+    rng = np.random.default_rng(1)
+    x = np.sin(np.arange(5000) / 7) + rng.normal(0, 0.05, 5000)
+    shift = np.where(np.arange(5000) < 1500, 1.3, np.where(np.arange(5000) < 3000, 1.3005, 0.8))
+    state, tuned, padded = vocoder.Mono(1.0).start(), 1.0, np.concatenate([np.zeros(1023), x])
+    want = np.zeros(7000)
+    for i in range(5000):
+        if abs(shift[i] - tuned) > 0.001:
+            tuned, state = shift[i], vocoder.Mono(1.0).start()
+        if i % 256 == 255:
+            voice = vocoder.Mono(shift[i])
+            frame = np.vstack([np.zeros((2, 1024)), padded[i : i + 1024]])
+            want[i : i + 1024] += voice.frames(frame, state, False)[0]
+            state = voice.carry(state, voice.summary(frame, False))
+    rows = [(1, 0, i, float(i), float(x[i])) for i in range(5000)]
+    stream, _ = feed(spark, tmp_path, [rows[:700], rows[2000:5000], rows[700:2000]])
+    stream = stream.withColumn("shift", F.when(F.col("idx") < 1500, 1.3).when(F.col("idx") < 3000, 1.3005).otherwise(0.8))
+    y = [r["y"] for r in drain(streaming.stream_vocoder(stream), "retuned", tmp_path).orderBy("idx").collect()]
+    np.testing.assert_allclose(y, want[:5000], atol=1e-9)
