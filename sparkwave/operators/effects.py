@@ -243,10 +243,14 @@ def add_tone(df: DataFrame, kind: str, note: float, vol: float, rate: int) -> Da
     return put(df, F.col("x") + vol * S.oscillator(kind, F.col("idx"), S.note_hz(note), rate))
 
 
-def add_noise(df: DataFrame, kind: str, vol: float, seed: int = 1) -> DataFrame:
-    """White, violet or blue noise from a hash of the position: repeatable, no window."""
-    u = lambda i: F.when(i >= 0, S.uniform(seed, *KEYS, i) - 0.5).otherwise(F.lit(0.0))
-    now, before = u(F.col("idx")), u(F.col("idx") - 1)
+def add_noise(df: DataFrame, kind: str, vol: float, seed: int = 1, draws: str | None = None) -> DataFrame:
+    """White, violet or blue noise: repeatable draws from a hash of the position, without a window, or from the column `draws`."""
+    if draws:
+        df = lagged(df.withColumn("_now", F.col(draws) - 0.5), {"_before": ("_now", 1, 0.0)})
+        now, before = F.col("_now"), F.col("_before")
+    else:
+        u = lambda i: F.when(i >= 0, S.uniform(seed, *KEYS, i) - 0.5).otherwise(F.lit(0.0))
+        now, before = u(F.col("idx")), u(F.col("idx") - 1)
     wave = {"white": now, "violet": (now - before) / 2, "blue": (2 * now - before) / 4}[kind]
     return put(df, F.col("x") + wave * (vol * 0.02))
 

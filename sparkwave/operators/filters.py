@@ -1,8 +1,4 @@
-"""Feedback filters: linear recurrences by chunked scan, nonlinear ones in rounds over chunks or in order per clip.
-
-A linear recurrence gives, for each chunk, its end from a zero state and from unit states; these narrow rows carry the state
-along the clip, and each chunk then runs from its own state.  Chunks of one clip run on many tasks.
-"""
+"""Feedback filters and noise with memory: linear recurrences, counters and clamped walks as composed scans, others as settled scans."""
 
 from __future__ import annotations
 
@@ -11,16 +7,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkwave.functions.shaping import half_up
+from sparkwave.functions.shaping import half_up, uniform
 from sparkwave.operators.effects import COLUMNS, asof_points, put
 from sparkwave.sources.signals import KEYS, lagged, with_length
-from sparkwave.sources.storage import work_dir
+from sparkwave.operators.scans import CELLS, CHUNK, Texts, chunked, composed_scan, fold, joined, settled_scan
 
-CHUNK = 4096
 #: (state, inputs) -> (output, new state); state and inputs are lists of arrays over chunks; linear in state and first input.
 Step = Callable[[list, list], tuple]
 
@@ -29,66 +24,33 @@ def linear_scan(df: DataFrame, step: Step, order: int, inputs: tuple[str, ...] =
                 keys: list[str] | None = None, chunk: int = CHUNK) -> DataFrame:
     """keys, idx, y.  `idx` must be dense within keys; only inputs[0] is scaled, the others are coefficients.
 
-    The samples are shuffled once, into chunks.  A first pass gives one narrow row a chunk (its end from a zero state, and the
-    matrix that its state before is multiplied by), these rows are put in order to carry the state along each clip, and a second
-    pass over the chunks runs each from its own state.
+    A composed scan: a chunk's numbers are its first input, its end from a zero state, and the matrix that its state before is
+    multiplied by.
     """
-    keys = keys or KEYS
-    types = dict(df.select(*keys).dtypes)
-    kept = df.select(*keys, "idx", *[F.col(c).cast("double").alias(c) for c in inputs])
-    chunks = kept.groupBy(*keys, F.floor(F.col("idx") / chunk).alias("c")).agg(F.array_sort(F.collect_list(F.struct("idx", *inputs))).alias("s"))
-    chunks = chunks.select(*keys, "c", *[F.col(f"s.{c}").alias(c) for c in inputs])
-    key_text = ", ".join(f"{k} string" for k in keys)  # pandas would make doubles of integers beside a null
 
-    def texts(rows: DataFrame) -> DataFrame:
-        return rows.withColumns({k: F.col(k).cast("string") for k in keys})
+    def summary(data: list[np.ndarray], live: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        n = data[0].shape[1]
+        scale = np.zeros((order + 1, 1))
+        scale[0] = 1.0  # row 0: the input from a zero state; row j: no input, unit state j
+        unit = [np.repeat((np.arange(order + 1) == j + 1).astype(float)[:, None], n, axis=1) for j in range(order)]
 
-    def typed(rows: DataFrame) -> DataFrame:
-        return rows.withColumns({k: F.col(k).cast(types[k]) for k in keys})
+        def go(state: list, i: int, m: int) -> list:
+            _, state = step(state, [scale * data[0][i, :m], *(d[i, :m] for d in data[1:])])
+            return [np.broadcast_to(s, (order + 1, m)) for s in state]
 
-    def matrices(pdf: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
-        """Chunks of equal length; of each input a matrix of positions x chunks."""
-        for _, same in pdf.groupby(pdf[inputs[0]].map(len)):
-            yield same, [np.ascontiguousarray(np.stack(same[c].to_numpy()).astype(float).T) for c in inputs]
+        end = np.stack(fold(go, unit, live))  # order x (order + 1) x chunks
+        return np.concatenate([data[0][:1], end[:, 0], end[:, 1:].reshape(order * order, n)]).T
 
-    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for same, data in matrices(pdf):
-                length, n = data[0].shape
-                scale = np.zeros((order + 1, 1))
-                scale[0] = 1.0  # row 0: the input from a zero state; row j: no input, unit state j
-                state = [np.repeat((np.arange(order + 1) == j + 1).astype(float)[:, None], n, axis=1) for j in range(order)]
-                for i in range(length):
-                    _, state = step(state, [scale * data[0][i], *(d[i] for d in data[1:])])
-                end = np.stack([np.broadcast_to(s, (order + 1, n)) for s in state])  # order x (order + 1) x chunks
-                yield same[[*keys, "c"]].assign(e=list(end[:, 0].T), m=list(end[:, 1:].reshape(order * order, n).T), x0=data[0][0])
-
-    def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows in order of clips and chunks."""
-        key, state = None, np.zeros(order)
-        for pdf in batches:
-            states = []
-            for at, e, m, x0 in zip(zip(*(pdf[k] for k in keys), strict=True), pdf["e"], pdf["m"], pdf["x0"], strict=True):
-                if at != key:
-                    key, state = at, np.asarray(first_state(x0), float) if first_state else np.zeros(order)
-                states.append(state)
-                state = m.reshape(order, order) @ state + e
-            yield pdf[[*keys, "c"]].assign(s=states)
-
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for same, data in matrices(pdf):
-                state = list(np.stack(same["s"].to_numpy()).T)
-                y = np.empty(data[0].shape)
-                for i in range(len(y)):
-                    y[i], state = step(state, [d[i] for d in data])
-                yield same[[*keys, "c"]].assign(y=list(y.T))
+    def carry(state: np.ndarray, e: np.ndarray) -> np.ndarray:
+        return e[1 + order :].reshape(order, order) @ state + e[1 : 1 + order]
+
+    def finish(data: list[np.ndarray], live: np.ndarray, state: list[np.ndarray]) -> np.ndarray:
+        y = np.empty(data[0].shape)
+        for i, m in enumerate(live.tolist()):
+            y[i, :m], state = step([s[:m] for s in state], [d[i, :m] for d in data])
+        return y
 
-    narrow = typed(texts(chunks).mapInPandas(ends, f"{key_text}, c long, e array<double>, m array<double>, x0 double"))
-    narrow = narrow.repartition(*keys).sortWithinPartitions(*keys, "c")
-    states = typed(texts(narrow).mapInPandas(carry, f"{key_text}, c long, s array<double>"))
-    full = typed(texts(chunks.join(states, [*keys, "c"])).mapInPandas(finish, f"{key_text}, c long, y array<double>"))
-    return full.select(*keys, "c", F.posexplode("y").alias("i", "y")).select(*keys, (F.col("c") * chunk + F.col("i")).alias("idx"), "y")
+    return composed_scan(df, inputs, summary, lambda e: first_state(e[0]) if first_state else np.zeros(order), carry, finish, keys, chunk)
 
 
 def _out(scan: DataFrame) -> DataFrame:
@@ -251,14 +213,12 @@ def delta_predict(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return both.select(*KEYS, "idx", shift.cast("long").bitwiseOR(code).bitwiseAND(F.lit(255).cast("long")).alias("byte"))
 
 
-def pink_noise(df: DataFrame, vol: float, seed: int = 1, chunk: int = CHUNK) -> DataFrame:
+def pink_noise(df: DataFrame, vol: float, seed: int = 1, chunk: int = CHUNK, draws: str | None = None) -> DataFrame:
     """Six leaky sums of white noise and the white noise before; added to the signal."""
-    from sparkwave.functions.shaping import uniform
-
     # Decay and gain of each sum, share of this and of the last white sample.
     sums = [(0.99886, 0.0555179), (0.99332, 0.0750759), (0.969, 0.153852), (0.8665, 0.3104856), (0.55, 0.5329522), (-0.7616, -0.016898)]
     now, before = 0.5362, 0.115926
-    white = df.withColumn("w", 2 * uniform(seed, *KEYS, "idx") - 1)
+    white = df.withColumn("w", 2 * (F.col(draws) if draws else uniform(seed, *KEYS, "idx")) - 1)
 
     def step(s, x):
         b = [d * v + g * x[0] for (d, g), v in zip(sums, s, strict=False)]
@@ -268,79 +228,7 @@ def pink_noise(df: DataFrame, vol: float, seed: int = 1, chunk: int = CHUNK) ->
     return put(df.join(pink, [*KEYS, "idx"]), F.col("x") + F.col("y") * (vol * 0.11))
 
 
-# -- in order per clip ---------------------------------------------------------------------------------------------
-
-
-def in_order(df: DataFrame, fn: Callable[[np.ndarray], np.ndarray], kind: str = "double", name: str = "x") -> DataFrame:
-    """fn over the ordered samples of each (clip, channel); clamped feedback is not associative, so a clip is one group."""
-    types = ", ".join(f"{k} {t}" for k, t in df.select(*KEYS).dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        return pdf[[*KEYS, "idx"]].assign(**{name: fn(pdf["x"].to_numpy(float))})
-
-    return df.select(*COLUMNS).groupBy(*KEYS).applyInPandas(run, f"{types}, idx long, {name} {kind}")
-
-
-def settled_scan(df: DataFrame, step: Callable, first: Callable, chunk: int = CHUNK) -> DataFrame:
-    """keys, idx, y of a recurrence with one number as state that is not linear: step(state, x) -> (y, state), over arrays of
-    chunks; first(x) is the same for the first sample of a clip.  `idx` must be dense within keys.
-
-    Every chunk first runs as if it began a clip, then again from the state in which the chunk before ended, until no such state
-    changes; only chunks whose state changed run again.  After r rounds the first r chunks of a clip are right whatever the
-    values; states that meet within a chunk settle in two.  Chunks are stored once, and a round writes one narrow row a chunk.
-    """
-    spark = df.sparkSession
-    types = dict(df.select(*KEYS).dtypes)
-    schema = ", ".join(f"{k} string" for k in KEYS) + ", c long"
-    path = work_dir(spark, "chunks")
-    chunks = df.select(*KEYS, "idx", F.col("x").cast("double").alias("x")).groupBy(*KEYS, F.floor(F.col("idx") / chunk).alias("c"))
-    chunks.agg(F.array_sort(F.collect_list(F.struct("idx", "x"))).alias("s")).select(*KEYS, "c", F.col("s.x").alias("x")).write.parquet(path)
-    chunks = spark.read.parquet(path)
-
-    def from_states(states: DataFrame | None, whole: bool) -> DataFrame:
-        """The chunks of `states` (keys, c, start, fresh; None: all, each as if it began a clip): all their y, or the state at the end."""
-        if states is None:
-            rows = chunks.withColumns({"start": F.lit(0.0), "fresh": F.lit(True)})
-        else:
-            on = F.lit(True)
-            for k in [*KEYS, "c"]:
-                on = on & chunks[k].eqNullSafe(F.col(f"_{k}"))
-            rows = chunks.join(states.select(*[F.col(k).alias(f"_{k}") for k in [*KEYS, "c"]], "start", "fresh"), on)
-        rows = rows.select(*[F.col(k).cast("string").alias(k) for k in KEYS], "c", "x", "start", "fresh")
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for _, same in pdf.groupby(pdf["x"].map(len)):
-                    x = np.ascontiguousarray(np.stack(same["x"].to_numpy()).astype(float).T)
-                    y, fresh = np.empty(x.shape), same["fresh"].to_numpy(bool)
-                    y[0], state = (np.where(fresh, a, b) for a, b in zip(first(x[0]), step(same["start"].to_numpy(float), x[0]), strict=True))
-                    for i in range(1, len(x)):
-                        y[i], state = step(state, x[i])
-                    kept = same[[*KEYS, "c"]]
-                    yield kept.assign(y=list(y.T)) if whole else kept.assign(start=same["start"], fresh=fresh, end=state)
-
-        out = rows.mapInPandas(run, f"{schema}, y array<double>" if whole else f"{schema}, start double, fresh boolean, end double")
-        return out.withColumns({k: F.col(k).cast(types[k]) for k in KEYS})
-
-    def written(rows: DataFrame) -> DataFrame:
-        at = work_dir(spark, "states")
-        rows.write.parquet(at)
-        return spark.read.parquet(at)
-
-    states = None
-    if not chunks.where("c > 0").isEmpty():
-        before = Window.partitionBy(*KEYS).orderBy("c")
-        states = written(from_states(None, False))
-        while True:
-            last = states.withColumns({"want": F.lag("end").over(before), "led": F.lag("c").over(before).isNotNull()})
-            last = last.withColumn("moved", F.col("led") & (F.col("fresh") | ~F.col("start").eqNullSafe(F.col("want"))))
-            moved = last.where("moved").select(*KEYS, "c", F.col("want").alias("start"), F.lit(False).alias("fresh"))
-            if moved.isEmpty():
-                break
-            states = written(last.where("not moved").select(*states.columns).unionByName(from_states(moved, False)))
-    full = from_states(states, True)
-    return full.select(*KEYS, "c", F.posexplode("y").alias("i", "y")).select(*KEYS, (F.col("c") * chunk + F.col("i")).alias("idx"), "y")
+# -- nonlinear recurrences -----------------------------------------------------------------------------------------
 
 
 def smooth_adaptive(df: DataFrame, pct: float, chunk: int = CHUNK) -> DataFrame:
@@ -348,41 +236,70 @@ def smooth_adaptive(df: DataFrame, pct: float, chunk: int = CHUNK) -> DataFrame:
     p = pct / 100
 
     def step(y, x):
-        d = y - x
+        d = y[0] - x
         w = 1 - np.abs(d)
         out = x + d * p * (w * w)
-        return out, out
+        return out, [out]
 
-    return _out(settled_scan(df, step, lambda x: (x, x), chunk))
+    return _out(settled_scan(df, step, lambda x: (x, [x]), chunk))
 
 
 def delta_encode(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Difference to the rebuilt sample, limited to 8 bits."""
 
     def step(p, x):
-        d = np.clip(np.floor(x * 127 + 0.5) - p, -128, 127)
-        return d, p + d
+        d = np.clip(np.floor(x * 127 + 0.5) - p[0], -128, 127)
+        return d, [p[0] + d]
 
-    out = settled_scan(df, step, lambda x: step(0.0, x), chunk)
+    out = settled_scan(df, step, lambda x: step([0.0], x), chunk)
     return out.select(*KEYS, "idx", F.col("y").cast("long").alias("code"))
 
 
-def delta_1bit(df: DataFrame, stereo: bool = False) -> DataFrame:
+def delta_1bit(df: DataFrame, stereo: bool = False, chunk: int = CHUNK) -> DataFrame:
     """(keys, b, byte): an up/down counter against round((x+1)*8), eight bits a byte, bit j = 1 << j.  Two channels share one
-    counter, left before right, and give one row of bytes (channel 0)."""
+    counter, left before right, and give one row of bytes (channel 0).
+
+    A counter above all targets of a chunk goes up all the way, one not above any goes down; for those between, a chunk's numbers are a
+    table of where each ends.
+    """
     if stereo:
         df = df.select("clip_id", F.lit(0).alias("channel"), (F.col("idx") * 2 + F.col("channel")).alias("idx"), "x")
+    df = df.withColumn("v", half_up((F.coalesce(F.nanvl("x", F.lit(0.0)), F.lit(0.0)) + 1) * 8))
+
+    def moved(c: np.ndarray, v: np.ndarray) -> np.ndarray:
+        return np.where(c > v, c + 1, c - 1)
+
+    def summary(data: list[np.ndarray], live: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+        out = []
+        for j, n in enumerate(lengths.tolist()):
+            v = data[0][:n, j]
+            low, high = v.min(), v.max()
+            out.append((n, low, high, np.arange(low + 1, high + 1)))
+        width = max(len(t[3]) for t in out)
+        together = max(1, CELLS // max(1, width))
+        for a in range(0, len(out), together):
+            part = out[a : a + together]
+            starts = np.zeros((width, len(part)))
+            for j, (_, _, _, entries) in enumerate(part):
+                starts[: len(entries), j] = entries
+            ends = fold(lambda s, i, m, a=a: [moved(s[0], data[0][i, a : a + m])], [starts], np.clip(live - a, 0, len(part)))[0]
+            out[a : a + together] = [np.concatenate([[n, low, high], ends[: len(entries), j]]) for j, (n, low, high, entries) in enumerate(part)]
+        return out
+
+    def carry(state: np.ndarray, e: np.ndarray) -> np.ndarray:
+        c, (n, low, high) = state[0], e[:3]
+        return np.array([c + n if c > high else c - n if c <= low else e[3 + int(c - low) - 1]])
 
-    def run(x: np.ndarray) -> np.ndarray:
-        out, c = [], 0
-        for v in np.floor((x + 1) * 8 + 0.5).astype(int).tolist():
-            up = c > v
-            c += 1 if up else -1
-            out.append(int(up))
-        return np.array(out, np.int64)
+    def finish(data: list[np.ndarray], live: np.ndarray, state: list[np.ndarray]) -> np.ndarray:
+        bits, c = np.zeros(data[0].shape), state[0]
+        for i, m in enumerate(live.tolist()):
+            c = c[:m]
+            bits[i, :m] = c > data[0][i, :m]
+            c = moved(c, data[0][i, :m])
+        return bits
 
-    bits = in_order(df, run, "long", "bit")
-    return bits.groupBy(*KEYS, F.floor(F.col("idx") / 8).alias("b")).agg(F.sum(F.col("bit") * F.pow(F.lit(2), F.col("idx") % 8).cast("long")).alias("byte"))
+    bits = composed_scan(df, ("v",), summary, lambda e: np.zeros(1), carry, finish, chunk=chunk)
+    return bits.groupBy(*KEYS, F.floor(F.col("idx") / 8).alias("b")).agg(F.sum(F.col("y").cast("long") * F.pow(F.lit(2), F.col("idx") % 8).cast("long")).alias("byte"))
 
 
 # The code tables of three and seven bits, and what samples are scaled by.
@@ -416,71 +333,179 @@ def delta_codebook(df: DataFrame, bits: int = 3, scale: float | None = None, old
     return near.select(*KEYS, "idx", code.cast("long").alias("code"))
 
 
-def walk_noise(df: DataFrame, kind: str, vol: float, seed: int = 1, rate: int = 8000) -> DataFrame:
-    """Noise with memory, from repeatable draws: brown, pink_acc, orange (clamped walks), gray, green, yellow (gaps by
-    rejection), black (bursts), hold, hold_pink, hold_orange (random holds, longer for brown than for pink, longest for orange)."""
-    types = ", ".join(f"{k} {t}" for k, t in df.select(*KEYS).dtypes)
+# -- noise with memory -------------------------------------------------------------------------------------------------
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        import zlib
+# Widths of steps of the clamped walks, the largest gap of chains, and twice the longest hold.
+WALK = {"brown": 0.2, "pink_acc": 0.34, "orange": 0.06, "gray": 0.3}
+GAP_FROM, GAP_TO = 0.05, {"green": 0.13, "yellow": 0.18}
+HOLD = {"hold": 20, "hold_pink": 6, "hold_orange": 66}
+# Fixed values of black noise: the limit of its slope, the least step and its fading a second, the step from which bursts add no more, what
+# a burst adds at most, and the longest time between bursts in seconds.
+SLOPE, LEAST, FADE, ENOUGH, BURST, QUIET = 0.005, 0.0006, 0.000579, 0.006, 0.003, 39
 
-        pdf = pdf.sort_values("idx")
-        rng = np.random.default_rng([seed, zlib.crc32(repr(key).encode())])
-        n = len(pdf)
-        return pdf[COLUMNS[:3]].assign(x=pdf["x"].to_numpy() + vol * _noise(kind, n, rng, rate))
 
-    return df.select(*COLUMNS).groupBy(*KEYS).applyInPandas(run, f"{types}, idx long, x double")
+def walk_noise(df: DataFrame, kind: str, vol: float, seed: int = 1, rate: int = 8000, draws: tuple[str, ...] = (), chunk: int = CHUNK) -> DataFrame:
+    """Noise with memory: brown, pink_acc, orange (clamped walks), gray, green, yellow (gaps by rejection), black (bursts),
+    hold, hold_pink, hold_orange (random holds, longer for brown than for pink, longest for orange).
 
+    Draws are uniform numbers from hashes of the position, or from the columns `draws` (one; gray takes two); proposals of chains and
+    times of bursts are always hashes.  A hold's draw is the one at the position of its ordinal number.
+    """
+    number = iter(draws)
+    u = lambda k: F.col(next(number)) if draws else uniform(seed + k, *KEYS, "idx")
+    if kind in ("brown", "pink_acc", "orange"):
+        y = saturating_walk(df.withColumn("_a", (u(0) - 0.5) * WALK[kind]), "_a", chunk).withColumn("y", F.col("y") / 2)
+    elif kind == "gray":
+        df = df.withColumns({"_a": (u(0) - 0.5) * WALK[kind], "_p": u(1) - 0.5})
+        df = lagged(df, {"_before": ("_p", 1, 0.0)})
+        y = saturating_walk(df, "_a", chunk).withColumnRenamed("y", "_w").join(df.select(*KEYS, "idx", "_p", "_before"), [*KEYS, "idx"])
+        y = y.select(*KEYS, "idx", (0.25 * (F.col("_w") + 0.5 * (2 * F.col("_p") - F.col("_before")))).alias("y"))
+    elif kind in GAP_TO:
+        y = _chain(df.withColumn("_h", _hash(seed, "idx")), GAP_TO[kind], chunk)
+    elif kind in HOLD:
+        y = held(df.withColumn("_u", u(0)), "_u", HOLD[kind], chunk)
+    elif kind == "black":
+        y = _black(df.withColumn("_u", u(0)), seed, rate, chunk)
+    else:
+        raise ValueError(f"unknown noise {kind!r}")
+    return put(df.select(*COLUMNS).join(y, [*KEYS, "idx"]), F.col("x") + vol * F.col("y"))
 
-def _walk(steps: np.ndarray) -> np.ndarray:
-    out, v = np.empty(len(steps)), 0.0
-    for i, s in enumerate(steps.tolist()):
-        v = min(1.0, max(-1.0, v + s))
-        out[i] = v
-    return out
 
+def saturating_walk(df: DataFrame, step: str, chunk: int = CHUNK) -> DataFrame:
+    """keys, idx, y: sums of `step`, held within -1 and 1.  Such additions compose to one, x -> min(high, max(low, x + sum)): three
+    numbers a chunk."""
 
-HOLD = {"hold": 20, "hold_pink": 6, "hold_orange": 66}  # fixed values: twice the longest hold, of brown, pink and orange noise
+    def moved(v, a):
+        return np.clip(v + a, -1.0, 1.0)
 
+    def summary(data: list[np.ndarray], live: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        n = data[0].shape[1]
+        ends = fold(lambda s, i, m: [s[0] + data[0][i, :m], moved(s[1], data[0][i, :m]), moved(s[2], data[0][i, :m])], [np.zeros(n), np.full(n, -1.0), np.full(n, 1.0)], live)
+        return np.stack(ends).T
 
-def _noise(kind: str, n: int, rng: np.random.Generator, rate: int) -> np.ndarray:
-    u = lambda: rng.random(n) - 0.5
-    if kind in ("brown", "pink_acc", "orange"):
-        return 0.5 * _walk(u() * {"brown": 0.2, "pink_acc": 0.34, "orange": 0.06}[kind])
-    if kind == "gray":
-        walk, p = _walk(u() * 0.3), u()
-        return 0.25 * (walk + 0.5 * (2 * p - np.concatenate([[0.0], p[:-1]])))
-    if kind in ("green", "yellow"):
-        top = 0.13 if kind == "green" else 0.18
-        out = np.empty(n)
-        p = rng.random()
-        for i in range(n):
-            v = rng.random()
-            while not 0.05 <= abs(p - v) <= top:
-                v = rng.random()
-            out[i] = v - 0.5
-            p = v
-        return out
-    if kind in HOLD:
-        out, i = np.empty(n), 0
-        while i < n:
-            value = rng.random() - 0.5
-            size = 1 + int(abs(value) * HOLD[kind])
-            out[i : i + size] = value
-            i += size
-        return out
-    if kind == "black":
-        out, level, slope, step, burst = np.empty(n), 0.0, 0.0, 0.0006, rng.random() * 39 * rate
-        for i, r in enumerate(u().tolist()):
-            slope = max(-0.005, min(0.005, slope + r * step))
-            level += slope
-            if abs(level) > 1:
-                level, slope = math.copysign(1.0, level), 0.0
-            out[i] = 0.5 * level
-            if burst < i:
-                burst += rng.random() * 39 * rate
-                if step < 0.006:
-                    step += rng.random() * 0.003
-            step = max(0.0006, step - 0.000579 / rate)
-        return out
-    raise ValueError(f"unknown noise {kind!r}")
+    def carry(state: np.ndarray, e: np.ndarray) -> np.ndarray:
+        return np.minimum(e[2], np.maximum(e[1], state + e[0]))
+
+    def finish(data: list[np.ndarray], live: np.ndarray, state: list[np.ndarray]) -> np.ndarray:
+        y, v = np.zeros(data[0].shape), state[0]
+        for i, m in enumerate(live.tolist()):
+            y[i, :m] = v = moved(v[:m], data[0][i, :m])
+        return y
+
+    return composed_scan(df, (step,), summary, lambda e: np.zeros(1), carry, finish, chunk=chunk)
+
+
+def _hash(seed: int, *columns) -> Column:
+    """53 bits, which a double holds."""
+    return F.pmod(F.xxhash64(F.lit(seed), *KEYS, *columns), F.lit(1 << 53))
+
+
+def proposal(h: np.ndarray, number: int) -> np.ndarray:
+    """The number-th uniform draw of each hash, by the SplitMix64 generator."""
+    with np.errstate(over="ignore"):
+        # The published constants of SplitMix64.
+        z = h.astype(np.uint64) + np.uint64(number + 1) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+
+
+def _chain(df: DataFrame, top: float, chunk: int) -> DataFrame:
+    """keys, idx, y: each value is the first of its position's proposals at a distance of GAP_FROM to `top` from the last one.
+
+    All chains see the same proposals, so chains from different starts soon take the same value and go on as one: chunks settle.
+    """
+
+    def step(p, h):
+        v, todo, number = np.empty(len(h)), np.arange(len(h)), 1
+        while len(todo):
+            u = proposal(h[todo], number)
+            gap = np.abs(p[0][todo] - u)
+            fine = (gap >= GAP_FROM) & (gap <= top)
+            v[todo[fine]] = u[fine]
+            todo, number = todo[~fine], number + 1
+        return v - 0.5, [v]
+
+    return settled_scan(df, step, lambda h: step([proposal(h, 0)], h), chunk, ("_h",))
+
+
+def held(df: DataFrame, draw: str, longest: int, chunk: int = CHUNK) -> DataFrame:
+    """keys, idx, y: values draw - 0.5, each held for 1 + floor(|value| * longest) positions.
+
+    The draw at a position is that of the hold with this ordinal number.  Where holds start is a sum of lengths, by chunks of ordinals and
+    then over the narrow rows of chunks; holds that start within the clip are spread over their positions.
+    """
+    value = F.col(draw) - 0.5
+    holds = df.select(*KEYS, "idx", value.alias("y"), (1 + F.floor(F.abs(value) * longest)).alias("size"), F.floor(F.col("idx") / chunk).alias("c"))
+    inside = Window.partitionBy(*KEYS, "c").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*KEYS).orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = holds.groupBy(*KEYS, "c").agg(F.sum("size").alias("total"), F.max("idx").alias("last"))
+    chunks = chunks.withColumns({"base": F.coalesce(F.sum("total").over(before), F.lit(0)), "n": F.max("last").over(Window.partitionBy(*KEYS)) + 1}).where("base < n")
+    starts = holds.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(chunks.select(*KEYS, "c", "base", "n"), [*KEYS, "c"])
+    starts = starts.withColumn("start", F.col("start") + F.col("base")).where("start < n")
+    end = F.least(F.col("start") + F.col("size"), F.col("n")) - 1
+    return starts.select(*KEYS, F.explode(F.sequence("start", end)).alias("idx"), "y")
+
+
+def bursts(h: float, rate: int, length: int) -> Iterator[tuple[int, float]]:
+    """(position, step from there on) of black noise whenever a burst changes it, in order: a renewal sequence of hashed times."""
+    when, step, at, number = 0.0, LEAST, 0, 0
+    key, fade = np.array([h]), FADE / rate
+    while True:
+        when += float(proposal(key, 2 * number)[0]) * QUIET * rate
+        hit = max(at, int(when) + 1)
+        if hit >= length:
+            return
+        step = max(LEAST, step - fade * (hit - at))
+        if step < ENOUGH:
+            step += float(proposal(key, 2 * number + 1)[0]) * BURST
+        at, number, step = hit + 1, number + 1, max(LEAST, step - fade)
+        yield at, step
+
+
+def _black(df: DataFrame, seed: int, rate: int, chunk: int) -> DataFrame:
+    """keys, idx, y: a walk whose slope is a clamped walk too, turned back at -1 and 1; bursts raise the width of its steps, which fades.
+
+    Bursts are few (one in 39 seconds or sooner); they are streamed along each clip and put into rows of chunks, from which each chunk
+    makes its steps.  Slopes meet at their limits and levels at theirs, so chunks settle.
+    """
+    text = Texts(df, KEYS)
+    clips = df.groupBy(*KEYS).agg((F.max("idx") + 1).alias("n")).withColumn("h", _hash(seed + 1).cast("double"))
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for *key, n, h in zip(*(pdf[k] for k in KEYS), pdf["n"], pdf["h"], strict=True):
+                n, at, step, coming = int(n), 0, LEAST, bursts(h, rate, int(n))
+                following = next(coming, None)
+                for first in range(0, n, 64 * chunk):
+                    out = []
+                    for c in range(first // chunk, min(first + 64 * chunk, n + chunk - 1) // chunk):
+                        inside = []
+                        begin = max(LEAST, step - FADE / rate * (c * chunk - at))
+                        while following and following[0] < (c + 1) * chunk:
+                            at, step = following
+                            inside += [float(at - c * chunk), step]
+                            following = next(coming, None)
+                        out.append((*key, c, [begin, *inside]))
+                    yield pd.DataFrame(out, columns=[*KEYS, "c", "b"])
+
+    def widths(b: np.ndarray, n: int) -> np.ndarray:
+        edges = [0, *b[1::2].astype(int).tolist(), n]
+        parts = [np.maximum(LEAST, s - FADE / rate * np.arange(z - a)) for a, z, s in zip(edges[:-1], edges[1:], b[::2], strict=True)]
+        return np.concatenate(parts)
+
+    def wide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[[*KEYS, "c", "_u"]].assign(_w=[widths(np.asarray(b), len(u)) for b, u in zip(pdf["b"], pdf["_u"], strict=True)])
+
+    chunks = joined(chunked(df, ("_u",), chunk), text.map(clips, rows, "c long, b array<double>"), KEYS)
+    chunks = text.map(chunks, wide, "c long, _u array<double>, _w array<double>")
+
+    def step(state, u, width):
+        slope = np.clip(state[0] + (u - 0.5) * width, -SLOPE, SLOPE)
+        level = state[1] + slope
+        over = np.abs(level) > 1
+        level = np.where(over, np.sign(level), level)
+        return level / 2, [np.where(over, 0.0, slope), level]
+
+    return settled_scan(df, step, lambda u, w: step([0.0, 0.0], u, w), chunk, ("_u", "_w"), chunks)

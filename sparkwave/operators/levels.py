@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,7 +12,9 @@ from pyspark.sql.window import Window
 
 from sparkwave.functions.shaping import half_up
 from sparkwave.operators.effects import COLUMNS, put
+from sparkwave.operators.scans import Texts, chunked, joined, settle
 from sparkwave.sources.signals import CHUNK, KEYS, pair_stereo, unpair_stereo, with_length
+from sparkwave.sources.storage import work_dir
 
 
 def normalize(df: DataFrame, peak: float = 0.9) -> DataFrame:
@@ -124,66 +128,37 @@ def _flat(values: np.ndarray, tol: float, inverse: bool, state: tuple[np.ndarray
 
 
 def flat_runs(df: DataFrame, tol: float, keep: bool = False, values: tuple[str, ...] = ("x",), chunk: int = CHUNK) -> DataFrame:
-    """Per clip, in order, by chunks of `chunk` positions.
+    """Per clip, in order, by chunks of `chunk` positions, whose anchors and counts settle in rounds (see scans.settle).
 
-    The anchor depends on the path, so chunks of long clips are first run from a state of their own, then again from the
-    state that the chunk before ended in, until no such state changes; only chunks whose state changed run again.  After
-    round r the first r chunks are right whatever the values, and states mostly meet within a chunk, so that two or
-    three rounds do; a clip on which they never meet takes a round for each chunk, one chunk in memory at a time.
+    States mostly meet within a chunk, so that two or three rounds do; a clip on which they never meet takes a round for each
+    chunk.  Kept samples are stored with their number in each chunk; places in the result are sums over narrow rows of chunks.
     """
     keys = [k for k in KEYS if k in df.columns]
-    names = [*keys, "idx", *values]
-    types = {k: t for k, t in df.select(*names).dtypes}
-    key_types = ", ".join(f"{k} {types[k]}" for k in keys)
-    cells = df.select(*names, F.floor(F.col("idx") / chunk).alias("c"))
-    state = "anchor array<double>, count int"
-
-    def given(pdf: pd.DataFrame) -> tuple[np.ndarray, int] | None:
-        anchor = pdf["anchor"].iloc[0]
-        return None if anchor is None else (np.asarray(anchor, float), int(pdf["count"].iloc[0]))
-
-    def end(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        stay, (anchor, count), _ = _flat(pdf[list(values)].to_numpy(float), tol, keep, given(pdf))
-        return pdf[[*keys, "c"]].iloc[:1].assign(anchor=[np.asarray(anchor)], count=count, kept=int(stay.sum()))
-
-    def with_rows(rows: list[tuple], schema: str, how: str) -> DataFrame:
-        """One narrow row for each chunk of a long clip, joined to its samples."""
-        table = F.broadcast(df.sparkSession.createDataFrame(rows, f"{', '.join(f'_{k} {types[k]}' for k in keys)}, _c long, {schema}"))
-        on = cells["c"] == table["_c"]
-        for k in keys:
-            on = on & cells[k].eqNullSafe(table[f"_{k}"])
-        return cells.join(table, on, how).drop("_c", *[f"_{k}" for k in keys])
-
-    chunks = cells.groupBy(*keys, "c").agg(F.lit(1).alias("one")).withColumn("n", F.count("*").over(Window.partitionBy(*keys))).where("n > 1")
-    order = sorted((tuple(r[k] for k in [*keys, "c"]) for r in chunks.collect()), key=lambda r: (repr(r[:-1]), r[-1]))
-    before = {at: last for last, at in zip(order, order[1:]) if last[:-1] == at[:-1]}
-    starts: dict[tuple, tuple | None] = dict.fromkeys(order)
-    ends: dict[tuple, tuple] = {}
-    todo = order
-    while todo:
-        ran = with_rows([(*at, *(starts[at] or (None, None))) for at in todo], state, "inner")
-        for r in ran.groupBy(*keys, "c").applyInPandas(end, f"{key_types}, c long, {state}, kept long").collect():
-            ends[tuple(r[k] for k in [*keys, "c"])] = (r["anchor"], r["count"], r["kept"])
-        todo = [at for at in before if repr(starts[at]) != repr(ends[before[at]][:2])]
-        starts.update({at: ends[before[at]][:2] for at in todo})
-    offset: dict[tuple, int] = {}
-    for at in order:
-        offset[at] = offset[before[at]] + ends[before[at]][2] if at in before else 0
-    followed = set(before.values())
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        stay, _, ended = _flat(pdf[list(values)].to_numpy(float), tol, keep, given(pdf))
-        if ended and not pdf["followed"].iloc[0]:
-            stay[-1] = False  # a lone sample after the last cut
-        out = pdf[stay].copy()
-        out["idx"] = pdf["offset"].iloc[0] + np.arange(len(out))
-        return out[names]
-
-    rows = [(*at, *(starts[at] or (None, None)), offset[at], at in followed) for at in order]
-    placed = with_rows(rows, f"{state}, offset long, followed boolean", "left").fillna({"offset": 0, "followed": False})
-    return placed.groupBy(*keys, "c").applyInPandas(cut, df.select(*names).schema)
+    text, spark = Texts(df, keys), df.sparkSession
+
+    def walked(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, tuple]]:
+        for start, *data in zip(pdf["start"], *(pdf[v] for v in values), strict=True):
+            rows = np.stack(data, axis=1).astype(float)
+            yield rows, _flat(rows, tol, keep, None if start is None else (np.asarray(start[:-1], float), int(start[-1])))
+
+    def ends(pdf: pd.DataFrame) -> list[np.ndarray]:
+        return [np.append(anchor, count) for _, (_, (anchor, count), _) in walked(pdf)]
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            parts = [(rows[stay], ended) for rows, (stay, _, ended) in walked(pdf)]
+            yield pdf[[*keys, "c"]].assign(n=[len(r) for r, _ in parts], ended=[e for _, e in parts], **{v: [r[:, j] for r, _ in parts] for j, v in enumerate(values)})
+
+    chunks, states = settle(chunked(df, values, chunk, keys), values, ends, keys)
+    path = work_dir(spark, "kept")
+    text.map(joined(chunks, states, keys), cut, "c long, n long, ended boolean, " + ", ".join(f"{v} array<double>" for v in values)).write.parquet(path)
+    kept = spark.read.parquet(path)
+    before = Window.partitionBy(*keys).orderBy("c")
+    places = kept.select(*keys, "c", F.coalesce(F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.lead("c").over(before).isNull().alias("last"))
+    out = joined(kept, places, keys).select(*keys, "n", "ended", "base", "last", F.posexplode(F.arrays_zip(*values)).alias("i", "v"))
+    out = out.where(~(F.col("last") & F.col("ended") & (F.col("i") == F.col("n") - 1)))  # a lone sample after the last cut
+    types = dict(df.select(*values).dtypes)
+    return out.select(*keys, (F.col("base") + F.col("i")).cast(dict(df.dtypes)["idx"]).alias("idx"), *[F.col(f"v.{v}").cast(types[v]).alias(v) for v in values])
 
 
 # -- frame dictionary ----------------------------------------------------------------------------------------

@@ -460,12 +460,44 @@ TURN = "(idx * (440 * pow(2e0, (61 - 69) / 12e0)) / 8000)"
 PART = f"({TURN} - floor({TURN}))"
 for kind, sql in {"sine": f"sin({TURN} * (2 * pi()))", "saw": f"2 * ({PART} - 0.5)", "triangle": f"abs({PART} - 0.5) * 4 - 1", "square": f"sign({PART} - 0.5)"}.items():
     on_sig(f"i{['sine', 'saw', 'triangle', 'square'].index(kind) + 1}_{kind}", lambda df, k=kind: effects.add_tone(df, k, 61, 0.3, 8000), pick(f"x + 0.3 * ({sql})"))
-on_sig("i5_white", lambda df: effects.add_noise(df, "white", 0.5))
-for kind in ("violet", "blue"):
-    on_sig(f"i6_{kind}", lambda df, k=kind: effects.add_noise(df, k, 0.5))
-for n, kind in ((7, "brown"), (7, "pink_acc"), (7, "orange"), (8, "gray"), (9, "green"), (9, "yellow"), (11, "black"), (12, "hold"), (12, "hold_pink"), (12, "hold_orange")):
-    on_sig(f"i{n}_{kind}", lambda df, k=kind: filters.walk_noise(df, k, 0.5))
-on_sig("i10_pink", lambda df: filters.pink_noise(df, 0.5, chunk=32))
+#: Noise whose draws are the broken parts of the given values, so that SQL has the same; the tests hold hashed draws against loops.
+DRAWS = """dr AS (SELECT *, (x + 0.5) * 100 - floor((x + 0.5) * 100) AS u, (x + 0.5) * 700 - floor((x + 0.5) * 700) AS u2 FROM sig)"""
+
+
+def drawn(df: DataFrame) -> DataFrame:
+    part = lambda k: (F.col("x") + 0.5) * k - F.floor((F.col("x") + 0.5) * k)
+    return df.withColumns({"u": part(100), "u2": part(700)})
+
+
+LAST = "(CASE WHEN idx = 0 THEN 0 ELSE lag(u - 0.5) OVER (PARTITION BY clip_id ORDER BY idx) END)"
+on_sig("i5_white", lambda df: effects.add_noise(drawn(df), "white", 0.5, draws="u"), pick("x + (u - 0.5) * 0.01", "dr", DRAWS))
+for kind, sql in (("violet", f"(u - 0.5 - {LAST}) / 2"), ("blue", f"(2 * (u - 0.5) - {LAST}) / 4")):
+    on_sig(f"i6_{kind}", lambda df, k=kind: effects.add_noise(drawn(df), k, 0.5, draws="u"), pick(f"x + {sql} * 0.01", "dr", DRAWS))
+
+
+def walk_sql(step: float) -> str:
+    return f"""{DRAWS}, w AS (SELECT clip_id, channel, idx, x, u2, greatest(-1.0, least(1.0, (u - 0.5) * {step})) AS y FROM dr WHERE idx = 0
+ UNION ALL SELECT d.clip_id, d.channel, d.idx, d.x, d.u2, greatest(-1.0, least(1.0, w.y + (d.u - 0.5) * {step})) FROM w JOIN dr d ON d.clip_id = w.clip_id AND d.idx = w.idx + 1)"""
+
+
+for kind, step in (("brown", 0.2), ("pink_acc", 0.34), ("orange", 0.06)):
+    on_sig(f"i7_{kind}", lambda df, k=kind: filters.walk_noise(drawn(df), k, 0.5, draws=("u",), chunk=16), pick("x + 0.5 * (y / 2)", "w", walk_sql(step)))
+on_sig("i8_gray", lambda df: filters.walk_noise(drawn(df), "gray", 0.5, draws=("u", "u2"), chunk=16),
+       pick("x + 0.5 * 0.25 * (y + 0.5 * (2 * (u2 - 0.5) - coalesce(lag(u2 - 0.5) OVER (PARTITION BY clip_id ORDER BY idx), 0)))", "w", walk_sql(0.3)))
+for kind in ("green", "yellow"):
+    on_sig(f"i9_{kind}", lambda df, k=kind: filters.walk_noise(df, k, 0.5, chunk=16))
+on_sig("i11_black", lambda df: filters.walk_noise(drawn(df), "black", 0.5, draws=("u",), chunk=16))
+for kind, longest in (("hold", 20), ("hold_pink", 6), ("hold_orange", 66)):
+    on_sig(f"i12_{kind}", lambda df, k=kind: filters.walk_noise(drawn(df), k, 0.5, draws=("u",), chunk=16),
+           pick("dr.x + 0.5 * (h.u - 0.5)", "dr ASOF JOIN h ON dr.clip_id = h.clip_id AND dr.idx >= h.start",
+                f"{DRAWS}, h AS (SELECT clip_id, u, coalesce(sum(1 + floor(abs(u - 0.5) * {longest})) OVER (PARTITION BY clip_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM dr)",
+                idx="dr.idx", channel="dr.channel").replace("SELECT clip_id, CAST(dr", "SELECT dr.clip_id, CAST(dr"))
+# Decay and gain of each sum, written here again so that the two sides are independent.
+PINK = [(0.99886, 0.0555179), (0.99332, 0.0750759), (0.969, 0.153852), (0.8665, 0.3104856), (0.55, 0.5329522), (-0.7616, -0.016898)]
+on_sig("i10_pink", lambda df: filters.pink_noise(drawn(df), 0.5, chunk=32, draws="u"),
+       pick("x + 0.5 * 0.11 * (b0 + b1 + b2 + b3 + b4 + b5 + last * 0.115926 + (2 * u - 1) * 0.5362)", "p",
+            f"""{DRAWS}, p AS (SELECT clip_id, channel, idx, x, u, {", ".join(f"(2 * u - 1) * {g} AS b{i}" for i, (_, g) in enumerate(PINK))}, 0e0 AS last FROM dr WHERE idx = 0
+ UNION ALL SELECT d.clip_id, d.channel, d.idx, d.x, d.u, {", ".join(f"p.b{i} * {k} + (2 * d.u - 1) * {g}" for i, (k, g) in enumerate(PINK))}, 2 * p.u - 1 FROM p JOIN dr d ON d.clip_id = p.clip_id AND d.idx = p.idx + 1)"""))
 on_sig("i13_sample_hold", lambda df: effects.add_sample_hold(df, 7, 0.1, 0.5))
 on_sig("i14_gradient_noise", lambda df: effects.add_gradient_noise(df, 60, 120, 200, 0.5))
 

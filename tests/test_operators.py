@@ -212,12 +212,6 @@ def test_noise_is_repeatable_and_bounded(clips):
         assert all((a[k] == b[k]).all() for k in a)
 
 
-def test_holds_are_as_long_as_their_kind():
-    for kind, mean in (("hold", 5.5), ("hold_pink", 2.0), ("hold_orange", 17.0)):
-        x = filters._noise(kind, 200_000, np.random.default_rng(3), 8000)
-        assert len(x) / (1 + np.count_nonzero(np.diff(x))) == pytest.approx(mean, rel=0.05)
-
-
 def test_chain_and_registry(clips):
     data, df = clips
     same(chain.apply_chain(df, [("gain", {"m": "2"}), ("reverse", {})]), {k: 2 * x[::-1] for k, x in data.items()})
