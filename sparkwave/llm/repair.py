@@ -287,7 +287,9 @@ def _report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def solved(narrow: DataFrame) -> DataFrame:
     """Facts, entry state, audit and cost of each part of the conversations in faults(...) rows."""
     narrow = cut(narrow)
-    parts = cut(narrow.groupBy("chunk").applyInPandas(_solve_chunk, PART))
+    # A stated number of tasks: by size alone these narrow rows, each of which takes some work, would be folded into few.
+    tasks = int(narrow.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = cut(narrow.repartition(tasks, "chunk").groupBy("chunk").applyInPandas(_solve_chunk, PART))
     several = parts.where("not whole").groupBy("conv_id").count().where("count > 1").select(F.col("conv_id").alias("several"))
     edges = parts.where("not whole").join(several, F.col("conv_id").eqNullSafe(F.col("several")), "left_semi")
     tails = _by_conv(edges.select("conv_id", "chunk", "at", "table"), F.desc("at")).mapInPandas(_tails, "tail_conv string, tail_chunk string, at long, tail array<long>")
