@@ -40,24 +40,46 @@ BLOCK = frozenset(
     " th thead tr ul caption".split()
 )
 HELD = BLOCK - {"p", "hr", "h1", "h2", "h3", "h4", "h5", "h6", "option"}  # elements kept on the stack
-DROPPED = frozenset("nav footer aside form dialog head menu fieldset".split())
+DROPPED = frozenset("nav footer aside dialog head menu".split())
+GROUPED = frozenset("form fieldset".split())  # dropped, but for one around the article
 DROPPED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar aside cookie cookies consent"
     " gdpr notice notices comment comments disqus respond newsletter subscribe signup social share sharing menu navbar nav navigation"
     " breadcrumb breadcrumbs related recommended footer popup modal overlay widget login search contentinfo complementary".split()
 )
+# With one of these a compound name says something about the page, and does not name a part of it (no-sidebar, comments-open).
+ABOUT = frozenset(
+    "no not non has have with without is hide hides hidden off on open opened close closed enabled disabled allowed result results count layout".split()
+)
+WHOLE = frozenset("html body article main".split())  # never dropped for a word
 _SPACE = re.compile(r"\s+")
 
 
-def _zone(name: str, attributes: str, in_main: bool) -> str:
-    """'drop', 'main' or ''."""
+def _words(attributes: str) -> tuple[set[str], bool, bool]:
+    """The words that name what an element is, whether it has role=main, and whether it is marked as an article's body."""
     words: set[str] = set()
-    if attributes:
-        for m in ATTRIBUTE.finditer(attributes):
-            words.update(re.split(r"[^a-z]+", (m[2] or m[3] or m[4] or "").lower()))
-    if name in DROPPED or words & DROPPED_WORDS or (not in_main and (name == "header" or words & {"header", "masthead"})):
+    main = body = False
+    for m in ATTRIBUTE.finditer(attributes) if attributes else ():
+        value, kind = (m[2] or m[3] or m[4] or "").lower(), m[1].lower()
+        for token in value.split():
+            parts = set(re.split(r"[^a-z]+", token)) - {""}
+            if not parts & ABOUT:
+                words |= parts
+        main |= kind == "role" and value.strip() == "main"
+        body |= "articlebody" in value
+    return words, main, body
+
+
+def _zone(name: str, attributes: str, in_main: bool) -> str:
+    """'drop', 'soft' (dropped unless it holds the article), 'main' or ''."""
+    words, main, body = _words(attributes)
+    if name in DROPPED:
         return "drop"
-    return "main" if name in ("article", "main") or "main" in words and "role" in attributes.lower() or "articlebody" in words else ""
+    if name in WHOLE or main:
+        return "main" if name in ("article", "main") or main else ""
+    if name in GROUPED or words & DROPPED_WORDS or (not in_main and (name == "header" or words & {"header", "masthead"})):
+        return "soft"
+    return "main" if body else ""
 
 
 class _Scanner:
@@ -124,25 +146,30 @@ class _Scanner:
 
 
 def page_lines(page: str) -> list[tuple[str, str]]:
-    """(line, zone) in page order; zone is 'main', 'drop' or ''."""
-    out: list[tuple[str, str]] = []
-    stack: list[tuple[str, str]] = []
+    """(line, zone) in page order; zone is 'main', 'drop' or ''.
+
+    Lines below a dropped element are dropped.  A word or a form does not drop what holds the article: where all articles lie below
+    dropped elements, the first that only words and forms drop is the page's article, and what it lies in is not dropped.
+    """
+    out: list[tuple[str, int]] = []
+    elements: list[tuple[int, str]] = [(0, "")]  # of each block element: the one it lies in, and its own zone
+    stack: list[tuple[str, int]] = []
     names: Counter[str] = Counter()  # open elements by name, and by zone
     zones: Counter[str] = Counter()
     parts: list[str] = []
-    zone = ""
+    at = 0
 
     def flush() -> None:
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append((text, zone))
+                out.append((text, at))
             parts.clear()
 
     def pop() -> str:
         name, own = stack.pop()
         names[name] -= 1
-        zones[own] -= 1
+        zones[elements[own][1]] -= 1
         return name
 
     for name, close, rest in _Scanner(page):
@@ -163,12 +190,39 @@ def page_lines(page: str) -> list[tuple[str, str]]:
             if name in ("li", "td", "th", "tr", "dt", "dd") and stack and stack[-1][0] == name:
                 pop()  # end tags that may be left out
             own = _zone(name, rest, zones["main"] > 0)
-            stack.append((name, own))
+            elements.append((stack[-1][1] if stack else 0, own))
+            stack.append((name, len(elements) - 1))
             names[name] += 1
             zones[own] += 1
-        zone = "drop" if zones["drop"] else "main" if zones["main"] else ""
+        at = stack[-1][1] if stack else 0
     flush()
-    return out
+    found = _resolved(elements, set())
+    if "main" not in found:
+        found = _resolved(elements, _around_article(elements))
+    return [(text, found[k]) for text, k in out]
+
+
+def _resolved(elements: list[tuple[int, str]], kept: set[int]) -> list[str]:
+    """The zone of each element; those of `kept` don't drop."""
+    found = [""]
+    for k, (parent, own) in enumerate(elements[1:], 1):
+        above = found[parent]
+        own = "" if k in kept else own
+        found.append("drop" if above == "drop" or own in ("drop", "soft") else "main" if above == "main" or own == "main" else "")
+    return found
+
+
+def _around_article(elements: list[tuple[int, str]]) -> set[int]:
+    """The elements around the first article that lies in no element dropped for its name; empty if there is none."""
+    hard = [False]
+    for parent, own in elements[1:]:
+        hard.append(hard[parent] or own == "drop")
+    k = next((k for k, (_, own) in enumerate(elements) if own == "main" and not hard[k]), 0)
+    around = set()
+    while k:
+        k = elements[k][0]
+        around.add(k)
+    return around
 
 
 def shared_lines(a: list[str], b: list[str]) -> set[int]:
@@ -300,7 +354,8 @@ PAGE = "part int, host string, path string, page_id string, url string, tie stri
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars, n_outside, n_shared: one row per input row.
+    """page_id, url, text, n_chars, n_outside, n_shared, n_differenced: one row per input row; of the lines outside articles, those
+    shared with the page it was compared with, and those that only this deleted (structure would have kept them).
 
     Null html counts as empty and gives an empty text; repeated rows and null ids are kept.  Pages without a host form one group.  Within a host pages are in
     the order of (path, page_id, url, hash of the html), and each is compared with the nearer of its neighbours in it.
@@ -364,7 +419,7 @@ def extract(pages: DataFrame) -> DataFrame:
         dealt = dealt.unionByName(given.select("part", "page_id", "url", F.lit(None).cast("string").alias("html"), "tie", "rest"))
     lines = dealt.repartitionById(n, F.col("part")).mapInPandas(parse, f"{PAGE}, own boolean, main array<string>, rest array<string>, dropped array<boolean>, before array<int>")
     lines = lines.sortWithinPartitions("part", "host", "path", F.col("page_id").cast("decimal(38,0)"), "url", "tie")
-    out = lines.mapInPandas(_difference, "page_id string, url string, text string, n_chars long, n_outside long, n_shared long")
+    out = lines.mapInPandas(_difference, "page_id string, url string, text string, n_chars long, n_outside long, n_shared long, n_differenced long")
     return out.withColumn("page_id", F.col("page_id").cast("long"))
 
 
@@ -413,7 +468,7 @@ def _difference(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _table(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["page_id", "url", "text", "n_chars", "n_outside", "n_shared"])
+    return pd.DataFrame(rows, columns=["page_id", "url", "text", "n_chars", "n_outside", "n_shared", "n_differenced"])
 
 
 def _finish(row: tuple, near: list[tuple | None], known: dict[int, set[int]] | None = None) -> tuple:
@@ -435,4 +490,4 @@ def _finish(row: tuple, near: list[tuple | None], known: dict[int, set[int]] | N
                 lines += [*main[at : before[k]], rest[k]]
                 at = max(at, int(before[k]))
     text = "\n".join(lines + main[at:])
-    return page_id, url, text, len(text), len(rest), len(shared)
+    return page_id, url, text, len(text), len(rest), len(shared), sum(not dropped[k] for k in shared)
