@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import array
 import functools
+import json
 import re
 import struct
 import uuid
@@ -88,12 +89,32 @@ class _Memory(dict):
         return value
 
 
+# The steps before the model of a tokenizer file whose words can be encoded one by one.
+WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+WORD_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": WORD_SPLIT}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def by_words(settings: dict) -> bool:
+    """Whether a tokenizer file normalises and splits texts as the word path does, so that a word's ids don't depend on its neighbours."""
+    plain = all("<|" in t["content"] for t in settings["added_tokens"])
+    model = settings["model"]
+    fixed = model["type"] == "BPE" and not model["dropout"] and not settings["truncation"] and not settings["padding"]
+    return plain and fixed and settings["normalizer"] == WORD_NORMALIZER and settings["pre_tokenizer"] == WORD_PRE_TOKENIZER
+
+
 class WordEncoder:
-    """Token ids of whole texts by the tokenizers library, remembering the ids of words.
+    """Token ids of whole texts by the tokenizers library, remembering the ids of words where the file allows it.
 
-    The tokenizer splits at white space and then into runs of letters, single digits and runs of other signs;
-    for texts of plain Latin characters a word's ids therefore don't depend on its neighbours, and each
-    distinct piece is given to the library's model once.  Other texts go to the library whole.
+    Files with the normaliser and splitting of `by_words` part texts at white space and then into runs of letters, single digits
+    and runs of other signs; for texts of plain Latin characters a word's ids therefore don't depend on its neighbours, and each
+    distinct piece is given to the library's model once.  Other texts, and all texts with any other file, go to the library whole.
     """
 
     MEMORY = 200_000  # words, and pieces of words, that a worker remembers: about 60 MB
@@ -103,9 +124,10 @@ class WordEncoder:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        self.by_words = by_words(json.loads(self.whole.to_str()))
         wide = max(self.whole.get_vocab().values()) > 0xFFFF
         self.code, self.dtype = ("I", "<u4") if wide else ("H", "<u2")
-        # Fixed value: the tokenizer file's own splitting pattern, for the characters of plain texts.
+        # Fixed value: the splitting pattern above, for the characters of plain texts.
         self.pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
         self.odd = re.compile("[^\\t\\n\\r\\x20-\\x7e¡-¬®-ÿ]")
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -125,7 +147,7 @@ class WordEncoder:
         return b"".join(map(self.known.__getitem__, self.pieces.findall(word)))
 
     def encode(self, text: str) -> np.ndarray:
-        if "<|" in text or self.odd.search(text):
+        if not self.by_words or "<|" in text or self.odd.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype)
         return np.frombuffer(b"".join(map(self.words.__getitem__, text.split())), self.dtype)
 
