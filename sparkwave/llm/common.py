@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -43,6 +48,41 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+GROUP_BYTES = 4_000_000  # of texts that a task turns into Python strings at a time; a longer text is a group of its own
+
+
+def text_runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, last) of runs of rows with about GROUP_BYTES of text in all."""
+    first = total = 0
+    for k, size in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
+        if k > first and total + size > GROUP_BYTES:
+            yield first, k
+            first, total = k, 0
+        total += size
+    if first < len(texts):
+        yield first, len(texts)
+
+
+def text_groups(texts: pa.Array) -> Iterator[list[str | None]]:
+    """The texts of an Arrow batch, which may be ten thousand whole ones, in groups of bounded size."""
+    for first, last in text_runs(texts):
+        yield texts.slice(first, last - first).to_pylist()
+
+
+def over_texts(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """mapInPandas on frames with a bounded size of their column `text`."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    out = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frames = (b.slice(first, last - first).to_pandas() for b in batches for first, last in text_runs(b.column("text")))
+        for frame in fn(frames):
+            yield pa.RecordBatch.from_pandas(frame, schema=out, preserve_index=False)
+
+    return df.mapInArrow(run, schema)
+
+
 def spread(files: DataFrame, n_files: int, a_task: int = 8) -> DataFrame:
     """A narrow table of files dealt evenly over tasks, about `a_task` files each.
 

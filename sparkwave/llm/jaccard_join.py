@@ -27,10 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, once, text_key, without
+from .common import components, cut, once, over_texts, text_groups, text_key, without
 from .shingles import fingerprint, shingle_lists
 
 NUM, DEN = 75, 100
@@ -85,7 +86,7 @@ def _sketch(docs: DataFrame) -> np.ndarray:
         yield pd.DataFrame({"block": [key[0]], "cells": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
 
     schema = "block int, cells binary"
-    found = docs.select("text").mapInPandas(count, schema).groupBy("block").applyInPandas(add, schema).collect()
+    found = over_texts(docs.select("text"), count, schema).groupBy("block").applyInPandas(add, schema).collect()
     out = np.zeros((width // block, block), np.int32)
     for row in found:  # 64 rows of 128 kB, whatever the input
         out[row["block"]] = np.frombuffer(row["cells"], np.int32)
@@ -100,10 +101,10 @@ def _sets(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
 def shingle_names(docs: DataFrame, salt: int = 0, keyed: bool = False) -> DataFrame:
     """doc_id, key (of the text, if asked for), n_shingles, set_id, proof (both null for an empty set)."""
 
-    @F.pandas_udf("n long, a long, b long")
-    def name(texts: pd.Series) -> pd.DataFrame:
-        rows = [(len(s), *fingerprint(s, salt)) for s in map(np.unique, shingle_lists(texts.tolist()))]
-        return pd.DataFrame(rows, columns=["n", "a", "b"])
+    @F.arrow_udf("n long, a long, b long")
+    def name(texts: pa.Array) -> pa.Array:
+        rows = [(len(s), *fingerprint(s, salt)) for group in text_groups(texts) for s in map(np.unique, shingle_lists(group))]
+        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["n", "a", "b"])
 
     key = [text_key(F.col("text")).alias("key")] if keyed else []
     named = docs.select("doc_id", *key, name("text").alias("s"))
@@ -143,7 +144,7 @@ def _postings(docs: DataFrame, sketch, salt: int) -> DataFrame:
             if out:
                 yield _entries(out)
 
-    return docs.select("text").mapInPandas(emit, "h long, set_id long, n int, weight int")
+    return over_texts(docs.select("text"), emit, "h long, set_id long, n int, weight int")
 
 
 def _entries(rows: list[tuple]) -> pd.DataFrame:
@@ -408,7 +409,7 @@ def _load(docs: DataFrame, wanted: DataFrame, salt: int) -> DataFrame:
             rows = [(sid, n, s.view(np.int64)) for (k, s), sid, n in zip(_sets(pdf), pdf["set_id"], pdf["n"], strict=True) if len(s) == n and fingerprint(s, salt)[0] == sid]
             yield pd.DataFrame(rows, columns=["set_id", "n", "items"])
 
-    sets = cut(text.select("set_id", "n", "text").mapInPandas(emit, "set_id long, n int, items array<long>"))
+    sets = cut(over_texts(text.select("set_id", "n", "text"), emit, "set_id long, n int, items array<long>"))
     return sets if sets.count() <= n_wanted else cut(sets.dropDuplicates(["set_id", "n"]))  # doc_ids may repeat
 
 

@@ -11,13 +11,12 @@ the doc_id among the rows allowed for learning.  Every word and n-gram of the sa
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, text_groups
 from .shingles import mix
 
 SAMPLE_ROWS = 2000  # per language, on average
@@ -222,9 +221,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(shared.value.predict(texts.tolist()), columns=["lang", "score"])
+    @F.arrow_udf("lang string, score double")
+    def predict(texts: pa.Array) -> pa.Array:
+        found = [x for group in text_groups(texts) for x in shared.value.predict(group)]
+        return pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["lang", "score"])
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), predict("text").alias("p"))
     return rows.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
@@ -240,9 +240,8 @@ def keep_identified(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFr
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
-    @F.pandas_udf("boolean")
-    def accepted(text: pd.Series) -> pd.Series:
-        found = shared.value.predict(text.tolist())
-        return pd.Series([x[0] != "und" and x[1] >= least_score for x in found], dtype=bool)
+    @F.arrow_udf("boolean")
+    def accepted(texts: pa.Array) -> pa.Array:
+        return pa.array([x[0] != "und" and x[1] >= least_score for group in text_groups(texts) for x in shared.value.predict(group)], pa.bool_())
 
     return docs.where(accepted("text"))

@@ -10,20 +10,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh_dir
+from .common import fresh_dir, text_groups
 from .token_files import END_ID, WordEncoder
 
 MAX_LEN = 2048
 BUCKETS = 8
 TOKEN_BUDGET = 16384
-SHARDS = 1024
+SHARD_ROWS = 50_000  # segments that are numbered together, about
+SHARDS = 1024  # at least
+BROADCAST_ROWS = 1_000_000  # of (bucket, shard, offset): 24 MB at most
 MEMORY = 50_000  # words, and pieces of words, that a task remembers
-ROWS = 1000  # texts whose segments are held at a time
 
 
 def optimal_boundaries(histogram: dict[int, int], buckets: int) -> list[int]:
@@ -60,39 +61,42 @@ def segments(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, end_id: in
     token, give no segment.
     """
 
-    @F.pandas_udf("struct<width int, parts array<binary>>")
-    def cut_up(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    kind = pa.struct([("width", pa.int32()), ("parts", pa.list_(pa.binary()))])
+
+    @F.arrow_udf("struct<width int, parts array<binary>>")
+    def cut_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = WordEncoder(tokenizer, MEMORY)  # given back at the end of the task: other stages need the memory
         width = np.dtype(encoder.dtype).itemsize
         for texts in batches:
-            for first in range(0, len(texts), ROWS):
-                rows = []
-                for text in texts[first : first + ROWS]:
-                    ids = encoder.encode(text) if text else np.zeros(0, encoder.dtype)
-                    data = np.append(ids, ids.dtype.type(end_id)).tobytes() if len(ids) else b""
-                    rows.append((width, [data[at : at + max_len * width] for at in range(0, len(data), max_len * width)]))
-                yield pd.DataFrame(rows, columns=["width", "parts"])
+            rows = []
+            for text in (t for group in text_groups(texts) for t in group):
+                ids = encoder.encode(text) if text else np.zeros(0, encoder.dtype)
+                data = np.append(ids, ids.dtype.type(end_id)).tobytes() if len(ids) else b""
+                rows.append({"width": width, "parts": [data[at : at + max_len * width] for at in range(0, len(data), max_len * width)]})
+            yield pa.array(rows, kind)
 
     parts = docs.select("doc_id", cut_up("text").alias("s")).select("doc_id", "s.width", F.posexplode("s.parts").alias("seg", "ids"))
     return parts.select("doc_id", F.col("seg").cast("long").alias("seg"), (F.col("seg").cast("long") * max_len).alias("start"),
                         (F.octet_length("ids") / F.col("width")).cast("long").alias("length"), "ids")
 
 
-def pack(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET, shards: int = SHARDS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET, shards: int | None = None) -> DataFrame:
     """doc_id, seg, start, length, bucket (its boundary), batch, slot, padding, ids: one row per segment; the rows of one (bucket,
     batch) by slot, each with `padding` ids of padding after its own, are the batch.
 
     Segments are numbered in each bucket by (shard, doc_id, seg, ids), the shard by a hash of the latter three: numbering runs
     within (bucket, shard), and shard offsets come from a table of at most buckets * shards rows, so neither a bucket nor a
-    doc_id of very many rows is sorted in one task.  Repeated rows each get a slot of their own (ties among them don't
+    doc_id of very many rows is sorted in one task.  There are as many shards as give each some 50,000 segments, 1,024 at least.  Repeated rows each get a slot of their own (ties among them don't
     matter); a null doc_id is packed like others; a text of any length gives as many segments as it needs.
     An empty table gives an empty result; extra columns are ignored.
     """
     spark = docs.sparkSession
     path = fresh_dir(spark, "segments")
-    segments(docs, tokenizer, max_len).withColumn("shard", F.pmod(F.xxhash64("doc_id", "seg", "ids"), F.lit(shards))).write.parquet(path)  # encoded once
+    segments(docs, tokenizer, max_len).withColumn("hash", F.xxhash64("doc_id", "seg", "ids")).write.parquet(path)  # encoded once
     seg = spark.read.parquet(path)
     histogram = {r["length"]: r["count"] for r in seg.groupBy("length").count().collect()}  # at most max_len rows
+    shards = shards or max(SHARDS, -(-sum(histogram.values()) // SHARD_ROWS))
+    seg = seg.withColumn("shard", F.pmod("hash", F.lit(shards)))
     bounds = optimal_boundaries(histogram, buckets) or [max_len]
     bucket = F.element_at(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b >= F.col("length")), 1).cast("long")
     placed = seg.withColumn("bucket", bucket)
@@ -100,7 +104,8 @@ def pack(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, buckets: int =
     before = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("bucket", "shard", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("bucket", "shard").orderBy("doc_id", "seg", "ids")
-    numbered = placed.withColumn("rn", F.row_number().over(inside) - 1).join(F.broadcast(offsets), ["bucket", "shard"])
+    offsets = F.broadcast(offsets) if len(bounds) * shards <= BROADCAST_ROWS else offsets
+    numbered = placed.withColumn("rn", F.row_number().over(inside) - 1).join(offsets, ["bucket", "shard"])
     place = F.col("offset") + F.col("rn")
     slots = F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.col("bucket")))
     return numbered.select(
