@@ -10,17 +10,8 @@ from sparkwave.llm.langid import keep_identified
 from sparkwave.llm.packing import pack
 
 
-BATCH_ROWS = 1000
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Texts go to Python a thousand at a time: a batch of Spark's 10,000 whole texts is held several times over by each task."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language go."""
-    small_batches(spark)
     return keep_identified(docs)
 
 
@@ -31,7 +22,6 @@ def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of linked texts the one with the smallest doc_id stays."""
-    small_batches(spark)
     return drop_near_copies(docs)
 
 
@@ -44,7 +34,6 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Segments of the documents' token ids in batches."""
     import public_tokenizers
 
-    small_batches(spark)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
