@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkwave.functions import shaping as S
-from sparkwave.sources.signals import KEYS, clip_lengths, lagged, pair_stereo, unpair_stereo, with_length
+from sparkwave.sources.signals import KEYS, clip_lengths, gathered, lagged, pair_stereo, unpair_stereo, with_length
 
 
 COLUMNS = [*KEYS, "idx", "x"]
@@ -34,13 +32,13 @@ def quantize(df: DataFrame, bits: int, how: str = "round") -> DataFrame:
 
 
 def quantize_half(df: DataFrame) -> DataFrame:
-    """Nearest half-precision value."""
-
-    @F.pandas_udf("double")
-    def half(x: pd.Series) -> pd.Series:
-        return pd.Series(x.to_numpy(np.float64).astype(np.float16).astype(np.float64))
-
-    return put(df, half("x"))
+    """Nearest half-precision value: eleven significant bits, ties to even, steps of 2^-24 at least; from 65,520 on infinite."""
+    x = F.col("x")
+    size = F.abs(x)
+    step = F.pow(F.lit(2.0), F.greatest(F.lit(-14.0), F.floor(F.log2(F.when(size > 0, size).otherwise(F.lit(1.0))))) - 10)
+    near = F.rint(size / step) * step
+    infinite = F.lit(float("inf"))
+    return put(df, F.when(F.isnan(x) | (size == infinite), x).otherwise(F.signum(x) * F.when(size >= 65520, infinite).otherwise(near)))
 
 
 def quantize_mulaw(df: DataFrame, levels: int = 256, mu: float = 255.0) -> DataFrame:
@@ -99,28 +97,21 @@ def pad_silence(df: DataFrame, secs: float, rate: int, at: str = "end") -> DataF
     return moved.unionByName(ends.select(*KEYS, place.cast("long").alias("idx"), F.lit(0.0).alias("x")))
 
 
-def _gather(grid: DataFrame, df: DataFrame, taps: dict[str, Column]) -> DataFrame:
-    """Add to each grid row the samples of its clip at computed positions; null where there is none.  Equi-joins on (clip, channel, position)."""
-    for name, place in taps.items():
-        source = df.select(*KEYS, F.col("idx").alias(f"_{name}"), F.col("x").alias(name))
-        grid = grid.withColumn(f"_{name}", place.cast("long")).join(source, [*KEYS, f"_{name}"], "left").drop(f"_{name}")
-    return grid
-
-
 def speed(df: DataFrame, s: float, smooth: bool = False, last: str = "zero") -> DataFrame:
     """out[j] = x at j*s; length round(n/s); whole speeds never interpolate; the last sample is 0 (or held)."""
     lengths = clip_lengths(df)
     if s == int(s):
         smooth = False
+    if smooth:
+        df = lagged(df, {"b": ("x", -1, None)})
     size = S.half_up(F.col("n") / s)
     # the output grid grows from the samples themselves: each position covers the outputs between it and the next
     first, end = F.ceil(F.col("idx") / s), F.ceil((F.col("idx") + 1) / s) - 1
     grid = df.join(lengths, KEYS).withColumn("m", size).where(first <= end)
-    grid = grid.select(*KEYS, "n", "m", "idx", "x", F.explode(F.sequence(first, end)).alias("j"))
+    grid = grid.select(*KEYS, "n", "m", "idx", "x", *(["b"] if smooth else []), F.explode(F.sequence(first, end)).alias("j"))
     if smooth:
-        nxt = lagged(df, {"b": ("x", -1, None)}).select(*KEYS, "idx", F.coalesce("b", "x").alias("b"))
         part = F.col("j") * s - F.col("idx")
-        grid = grid.join(nxt, [*KEYS, "idx"]).withColumn("x", F.col("x") + (F.col("b") - F.col("x")) * part)
+        grid = grid.withColumn("x", F.col("x") + (F.coalesce("b", "x") - F.col("x")) * part)
     out = grid.where("j < m")
     value = F.when((F.col("j") == F.col("m") - 1) & F.lit(last == "zero"), F.lit(0.0)).otherwise(F.col("x"))
     tail = lengths.withColumn("m", size).join(df.select(*KEYS, (F.col("idx") + 1).alias("n"), "x"), [*KEYS, "n"])
@@ -178,14 +169,14 @@ def echo(df: DataFrame, volume: float, n: int, delay_s: float, decay: float, rat
 
 def chorus(df: DataFrame, volume: float, lfo_hz: float, depth_s: float, rate: int, smooth: bool = True) -> DataFrame:
     """x + volume * x at a sine-swept delay; before the start there is silence."""
-    delay = (F.sin(math.pi / 2 + F.col("idx") * (2 * math.pi * lfo_hz / rate)) * 0.5 + 0.5) * (depth_s * rate)
-    place = F.col("idx") - delay
-    low = F.floor(place)
-    taps = _gather(df, df, {"p": low, "q": low + 1})
+    delay = lambda i: (F.sin(math.pi / 2 + i * (2 * math.pi * lfo_hz / rate)) * 0.5 + 0.5) * (depth_s * rate)
+    low = lambda i: F.floor(i - delay(i))
+    taps = gathered(df, {"p": low, "q": lambda i: low(i) + 1}, math.ceil(abs(depth_s) * rate) + 1)
+    place = F.col("idx") - delay(F.col("idx"))
     zero = F.lit(0.0)
     p = F.coalesce("p", zero)
     q = F.coalesce("q", "p", zero)
-    wet = p + (q - p) * (place - low) if smooth else p
+    wet = p + (q - p) * (place - F.floor(place)) if smooth else p
     return put(taps, F.col("x") + volume * F.when(place < 0, zero).otherwise(wet))
 
 

@@ -21,13 +21,16 @@ Step = Callable[[list, list], tuple]
 
 
 def linear_scan(df: DataFrame, step: Step, order: int, inputs: tuple[str, ...] = ("x",), first_state: Callable | None = None,
-                keys: list[str] | None = None, chunk: int = CHUNK) -> DataFrame:
-    """keys, idx, y.  `idx` must be dense within keys; only inputs[0] is scaled, the others are coefficients.
+                keys: list[str] | None = None, chunk: int = CHUNK, constants: DataFrame | None = None) -> DataFrame:
+    """keys, idx, y.  `idx` must be dense within keys; only inputs[0] is scaled, the others are coefficients, as are `constants` by clip.
 
     A composed scan: a chunk's numbers are its first input, its end from a zero state, and the matrix that its state before is
     multiplied by.
     """
 
+    def at(d: np.ndarray, i: int, m: int) -> np.ndarray:
+        return d[i, :m] if d.ndim == 2 else d[:m]
+
     def summary(data: list[np.ndarray], live: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         n = data[0].shape[1]
         scale = np.zeros((order + 1, 1))
@@ -35,7 +38,7 @@ def linear_scan(df: DataFrame, step: Step, order: int, inputs: tuple[str, ...] =
         unit = [np.repeat((np.arange(order + 1) == j + 1).astype(float)[:, None], n, axis=1) for j in range(order)]
 
         def go(state: list, i: int, m: int) -> list:
-            _, state = step(state, [scale * data[0][i, :m], *(d[i, :m] for d in data[1:])])
+            _, state = step(state, [scale * data[0][i, :m], *(at(d, i, m) for d in data[1:])])
             return [np.broadcast_to(s, (order + 1, m)) for s in state]
 
         end = np.stack(fold(go, unit, live))  # order x (order + 1) x chunks
@@ -47,10 +50,10 @@ def linear_scan(df: DataFrame, step: Step, order: int, inputs: tuple[str, ...] =
     def finish(data: list[np.ndarray], live: np.ndarray, state: list[np.ndarray]) -> np.ndarray:
         y = np.empty(data[0].shape)
         for i, m in enumerate(live.tolist()):
-            y[i, :m], state = step([s[:m] for s in state], [d[i, :m] for d in data])
+            y[i, :m], state = step([s[:m] for s in state], [at(d, i, m) for d in data])
         return y
 
-    return composed_scan(df, inputs, summary, lambda e: first_state(e[0]) if first_state else np.zeros(order), carry, finish, keys, chunk)
+    return composed_scan(df, inputs, summary, lambda e: first_state(e[0]) if first_state else np.zeros(order), carry, finish, keys, chunk, constants)
 
 
 def _out(scan: DataFrame) -> DataFrame:
@@ -148,19 +151,33 @@ def _biquad_step(s, x):
 FADE = 32
 
 
-def biquad(df: DataFrame, kind: str, f: float, q: float, rate: int, gain_db: float = 0.0, pole_radius: float = 0.95,
+def coefficients_by_clip(clips: DataFrame, kind: str, f: float, q: float, gain_db: float = 0.0, pole_radius: float = 0.95) -> DataFrame:
+    """clip_id, k: the coefficients at each clip's sample_rate; columns f, q and gain_db of `clips` go before the given numbers."""
+    own = [F.col(n).cast("double") if n in clips.columns else F.lit(float(v)) for n, v in (("f", f), ("q", q), ("gain_db", gain_db))]
+    settings = clips.select("clip_id", F.col("sample_rate").cast("double").alias("rate"), *[c.alias(n) for c, n in zip(own, ("f", "q", "gain_db"), strict=True)])
+
+    @F.pandas_udf("array<double>")
+    def made(rate: pd.Series, f: pd.Series, q: pd.Series, gain_db: pd.Series) -> pd.Series:
+        return pd.Series([list(coefficients(kind, b, c, a, d, pole_radius)) for a, b, c, d in zip(rate, f, q, gain_db, strict=True)])
+
+    return settings.select("clip_id", made("rate", "f", "q", "gain_db").alias("k"))
+
+
+def biquad(df: DataFrame, kind: str, f: float, q: float, rate: int | DataFrame, gain_db: float = 0.0, pole_radius: float = 0.95,
            form: str = "df1", crossfade: bool = False, chunk: int = CHUNK) -> DataFrame:
     """Second-order filter; with crossfade the dry signal blends in over the first and out over the last 32 samples, and
-    sample 0 is dry and not fed to the filter."""
-    c = coefficients(kind, f, q, rate, gain_db, pole_radius)
+    sample 0 is dry and not fed to the filter.  `rate` is one sample rate, or the clips' table (clip_id, sample_rate, and f, q or
+    gain_db where these differ by clip too), one row a clip; clips that are not in it are left out."""
+    by_clip = None if isinstance(rate, int | float) else coefficients_by_clip(rate, kind, f, q, gain_db, pole_radius)
+    c = coefficients(kind, f, q, rate, gain_db, pole_radius) if by_clip is None else ()
 
     def step(s, x):
-        return _biquad_step(s, [x[0], *c])
+        return _biquad_step(s, [*x, *c])
 
     if not crossfade:
-        return _out(linear_scan(df, step, 2, chunk=chunk))
+        return _out(linear_scan(df, step, 2, chunk=chunk, constants=by_clip))
     fed = put(df, F.when(F.col("idx") == 0, F.lit(0.0)).otherwise(F.col("x")))
-    wet = linear_scan(fed, step, 2, chunk=chunk)
+    wet = linear_scan(fed, step, 2, chunk=chunk, constants=by_clip)
     both = with_length(df).join(wet, [*KEYS, "idx"])
     left = F.col("n") - 1 - F.col("idx")
     share = F.least(F.col("idx") / FADE, left / FADE, F.lit(1.0))

@@ -90,21 +90,31 @@ def exploded(full: DataFrame, keys: list[str], chunk: int) -> DataFrame:
 
 
 def composed_scan(df: DataFrame, inputs: tuple[str, ...], summary: Callable, start: Callable, carry: Callable, finish: Callable,
-                  keys: list[str] | None = None, chunk: int = CHUNK) -> DataFrame:
+                  keys: list[str] | None = None, chunk: int = CHUNK, constants: DataFrame | None = None) -> DataFrame:
     """keys, idx, y (double).
 
     summary(matrices, live, lengths) gives a list of arrays of numbers, one a chunk; start(numbers) the state before a clip's first chunk, an
     array; carry(state, numbers) the state after a chunk; finish(matrices, live, states) the outputs, positions x chunks, from
     states as arrays over chunks.  The samples are shuffled once, into chunks.
+
+    `constants` has clip_id and k (array<double>), numbers that differ by clip: they are joined to the chunks, once a chunk, and follow
+    the matrices as arrays over chunks.
     """
     keys = keys or KEYS
     text = Texts(df, keys)
     chunks = chunked(df, inputs, chunk, keys)
+    if constants is not None:  # a narrow table
+        chunks = chunks.join(constants.select(F.col("clip_id").alias("_clip"), "k"), F.col("clip_id").eqNullSafe(F.col("_clip"))).drop("_clip")
+
+    more = constants is not None
+
+    def given(rows: pd.DataFrame, data: list[np.ndarray]) -> list[np.ndarray]:
+        return [*data, *np.stack(rows["k"].to_numpy()).T] if more else data
 
     def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for rows, data, live, lengths in ragged(pdf, inputs):
-                yield rows[[*keys, "c"]].assign(e=[np.asarray(e, float) for e in summary(data, live, lengths)])
+                yield rows[[*keys, "c"]].assign(e=[np.asarray(e, float) for e in summary(given(rows, data), live, lengths)])
 
     def carried(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows in order of clips and chunks."""
@@ -121,7 +131,7 @@ def composed_scan(df: DataFrame, inputs: tuple[str, ...], summary: Callable, sta
     def finished(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for rows, data, live, lengths in ragged(pdf, inputs):
-                yield rows[[*keys, "c"]].assign(y=columns(finish(data, live, list(np.stack(rows["s"].to_numpy()).T)), lengths))
+                yield rows[[*keys, "c"]].assign(y=columns(finish(given(rows, data), live, list(np.stack(rows["s"].to_numpy()).T)), lengths))
 
     narrow = text.map(chunks, ends, "c long, e array<double>").repartition(*keys).sortWithinPartitions(*keys, "c")
     states = text.map(narrow, carried, "c long, s array<double>").select(*[F.col(k).alias(f"_{k}") for k in [*keys, "c"]], "s")

@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwave.operators.effects import COLUMNS
+from sparkwave.operators.effects import COLUMNS, put
+from sparkwave.operators.scans import Texts, chunked, exploded
 from sparkwave.sources.signals import KEYS, from_frames, to_frames
 
 
@@ -179,18 +180,55 @@ def impulse(length: int, decay: float, kind: str = "plain", damp: float = 0.5, s
     return out
 
 
-def reverb(df: DataFrame, h: np.ndarray, dry: float, wet: float, size: int = 4096) -> DataFrame:
-    """dry*x + wet*(x convolved with h), length kept: frames are convolved by FFT, overlaps are added by position."""
-    shared = df.sparkSession.sparkContext.broadcast(h)
-    n = 1 << int(np.ceil(np.log2(size + len(h) - 1)))
+SALTS = 64  # copies of each block of an impulse, so that no block is one key for all chunks
+
+
+def impulse_blocks(spark: SparkSession, h: np.ndarray | DataFrame, size: int) -> DataFrame:
+    """b, salt, h: blocks of `size` values of an impulse, given as an array or as a table (k, h), as a table."""
+    if isinstance(h, np.ndarray):
+        rows = [(b, h[b * size : (b + 1) * size].astype(float).tolist()) for b in range(-(-len(h) // size))]
+        blocks = spark.createDataFrame(rows, "b long, h array<double>")
+    else:
+        blocks = h.groupBy(F.floor(F.col("k") / size).alias("b")).agg(F.array_sort(F.collect_list(F.struct("k", "h"))).alias("s")).select("b", F.col("s.h").alias("h"))
+    return blocks.select("b", "h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        spectrum = np.fft.rfft(shared.value, n)
-        for pdf in batches:
-            out = [np.fft.irfft(np.fft.rfft(np.asarray(d), n) * spectrum, n)[: len(d) + len(shared.value) - 1] for d in pdf["data"]]
-            yield pdf.assign(data=out)
 
-    frames = to_frames(df, size, tail="keep")
-    tail = from_frames(frames.mapInPandas(run, frames.schema)).withColumn("x", F.col("x") * wet)
-    both = df.select(*COLUMNS, F.lit(1).alias("own")).withColumn("x", F.col("x") * dry).unionByName(tail.withColumn("own", F.lit(0)))
-    return both.groupBy(*KEYS, "idx").agg(F.sum("x").alias("x"), F.max("own").alias("own")).where("own = 1").select(*COLUMNS)
+def reverb(df: DataFrame, h: np.ndarray | DataFrame, dry: float, wet: float, size: int = 4096) -> DataFrame:
+    """dry*x + wet*(x convolved with h), length kept; a partitioned convolution, so h may be longer than a chunk or a clip.
+
+    Chunks of `size` samples meet blocks of `size` impulse values by an equi-join on (block, salt); the product of chunk c and
+    block b falls on chunks c + b and c + b + 1, where the parts are added up.  `idx` must be dense from 0.
+    """
+    _power_of_two(size)
+    blocks = impulse_blocks(df.sparkSession, h, size)
+    last = blocks.agg(F.max("b")).first()[0]  # one number
+    if last is None:
+        return put(df, F.col("x") * dry)
+    chunks = chunked(df, ("x",), size)
+    text = Texts(chunks, KEYS)
+    met = chunks.withColumns({"b": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))), "salt": F.pmod(F.xxhash64(*KEYS, "c"), F.lit(SALTS)).cast("int")})
+    met = met.join(blocks, ["b", "salt"]).select(*KEYS, "c", "b", "x", "h")
+
+    def convolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for b, same in pdf.groupby("b"):
+                spectrum = np.fft.rfft(np.asarray(same["h"].iloc[0], float), 2 * size) * wet
+                out = [np.fft.irfft(np.fft.rfft(np.asarray(x, float), 2 * size) * spectrum, 2 * size) for x in same["x"]]
+                for half in (0, 1):
+                    yield same[KEYS].assign(c=same["c"] + b + half, own=0, x=[y[half * size : (half + 1) * size] for y in out])
+
+    parts = text.map(met, convolve, "c long, own int, x array<double>")
+    parts = parts.unionByName(chunks.select(*KEYS, "c", F.size("x").alias("own"), F.transform("x", lambda v: v * dry).alias("x")))
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = int(pdf["own"].max())
+        if not n:
+            return pd.DataFrame(columns=[*KEYS, "c", "y"])  # behind the clip's end
+        total = np.zeros(size)
+        for x in pdf["x"]:
+            total[: len(x)] += x
+        return pdf[[*KEYS, "c"]].iloc[:1].assign(y=[total[:n]])
+
+    types = ", ".join(f"{k} {t}" for k, t in chunks.select(*KEYS).dtypes)
+    out = exploded(parts.groupBy(*KEYS, "c").applyInPandas(add, f"{types}, c long, y array<double>"), KEYS, size)
+    return out.select(*KEYS, "idx", F.col("y").alias("x"))

@@ -111,7 +111,8 @@ per_sample("b5_bounce", lambda x: S.clip(x * 2.3, "bounce"),
            "CASE WHEN x * 2.3 BETWEEN -1 AND 1 THEN x * 2.3 ELSE -1 + least((x * 2.3 + 1) - floor((x * 2.3 + 1) / 4) * 4, 4 - ((x * 2.3 + 1) - floor((x * 2.3 + 1) / 4) * 4)) END")
 for how, sql in {"round": "floor(x * 128 + 0.5)", "floor": "floor(x * 128)", "ceil": "ceil(x * 128)", "trunc": "trunc(x * 128)"}.items():
     per_sample(f"b6_quantize_{how}", lambda x, how=how: S.quantize(x, 8, how), f"{sql} / 128")
-on_sig("b7_quantize_half", effects.quantize_half)
+HALF = "pow(2e0, greatest(-14e0, floor(log2(CASE WHEN x = 0 THEN 1 ELSE abs(x) END))) - 10)"
+on_sig("b7_quantize_half", effects.quantize_half, pick(f"sign(x) * round_even(abs(x) / {HALF}, 0) * {HALF}"))
 per_sample("b8_mulaw", lambda x: S.quantize_mulaw(x),
            "sign(floor(sign(x) * ln(1 + 255 * abs(x)) / ln(256.0) * 128 + 0.5)) * (pow(256.0, abs(floor(sign(x) * ln(1 + 255 * abs(x)) / ln(256.0) * 128 + 0.5) / 128)) - 1) / 255")
 for how, sql in {
@@ -143,6 +144,8 @@ on_sig("c4_speed_nearest", lambda df: effects.speed(df, 1.5), pick("x", "o", GRI
 on_sig("c4_speed_smooth", lambda df: effects.speed(df, 0.75, True), pick("x", "o", GRID.format(s="0.75", v="a.x + (b.x - a.x) * (j * 0.75 - a.idx)")))
 on_sig("c4_speed_whole", lambda df: effects.speed(df, 2, True), pick("x", "o", GRID.format(s="2.0", v="a.x")))
 add("c5_resample", lambda s, d: samples(effects.resample(V.sig(s, d), clips(s, d), 8000, 16000, True)[0]), pick("x", "o", GRID.format(s="0.5", v="a.x + (b.x - a.x) * (j * 0.5 - a.idx)")))
+add("c5_resample_clips", lambda s, d: effects.resample(V.sig(s, d), clips(s, d), 8000, 11025, True)[1].select("clip_id", "sample_rate", F.col("n_samples").cast("long").alias("n_samples")),
+    f"WITH {V.SIG} SELECT clip_id, 11025 AS sample_rate, CAST(floor(n * (11025 / 8000) + 0.5) AS BIGINT) AS n_samples FROM len")
 on_sig("c6_hold", lambda df: effects.hold(df, 5), pick("first_value(x) OVER (PARTITION BY clip_id, idx // 5 ORDER BY idx)"))
 ANCHOR = """q AS (SELECT s.*, a.x AS a, b.x AS b, z.x AS z FROM sig s JOIN len USING (clip_id) JOIN sig a ON a.clip_id = s.clip_id AND a.idx = s.idx // 8 * 8
  LEFT JOIN sig b ON b.clip_id = s.clip_id AND b.idx = s.idx // 8 * 8 + 8 JOIN sig z ON z.clip_id = s.clip_id AND z.idx = n - 1)"""
@@ -306,6 +309,14 @@ def biquad_rec(name: str, kind: str, q: float = 0.8, chunk: int = filters.CHUNK,
 for kind in ("low", "high", "bandpass"):
     biquad_rec(f"e7_{kind}", kind)
 biquad_rec("e6_biquad", "low", 0.7, chunk=16, form="df2t")
+def by_clip(df: DataFrame) -> DataFrame:
+    """A sample rate and a quality of its own for each clip."""
+    return df.select("clip_id").distinct().select("clip_id", (8000 + F.col("clip_id") % 5 * 1000).alias("sample_rate"), (0.5 + F.col("clip_id") % 3 * 0.2).alias("q"))
+
+
+on_sig("e6_biquad_by_clip", lambda df: filters.biquad(df, "low", 700.0, 0.7, by_clip(df), chunk=16), pick("y", "rec", f"""co AS ({form_sql("low", "(SELECT clip_id, 8000 + clip_id % 5 * 1000 AS rate, 0.5e0 + clip_id % 3 * 0.2e0 AS q0 FROM len)", "2 * pi() * 700 / rate", "q0", keep="clip_id, ")}),
+rec AS (SELECT sig.clip_id, channel, idx, x, b0 * x AS y, 0e0 AS x1, 0e0 AS y1 FROM sig JOIN co ON co.clip_id = sig.clip_id WHERE idx = 0
+ UNION ALL SELECT s.clip_id, s.channel, s.idx, s.x, co.b0 * s.x + co.b1 * r.x + co.b2 * r.x1 - co.a1 * r.y - co.a2 * r.y1, r.x, r.y FROM rec r JOIN sig s ON s.clip_id = r.clip_id AND s.idx = r.idx + 1 JOIN co ON co.clip_id = s.clip_id)"""))
 for kind in ("peak", "notch"):
     biquad_rec(f"e8_{kind}", kind, gain_db=6.0)
 for kind in ("lowshelf", "highshelf"):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -56,9 +58,31 @@ def lagged(df: DataFrame, lags: dict[str, tuple[str, int, object]], chunk: int =
     return spread.withColumns(out).where("_chunk = _home").drop("_chunk", "_home")
 
 
+def gathered(df: DataFrame, places: dict[str, Callable[[Column], Column]], reach: int, chunk: int = CHUNK) -> DataFrame:
+    """keys, idx, x and, for each name, the sample of the clip at a computed position (null where there is none).
+
+    A place is a function of idx, from `reach` positions back to the row's own.  Chunks are arrays that begin with the `reach`
+    samples before them, so that samples are taken by index inside an array: one shuffle, no join.
+    """
+    chunk = max(chunk, reach, 1)
+    home = F.floor(F.col("idx") / chunk)
+    copies = F.array_compact(F.array(home, F.when(F.col("idx") % chunk >= chunk - reach, home + 1)))
+    spread = df.select(*KEYS, "idx", "x", F.explode(copies).alias("c"))
+    rows = spread.groupBy(*KEYS, "c").agg(F.array_sort(F.collect_list(F.struct("idx", "x"))).alias("s")).where(F.element_at("s", -1)["idx"] >= F.col("c") * chunk)
+    own = F.filter("s", lambda r: r["idx"] >= F.col("c") * chunk)
+    rows = rows.withColumns({"own": own, "first": F.get("s", F.lit(0))["idx"]})
+    names = list(places)
+    at = lambda r, n: F.get("s", (r["p"][n] - F.col("first")).cast("int"))["x"]
+    placed = F.transform("own", lambda r: F.struct(r["idx"].alias("idx"), r["x"].alias("x"), F.struct(*[places[n](r["idx"]).cast("long").alias(n) for n in names]).alias("p")))
+    taken = F.transform(placed, lambda r: F.struct(r["idx"].alias("idx"), r["x"].alias("x"), *[F.when(r["p"][n] >= F.col("first"), at(r, n)).alias(n) for n in names]))
+    return rows.select(*KEYS, F.inline(taken))
+
+
 def to_frames(df: DataFrame, size: int, hop: int | None = None, tail: str = "drop") -> DataFrame:
     """Fixed frames (clip_id, channel, frame_no, start_idx, data); hop < size overlaps; tail drop, keep or pad (zeros)."""
     hop = hop or size
+    if hop < size and size % hop == 0:
+        return _overlapping(df, size, hop, tail)
     if hop == size:
         dealt = df.withColumn("frame_no", F.floor(F.col("idx") / size))
     else:
@@ -66,6 +90,10 @@ def to_frames(df: DataFrame, size: int, hop: int | None = None, tail: str = "dro
         dealt = df.withColumn("frame_no", F.explode(F.sequence(first, F.floor(F.col("idx") / hop))))
     frames = dealt.groupBy(*KEYS, "frame_no").agg(F.array_sort(F.collect_list(F.struct("idx", "x"))).alias("s")).select(
         *KEYS, F.col("frame_no").cast("long").alias("frame_no"), (F.col("frame_no") * hop).cast("long").alias("start_idx"), F.col("s.x").alias("data"))
+    return _tailed(frames, size, tail)
+
+
+def _tailed(frames: DataFrame, size: int, tail: str) -> DataFrame:
     if tail == "drop":
         return frames.where(F.size("data") == size)
     if tail == "pad":
@@ -73,6 +101,24 @@ def to_frames(df: DataFrame, size: int, hop: int | None = None, tail: str = "dro
     return frames
 
 
+def _overlapping(df: DataFrame, size: int, hop: int, tail: str) -> DataFrame:
+    """Frames from parts of `hop` samples: each is put together from its own part and the ones that follow, so samples aren't multiplied
+    before the shuffle."""
+    parts = df.groupBy(*KEYS, F.floor(F.col("idx") / hop).cast("long").alias("idx")).agg(F.array_sort(F.collect_list(F.struct("idx", "x"))).alias("s"))
+    parts = parts.select(*KEYS, "idx", F.struct("idx", F.col("s.x").alias("data")).alias("part"))
+    after = range(1, size // hop)
+    near = lagged(parts, {f"_{k}": ("part", -k, None) for k in after}, chunk=4096)
+    none = F.array().cast("array<double>")
+    follows = [F.when(F.col(f"_{k}.idx") == F.col("idx") + k, F.col(f"_{k}.data")) for k in after]
+    # a part may be missing: the parts behind it then stand further to the left
+    for k in after:
+        for j in range(1, k):
+            follows[k - 1] = F.coalesce(follows[k - 1], F.when(F.col(f"_{j}.idx") == F.col("idx") + k, F.col(f"_{j}.data")))
+    data = F.concat("part.data", *[F.coalesce(f, none) for f in follows])
+    frames = near.select(*KEYS, F.col("idx").alias("frame_no"), (F.col("idx") * hop).alias("start_idx"), data.alias("data"))
+    return _tailed(frames, size, tail)
+
+
 def from_frames(frames: DataFrame) -> DataFrame:
     return frames.select(*KEYS, "start_idx", F.posexplode("data").alias("pos", "x")).select(*KEYS, (F.col("start_idx") + F.col("pos")).alias("idx"), "x")
 
