@@ -4,16 +4,15 @@ An item's words are the runs of letters and digits of its lower-cased text, its
 (all words of a shorter item).  A document is contaminated by an item when it holds at least 75 % of the
 item's distinct shingles.
 
-Items are partitioned by size (powers of two of their shingle count).  Items and documents are sketched by one MinHash
-function: a set's sketch at a threshold holds its hashes up to that threshold, so that the share of an item's sketch
-which is in a document's sketch estimates containment whatever the document's length (a signature of fixed size
-would not, as the Jaccard similarity of a short item and a long document is near zero).  A partition's
-threshold is as low as leaves each of its items, of n shingles, n - ceil(0.75 n) + r hashes, r = 1 + (least n of
-the partition) // 8; a document with 75 % of an item misses n - ceil(0.75 n) of them at most.  So the bound on
-the sketches is exact: a pair short of it is no match.  Pairs that reach it are verified on the shingles as text.
-
-Sketches at lower thresholds lie inside those at higher ones, so one sketch a document, at the highest threshold, serves all
-partitions, and one pass over the texts serves items of every width.
+Items are partitioned by size (powers of two of their shingle count).  Items and documents are hashed by one MinHash
+function.  An item of n shingles is sketched by its n - ceil(0.75 n) + r smallest hashes, with r = 1 + (least n of its
+partition) // 8; a document with 75 % of an item misses n - ceil(0.75 n) of its hashes at most, and so has r of the sketch,
+whatever its length (a signature of fixed size would tell nothing, as the Jaccard similarity of a short item and a long
+document is near zero).  So the bound on the sketches is exact: a pair short of it is no match.  Pairs that reach it are
+verified on the shingles as text.
+
+A document keeps its hashes up to a common threshold, which most sketches lie below, and those of the FAR largest hashes of sketches that
+lie beyond it: few outlying items don't raise the threshold for all.  One pass over the texts serves items of every width.
 """
 
 from __future__ import annotations
@@ -28,6 +27,7 @@ CONTAINMENT = 75  # per cent
 BROADCAST_ROWS = 2_000_000  # of (hash, item, bound): 40 MB at most
 BROADCAST_GRAMS = 500_000  # shingles of items as text
 BROADCAST_IDS = 2_000_000
+FAR = 4000  # hashes of sketches beyond the common threshold
 
 
 def word_list(text: Column) -> Column:
@@ -60,20 +60,24 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 
 def sketches(items: DataFrame) -> DataFrame:
-    """hash, item, need: the sketches of all items at the threshold of their partition, and how many of an item's hashes a
-    document must have."""
+    """hash, item, need: the sketches of all items, and how many of an item's hashes a document must have."""
     slack = F.col("n") - F.ceil(F.col("n") * CONTAINMENT / 100).cast("int")  # shingles that a match may miss
     part = F.floor(F.log2("n"))
     size = slack + 1 + F.floor(F.pow(F.lit(2), part) / 8).cast("int")
     parts = lambda s: F.split(s, " ")
     hashes = F.transform("shingles", lambda s: F.xxhash64(F.col("width"), *[F.get(parts(s), F.lit(j)) for j in range(WORDS)]))
     sized = items.select("item", part.alias("part"), slack.alias("slack"), F.array_sort(F.array_distinct(hashes)).alias("hashes"), size.alias("size"))
-    own = F.element_at("hashes", F.least("size", F.size("hashes")))
-    thresholds = sized.groupBy("part").agg(F.max(own).alias("threshold"))  # 31 rows at most
-    sketch = sized.join(F.broadcast(thresholds), "part").select("item", "slack", F.filter("hashes", lambda h: h <= F.col("threshold")).alias("s"))
+    sketch = sized.select("item", "slack", F.slice("hashes", F.lit(1), F.greatest(F.lit(1), F.least("size", F.size("hashes")))).alias("s"))
     return sketch.select("item", F.greatest(F.lit(1), F.size("s") - F.col("slack")).alias("need"), F.explode("s").alias("hash"))
 
 
+def kept_hashes(sketch: DataFrame) -> tuple[int, list[int]]:
+    """The common threshold, and the FAR largest hashes of sketches at most, which lie beyond it."""
+    far = [r["hash"] for r in sketch.select("hash").distinct().orderBy(F.desc("hash")).limit(FAR).collect()]
+    common = sketch.where(F.col("hash") < far[-1]).agg(F.max("hash")).first()[0]
+    return (-(2**63) if common is None else common), far
+
+
 def _matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, key (of the text), item_id, n_item, n_shared: every text that holds an item, with repeated rows as one."""
     items = _items(benchmark)
@@ -81,12 +85,12 @@ def _matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if not widths:
         return docs.select("doc_id", text_key(F.col("text")).alias("key"), F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("n_item"), F.lit(0).alias("n_shared")).limit(0)
     sketch = cut(sketches(items))
-    highest = sketch.agg(F.max("hash")).first()[0]
+    common, far = kept_hashes(sketch)
     if sketch.count() <= BROADCAST_ROWS:
         sketch = F.broadcast(sketch)
     words = docs.select("doc_id", text_key(F.col("text")).alias("key"), word_list(F.col("text")).alias("w"))
     hashes = F.concat(*[hashed_shingles("w", width) for width in widths])
-    own = F.array_distinct(F.filter(hashes, lambda h: h <= highest))
+    own = F.array_distinct(F.filter(hashes, lambda h: (h <= common) | h.isin(far)))
     seen = words.select("doc_id", "key", F.explode(own).alias("hash")).join(sketch, "hash")
     near = seen.groupBy("doc_id", "key", "item").agg(F.count("*").alias("hits"), F.first("need").alias("need")).where("hits >= need")
     ids = cut(near.select("doc_id", "key").distinct())

@@ -24,7 +24,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     paired, distinct pairs are numbered, and so on until every text has one name.  (blocks, last name) is
     equal for equal texts only.  The texts are shuffled once, after map-side `distinct`, which folds hot
     blocks.  Names come back over two 64-bit hashes of the block, after a check over all distinct blocks
-    that these hashes are one-to-one (otherwise the join is on the block itself): no choice rests on a hash.
+    that these hashes are one-to-one (otherwise the join is on the block itself).  Rows of one doc_id are told apart by the
+    SHA-256 of their text; no other choice rests on a hash.
 
     Null text counts as empty; all empty texts are one group.  Repeated rows each count in group_size, and
     one of them stays.  Null ids never win against others.  An empty table gives an empty result; extra

@@ -380,3 +380,36 @@ def test_pipeline_stages_on_the_smallest_tables(spark):
     out = corpus_pipeline.run(spark, d)
     assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} == {i for i, t in left.items() if not leaks(t)}
     assert out.agg(F.sum("length")).first()[0] == sum(map(len, token_ids([t for t in left.values() if not leaks(t)])))
+
+
+@pytest.mark.parametrize("far", [1, 7, 4000])
+def test_decontamination_whatever_lies_beyond_the_threshold(spark, monkeypatch, far):
+    """The common threshold and the hashes beyond it only say what documents keep; results are those of the plain comparison."""
+    from sparkwave.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "FAR", far)
+    rng = random.Random(far)
+    items = [(i, sentence(rng, rng.choice([1, 3, 5, 9, 25, 60]))) for i in range(25)]
+    docs = []
+    for i in range(120):
+        words = sentence(rng, rng.randint(0, 80)).split()
+        for _ in range(rng.randint(0, 3)):
+            part = rng.choice(items)[1].split()
+            for k in range(len(part)):
+                if rng.random() < 0.04:
+                    part[k] = "changed"
+            at = rng.randint(0, len(words))
+            words[at:at] = part
+        docs.append((i, " ".join(words)))
+    want = set()
+    for item, text in items:
+        w = text.split()
+        width = min(5, len(w))
+        own = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)}
+        for doc, body in docs:
+            b = body.split()
+            share = len(own & {tuple(b[k : k + width]) for k in range(len(b) - width + 1)})
+            if share * 100 >= len(own) * 75:
+                want.add((doc, item, len(own), share))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"], r["n_item"], r["n_shared"]) for r in contaminated(docs_of(spark, docs), bench).collect()} == want
