@@ -370,8 +370,16 @@ def one_bit(df: DataFrame, stereo: bool = False) -> DataFrame:
 add("f3_delta_1bit", lambda s, d: one_bit(V.sig(s, d)), f"WITH RECURSIVE {V.SIG}, v AS (SELECT clip_id, idx, CAST(floor((x + 1) * 8 + 0.5) AS BIGINT) AS v FROM sig), {ONE_BIT}")
 add("f3_delta_1bit_stereo", lambda s, d: one_bit(V.sig_stereo(s, d), True),
     f"WITH RECURSIVE {V.SIG}, {V.LR}, {V.STEREO}, v AS (SELECT clip_id, idx * 2 + channel AS idx, CAST(floor((x + 1) * 8 + 0.5) AS BIGINT) AS v FROM st), {ONE_BIT}")
-STEPS = {3: "[0, 1, 2, 3, 6, 10, 15, 21]",
-         7: "list_concat([0, 8], range(16, 512, 16), range(512, 1024, 8), range(1024, 2048, 64), range(2048, 4096, 256), range(4096, 8192, 1024), [8192, 12288, 16384])"}
+# The code tables again, for the SQL side.
+STEPS = {
+    3: "[0, 1, 2, 3, 6, 10, 15, 21]",
+    7: """[0, 8, 16, 32, 48, 64, 80, 96, 112, 128, 144, 160, 176, 192, 208, 224, 240, 256, 272, 288, 304, 320, 336, 352, 368, 384, 400, 416,
+    432, 448, 464, 480, 496, 512, 520, 528, 536, 544, 552, 560, 568, 576, 584, 592, 600, 608, 616, 624, 632, 640, 648, 656, 664, 672,
+    680, 688, 696, 704, 712, 720, 728, 736, 744, 752, 760, 768, 776, 784, 792, 800, 808, 816, 824, 832, 840, 848, 856, 864, 872, 880,
+    888, 896, 904, 912, 920, 928, 936, 944, 952, 960, 968, 976, 984, 992, 1000, 1008, 1016, 1024, 1088, 1152, 1216, 1280, 1344, 1408,
+    1472, 1536, 1600, 1664, 1728, 1792, 1856, 1920, 1984, 2048, 2304, 2560, 2816, 3072, 3328, 3584, 3840, 4096, 5120, 6144, 7168,
+    8192, 12288, 16384]""",
+}
 for bits, old in ((3, False), (3, True), (7, False)):
     t, scale = STEPS[bits], {3: "127.0", 7: "32767.0"}[bits]
     ind = f"CASE WHEN d = 0 THEN 0 ELSE coalesce(list_position(list_transform({t}, lambda e: e > abs(d)), true) - 1, len({t}) - 1) END"
@@ -552,6 +560,20 @@ NAMED = """f AS (SELECT file_id, role AS name, min(start_s) AS first FROM cue WH
 add("j5_vtt_nodes", lambda s, d: cues.vtt_nodes(cues.parse_vtt(vtt_files(s, d))).select("file_id", "cue_no", F.explode("nodes").alias("n")).select("file_id", "cue_no", "n.type", "n.speaker", "n.text"),
     f"""WITH {V.CUES}, {NAMED} SELECT cue.file_id, CAST(row_number() OVER (PARTITION BY cue.file_id ORDER BY start_s, cue_no) - 1 AS INTEGER) AS cue_no, 'v' AS type, speaker_id AS speaker, text
     FROM cue JOIN p ON p.file_id = cue.file_id AND p.name = cue.role WHERE text <> ''""")
+def spanned(s, d) -> DataFrame:
+    """Each text in parts below tags of every kind, one of them inside another."""
+    third = F.floor(F.length("text") / 3).cast("int")
+    parts = F.substring("text", F.lit(1), third), F.substring("text", third + 1, third), F.substring("text", third * 2 + 1, F.length("text"))
+    tagged = F.concat(F.lit("<b>"), parts[0], F.lit("<i>"), parts[1], F.lit("</i></b><c.red.big>"), parts[2], F.lit("</c><u>.</u><s>!</s>"))
+    return cues.to_srt(ordered(s, d).withColumn("text", tagged)).select("file_id", F.concat(F.lit("WEBVTT\n\n"), F.regexp_replace("body", r"(\d),(\d\d\d)", "$1.$2")).alias("body"))
+
+
+add("j5_vtt_spans", lambda s, d: cues.vtt_nodes(cues.parse_vtt(spanned(s, d))).select("file_id", "cue_no", F.posexplode("nodes").alias("at", "n")).select(
+    "file_id", "cue_no", "at", "n.type", "n.text", F.array_join("n.classes", ".").alias("classes")),
+    f"""WITH {V.CUES}, t AS (SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY start_s, cue_no) - 1 AS cue_no, text, length(text) // 3 AS k FROM cue WHERE text <> ''),
+    p AS (SELECT file_id, cue_no, unnest([{{'o': 1, 'type': 'b', 'text': substr(text, 1, k), 'classes': ''}}, {{'o': 2, 'type': 'i', 'text': substr(text, k + 1, k), 'classes': ''}},
+      {{'o': 3, 'type': 'c', 'text': substr(text, 2 * k + 1), 'classes': 'red.big'}}, {{'o': 4, 'type': 'u', 'text': '.', 'classes': ''}}, {{'o': 5, 'type': 's', 'text': '!', 'classes': ''}}]) AS n FROM t)
+    SELECT file_id, CAST(cue_no AS INTEGER) AS cue_no, CAST(row_number() OVER (PARTITION BY file_id, cue_no ORDER BY n.o) - 1 AS INTEGER) AS at, n.type AS type, n.text AS text, n.classes AS classes FROM p WHERE n.text <> ''""")
 add("j6_vtt_speakers", lambda s, d: cues.vtt_speakers(cues.parse_vtt(vtt_files(s, d))),
     f"WITH {V.CUES}, {NAMED} SELECT * FROM p")
 add("j7_clean_cues", lambda s, d: cue_rows(cues.clean_cues(V.cue_src(s, d).selectExpr("file_id", "cue_no", "end_s AS start_s", "start_s AS end_s", "text"))),
