@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, once, over_texts, text_groups, text_key, without
+from .common import components, cut, once, over_texts, small_batches, text_groups, text_key, without
 from .shingles import fingerprint, shingle_lists
 
 NUM, DEN = 75, 100
@@ -351,7 +351,8 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     shingle.  Rows with equal sets link; repeated rows are kept.  A row without doc_id has no name to link by: it stays
     alone.  Texts of any length are read whole.  Extra columns are ignored; an empty table gives an empty result.
     """
-    return _classes(docs, False)
+    with small_batches(docs.sparkSession):  # all that reads texts is stored inside
+        return _classes(docs, False)
 
 
 def _classes(docs: DataFrame, keyed: bool) -> DataFrame:
@@ -418,7 +419,9 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
     Rows are told apart by doc_id and text, so repeated doc_ids don't matter.  Rows without doc_id or words all stay.
     """
-    rows = _classes(docs, True).where("n_shingles > 0 and doc_id is not null").groupBy("component_id", "doc_id", "key").agg(F.count("*").alias("n"))
+    with small_batches(docs.sparkSession):
+        rows = _classes(docs, True)
+    rows = rows.where("n_shingles > 0 and doc_id is not null").groupBy("component_id", "doc_id", "key").agg(F.count("*").alias("n"))
     stays = rows.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.sum("n").alias("all")).where(F.col("all") > 1)
     rows = cut(rows.join(stays, "component_id").withColumn("stays", F.struct("doc_id", "key") == F.col("first")))
     key = text_key(F.col("text"))

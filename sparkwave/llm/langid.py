@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_groups
+from .common import cut, small_batches, text_groups, text_key, without
 from .shingles import mix
 
 SAMPLE_ROWS = 2000  # per language, on average
@@ -237,11 +237,16 @@ def keep_identified(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFr
     """`docs` without those that have no recognisable language (`und`, or a score under `least_score`).
 
     The score of a text of one or two words is often low though its words are sound, so the bound is close to chance.
+    Which rows go (by doc_id and text) is found and stored at once; columns stay as they are.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(fit(docs))
 
     @F.arrow_udf("boolean")
     def accepted(texts: pa.Array) -> pa.Array:
         return pa.array([x[0] != "und" and x[1] >= least_score for group in text_groups(texts) for x in shared.value.predict(group)], pa.bool_())
 
-    return docs.where(accepted("text"))
+    key = text_key(F.col("text"))
+    with small_batches(spark):
+        gone = cut(docs.select("doc_id", key.alias("key"), accepted("text").alias("fine")).where("not fine").select("doc_id", "key"))
+    return without(docs, gone, key)

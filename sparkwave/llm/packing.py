@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh_dir, text_groups
+from .common import fresh_dir, small_batches, text_groups
 from .token_files import END_ID, WordEncoder
 
 MAX_LEN = 2048
@@ -92,7 +92,8 @@ def pack(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, buckets: int =
     """
     spark = docs.sparkSession
     path = fresh_dir(spark, "segments")
-    segments(docs, tokenizer, max_len).withColumn("hash", F.xxhash64("doc_id", "seg", "ids")).write.parquet(path)  # encoded once
+    with small_batches(spark):
+        segments(docs, tokenizer, max_len).withColumn("hash", F.xxhash64("doc_id", "seg", "ids")).write.parquet(path)  # encoded once
     seg = spark.read.parquet(path)
     histogram = {r["length"]: r["count"] for r in seg.groupBy("length").count().collect()}  # at most max_len rows
     shards = shards or max(SHARDS, -(-sum(histogram.values()) // SHARD_ROWS))
