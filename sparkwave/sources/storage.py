@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,9 +31,25 @@ def replay(rows: DataFrame, last: DataFrame | None = None, files: int = 4) -> Da
     return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+#: The setting that streams with transformWithState need when they start.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for a while."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def drain(stream: DataFrame) -> DataFrame:
     """Run a stream over all that it has now, and give what it wrote."""
     path = work_dir(stream.sparkSession, "drained")
-    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
+    with setting(stream.sparkSession, *STATE_STORE):
+        query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)

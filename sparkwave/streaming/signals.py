@@ -14,13 +14,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from sparkwave.operators.vocoder import Mono
 from sparkwave.sources.signals import KEYS
 
-STATE = "next long, data binary, early binary"
-
 
 def stream_levels(stream: DataFrame, window: str, watermark: str) -> DataFrame:
     """Sum, count and peak of |x| per tumbling window; rows later than the watermark are dropped."""
@@ -102,40 +101,98 @@ class Delta:
         return out
 
 
+class _InOrder(StatefulProcessor):
+    """Runs a filter over the samples of one (clip, channel) in order of idx.
+
+    State: the next idx, how many rows are held and the filter; rows that came early are a map by idx, so a batch touches only those that it
+    adds or releases.  A timer, if asked for, gives up waiting for a gap.
+    """
+
+    def __init__(self, fresh, inputs: tuple[str, ...], timeout_ms: int | None, wait: int | None):
+        self.fresh, self.inputs, self.timeout_ms, self.wait = fresh, inputs, timeout_ms, wait
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.position = handle.getValueState("position", "next long, held long, data binary")
+        self.early = handle.getMapState("early", "idx long", ", ".join(f"{c} double" for c in self.inputs))
+
+    def _given(self) -> tuple[int, int, object]:
+        if not self.position.exists():
+            return 0, 0, self.fresh()
+        at, held, data = self.position.get()
+        return at, held, pickle.loads(data)
+
+    def _released(self, at: int) -> list[tuple]:
+        """Early rows from `at` up to the next gap; they leave the state."""
+        out = []
+        while self.early.containsKey((at + len(out),)):
+            out.append(self.early.getValue((at + len(out),)))
+            self.early.removeKey((at + len(out) - 1,))
+        return out
+
+    def _advance(self, key: tuple, at: int, held: int, op, rows: np.ndarray, idx: np.ndarray, skip: bool) -> Iterator[pd.DataFrame]:
+        """rows (inputs as columns) by idx, ascending, from `at` on."""
+        waiting = held > 0
+        if held:  # a row that is held already: the one that came last counts
+            n = int(np.searchsorted(idx - np.arange(len(idx)), at, side="right"))
+            again = np.array([k >= n and self.early.containsKey((i,)) for k, i in enumerate(idx.tolist())], bool)
+            for i, row in zip(idx[again].tolist(), rows[again].tolist(), strict=True):
+                self.early.updateValue((i,), tuple(row))
+            rows, idx = rows[~again], idx[~again]
+        while True:
+            n = int(np.searchsorted(idx - np.arange(len(idx)), at, side="right"))  # rows up to the next gap
+            run, rows, idx = rows[:n], rows[n:], idx[n:]
+            more = self._released(at + n) if held else []
+            held -= len(more)
+            if more:
+                run = np.concatenate([run, np.array(more, float).reshape(len(more), -1)])
+            if len(run):
+                yield pd.DataFrame({**dict(zip(KEYS, key, strict=True)), "idx": np.arange(at, at + len(run)), "y": op.run(*run.T)})
+                at += len(run)
+                continue
+            if not (skip or (self.wait is not None and held + len(idx) > self.wait)) or not (held or len(idx)):
+                break
+            first = min([int(k[0]) for k in self.early.keys()] if held else [], default=None)
+            at = min(x for x in (first, int(idx[0]) if len(idx) else None) if x is not None)
+        for k, row in zip(idx.tolist(), rows.tolist(), strict=True):
+            held += 1
+            self.early.updateValue((k,), tuple(row))
+        self.position.update((at, held, pickle.dumps(op)))
+        self.now_waiting = held > 0 and not (waiting and not skip)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        at, held, op = self._given()
+        given = pd.concat([pdf[["idx", *self.inputs]] for pdf in rows])
+        given = given[given["idx"] >= at].drop_duplicates("idx", keep="last").sort_values("idx")
+        yield from self._advance(key, at, held, op, given[list(self.inputs)].to_numpy(float), given["idx"].to_numpy(np.int64), False)
+        self._wake(timerValues)
+
+    def _wake(self, timerValues: TimerValues) -> None:
+        if self.timeout_ms and self.now_waiting:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at, held, op = self._given()
+        if held:
+            yield from self._advance(key, at, held, op, np.zeros((0, len(self.inputs))), np.zeros(0, np.int64), True)
+            self._wake(timerValues)
+
+    def close(self) -> None:
+        pass
+
+
 def stream_filter(stream: DataFrame, fresh, timeout_ms: int | None = None, wait: int | None = None, inputs: tuple[str, ...] = ("x",)) -> DataFrame:
     """keys, idx, y: `fresh()` makes a filter; its run(x, ...) gets each run of consecutive samples as arrays, one of each of `inputs`, in
     order of idx, with its state carried between batches.
 
     Rows already passed (late or repeated) are dropped, and of rows of one idx the one that came last counts.  A gap holds the rows
     behind it until it is filled, so results don't depend on batches; only if asked for, it is skipped with more than `wait`
-    rows held, or after `timeout_ms`.  (With a time limit Spark runs batches without end, as time alone may release rows.)
+    rows held, or `timeout_ms` after rows were first held.  (With a time limit Spark runs batches without end, as time alone may release
+    rows.)  The query needs the RocksDB state store (sources.storage.STATE_STORE), as all with transformWithState.
     """
     kinds = dict(stream.dtypes)
-    columns = ["idx", *inputs]
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, data, early = state.get if state.exists else (0, None, None)
-        op = pickle.loads(data) if data else fresh()
-        parts = [pickle.loads(early)] if early else []
-        held = pd.concat([pd.DataFrame(columns=columns), *parts, *(pdf[columns] for pdf in batches)])
-        held = held[held["idx"] >= at].drop_duplicates("idx", keep="last").sort_values("idx")
-        out = []
-        while len(held):
-            idx = held["idx"].to_numpy(np.int64)
-            if idx[0] != at:
-                if not state.hasTimedOut and (wait is None or len(held) <= wait):
-                    break
-                at = int(idx[0])
-            n = int(np.searchsorted(idx - np.arange(len(idx)), at, side="right"))  # up to the next gap
-            out.append(pd.DataFrame({**dict(zip(KEYS, key, strict=True)), "idx": idx[:n], "y": op.run(*(held[c].to_numpy(float)[:n] for c in inputs))}))
-            at, held = at + n, held.iloc[n:]
-        state.update((at, pickle.dumps(op), pickle.dumps(held) if len(held) else None))
-        if len(held) and timeout_ms:
-            state.setTimeoutDuration(timeout_ms)
-        yield from out
-
     schema = f"clip_id {kinds['clip_id']}, channel {kinds['channel']}, idx long, y double"
-    return stream.groupBy(*KEYS).applyInPandasWithState(run, schema, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
+    return stream.groupBy(*KEYS).transformWithStateInPandas(_InOrder(fresh, inputs, timeout_ms, wait), schema, "Append", "ProcessingTime" if timeout_ms else "None")
 
 
 class StreamVocoder:

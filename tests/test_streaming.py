@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkwave.operators import filters, vocoder
+from sparkwave.sources.storage import STATE_STORE, setting
 from sparkwave.streaming import signals as streaming
 
 SCHEMA = "clip_id long, channel int, idx long, ts timestamp, x double"
@@ -20,7 +21,8 @@ def feed(spark, tmp_path, batches):
 
 
 def drain(df, name, tmp_path, mode="append"):
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+    with setting(df.sparkSession, *STATE_STORE):
+        q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
     try:
         assert q.awaitTermination(60)
     finally:
@@ -89,3 +91,19 @@ def test_vocoder_stream_starts_anew_where_the_shift_jumps(spark, tmp_path):
     stream = stream.withColumn("shift", F.when(F.col("idx") < 1500, 1.3).when(F.col("idx") < 3000, 1.3005).otherwise(0.8))
     y = [r["y"] for r in drain(streaming.stream_vocoder(stream), "retuned", tmp_path).orderBy("idx").collect()]
     np.testing.assert_allclose(y, want[:5000], atol=1e-9)
+
+
+def test_held_rows_and_gaps_that_are_given_up(spark, tmp_path):
+    row = lambda i, x: (1, 0, i, float(i), float(x))
+    batches = [[row(0, 1), row(3, 7), row(6, 1)], [row(3, 10), row(1, 100), row(1, 1000), row(0, 5)], [row(7, 2), row(8, 3), row(9, 4)], [row(2, 50)]]
+    stream, _ = feed(spark, tmp_path, batches)
+    wanted = {"patient": {0: 1, 1: 1001, 2: 1051, 3: 1061}, "hasty": {0: 1, 1: 1001, 3: 1011, 6: 1012, 7: 1014, 8: 1017, 9: 1021}}
+    # A comb of one tap adds all samples up, so order and every row count.
+    for name, wait in (("patient", None), ("hasty", 4)):  # 3, 6, 7, 8 and 9 are held when the third batch comes
+        out = drain(streaming.stream_filter(stream, lambda: streaming.Comb(1.0, 1), wait=wait), name, tmp_path).collect()
+        got = {r["idx"]: r["y"] for r in out}
+        assert len(out) == len(got)
+        if name == "patient":
+            assert got == wanted[name]
+        else:
+            assert got == {k: v for k, v in wanted[name].items() if k in got} and set(got) >= {0, 1, 3}
