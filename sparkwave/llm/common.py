@@ -39,8 +39,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A path of its own below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path of its own below the application's folder in the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/sparkwave-llm-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_work(spark: SparkSession) -> None:
+    """Remove all that this application has written with `fresh_dir`; results that still read it are lost.  (Checkpoints are Spark's own, which
+    it removes with spark.cleaner.referenceTracking.cleanCheckpoints.)"""
+    root = fresh_dir(spark, "none").rpartition("/")[0]
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -53,3 +53,15 @@ def test_files_of_a_second_tokenizer(spark, tmp_path, file):
         r = got[doc_id]
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+
+
+def test_work_folders_are_removed_together(spark):
+    import os
+
+    from sparkwave.llm.common import fresh_dir, remove_work
+
+    a, b = (fresh_dir(spark, name).removeprefix("file:") for name in ("one", "two"))
+    assert os.path.dirname(a) == os.path.dirname(b) and a != b
+    spark.range(3).write.parquet(a)
+    remove_work(spark)
+    assert not os.path.exists(os.path.dirname(a))
