@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import functools
 import tempfile
 import time
 import uuid
@@ -17,8 +18,20 @@ def work_dir(spark: SparkSession, name: str) -> str:
     if not where:
         if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        where = tempfile.mkdtemp(prefix="sparkwave-")
-    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        where = _local_root()
+    return f"{where.rstrip('/')}/sparkwave-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+@functools.cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="sparkwave-")
+
+
+def remove_work(spark: SparkSession) -> None:
+    """Remove all folders that jobs of this application have made with `work_dir`; results that still read them are lost."""
+    root = work_dir(spark, "none").rpartition("/")[0]
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def replay(rows: DataFrame, last: DataFrame | None = None, files: int = 4) -> DataFrame:
