@@ -21,6 +21,7 @@ from .shingles import mix
 
 SAMPLE_ROWS = 2000  # per language, on average
 SAMPLE_TOTAL = 40_000  # of all languages, on average
+SAMPLE_CHARS = 400_000_000  # code points of the sample, on average
 LONGEST = 5
 SLICE_CHARS = 400_000
 GROUP_CHARS = 2_000_000  # of texts that are joined; a longer text is a group of its own
@@ -191,14 +192,16 @@ def _grams(n: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length("key") - (n - 1)), lambda i: F.substring("key", i, n))
 
 
-def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_total: int = SAMPLE_TOTAL) -> Model:
-    """Learn from rows with a doc_id, a language and a text that are not held out; see the bounds above."""
+def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_total: int = SAMPLE_TOTAL, sample_chars: int = SAMPLE_CHARS) -> Model:
+    """Learn from rows with a doc_id, a language and a text that are not held out; see the bounds above, which hold rows and text."""
     allowed = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    sizes = {r["lang"]: r["count"] for r in allowed.groupBy("lang").count().collect()}
+    found = allowed.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()
+    sizes = {r["lang"]: r["n"] for r in found}
+    chars = {r["lang"]: sample_chars / len(sizes) / max(1, r["chars"]) for r in found}  # share of a language's text that fits
     if not sizes:
         return Model([], ENTRIES.empty_table())
     rows = min(sample_rows, sample_total / len(sizes))
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, rows / n))])
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, rows / n, chars[lang]))])
     chance = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
     sample = allowed.where(chance < share[F.col("lang")])
     words = sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("key")).where("key <> ''")

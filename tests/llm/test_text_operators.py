@@ -413,3 +413,25 @@ def test_decontamination_whatever_lies_beyond_the_threshold(spark, monkeypatch,
                 want.add((doc, item, len(own), share))
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert {(r["doc_id"], r["item_id"], r["n_item"], r["n_shared"]) for r in contaminated(docs_of(spark, docs), bench).collect()} == want
+
+
+def test_language_sample_is_bounded_in_rows_and_text(spark):
+    rng = random.Random(1)
+    docs = docs_of(spark, [(i, sentence(rng, 400)) for i in range(300)])
+    from sparkwave.llm import langid
+
+    words = []
+    real = langid.Model
+
+    class Counted(real):
+        def __init__(self, langs, entries):
+            words.append(entries.num_rows)
+            super().__init__(langs, entries)
+
+    langid.Model = Counted
+    try:
+        for chars in (10**9, 40_000, 4_000):
+            langid.fit(docs, sample_chars=chars)
+    finally:
+        langid.Model = real
+    assert words[0] > 3 * words[1] > 6 * words[2]
