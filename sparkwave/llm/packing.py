@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from .common import fresh_dir, small_batches, text_groups
 from .token_files import END_ID, WordEncoder
+from .token_files import encoder as worker_encoder
 
 MAX_LEN = 2048
 BUCKETS = 8
@@ -54,9 +55,12 @@ def optimal_boundaries(histogram: dict[int, int], buckets: int) -> list[int]:
     return out[::-1]
 
 
-def segments(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, end_id: int = END_ID) -> DataFrame:
+def segments(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, end_id: int = END_ID, keep_encoder: bool = False) -> DataFrame:
     """doc_id, seg, start, length, ids: the ids of the whole text and the end id, no part dropped.
 
+    A task's encoder, with the words it remembers, is given back at its end, as other stages may need the memory, or is kept for
+    the worker's next tasks, which saves time.
+
     `ids` holds little-endian unsigned integers, octet_length(ids) / length bytes each.  Null texts, and those without a
     token, give no segment.
     """
@@ -65,7 +69,7 @@ def segments(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, end_id: in
 
     @F.arrow_udf("struct<width int, parts array<binary>>")
     def cut_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = WordEncoder(tokenizer, MEMORY)  # given back at the end of the task: other stages need the memory
+        encoder = worker_encoder(tokenizer) if keep_encoder else WordEncoder(tokenizer, MEMORY)
         width = np.dtype(encoder.dtype).itemsize
         for texts in batches:
             rows = []
@@ -80,7 +84,8 @@ def segments(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, end_id: in
                         (F.octet_length("ids") / F.col("width")).cast("long").alias("length"), "ids")
 
 
-def pack(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET, shards: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET, shards: int | None = None,
+         keep_encoder: bool = False) -> DataFrame:
     """doc_id, seg, start, length, bucket (its boundary), batch, slot, padding, ids: one row per segment; the rows of one (bucket,
     batch) by slot, each with `padding` ids of padding after its own, are the batch.
 
@@ -93,7 +98,7 @@ def pack(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, buckets: int =
     spark = docs.sparkSession
     path = fresh_dir(spark, "segments")
     with small_batches(spark):
-        segments(docs, tokenizer, max_len).withColumn("hash", F.xxhash64("doc_id", "seg", "ids")).write.parquet(path)  # encoded once
+        segments(docs, tokenizer, max_len, keep_encoder=keep_encoder).withColumn("hash", F.xxhash64("doc_id", "seg", "ids")).write.parquet(path)  # encoded once
     seg = spark.read.parquet(path)
     histogram = {r["length"]: r["count"] for r in seg.groupBy("length").count().collect()}  # at most max_len rows
     shards = shards or max(SHARDS, -(-sum(histogram.values()) // SHARD_ROWS))

@@ -56,7 +56,7 @@ def op6_jaccard_join(spark, sf_dir):
 def op7_length_buckets(spark, sf_dir):
     import public_tokenizers
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_encoder=True)
 
 
 def op8_decontamination(spark, sf_dir):
