@@ -65,3 +65,13 @@ def test_work_folders_are_removed_together(spark):
     spark.range(3).write.parquet(a)
     remove_work(spark)
     assert not os.path.exists(os.path.dirname(a))
+
+
+def test_a_kept_encoder_packs_the_same(spark):
+    from sparkwave.llm.packing import pack
+
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choices(["alpha", "Beta", "gamma", "12", "é"], k=rng.randint(0, 50)))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    one, two = (sorted(map(tuple, pack(df, WORD, max_len=16, keep_encoder=k).drop("ids").collect())) for k in (False, True))
+    assert one == two and len(one) > 40
