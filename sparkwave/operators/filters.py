@@ -148,7 +148,7 @@ def _biquad_step(s, x):
     return y, [b1 * x[0] - a1 * y + s[1], b2 * x[0] - a2 * y]
 
 
-FADE = 32
+BLEND = 32  # samples of a crossfade
 
 
 def coefficients_by_clip(clips: DataFrame, kind: str, f: float, q: float, gain_db: float = 0.0, pole_radius: float = 0.95) -> DataFrame:
@@ -180,7 +180,7 @@ def biquad(df: DataFrame, kind: str, f: float, q: float, rate: int | DataFrame,
     wet = linear_scan(fed, step, 2, chunk=chunk, constants=by_clip)
     both = with_length(df).join(wet, [*KEYS, "idx"])
     left = F.col("n") - 1 - F.col("idx")
-    share = F.least(F.col("idx") / FADE, left / FADE, F.lit(1.0))
+    share = F.least(F.col("idx") / BLEND, left / BLEND, F.lit(1.0))
     return put(both, F.col("x") + (F.col("y") - F.col("x")) * share)
 
 
