@@ -52,3 +52,23 @@ def test_a_mean_half_way_goes_away_from_zero(spark, tmp_path):
     assert sum(int(t) % 64 == 32 for t in df.groupby("user_id")["total"].first()) > 2
     assert {r["clip_id"]: r["mean"] for r in registry.flagship(spark, str(tmp_path)).collect()} == pytest.approx(want, abs=1e-9)
     assert {r[0]: r[2] for r in sql_rows("flagship_levels", events=df)} == pytest.approx(want, abs=1e-9)
+
+
+def test_dedup_gives_a_row_for_each_frame_even_if_two_share_a_fingerprint(spark, tmp_path):
+    import pandas as pd
+
+    from sparkwave.plans import registry
+
+    tenths = np.random.default_rng(0).integers(-4, 5, (300_000, 64))
+    code, prints = np.floor((tenths / 10 + 1) * 127.5 + 0.5).astype(np.int64), np.zeros(300_000, np.int64)
+    for column in code.T:
+        prints = (prints * 31 + column) % 2**32
+    _, first, n = np.unique(prints, return_index=True, return_counts=True)
+    pair = np.flatnonzero(prints == prints[first[n == 2][0]])
+    assert len(pair) == 2 and (tenths[pair[0]] != tenths[pair[1]]).any()
+    some = np.concatenate([pair, pair[:1], np.arange(5)])  # one of them twice
+    df = pd.DataFrame({"vec_id": np.arange(len(some)), "label": np.arange(len(some), dtype=np.int32) % 2, "embedding": [v.tolist() for v in (tenths[some] / 10).astype(np.float32)]})
+    spark.createDataFrame(df, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    have = sorted(r["fingerprint"] for r in registry.Q["k5_stream_dedup_frames"](spark, str(tmp_path)).collect())
+    assert len(have) == 7 and len(set(have)) == 6
+    assert have == sorted(r[0] for r in sql_rows("k5_stream_dedup_frames", embeddings=df))
