@@ -6,16 +6,17 @@ position and rows that came early; a gap is waited for until it is filled, or up
 
 from __future__ import annotations
 
+import functools
 import itertools
 import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import TimerValues
+from pyspark.sql.types import StructType
 
 from sparkwave.operators.vocoder import Mono
 from sparkwave.sources.signals import KEYS
@@ -101,80 +102,117 @@ class Delta:
         return out
 
 
+RUN = Row(*KEYS, "first", "y")
+BLOCK = 256  # positions of early rows that the state holds as one entry
+
+
 class _InOrder(StatefulProcessor):
     """Runs a filter over the samples of one (clip, channel) in order of idx.
 
-    State: the next idx, how many rows are held and the filter; rows that came early are a map by idx, so a batch touches only those that it
-    adds or releases.  A timer, if asked for, gives up waiting for a gap.
+    State: the next idx, how many rows are held and the filter; rows that came early are a map of blocks by idx, so a batch touches only the
+    blocks that it adds to or releases, and rows in order touch none.  A timer, if asked for, gives up waiting for a gap.
     """
 
     def __init__(self, fresh, inputs: tuple[str, ...], timeout_ms: int | None, wait: int | None):
         self.fresh, self.inputs, self.timeout_ms, self.wait = fresh, inputs, timeout_ms, wait
+        self.kind = np.dtype([("idx", np.int64), *((c, np.float64) for c in inputs)])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.position = handle.getValueState("position", "next long, held long, data binary")
-        self.early = handle.getMapState("early", "idx long", ", ".join(f"{c} double" for c in self.inputs))
+        self.early = handle.getMapState("early", "block long", "rows binary")
 
     def _given(self) -> tuple[int, int, object]:
-        if not self.position.exists():
+        given = self.position.get()
+        if given is None:
             return 0, 0, self.fresh()
-        at, held, data = self.position.get()
+        at, held, data = given
         return at, held, pickle.loads(data)
 
-    def _released(self, at: int) -> list[tuple]:
-        """Early rows from `at` up to the next gap; they leave the state."""
-        out = []
-        while self.early.containsKey((at + len(out),)):
-            out.append(self.early.getValue((at + len(out),)))
-            self.early.removeKey((at + len(out) - 1,))
-        return out
-
-    def _advance(self, key: tuple, at: int, held: int, op, rows: np.ndarray, idx: np.ndarray, skip: bool) -> Iterator[pd.DataFrame]:
-        """rows (inputs as columns) by idx, ascending, from `at` on."""
-        waiting = held > 0
-        if held:  # a row that is held already: the one that came last counts
-            n = int(np.searchsorted(idx - np.arange(len(idx)), at, side="right"))
-            again = np.array([k >= n and self.early.containsKey((i,)) for k, i in enumerate(idx.tolist())], bool)
-            for i, row in zip(idx[again].tolist(), rows[again].tolist(), strict=True):
-                self.early.updateValue((i,), tuple(row))
-            rows, idx = rows[~again], idx[~again]
-        while True:
-            n = int(np.searchsorted(idx - np.arange(len(idx)), at, side="right"))  # rows up to the next gap
-            run, rows, idx = rows[:n], rows[n:], idx[n:]
-            more = self._released(at + n) if held else []
-            held -= len(more)
-            if more:
-                run = np.concatenate([run, np.array(more, float).reshape(len(more), -1)])
-            if len(run):
-                yield pd.DataFrame({**dict(zip(KEYS, key, strict=True)), "idx": np.arange(at, at + len(run)), "y": op.run(*run.T)})
-                at += len(run)
+    def _advance(self, key: tuple, at: int, held: int, op, new: np.ndarray, skip: bool) -> Iterator[Row]:
+        """`new` has rows by idx, ascending and distinct, from `at` on."""
+        waiting, stored = held > 0, held > 0
+        blocks: dict[int, np.ndarray] = {}  # those of this call: as they will be stored
+        none = new[:0]
+
+        def block(k: int) -> np.ndarray:
+            if k not in blocks:
+                old = self.early.getValue((k,)) if stored else None
+                blocks[k] = none if old is None else np.frombuffer(old[0], self.kind)
+            return blocks[k]
+
+        def run(rows: np.ndarray) -> Row:
+            y = op.run(*(np.ascontiguousarray(rows[c]) for c in self.inputs))
+            return RUN(*key, at, y if isinstance(y, list) else y.tolist())
+
+        if not stored:
+            n = int(np.searchsorted(new["idx"] - np.arange(len(new)), at, side="right"))  # rows up to the first gap
+            if n:
+                yield run(new[:n])
+                at, new = at + n, new[n:]
+        parts = np.flatnonzero(np.diff(new["idx"] // BLOCK, prepend=-1)).tolist()
+        for a, z in itertools.pairwise([*parts, len(new)]):
+            k = int(new["idx"][a]) // BLOCK
+            old = block(k)
+            kept = old[~np.isin(old["idx"], new["idx"][a:z])]  # of rows of one idx the one that came last counts
+            both = np.concatenate([kept, new[a:z]])
+            blocks[k] = both[np.argsort(both["idx"])]
+            held += len(both) - len(old)
+        changed = {int(k) for k in new["idx"][parts] // BLOCK}
+        while held:
+            k = at // BLOCK
+            rows = block(k)
+            n = int(np.searchsorted(rows["idx"] - np.arange(len(rows)), at, side="right"))
+            if n:
+                yield run(rows[:n])
+                blocks[k] = rows[n:]
+                changed.add(k)
+                at, held = at + n, held - n
                 continue
-            if not (skip or (self.wait is not None and held + len(idx) > self.wait)) or not (held or len(idx)):
+            if not (skip or (self.wait is not None and held > self.wait)):
                 break
-            first = min([int(k[0]) for k in self.early.keys()] if held else [], default=None)
-            at = min(x for x in (first, int(idx[0]) if len(idx) else None) if x is not None)
-        for k, row in zip(idx.tolist(), rows.tolist(), strict=True):
-            held += 1
-            self.early.updateValue((k,), tuple(row))
+            known = {int(b[0]) for b in self.early.keys()} if stored else set()
+            first = min(b for b in known | set(blocks) if len(block(b)))
+            at = int(block(first)["idx"][0])
+        for k in changed:
+            if len(blocks[k]):
+                self.early.updateValue((k,), (blocks[k].tobytes(),))
+            elif stored:
+                self.early.removeKey((k,))
         self.position.update((at, held, pickle.dumps(op)))
         self.now_waiting = held > 0 and not (waiting and not skip)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+    def _rows(self, rows: Iterator[Row], at: int) -> np.ndarray:
+        """Those from `at` on by idx; of rows of one idx the one that came last."""
+        nan = float("nan")
+        places = None
+
+        def values() -> Iterator[tuple]:
+            nonlocal places
+            for row in rows:
+                if places is None:
+                    places = [row.__fields__.index(c) for c in ("idx", *self.inputs)]
+                idx, *x = (row[k] for k in places)
+                if idx is not None and idx >= at:
+                    yield idx, *(nan if v is None else v for v in x)
+
+        given = np.fromiter(values(), self.kind)
+        given = given[np.argsort(given["idx"], kind="stable")]
+        return given[np.diff(given["idx"], append=-1) != 0]
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         at, held, op = self._given()
-        given = pd.concat([pdf[["idx", *self.inputs]] for pdf in rows])
-        given = given[given["idx"] >= at].drop_duplicates("idx", keep="last").sort_values("idx")
-        yield from self._advance(key, at, held, op, given[list(self.inputs)].to_numpy(float), given["idx"].to_numpy(np.int64), False)
+        yield from self._advance(key, at, held, op, self._rows(rows, at), False)
         self._wake(timerValues)
 
     def _wake(self, timerValues: TimerValues) -> None:
         if self.timeout_ms and self.now_waiting:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
 
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo) -> Iterator[Row]:
         at, held, op = self._given()
         if held:
-            yield from self._advance(key, at, held, op, np.zeros((0, len(self.inputs))), np.zeros(0, np.int64), True)
+            yield from self._advance(key, at, held, op, np.zeros(0, self.kind), True)
             self._wake(timerValues)
 
     def close(self) -> None:
@@ -191,8 +229,16 @@ def stream_filter(stream: DataFrame, fresh, timeout_ms: int | None = None, wait:
     rows.)  The query needs the RocksDB state store (sources.storage.STATE_STORE), as all with transformWithState.
     """
     kinds = dict(stream.dtypes)
-    schema = f"clip_id {kinds['clip_id']}, channel {kinds['channel']}, idx long, y double"
-    return stream.groupBy(*KEYS).transformWithStateInPandas(_InOrder(fresh, inputs, timeout_ms, wait), schema, "Append", "ProcessingTime" if timeout_ms else "None")
+    schema = f"clip_id {kinds['clip_id']}, channel {kinds['channel']}, first long, y array<double>"  # a row a run of samples
+    rows = stream.select(*KEYS, "idx", *inputs).groupBy(*KEYS)
+    runs = rows.transformWithState(_InOrder(fresh, inputs, timeout_ms, wait), StructType.fromDDL(schema), "Append", "ProcessingTime" if timeout_ms else "None")
+    return runs.select(*KEYS, "first", F.posexplode("y").alias("at", "y")).select(*KEYS, (F.col("first") + F.col("at")).alias("idx"), "y")
+
+
+@functools.lru_cache(maxsize=64)
+def _mono(shift: float) -> Mono:
+    """A voice has tables but no state, so clips share it."""
+    return Mono(shift)
 
 
 class StreamVocoder:
@@ -200,14 +246,27 @@ class StreamVocoder:
     where the shift is more than 0.001 from the one of the last start."""
 
     def __init__(self, shift: float):
-        self.voice = Mono(shift)
+        self.voice = _mono(shift)
         self.tuned, self.state, self.n = shift, self.voice.start(), 0
         self.input, self.tail = np.zeros(self.voice.size - 1), np.zeros(self.voice.size)
         self.ready = np.zeros(self.voice.hop - 1)
 
+    def __getstate__(self) -> tuple:
+        """The voice by its shift, and arrays without the zeros that a new clip has: a short clip is a few bytes."""
+        state = [s if s.any() else None for s in self.state]
+        return self.voice.shift, self.tuned, state, self.n, np.trim_zeros(self.input, "f"), np.trim_zeros(self.tail, "b"), len(self.ready), np.trim_zeros(self.ready, "b")
+
+    def __setstate__(self, given: tuple) -> None:
+        shift, self.tuned, state, self.n, heard, tail, n, ready = given
+        self.voice = _mono(shift)
+        self.state = tuple(a if s is None else s for a, s in zip(self.voice.start(), state, strict=True))
+        self.input = np.concatenate([np.zeros(self.voice.size - 1 - len(heard)), heard])
+        self.tail = np.concatenate([tail, np.zeros(self.voice.size - len(tail))])
+        self.ready = np.concatenate([ready, np.zeros(n - len(ready))])
+
     def _frames(self, x: np.ndarray, shift: float) -> np.ndarray:
         if shift != self.voice.shift:
-            self.voice = Mono(shift)
+            self.voice = _mono(shift)
         x = np.concatenate([np.zeros((self.voice.lead, self.voice.size)), x])
         out = self.voice.frames(x, self.state, False)
         self.state = self.voice.carry(self.state, self.voice.summary(x, False))
