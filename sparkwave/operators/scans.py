@@ -183,13 +183,13 @@ def settle(chunks: DataFrame, inputs: tuple[str, ...], run: Callable, keys: list
         states = written(last.where("not moved").select(*states.columns).unionByName(from_starts(moved)))
 
 
-def joined(chunks: DataFrame, states: DataFrame, keys: list[str]) -> DataFrame:
+def joined(chunks: DataFrame, states: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Chunks with the other columns of their states; null keys are equal."""
     names = [*keys, "c"]
     on = F.lit(True)
     for k in names:
         on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return chunks.join(states.withColumnsRenamed({k: f"_{k}" for k in names}), on).drop(*[f"_{k}" for k in names])
+    return chunks.join(states.withColumnsRenamed({k: f"_{k}" for k in names}), on, how).drop(*[f"_{k}" for k in names])
 
 
 def settled_scan(df: DataFrame, step: Callable, first: Callable, chunk: int = CHUNK, inputs: tuple[str, ...] = ("x",), chunks: DataFrame | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkwave.operators.effects import COLUMNS
+from sparkwave.operators.scans import Texts, joined
 from sparkwave.sources.signals import KEYS
 
 TURN = 2 * np.pi
@@ -301,24 +302,23 @@ def vocode(df: DataFrame, voice: Voice, chunk: int = 256) -> DataFrame:
     left = border + voice.lead * hop
     first, last = F.greatest(F.lit(0), F.floor((F.col("idx") - border) / home)), F.floor((F.col("idx") + left) / home)
     spread = df.select(*COLUMNS, F.explode(F.sequence(first, last)).alias("c"))
-    types = dict(df.select(*KEYS).dtypes)
-    key_types = ", ".join(f"{k} {t}" for k, t in types.items())
-    key_text = ", ".join(f"{k} string" for k in KEYS)  # pandas would make doubles of integers beside a null
+    text = Texts(df, KEYS)
     states = [f"state{i}" for i in range(voice.states)]
-
-    def cut(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """Place in the stretch (from the leading frames' start) of each row, and overlapping frames."""
-        where = pdf["idx"].to_numpy() - (int(pdf["c"].iloc[0]) * home - left)
-        x = np.zeros(left + home + border)
-        x[where] = pdf["x"].to_numpy(float)
-        return where, np.lib.stride_tricks.sliding_window_view(x, size)[::hop]
-
-    def summarize(pdf: pd.DataFrame) -> pd.DataFrame:
-        where, x = cut(pdf)
-        if where.max() < left + home:  # the clip's last stretch, or one of its leading samples alone
-            return pd.DataFrame(columns=[*KEYS, "c", *voice.names])
-        stretch = voice.summary(x[: voice.lead + chunk], pdf["c"].iloc[0] == 0)
-        return pdf[[*KEYS, "c"]].iloc[:1].assign(**{k: [v] for k, v in zip(voice.names, stretch, strict=True)})
+    rows = spread.groupBy(*KEYS, "c").agg(F.array_sort(F.collect_list(F.struct("idx", F.col("x").cast("double").alias("x")))).alias("s"))
+    stretches = rows.select(*KEYS, "c", F.col("s.idx").alias("idx"), F.col("s.x").alias("x"))
+    end = F.element_at("idx", -1)
+
+    def cut(c: int, idx: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Place in the stretch (from the leading frames' start) of each row, and its first n frames, which overlap."""
+        where = np.asarray(idx) - (c * home - left)
+        x = np.zeros(max(int(where[-1]) + 1, (n - 1) * hop + size))
+        x[where] = values
+        return where, np.lib.stride_tricks.sliding_window_view(x, size)[::hop][:n]
+
+    def summarize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = [voice.summary(cut(c, idx, x, voice.lead + chunk)[1], c == 0) for c, idx, x in zip(pdf["c"], pdf["idx"], pdf["x"], strict=True)]
+            yield pdf[[*KEYS, "c"]].assign(**{k: [m[i] for m in made] for i, k in enumerate(voice.names)})
 
     def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows in order of clips and stretches."""
@@ -331,29 +331,28 @@ def vocode(df: DataFrame, voice: Voice, chunk: int = 256) -> DataFrame:
                 out.append(state)
             yield pdf[KEYS].assign(c=pdf["c"] + 1, **{k: [s[i] for s in out] for i, k in enumerate(states)})
 
-    def finish(pdf: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-        columns = [*KEYS, "idx", "x"]
-        if not len(pdf):
-            return pd.DataFrame(columns=columns)
-        where, x = cut(pdf)
-        own = (where >= left) & (where < left + home)
-        if not own.any():
-            return pd.DataFrame(columns=columns)
+    def finished(c: int, idx: np.ndarray, values: np.ndarray, before: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """The stretch's own positions, and their outputs."""
+        own = slice(*np.searchsorted(idx, [c * home, (c + 1) * home]))
         # Frames from the first that touches the stretch's own samples to the last: three more than its own, at its start.
-        n = int(where[own].max() - left) // hop + 1 + border // hop
-        opening = bool(pdf["c"].iloc[0] == 0)
-        frames = voice.frames(x[: voice.lead + n], tuple(np.asarray(before[k].iloc[0]) for k in states) if len(before) else voice.start(), opening)
-        out = np.zeros(left + home + border + size)
+        n = (int(idx[own][-1]) - c * home) // hop + 1 + border // hop
+        where, x = cut(c, idx, values, voice.lead + n)
+        frames = voice.frames(x, voice.start() if before[0] is None else before, c == 0)
+        out = np.zeros((voice.lead + n) * hop + size)
         for f, frame in enumerate(frames):
             out[(voice.lead + f) * hop :][:size] += frame
-        return pdf.loc[own, columns].assign(x=out[where[own]] / voice.gain)
-
-    lists = ", ".join(f"{k} array<double>" for k in voice.names)
-    stretches = spread.groupBy(*KEYS, "c").applyInPandas(summarize, f"{key_types}, c long, {lists}")
-    stretches = stretches.withColumns({k: F.col(k).cast("string") for k in KEYS}).repartition(*KEYS).sortWithinPartitions(*KEYS, "c")
-    carried = stretches.mapInPandas(carry, f"{key_text}, c long, " + ", ".join(f"{k} array<double>" for k in states))
-    carried = carried.withColumns({k: F.col(k).cast(types[k]) for k in KEYS})
-    return spread.groupBy(*KEYS, "c").cogroup(carried.groupBy(*KEYS, "c")).applyInPandas(finish, f"{key_types}, idx long, x double")
+        return idx[own], out[where[own]] / voice.gain
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = [finished(c, idx, x, tuple(before)) for c, idx, x, *before in zip(pdf["c"], pdf["idx"], pdf["x"], *(pdf[k] for k in states), strict=True)]
+            yield pdf[KEYS].assign(idx=[m[0] for m in made], x=[m[1] for m in made])
+
+    # a clip's last stretch, or one of its leading samples alone, has none after it
+    narrow = text.map(stretches.where(end >= (F.col("c") + 1) * home), summarize, "c long, " + ", ".join(f"{k} array<double>" for k in voice.names))
+    carried = text.map(narrow.repartition(*KEYS).sortWithinPartitions(*KEYS, "c"), carry, "c long, " + ", ".join(f"{k} array<double>" for k in states))
+    done = text.map(joined(stretches.where(end >= F.col("c") * home), carried, KEYS, "left"), finish, "idx array<long>, x array<double>")
+    return done.select(*KEYS, F.inline(F.arrays_zip("idx", "x")))
 
 
 def vocoder_mono(df: DataFrame, shift: float, polished: bool = False, chunk: int = 256) -> DataFrame:

@@ -170,3 +170,23 @@ def test_stereo_puts_mid_and_side_together(spark):
         rows = vocoder.vocoder_stereo(df, 1.2, peak_lock=lock, chunk=8)
         np.testing.assert_allclose(got(rows.where("channel = 0"))[1], mid + side, atol=1e-7)
         np.testing.assert_allclose(got(rows.where("channel = 1"))[1], mid - side, atol=1e-7)
+
+
+def test_a_stretch_costs_what_it_holds(spark):
+    """Short clips make no group of their own in pandas, no rows that are carried, and no arrays of a whole stretch's length."""
+    import contextlib
+    import io
+
+    from sparkwave.operators import effects
+
+    rng = np.random.default_rng(8)
+    data = {c: rng.normal(0, 0.3, n) for c, n in ((1, 1), (2, 300), (3, 1025), (4, 3000))}
+    df = spark.createDataFrame([(c, 0, i, float(v)) for c, x in data.items() for i, v in enumerate(x)], SCHEMA)
+    out = vocoder.vocode(df, vocoder.Mono(1.2), 4)
+    for c, x in data.items():
+        y = [r["x"] for r in out.where(f"clip_id = {c}").orderBy("idx").collect()]
+        np.testing.assert_allclose(y, vocoder.whole(vocoder.Mono(1.2), x), atol=1e-9)
+    plan = io.StringIO()
+    with contextlib.redirect_stdout(plan):
+        vocoder.vocoder_stereo(df.unionByName(effects.gain(df.withColumn("channel", df.channel + 1), 0.5)), 1.2).explain()
+    assert "InPandas" in plan.getvalue() and "FlatMap" not in plan.getvalue()
