@@ -161,11 +161,22 @@ def convert_cues(files: DataFrame, source: str, target: str) -> DataFrame:
 
 
 def read_cues(spark: SparkSession, path: str) -> DataFrame:
-    """(file_id, path, body) of a folder of text files; file_id is a hash of the path."""
-    read = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
+    """(file_id, path, body) of a folder of text files, at any depth; file_id is a hash of the path."""
+    read = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
     return read.select(F.xxhash64("path").alias("file_id"), "path", "body")
 
 
 def write_cues(cues: DataFrame, fmt: str, path: str) -> None:
     """Rendered files as rows (file_id, body) of Parquet, spread by file."""
     WRITERS[fmt](cues).write.parquet(path)
+
+
+def write_cue_files(cues: DataFrame, fmt: str, path: str) -> None:
+    """One text file each, in a folder by file_id.
+
+    Time goes by files, not bytes, which AQE doesn't see: so the number of tasks is stated, and each task moves its own files to their place (the
+    folder is a fresh one), where otherwise the driver moves them all, one by one.
+    """
+    tasks = 4 * cues.sparkSession.sparkContext.defaultParallelism
+    files = WRITERS[fmt](cues).repartition(tasks, "file_id")
+    files.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("file_id").text(path)

@@ -57,3 +57,18 @@ def test_convert_and_files(spark, tmp_path):
     assert cues.convert_cues(read, "srt", "sub").first()["body"] == "{25}{50}x"
     cues.write_cues(cues.parse_srt(read), "srt", str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).first()["body"] == "1\n00:00:01,000 --> 00:00:02,000\nx"
+
+
+def test_files_of_cues_are_dealt_over_tasks_and_come_back(spark, tmp_path):
+    rows = [(f, k, k * 1.5, k * 1.5 + 1, f"cue {k} of {f}") for f in range(200) for k in range(3)]
+    df = spark.createDataFrame(rows, "file_id long, cue_no int, start_s double, end_s double, text string")
+    spark.sparkContext.setJobGroup("cue-files", "writes")
+    cues.write_cue_files(df, "srt", str(tmp_path / "out"))
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(i) for j in tracker.getJobIdsForGroup("cue-files") for i in tracker.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) == 4 * spark.sparkContext.defaultParallelism
+    (tmp_path / "out" / "deeper" / "still").mkdir(parents=True)
+    (tmp_path / "out" / "deeper" / "still" / "a.srt").write_text("1\n")
+    read = {r["path"].split("/")[-2]: r["body"].rstrip("\n") for r in cues.read_cues(spark, str(tmp_path / "out")).collect()}
+    want = {f"file_id={r['file_id']}": r["body"] for r in cues.to_srt(df).collect()}
+    assert read == want | {"still": "1"}
