@@ -34,14 +34,19 @@ def remove_work(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def replay(rows: DataFrame, last: DataFrame | None = None, files: int = 4) -> DataFrame:
-    """`rows` as a stream of `files` batches, and then those of `last` (which may move the watermark past all others)."""
+def replay(rows: DataFrame, last: DataFrame | None = None, batches: int = 4) -> DataFrame:
+    """`rows` as a stream of `batches` batches, and then those of `last` (which may move the watermark past all others).
+
+    A batch has a file for each core, as one file is one task where rows are written without being split: with one file a batch, all
+    that comes before a stream's shuffle would run on one core.
+    """
     path = work_dir(rows.sparkSession, "replay")
-    rows.repartition(files).write.parquet(path)
+    a_batch = rows.sparkSession.sparkContext.defaultParallelism
+    rows.repartition(batches * a_batch).write.parquet(path)
     if last is not None:
         time.sleep(0.1)  # files come in order of their times
         last.coalesce(1).write.mode("append").parquet(path)
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", a_batch).parquet(path)
 
 
 #: The setting that streams with transformWithState need when they start.

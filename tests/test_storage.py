@@ -2,6 +2,8 @@
 
 import os
 
+from pyspark.sql import functions as F
+
 from sparkwave.sources import storage
 
 
@@ -21,3 +23,12 @@ def test_settings_come_back(spark):
     with storage.setting(spark, name, value):
         assert spark.conf.get(name) == value
     assert spark.conf.get(name, None) == before
+
+
+def test_a_batch_of_a_replay_is_read_by_all_cores(spark):
+    """All rows come, `last` after the others, and no batch is one task."""
+    rows, last = spark.range(1000), spark.range(1000, 1001)
+    stream = storage.replay(rows, last).withColumn("task", F.spark_partition_id())
+    got = storage.drain(stream).collect()
+    assert sorted(r["id"] for r in got) == list(range(1001))
+    assert {r["task"] for r in got} == set(range(spark.sparkContext.defaultParallelism))
