@@ -171,7 +171,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = cut(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         edges = cut(
@@ -184,5 +184,5 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         before = now
     else:
         raise RuntimeError("components did not settle")
-    roots = edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
+    roots = cut(edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -267,17 +267,17 @@ def _family_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     counts = cut(members.groupBy("hub", "nhub", "far").agg(blocks_of.alias("size")))
     whole = counts.groupBy("hub", "nhub").agg(F.sum("size").alias("all"), F.max("far").alias("farthest"))
     plan = counts.join(whole.where("farthest >= 5"), ["hub", "nhub"])  # a family whose members all link to the hub is done
-    plan = plan.select(
+    plan = cut(plan.select(
         "hub", "nhub", "far",
         F.when(F.col("all") <= 1, -1).otherwise(F.col("far")).alias("ring"),
         F.when(F.col("all") <= 1, 1).otherwise(F.ceil("size")).cast("int").alias("cuts"),
-    )
+    ))
     blocks = members.join(plan, ["hub", "nhub", "far"]).withColumn("cut", F.pmod(F.xxhash64("set_id"), F.col("cuts")).cast("int"))
     tiles = plan.select("hub", "nhub", "ring", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut")).distinct()
     other = tiles.select("hub", "nhub", F.col("ring").alias("ring2"), F.col("cut").alias("cut2"))
-    pairs = tiles.join(other, ["hub", "nhub"]).where(
+    pairs = cut(tiles.join(other, ["hub", "nhub"]).where(
         "(ring2 > ring or (ring2 = ring and cut2 >= cut)) and (ring2 >= 5 or ring2 = -1) and ring2 - ring <= 6"
-    )
+    ))
     first = pairs.select("hub", "nhub", "ring", "cut", F.struct("ring", "cut", "ring2", "cut2").alias("tile"), F.lit(0).alias("side"))
     second = pairs.where("ring <> ring2 or cut <> cut2").select(
         "hub", "nhub", F.col("ring2").alias("ring"), F.col("cut2").alias("cut"), F.struct("ring", "cut", "ring2", "cut2").alias("tile"), F.lit(1).alias("side")
@@ -380,10 +380,10 @@ def _classes(docs: DataFrame, keyed: bool) -> DataFrame:
     sets = _load(docs, wanted, salt)
     hubs = cut(_overlaps(family.unionByName(pairs.where(fits)).distinct(), sets))
     star = hubs.where(DEN * F.col("overlap") >= NUM * F.col("union")).select("a", "na", "b", "nb")
-    members = hubs.join(family, ["a", "na", "b", "nb"], "left_semi").select(
+    members = cut(hubs.join(family, ["a", "na", "b", "nb"], "left_semi").select(
         F.col("a").alias("hub"), F.col("na").alias("nhub"), F.col("b").alias("set_id"), F.col("nb").alias("n"), "overlap", "union"
-    )
-    links = star.unionByName(_family_links(members, sets))
+    ))
+    links = cut(star.unionByName(_family_links(members, sets)))  # as one plan with what follows, the driver would hold some twenty stages at once
     one = first.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("doc_id").alias("da"))
     two = first.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("doc_id").alias("db"))
     edges = links.join(one, ["a", "na"]).join(two, ["b", "nb"]).select(F.col("da").alias("a"), F.col("db").alias("b"))

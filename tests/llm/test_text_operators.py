@@ -159,6 +159,24 @@ def test_jaccard_classes_against_brute_force(spark, monkeypatch, block):
     assert out == brute_classes(pairs)
 
 
+def test_no_job_of_the_join_has_many_stages(spark, monkeypatch):
+    """The driver holds all stages of a job at once, so what is cut is a plan of few exchanges."""
+    from sparkwave.llm import common
+
+    plans, plain = [], common.cut
+
+    def cut(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return plain(df)
+
+    monkeypatch.setattr(common, "cut", cut)
+    monkeypatch.setattr(jaccard_join, "cut", cut)
+    words = [f"w{k}" for k in range(60)]
+    kept = jaccard_join.drop_near_copies(docs_of(spark, [(1, " ".join(words)), (2, " ".join([*words, "more"])), (3, "some other words stand here")]))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+    assert len(plans) > 10 and max(plans) <= 20, plans
+
+
 def test_jaccard_edges(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (3, "A B C D E F")], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in jaccard_join.jaccard_classes(df).collect()) == [(0, 0), (2, 2), (2, 2), (3, 2)]
