@@ -160,6 +160,12 @@ def once(docs: DataFrame, repeated: DataFrame, key: Column) -> DataFrame:
     return _matching(docs, repeated, key, "left_anti").unionByName(some)
 
 
+def _either(one: tuple[str, str], two: tuple[str, str], df: DataFrame) -> DataFrame:
+    """(a, b): two rows for each of `df`, of the columns `one` and of the columns `two`; a union would work `df` out twice."""
+    pair = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"))
+    return df.select(F.explode(F.array(pair(*one), pair(*two))).alias("r")).select("r.*")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of `edges` (a, b): root is the smallest node of its component.
 
@@ -169,20 +175,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(max_rounds):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = _either(("a", "b"), ("b", "a"), edges)
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = cut(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        edges = cut(
-            small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
-            .where("a <> b").distinct()
-        )
+        edges = cut(_either(("b", "m"), ("a", "m"), large.join(low, "a")).where("a <> b").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
     else:
         raise RuntimeError("components did not settle")
-    roots = cut(edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node"))
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    return cut(_either(("a", "b"), ("b", "b"), edges).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")))

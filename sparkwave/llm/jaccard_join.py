@@ -366,6 +366,7 @@ def _classes(docs: DataFrame, keyed: bool) -> DataFrame:
         lists.mapInPandas(_merge, "kind int, a long, na int, b long, nb int")
         .groupBy("kind", "a", "na", "b", "nb").agg(F.count("*").alias("times"))
     )
+    sketch.destroy()  # nothing that follows reads it
     k = occurrences_column(F.least("na", "nb"))
     pairs = merged.where((F.col("kind") == 0) & (F.col("times") >= k)).select("a", "na", "b", "nb")
     fits = DEN * F.least("na", "nb") >= NUM * F.greatest("na", "nb")
@@ -388,9 +389,9 @@ def _classes(docs: DataFrame, keyed: bool) -> DataFrame:
     two = first.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("doc_id").alias("db"))
     edges = links.join(one, ["a", "na"]).join(two, ["b", "nb"]).select(F.col("da").alias("a"), F.col("db").alias("b"))
     roots = components(edges)
-    classes = first.join(roots, first["doc_id"] == roots["node"], "left").select(
+    classes = cut(first.join(roots, first["doc_id"] == roots["node"], "left").select(
         "set_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id")
-    )
+    ))
     return names.join(classes, ["set_id", "n_shingles"], "left").select(
         "doc_id", *(["key"] if keyed else []), "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     )
@@ -421,7 +422,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """
     with small_batches(docs.sparkSession):
         rows = _classes(docs, True)
-    rows = rows.where("n_shingles > 0 and doc_id is not null").groupBy("component_id", "doc_id", "key").agg(F.count("*").alias("n"))
+    rows = cut(rows.where("n_shingles > 0 and doc_id is not null").groupBy("component_id", "doc_id", "key").agg(F.count("*").alias("n")))
     stays = rows.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.sum("n").alias("all")).where(F.col("all") > 1)
     rows = cut(rows.join(stays, "component_id").withColumn("stays", F.struct("doc_id", "key") == F.col("first")))
     key = text_key(F.col("text"))

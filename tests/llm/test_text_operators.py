@@ -177,6 +177,25 @@ def test_no_job_of_the_join_has_many_stages(spark, monkeypatch):
     assert len(plans) > 10 and max(plans) <= 20, plans
 
 
+def test_rows_of_the_join_are_worked_out_once(spark, monkeypatch):
+    """The components and the rows that go are stored before they are read twice, so that no plan of narrow rows reads many checkpoints."""
+    from sparkwave.llm import common
+
+    plans, plain = [], common.cut
+
+    def cut(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df)
+
+    monkeypatch.setattr(common, "cut", cut)
+    monkeypatch.setattr(jaccard_join, "cut", cut)
+    words = [f"w{k}" for k in range(60)]
+    kept = jaccard_join.drop_near_copies(docs_of(spark, [(1, " ".join(words)), (2, " ".join([*words, "more"])), (3, "some other words stand here")]))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+    read = [p.count("Scan ExistingRDD") for p in plans if "MapIn" not in p and "FlatMap" not in p]
+    assert len(read) > 6 and max(read) <= 5, read
+
+
 def test_jaccard_edges(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (3, "A B C D E F")], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in jaccard_join.jaccard_classes(df).collect()) == [(0, 0), (2, 2), (2, 2), (3, 2)]
