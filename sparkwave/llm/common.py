@@ -1,4 +1,4 @@
-"""Shared helpers: the shared folder, checkpoints, ASCII lower-casing, connected components."""
+"""Shared helpers: the shared folder, cuts of the lineage, ASCII lower-casing, connected components."""
 
 from __future__ import annotations
 
@@ -51,12 +51,25 @@ def remove_work(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with an eager reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage of narrow rows: they are written to a folder of their own in the shared one and read from there.
+
+    An eager checkpoint works its last stage out twice (a count, then the files) and is read by as many tasks as wrote it.  Here the stage
+    runs once and many small files are read by one task, so the driver has far fewer tasks to keep.  Wide rows (arrays of a whole text)
+    are `checkpointed`, as Spark reads columns of files some thousand rows at a time.
+    """
+    spark = df.sparkSession
+    path = fresh_dir(spark, "rows")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 BATCH_BYTES = "4m"
 
 

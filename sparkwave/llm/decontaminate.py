@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_key, without
+from .common import checkpointed, text_key, without
 
 WORDS = 5
 CONTAINMENT = 75  # per cent
@@ -56,7 +56,7 @@ def _items(benchmark: DataFrame) -> DataFrame:
     words = benchmark.select("item_id", word_list(F.col("text")).alias("w")).where("size(w) > 0")
     words = words.withColumn("width", F.least(F.size("w"), F.lit(WORDS)))
     out = words.select("item_id", "width", text_shingles("w", F.col("width")).alias("shingles")).distinct()
-    return cut(out.withColumns({"item": F.monotonically_increasing_id(), "n": F.size("shingles")}))
+    return checkpointed(out.withColumns({"item": F.monotonically_increasing_id(), "n": F.size("shingles")}))
 
 
 def sketches(items: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def _matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     widths = sorted(r[0] for r in items.select("width").distinct().collect())  # at most 1 to 5
     if not widths:
         return docs.select("doc_id", text_key(F.col("text")).alias("key"), F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("n_item"), F.lit(0).alias("n_shared")).limit(0)
-    sketch = cut(sketches(items))
+    sketch = checkpointed(sketches(items))
     common, far = kept_hashes(sketch)
     if sketch.count() <= BROADCAST_ROWS:
         sketch = F.broadcast(sketch)
@@ -93,13 +93,13 @@ def _matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     own = F.array_distinct(F.filter(hashes, lambda h: (h <= common) | h.isin(far)))
     seen = words.select("doc_id", "key", F.explode(own).alias("hash")).join(sketch, "hash")
     near = seen.groupBy("doc_id", "key", "item").agg(F.count("*").alias("hits"), F.first("need").alias("need")).where("hits >= need")
-    ids = cut(near.select("doc_id", "key").distinct())
+    ids = checkpointed(near.select("doc_id", "key").distinct())
     # texts are read again for the candidates only; each is cut into shingles once, however many items it may hold
     some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     chosen = docs.select("doc_id", "text").join(some.select(F.col("doc_id").alias("d")).distinct(), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
     chosen = chosen.select("doc_id", text_key(F.col("text")).alias("key"), word_list(F.col("text")).alias("w")).dropDuplicates(["doc_id", "key"])
     grams = F.concat(*[text_shingles("w", F.lit(width)) for width in widths])  # widths differ in the number of blanks
-    wanted = cut(items.select("item", "item_id", F.col("n").alias("n_item"), F.explode("shingles").alias("gram")))
+    wanted = checkpointed(items.select("item", "item_id", F.col("n").alias("n_item"), F.explode("shingles").alias("gram")))
     if wanted.count() <= BROADCAST_GRAMS:
         wanted = F.broadcast(wanted)
     shared = chosen.select("doc_id", "key", F.explode(grams).alias("gram")).join(wanted, "gram")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, once, text_key, without
+from .common import ascii_lower, checkpointed, cut, once, text_key, without
 
 BLOCK_CHARS = 4096
 
@@ -37,14 +37,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     only = text.select(F.explode(parts).alias("block"))
     hashes = [F.xxhash64("block").alias("h1"), F.xxhash64(F.lit(1), "block").alias("h2")]
-    names = cut(_named(only, ["block"], hashes))
+    names = checkpointed(_named(only, ["block"], hashes))
     by = ["h1", "h2"]
     if names.groupBy(by).count().where("count > 1").limit(1).count():
         by, names = ["block"], _named(only, ["block"], ["block"])
     blocks = text.select("doc_id", F.sha2("t", 256).alias("sha"), F.posexplode(parts).alias("pos", "block"))
     blocks = blocks.select("doc_id", "sha", "pos", *(hashes if by == ["h1", "h2"] else ["block"]))
     named = blocks.join(names, by)
-    level = cut(
+    level = checkpointed(
         named.groupBy("doc_id", "sha")
         .agg(F.array_sort(F.collect_set(F.struct("pos", "name"))).alias("at"), F.count_if(F.col("pos") == 0).alias("copies"))
         .select("doc_id", "sha", "copies", F.size("at").alias("n_blocks"), F.col("at.name").alias("names"))
@@ -58,17 +58,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             lambda i: F.struct(F.get("names", i * 2).alias("a"), F.coalesce(F.get("names", i * 2 + 1), F.lit(-1)).alias("b")),
         )
         pairs = level.select("doc_id", "sha", F.posexplode(pair).alias("pos", "p")).select("doc_id", "sha", "pos", "p.a", "p.b")
-        joined = pairs.join(cut(_named(pairs, ["a", "b"], ["a", "b"])), ["a", "b"])
+        joined = pairs.join(checkpointed(_named(pairs, ["a", "b"], ["a", "b"])), ["a", "b"])
         again = joined.groupBy("doc_id", "sha").agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("at"))
         rest = level.select(F.col("doc_id").alias("d"), F.col("sha").alias("s"), "copies", "n_blocks")
-        level = cut(
+        level = checkpointed(
             again.join(rest, again.doc_id.eqNullSafe(rest.d) & (again.sha == rest.s))
             .select("doc_id", "sha", "copies", "n_blocks", F.col("at.name").alias("names"))
         )
         done = done.unionByName(level.where(F.size("names") == 1).select("doc_id", "sha", "copies", "n_blocks", F.col("names")[0].alias("name")))
         level = level.where(F.size("names") > 1)
     # written out, so that the join has a plain exchange on either side and AQE may split a hot group
-    groups = cut(done.groupBy("n_blocks", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")))
+    groups = checkpointed(done.groupBy("n_blocks", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")))
     return (
         done.join(groups, ["n_blocks", "name"])
         .select("doc_id", "keep_id", "group_size", "sha", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import checkpointed
 
 # Elements whose content is no text of the page.  RAW ones run to the end of the page if they are not closed, the others are
 # then passed over; REPLACED ones part words.
@@ -410,7 +410,7 @@ def extract(pages: DataFrame) -> DataFrame:
     dealt = source.select(part_of("page_id", "url", "tie").alias("part"), "page_id", "url", "html", "tie", F.lit(None).cast("array<string>").alias("rest"))
     if bounds:
         schema = f"{PAGE}, digest string, rest array<string>, name string"
-        border = cut(source.mapInPandas(find_ends, schema).groupBy("host", "part").applyInPandas(merge, schema))  # at most 4 rows for each end of a part
+        border = checkpointed(source.mapInPandas(find_ends, schema).groupBy("host", "part").applyInPandas(merge, schema))  # at most 4 rows for each end of a part
         ends: dict[tuple[str, int], Ends] = {}
         for r in border.drop("rest").collect():
             ends.setdefault((r["host"], r["part"]), Ends()).add((_key(r["host"], r["path"], r["page_id"], r["url"], r["tie"]), r["digest"], r["name"]))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, once, over_texts, small_batches, text_groups, text_key, without
+from .common import checkpointed, components, cut, once, over_texts, small_batches, text_groups, text_key, without
 from .shingles import fingerprint, shingle_lists
 
 NUM, DEN = 75, 100
@@ -411,8 +411,8 @@ def _load(docs: DataFrame, wanted: DataFrame, salt: int) -> DataFrame:
             rows = [(sid, n, s.view(np.int64)) for (k, s), sid, n in zip(_sets(pdf), pdf["set_id"], pdf["n"], strict=True) if len(s) == n and fingerprint(s, salt)[0] == sid]
             yield pd.DataFrame(rows, columns=["set_id", "n", "items"])
 
-    sets = cut(over_texts(text.select("set_id", "n", "text"), emit, "set_id long, n int, items array<long>"))
-    return sets if sets.count() <= n_wanted else cut(sets.dropDuplicates(["set_id", "n"]))  # doc_ids may repeat
+    sets = checkpointed(over_texts(text.select("set_id", "n", "text"), emit, "set_id long, n int, items array<long>"))
+    return sets if sets.count() <= n_wanted else checkpointed(sets.dropDuplicates(["set_id", "n"]))  # doc_ids may repeat
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, text_groups, text_key, without
+from .common import checkpointed, cut, small_batches, text_groups, text_key, without
 from .shingles import mix
 
 SAMPLE_ROWS = 2000  # per language, on average
@@ -205,7 +205,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_total: int = SAM
     chance = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
     sample = allowed.where(chance < share[F.col("lang")])
     words = sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("key")).where("key <> ''")
-    words = cut(words.groupBy("lang", "key").count())
+    words = checkpointed(words.groupBy("lang", "key").count())
     entries = words.select(F.lit(0).alias("n"), "key", "lang", "count")
     for n in range(1, LONGEST + 1):
         gram = _grams(n)

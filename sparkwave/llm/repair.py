@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import checkpointed
 
 CHUNK = 1024
 SPACE = r"\x20\x09-\x0D"
@@ -66,9 +66,9 @@ def ordered(rows: DataFrame, chunk: int = CHUNK, partitions: int | None = None)
     keys = ["conv_id", "turn", "role_head", "text_head", "digest", "place"]
     digest = F.sha2(F.concat_ws("\0", "role", "text"), 256)
     rows = rows.withColumns({"role_head": F.substring("role", 1, 64), "text_head": F.substring("text", 1, 64), "digest": digest, "place": F.monotonically_increasing_id()})
-    rows = cut(rows).repartitionByRange(n, *map(F.asc_nulls_first, keys)).sortWithinPartitions(*map(F.asc_nulls_first, keys))
+    rows = checkpointed(rows).repartitionByRange(n, *map(F.asc_nulls_first, keys)).sortWithinPartitions(*map(F.asc_nulls_first, keys))
     rows = rows.select("conv_id", "turn", "role", "text", "digest", F.monotonically_increasing_id().alias("at"))
-    return cut(rows.withColumn("chunk", F.concat(F.shiftright("at", 33), F.lit("-"), F.floor(F.col("at").bitwiseAND((1 << 33) - 1) / chunk))))
+    return checkpointed(rows.withColumn("chunk", F.concat(F.shiftright("at", 33), F.lit("-"), F.floor(F.col("at").bitwiseAND((1 << 33) - 1) / chunk))))
 
 
 def faults(rows: DataFrame) -> DataFrame:
@@ -286,10 +286,10 @@ def _report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def solved(narrow: DataFrame) -> DataFrame:
     """Facts, entry state, audit and cost of each part of the conversations in faults(...) rows."""
-    narrow = cut(narrow)
+    narrow = checkpointed(narrow)
     # A stated number of tasks: by size alone these narrow rows, each of which takes some work, would be folded into few.
     tasks = int(narrow.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = cut(narrow.repartition(tasks, "chunk").groupBy("chunk").applyInPandas(_solve_chunk, PART))
+    parts = checkpointed(narrow.repartition(tasks, "chunk").groupBy("chunk").applyInPandas(_solve_chunk, PART))
     several = parts.where("not whole").groupBy("conv_id").count().where("count > 1").select(F.col("conv_id").alias("several"))
     edges = parts.where("not whole").join(several, F.col("conv_id").eqNullSafe(F.col("several")), "left_semi")
     tails = _by_conv(edges.select("conv_id", "chunk", "at", "table"), F.desc("at")).mapInPandas(_tails, "tail_conv string, tail_chunk string, at long, tail array<long>")
@@ -297,7 +297,7 @@ def solved(narrow: DataFrame) -> DataFrame:
     same = (F.col("chunk") == F.col("tail_chunk")) & F.col("conv_id").eqNullSafe(F.col("tail_conv"))
     traced = narrow.join(tails.drop("at"), same).drop("tail_conv", "tail_chunk").groupBy("chunk").applyInPandas(_trace_part, "conv_id string, at long, audits array<string>, exits array<int>, cost long")
     entries = _by_conv(traced, F.asc("at")).mapInPandas(_entries, "conv_id string, at long, entry int, own_audit string, own_cost long").drop("conv_id")
-    return cut(parts.drop("table", "whole").join(entries, "at", "left").withColumns({
+    return checkpointed(parts.drop("table", "whole").join(entries, "at", "left").withColumns({
         "entry": F.coalesce("entry", F.lit(START)), "audit": F.coalesce("own_audit", "audit"), "cost": F.coalesce("own_cost", "cost")}).drop("own_audit", "own_cost"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import checkpointed
 
 SCALE = 256
 LIMIT = 2.0**62  # scaled entries of this size or more don't count as finite: they must fit in a long
@@ -114,7 +114,7 @@ def whiten(rows: DataFrame, components: int = 4, rows_per_block: int = ROWS_PER_
     """
     spark = rows.sparkSession
     usable = quantised(rows)
-    fit = numbered(cut(usable.select("x").distinct()))
+    fit = numbered(checkpointed(usable.select("x").distinct()))
     n, sums, most = _sums(fit)
     schema = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
     if n == 0:

@@ -196,6 +196,24 @@ def test_rows_of_the_join_are_worked_out_once(spark, monkeypatch):
     assert len(read) > 6 and max(read) <= 5, read
 
 
+def test_narrow_rows_are_stored_by_few_tasks(spark):
+    """A cut runs its last stage once, and its small files are read by few tasks; so the driver holds few tasks of a join with many partitions."""
+    from sparkwave.llm import common
+
+    worked = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for pdf in batches:
+            worked.add(len(pdf))
+            yield pdf
+
+    rows = common.cut(spark.range(500).repartition(50).mapInPandas(seen, "id long"))
+    assert (rows.count(), worked.value) == (500, 500)
+    assert rows.schema.names == ["id"] and rows.rdd.getNumPartitions() < 50
+    none = common.cut(spark.range(0).selectExpr("id", "cast(null as struct<a long, b string>) s"))
+    assert none.count() == 0 and none.schema.simpleString() == "struct<id:bigint,s:struct<a:bigint,b:string>>"
+
+
 def test_jaccard_edges(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (3, "A B C D E F")], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in jaccard_join.jaccard_classes(df).collect()) == [(0, 0), (2, 2), (2, 2), (3, 2)]
